@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from xtalframe.functions.once import let
+
 
 def dos_at_fermi(dos: Column) -> Column:
     """Total density of states at ``efermi``, interpolated, summed over spins.
@@ -14,16 +16,22 @@ def dos_at_fermi(dos: Column) -> Column:
     """
     fermi, energies = dos["efermi"], dos["energies"]
 
+    def between(points: Column, n_below: Column) -> Column:
+        low, high = F.try_element_at(points, n_below), F.try_element_at(points, n_below + 1)
+        part = (fermi - low["e"]) / (high["e"] - low["e"])
+        return F.when(low["e"] == fermi, low["v"]).otherwise(
+            low["v"] + part * (high["v"] - low["v"])
+        )
+
     def one_spin(values: Column) -> Column:
         points = F.array_sort(
             F.zip_with(energies, values, lambda e, v: F.struct(e.alias("e"), v.alias("v")))
         )
-        below = F.filter(points, lambda p: p["e"] <= fermi)
-        low = F.try_element_at(below, F.lit(-1))
-        high = F.try_element_at(points, F.size(below) + 1)
-        part = (fermi - low["e"]) / (high["e"] - low["e"])
-        return F.when(low["e"] == fermi, low["v"]).otherwise(
-            low["v"] + part * (high["v"] - low["v"])
+        return let(
+            points,
+            lambda ps: let(
+                F.size(F.filter(ps, lambda p: p["e"] <= fermi)), lambda n: between(ps, n)
+            ),
         )
 
     total = F.aggregate(

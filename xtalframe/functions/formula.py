@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from xtalframe.elements import SYMBOL_PATTERN, electronegativity_of, electronegativity_rank
+from xtalframe.functions.once import let
 
 # Bracketed remarks, then literal suffixes, in the order in which
 # they are removed; placeholder symbols that stand for "some element".
@@ -45,18 +46,18 @@ def _amount(text: Column) -> Column:
 
 def _sum_per_symbol(parts: Column) -> Column:
     """Entries (symbol, amount) with one entry per symbol, sorted by symbol."""
-    symbols = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["symbol"])))
-    return F.transform(
-        symbols,
-        lambda s: F.struct(
-            s.alias("symbol"),
-            F.aggregate(
-                F.filter(parts, lambda p: p["symbol"] == s),
-                F.lit(0.0),
-                lambda total, p: total + p["amount"],
-            ).alias("amount"),
-        ),
-    )
+
+    def total(ps: Column, s: Column) -> Column:
+        same = F.filter(ps, lambda p: p["symbol"] == s)
+        return F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["amount"])
+
+    def per_symbol(ps: Column) -> Column:
+        symbols = F.array_sort(F.array_distinct(F.transform(ps, lambda p: p["symbol"])))
+        return F.transform(
+            symbols, lambda s: F.struct(s.alias("symbol"), total(ps, s).alias("amount"))
+        )
+
+    return let(parts, per_symbol)
 
 
 def _flat_parts(formula: Column) -> Column:
@@ -117,8 +118,7 @@ def parse_formula(formula: Column) -> Column:
     parts = F.when(formula.rlike(_FLAT), _flat_parts(formula)).when(
         formula.contains("(") & formula.rlike(_BRACKETED_FORMULA), _bracketed_parts(formula)
     )
-    summed = _sum_per_symbol(parts)
-    return F.when(F.size(summed) > 0, summed)
+    return _sum_per_symbol(parts)
 
 
 def symbols_of(parts: Column) -> Column:
@@ -145,26 +145,22 @@ def formula_elements(text: Column) -> Column:
     that does not have the shape of a formula falls back to whatever looks
     like a symbol.
     """
-    cleaned = clean_formula(text)
-    symbols = F.array_sort(
-        F.array_distinct(F.regexp_extract_all(cleaned, F.lit(f"({_SYMBOL})"), F.lit(1)))
-    )
-    without_re = F.array_sort(
-        F.array_distinct(
-            F.regexp_extract_all(
-                F.replace(cleaned, F.lit("RE"), F.lit("")), F.lit(f"({_SYMBOL})"), F.lit(1)
-            )
-        )
+    symbols = lambda t: F.array_sort(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(f"({_SYMBOL})"), F.lit(1)))
     )
     stand_ins = F.array(*[F.lit(p) for p in PLACEHOLDERS if p not in ("B", "RE")])
-    found = (
-        F.when(
-            cleaned.rlike(_FLAT_WITH_STAND_INS), F.array_except(without_re, stand_ins)
+
+    def found(cleaned: Column) -> Column:
+        without_re = F.replace(cleaned, F.lit("RE"), F.lit(""))
+        return (
+            F.when(
+                cleaned.rlike(_FLAT_WITH_STAND_INS), F.array_except(symbols(without_re), stand_ins)
+            )
+            .when(cleaned.rlike(_SHAPED), F.lit(None).cast("array<string>"))
+            .otherwise(symbols(cleaned))
         )
-        .when(cleaned.rlike(_SHAPED), F.lit(None).cast("array<string>"))
-        .otherwise(symbols)
-    )
-    return F.when(F.size(found) > 0, found)
+
+    return let(let(clean_formula(text), found), lambda s: F.when(F.size(s) > 0, s))
 
 
 def elements_text(symbols: Column) -> Column:
@@ -193,26 +189,33 @@ def _common_factor(parts: Column) -> Column:
         F.lit(0).cast("bigint"),
         lambda g, p: _gcd(p["amount"].cast("bigint"), g),
     )
-    return F.when(whole & (divisor > 0), divisor.cast("double")).otherwise(F.lit(1.0))
+    return F.when(whole, F.greatest(divisor, F.lit(1).cast("bigint")).cast("double")).otherwise(
+        F.lit(1.0)
+    )
 
 
-def _number_text(value: Column) -> Column:
+def _number_text(number: Column) -> Column:
     """"" for 1, digits for whole numbers, at most eight decimals otherwise."""
-    return (
-        F.when(value == 1, F.lit(""))
-        .when(value == F.floor(value), F.floor(value).cast("string"))
-        .otherwise(F.round(value, 8).cast("string"))
+    return let(
+        number,
+        lambda v: F.when(v == 1, F.lit(""))
+        .when(v == F.floor(v), F.floor(v).cast("string"))
+        .otherwise(F.round(v, 8).cast("string")),
+    )
+
+
+def _scaled(parts: Column, factor: Column, separator: str) -> Column:
+    return F.transform(
+        parts,
+        lambda p: F.concat(p["symbol"], F.lit(separator), _number_text(p["amount"] / factor)),
     )
 
 
 def match_key(parts: Column) -> Column:
     """Text equal for two formulas exactly when they reduce to the same formula."""
-    factor = _common_factor(parts)
-    return F.array_join(
-        F.transform(
-            parts, lambda p: F.concat(p["symbol"], F.lit(":"), _number_text(p["amount"] / factor))
-        ),
-        "|",
+    return let(
+        parts,
+        lambda ps: let(_common_factor(ps), lambda f: F.array_join(_scaled(ps, f, ":"), "|")),
     )
 
 
@@ -242,36 +245,48 @@ def reduced_formula(parts: Column) -> Column:
     order of electronegativity, and the last two symbols bracketed when they
     form a group with a common factor of their own, as in Ca3(PO4)2.
     """
-    factor = _common_factor(parts)
-    ordered = F.array_sort(
-        F.transform(
-            F.filter(parts, lambda p: F.abs(p["amount"]) > 1e-8),
-            lambda p: F.struct(
-                electronegativity_rank(p["symbol"]).alias("rank"),
-                p["symbol"].alias("symbol"),
-                (p["amount"] / factor).alias("amount"),
+
+    def rank(ps: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                F.filter(ps, lambda p: F.abs(p["amount"]) > 1e-8),
+                lambda p: F.struct(
+                    electronegativity_rank(p["symbol"]).alias("rank"),
+                    p["symbol"].alias("symbol"),
+                    p["amount"].alias("amount"),
+                ),
+            )
+        )
+
+    def display(ordered: Column, factor: Column, group: Column) -> Column:
+        n, tail = F.size(ordered), F.slice(ordered, -2, 2)
+        gap = electronegativity_of(tail[1]["symbol"]) - electronegativity_of(tail[0]["symbol"])
+        bracketed = F.concat(
+            F.array_join(_scaled(F.slice(ordered, 1, n - 2), factor, ""), ""),
+            F.lit("("),
+            F.array_join(_scaled(tail, factor * group, ""), ""),
+            F.lit(")"),
+            _number_text(group),
+        )
+        plain = F.array_join(_scaled(ordered, factor, ""), "")
+        return F.when((n >= 3) & (group != 1), F.when(gap < 1.65, bracketed)).otherwise(plain)
+
+    def with_factor(ordered: Column, factor: Column) -> Column:
+        tail = F.transform(
+            F.slice(ordered, -2, 2),
+            lambda p: F.struct((p["amount"] / factor).alias("amount")),
+        )
+        group = F.when(F.size(ordered) >= 3, _common_factor(tail)).otherwise(F.lit(1.0))
+        return let(
+            group,
+            lambda g: F.coalesce(
+                display(ordered, factor, g), F.array_join(_scaled(ordered, factor, ""), "")
             ),
         )
-    )
-    n = F.size(ordered)
-    text = lambda items: F.array_join(
-        F.transform(items, lambda p: F.concat(p["symbol"], _number_text(p["amount"]))), ""
-    )
-    tail = F.slice(ordered, -2, 2)
-    gap = electronegativity_of(tail[1]["symbol"]) - electronegativity_of(tail[0]["symbol"])
-    group = _common_factor(tail)
-    scaled = F.transform(
-        tail, lambda p: F.struct(p["rank"], p["symbol"], (p["amount"] / group).alias("amount"))
-    )
-    with_group = F.concat(
-        text(F.slice(ordered, 1, F.greatest(n - 2, F.lit(0)))),
-        F.lit("("),
-        text(scaled),
-        F.lit(")"),
-        _number_text(group),
-    )
-    plain = F.when(
-        (n >= 3) & (gap < 1.65) & (group != 1), with_group
-    ).otherwise(text(ordered))
+
     molecules = F.create_map(*[F.lit(v) for kv in _MOLECULES.items() for v in kv])
-    return F.coalesce(F.try_element_at(molecules, plain), plain)
+    text = let(
+        rank(parts),
+        lambda ordered: let(_common_factor(ordered), lambda f: with_factor(ordered, f)),
+    )
+    return let(text, lambda t: F.coalesce(F.try_element_at(molecules, t), t))

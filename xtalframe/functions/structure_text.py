@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from xtalframe.functions.lattice import cell, lattice_params
+from xtalframe.functions.once import let
 from xtalframe.functions.text import to_number
 from xtalframe.schemas import DOS, SITES
 
@@ -25,12 +26,18 @@ def _all_present(values: Column, n: int) -> Column:
 
 def parse_cell(text: Column) -> Column:
     """JSON text to a cell: six parameters or a 3x3 matrix, anything else null."""
-    six = F.from_json(text, "array<double>")
-    rows = F.from_json(text, "array<array<double>>")
-    from_six = cell(*[F.try_element_at(six, F.lit(i)) for i in range(1, 7)])
-    is_matrix = (F.size(rows) == 3) & F.forall(rows, lambda r: _all_present(r, 3))
-    return F.when(_all_present(six, 6), from_six).when(
-        F.coalesce(is_matrix, F.lit(False)), lattice_params(rows)
+    from_six = lambda six: F.when(
+        _all_present(six, 6), cell(*[F.try_element_at(six, F.lit(i)) for i in range(1, 7)])
+    )
+    from_rows = lambda rows: F.when(
+        F.coalesce(
+            (F.size(rows) == 3) & F.forall(rows, lambda r: _all_present(r, 3)), F.lit(False)
+        ),
+        lattice_params(rows),
+    )
+    return F.coalesce(
+        let(F.from_json(text, "array<double>"), from_six),
+        let(F.from_json(text, "array<array<double>>"), from_rows),
     )
 
 
@@ -44,17 +51,20 @@ def parse_sites(text: Column) -> Column:
     Null when the text is no list of sites, the list is empty, or any site has
     no species, no element or no three numbers. Occupancy is not used.
     """
-    raw = F.from_json(text, SITES)
-    good = (F.size(raw) > 0) & F.forall(raw, lambda s: _valid_site(s))
-    return F.when(
-        F.coalesce(good, F.lit(False)),
-        F.transform(
-            raw,
-            lambda s, i: F.struct(
-                i.alias("idx"), _first_element(s).alias("element"), s["xyz"].alias("frac")
+
+    def checked(raw: Column) -> Column:
+        good = (F.size(raw) > 0) & F.forall(raw, _valid_site)
+        return F.when(
+            F.coalesce(good, F.lit(False)),
+            F.transform(
+                raw,
+                lambda s, i: F.struct(
+                    i.alias("idx"), _first_element(s).alias("element"), s["xyz"].alias("frac")
+                ),
             ),
-        ),
-    )
+        )
+
+    return let(F.from_json(text, SITES), checked)
 
 
 def _valid_site(site: Column) -> Column:
@@ -82,12 +92,13 @@ def sites_to_text(sites: Column) -> Column:
 
 def parse_dos(text: Column) -> Column:
     """JSON text to ``struct<efermi, energies, densities>``; bad text is null."""
-    dos = F.from_json(text, DOS)
-    return F.when(dos["energies"].isNotNull() | dos["efermi"].isNotNull(), dos)
+    return let(
+        F.from_json(text, DOS),
+        lambda dos: F.when(dos["energies"].isNotNull() | dos["efermi"].isNotNull(), dos),
+    )
 
 
 _UNCERTAINTY = r"\(\d+\)"
-_ATOM_SITE = "_atom_site_"
 _IDENTITY = r"^'?\s*\+?x\s*,\s*\+?y\s*,\s*\+?z\s*'?$"
 _SPACE_GROUP_TAGS = r"(?im)^\s*_(?:symmetry_space_group_name_H-M|space_group_name_H-M_alt)\s+(.+?)\s*$"
 _SPACE_GROUP_NUMBER = r"(?im)^\s*_(?:symmetry_Int_Tables_number|space_group_IT_number)\s+(\d+)"
@@ -98,27 +109,37 @@ def _cif_scalar(text: Column, tag: str) -> Column:
     return to_number(F.regexp_replace(raw, _UNCERTAINTY, ""))
 
 
-def _loop_rows(text: Column, prefix: str) -> tuple[Column, Column]:
-    """Column tags and data rows (arrays of words) of the loop whose tags start
-    with ``prefix``: a block runs to the next ``loop_`` or blank-line-free tag."""
+def _loop(text: Column, prefix: str) -> Column:
+    """``struct<tags, rows>`` of the loop whose tags start with ``prefix``: its
+    lower-case tags and its data lines up to the next tag or data block."""
+    tagged = rf"(?i)^{prefix}"
+
+    def parts(lines: Column) -> Column:
+        tags = F.filter(lines, lambda r: r.rlike(tagged))
+        body = F.slice(lines, F.size(tags) + 1, F.size(lines))
+        stop = lambda rows: F.array_position(
+            F.transform(rows, lambda r: r.rlike(r"^(?:_|data_)")), True
+        ).cast("int")
+        cut = lambda rows: let(
+            stop(rows), lambda at: F.when(at > 0, F.slice(rows, 1, at - 1)).otherwise(rows)
+        )
+        return F.struct(
+            F.transform(tags, lambda t: F.lower(t)).alias("tags"), let(body, cut).alias("rows")
+        )
+
     lines = F.filter(
         F.transform(F.split(text, r"\r?\n"), lambda t: F.trim(t)),
         lambda t: (t != "") & ~t.startswith("#"),
     )
     blocks = F.split(F.array_join(lines, "\n"), r"(?m)^loop_\s*\n?")
-    block = F.try_element_at(F.filter(blocks, lambda b: b.rlike(rf"(?i)^{prefix}")), F.lit(1))
-    rows = F.split(block, "\n")
-    tags = F.filter(rows, lambda r: r.rlike(rf"(?i)^{prefix}"))
-    body = F.slice(rows, F.size(tags) + 1, F.size(rows))
-    stop = F.array_position(F.transform(body, lambda r: r.rlike(r"^(?:_|data_)")), True)
-    body = F.when(stop > 0, F.slice(body, 1, stop.cast("int") - 1)).otherwise(body)
-    return tags, body
+    block = F.try_element_at(F.filter(blocks, lambda b: b.rlike(tagged)), F.lit(1))
+    return let(F.split(block, "\n"), parts)
 
 
 def _word(row: Column, tags: Column, tag: str) -> Column:
     words = F.split(row, r"\s+")
-    at = F.array_position(F.transform(tags, lambda t: F.lower(t)), F.lit(tag)).cast("int")
-    return F.when(at > 0, F.try_element_at(words, at))
+    at = F.array_position(tags, F.lit(tag)).cast("int")
+    return F.when(at > 0, F.try_element_at(words, F.nullif(at, F.lit(0))))
 
 
 def cif_to_structure(text: Column) -> Column:
@@ -141,14 +162,15 @@ def cif_to_structure(text: Column) -> Column:
             "_cell_angle_gamma",
         )
     ]
-    tags, rows = _loop_rows(text, _ATOM_SITE)
 
-    def site(row: Column, i: Column) -> Column:
+    def site(row: Column, i: Column, tags: Column) -> Column:
         symbol = F.coalesce(
             _word(row, tags, "_atom_site_type_symbol"), _word(row, tags, "_atom_site_label")
         )
         fractions = [
-            to_number(F.regexp_replace(_word(row, tags, f"_atom_site_fract_{axis}"), _UNCERTAINTY, ""))
+            to_number(
+                F.regexp_replace(_word(row, tags, f"_atom_site_fract_{axis}"), _UNCERTAINTY, "")
+            )
             for axis in "xyz"
         ]
         return F.struct(
@@ -157,33 +179,54 @@ def cif_to_structure(text: Column) -> Column:
             F.array(*fractions).alias("frac"),
         )
 
-    sites = F.transform(rows, site)
-    good_sites = (F.size(sites) > 0) & F.forall(
-        sites, lambda s: s["element"].isNotNull() & _all_present(s["frac"], 3)
+    sites = let(
+        _loop(text, "_atom_site_"),
+        lambda loop: F.transform(loop["rows"], lambda r, i: site(r, i, loop["tags"])),
     )
-    good_cell = F.greatest(*[n.isNull().cast("int") for n in numbers]) == 0
-
-    _, operations = _loop_rows(text, "_(?:symmetry_equiv_pos|space_group_symop)")
-    plain_operations = F.forall(
-        operations,
-        lambda r: F.regexp_replace(r, r"^\d+\s+", "").rlike(_IDENTITY),
+    operations = _loop(text, "_(?:symmetry_equiv_pos|space_group_symop)")["rows"]
+    only_identity = F.forall(
+        operations, lambda r: F.regexp_replace(r, r"^\d+\s+", "").rlike(_IDENTITY)
     )
     group = F.regexp_replace(F.regexp_extract(text, _SPACE_GROUP_TAGS, 1), r"['\"\s]", "")
     number = F.nullif(F.regexp_extract(text, _SPACE_GROUP_NUMBER, 1), F.lit("")).cast("int")
     symmetric = (
-        ~F.coalesce(plain_operations, F.lit(True))
+        ~F.coalesce(only_identity, F.lit(True))
         | ~group.isin("", "P1")
         | (F.coalesce(number, F.lit(1)) != 1)
     )
-    status = (
-        F.when(text.isNull() | (F.trim(text) == ""), "missing")
-        .when(symmetric, "unsupported_symmetry")
-        .when(F.coalesce(good_sites & good_cell, F.lit(False)), "ok")
-        .otherwise("parse_error")
-    )
-    return F.struct(
-        status.alias("status"),
-        F.when(status == "ok", cell(*numbers)).alias("cell"),
-        F.when(status == "ok", sites).alias("sites"),
-        number.alias("spacegroup_number"),
+    raw = F.struct(
+        (text.isNull() | (F.trim(text) == "")).alias("missing"),
+        symmetric.alias("symmetric"),
+        number.alias("number"),
+        cell(*numbers).alias("cell"),
+        sites.alias("sites"),
     )
+
+    def result(r: Column) -> Column:
+        numbers_given = F.lit(True)
+        for name in ("a", "b", "c", "alpha", "beta", "gamma"):
+            numbers_given = numbers_given & r["cell"][name].isNotNull()
+        good = (
+            numbers_given
+            & (F.size(r["sites"]) > 0)
+            & F.forall(
+                r["sites"], lambda s: s["element"].isNotNull() & _all_present(s["frac"], 3)
+            )
+        )
+        status = (
+            F.when(r["missing"], "missing")
+            .when(r["symmetric"], "unsupported_symmetry")
+            .when(F.coalesce(good, F.lit(False)), "ok")
+            .otherwise("parse_error")
+        )
+        return let(
+            status,
+            lambda st: F.struct(
+                st.alias("status"),
+                F.when(st == "ok", r["cell"]).alias("cell"),
+                F.when(st == "ok", r["sites"]).alias("sites"),
+                r["number"].alias("spacegroup_number"),
+            ),
+        )
+
+    return let(raw, result)

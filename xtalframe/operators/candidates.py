@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xtalframe.functions.formula import chemical_system, match_key, parse_formula
+from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cell_to_text, sites_to_text, validate_structure
 from xtalframe.functions.text import null_to_inf
 from xtalframe.operators.clean import filter_deprecated
@@ -42,11 +43,12 @@ def first_k_per_key(df: DataFrame, key: list[str], order: list[Column], k: int)
 
 def add_formula_keys(df: DataFrame, formula: str) -> DataFrame:
     """Add ``chemsys`` and the reduced-formula ``formula_key`` of a formula column."""
-    return df.withColumns(
+    return compute_once(
+        df,
         {
             "chemsys": chemical_system(F.col(formula)),
             "formula_key": match_key(parse_formula(F.col(formula))),
-        }
+        },
     )
 
 

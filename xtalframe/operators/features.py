@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from xtalframe.functions.dos import dos_at_fermi, is_metal
 from xtalframe.functions.formula import reduced_formula
 from xtalframe.functions.lattice import cell_volume, crystal_system, density, volume_per_atom
+from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cif_to_structure
 from xtalframe.operators.clean import id_fallback
 from xtalframe.operators.graph import (
@@ -39,7 +40,7 @@ def derive_targets(df: DataFrame) -> DataFrame:
 
 def with_parsed_cif(docs: DataFrame, cif: str = "cif_string_mp") -> DataFrame:
     """Add ``cell`` and ``sites`` from CIF text; both null unless it parses."""
-    parsed = docs.withColumn("_cif", cif_to_structure(F.col(cif)))
+    parsed = compute_once(docs, {"_cif": cif_to_structure(F.col(cif))})
     return parsed.withColumns({"cell": F.col("_cif.cell"), "sites": F.col("_cif.sites")}).drop("_cif")
 
 

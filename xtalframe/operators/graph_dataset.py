@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from xtalframe.elements import SYMBOL_PATTERN
 from xtalframe.functions.dos import energy_per_site
 from xtalframe.functions.lattice import cell_volume
+from xtalframe.functions.once import compute_once, let
 from xtalframe.functions.structure_text import parse_cell, parse_sites
 from xtalframe.operators.graph import BLOCK, collect_graph, structure_edges, structure_nodes
 from xtalframe.schemas import SITES
@@ -31,27 +32,30 @@ def with_structure(rows: DataFrame) -> DataFrame:
     a value), ``ok``. No row is dropped.
     """
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    raw = F.from_json("oqmd_sites_json", SITES)
-    listed = F.coalesce(
-        (F.size(raw) > 0)
-        & F.forall(raw, lambda s: F.coalesce(F.size(s["species"]) > 0, F.lit(False))),
-        F.lit(False),
+    incomplete = lambda s: (
+        s["xyz"].isNull() | F.try_element_at(s["species"], F.lit(1))["element"].isNull()
     )
-    parsed = rows.withColumns(
+    listed = lambda raw: F.struct(
+        F.coalesce(
+            (F.size(raw) > 0)
+            & F.forall(raw, lambda s: F.coalesce(F.size(s["species"]) > 0, F.lit(False))),
+            F.lit(False),
+        ).alias("listed"),
+        F.coalesce(F.exists(raw, incomplete), F.lit(False)).alias("incomplete"),
+    )
+    cells = compute_once(
+        rows,
         {
             "cell": parse_cell(F.col("oqmd_unit_cell_json")),
             "sites": parse_sites(F.col("oqmd_sites_json")),
-            "_listed": listed,
-        }
-    )
-    incomplete = F.col("_listed") & F.exists(
-        raw, lambda s: s["xyz"].isNull() | F.try_element_at(s["species"], F.lit(1))["element"].isNull()
+            "_shape": let(F.from_json("oqmd_sites_json", SITES), listed),
+        },
     )
     flat = ~(cell_volume(F.col("cell")) > 0) | F.isnan(cell_volume(F.col("cell")))
     status = (
         F.when(blank("oqmd_unit_cell_json") | blank("oqmd_sites_json"), "missing_structure_json")
-        .when(F.col("cell").isNull() | ~F.col("_listed"), "structure_json_parse_error")
-        .when(F.coalesce(incomplete, F.lit(False)) | flat, "structure_creation_error")
+        .when(F.col("cell").isNull() | ~F.col("_shape.listed"), "structure_json_parse_error")
+        .when(F.col("_shape.incomplete") | flat, "structure_creation_error")
         .when(F.col("sites").isNull(), "structure_json_parse_error")
         .when(~known_elements(F.col("sites")), "processing_error")
         .when(
@@ -59,7 +63,7 @@ def with_structure(rows: DataFrame) -> DataFrame:
         )
         .otherwise(OK)
     )
-    return parsed.withColumn("status", status).drop("_listed")
+    return compute_once(cells, {"status": status}).drop("_shape")
 
 
 def skip_report(with_status: DataFrame) -> DataFrame:

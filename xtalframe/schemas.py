@@ -10,6 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "float": T.FloatType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def fields(text: str) -> T.StructType:
+    """``"a string, b double"`` to a schema, without needing a session."""
+    pairs = [item.split() for item in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+def _with(schema: T.StructType, **nested: T.DataType) -> T.StructType:
+    """A schema with further nested fields at its end."""
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in nested.items()]])
+
+
+NODES = T.ArrayType(
+    fields("atomic_number int, electronegativity double, original_site_index int")
+)
+EDGES = T.ArrayType(fields("source_node_index int, target_node_index int, distance double"))
+
 # Column names and their order are an interchange format shared
 # with existing files.
 _FEATURE_COLUMNS = [
@@ -39,16 +65,8 @@ _FEATURE_COLUMNS = [
     ("target_formation_energy", "double", "model target: formation energy, eV/atom"),
     ("target_is_metal", "boolean", "model target: metal flag"),
     ("target_dos_at_fermi", "double", "model target: density of states, 1/eV"),
-    (
-        "graph_nodes",
-        "array<struct<atomic_number:int,electronegativity:double,original_site_index:int>>",
-        "atoms of the graph",
-    ),
-    (
-        "graph_edges",
-        "array<struct<source_node_index:int,target_node_index:int,distance:double>>",
-        "neighbour pairs of the graph",
-    ),
+    ("graph_nodes", NODES, "atoms of the graph"),
+    ("graph_edges", EDGES, "neighbour pairs of the graph"),
     ("num_graph_nodes", "bigint", "atoms in the graph"),
     ("num_graph_edges", "bigint", "neighbour pairs in the graph"),
 ]
@@ -84,8 +102,8 @@ MANUAL_ENTRY_COLUMNS = [
 ]
 
 
-def _field(name: str, ddl: str, comment: str) -> T.StructField:
-    dtype = T.StructType.fromDDL(f"c {ddl}")[0].dataType
+def _field(name: str, kind: str | T.DataType, comment: str) -> T.StructField:
+    dtype = _TYPES[kind] if isinstance(kind, str) else kind
     return T.StructField(name, dtype, True, {"comment": comment})
 
 
@@ -97,53 +115,68 @@ MANUAL_ENTRY_TEXT = T.StructType(
 
 MANUAL_ENTRY = T.StructType([FEATURES[c] for c in MANUAL_ENTRY_COLUMNS])
 
-TC_TABLE = T.StructType.fromDDL("composition STRING, critical_temperature_tc DOUBLE")
+TC_TABLE = fields("composition string, critical_temperature_tc double")
 
-SITES = (
-    "ARRAY<STRUCT<species: ARRAY<STRUCT<element: STRING, occu: DOUBLE>>, xyz: ARRAY<DOUBLE>>>"
+SITES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("species", T.ArrayType(fields("element string, occu double"))),
+            T.StructField("xyz", T.ArrayType(T.DoubleType())),
+        ]
+    )
 )
 
-CANDIDATES = T.StructType.fromDDL(
-    "material_id STRING, formula_pretty STRING, nelements INT, composition_reduced STRING, "
-    "chemsys STRING, deprecated BOOLEAN, theoretical BOOLEAN, band_gap DOUBLE, "
-    "formation_energy_per_atom DOUBLE, energy_above_hull DOUBLE, volume DOUBLE, density DOUBLE"
+CANDIDATES = fields(
+    "material_id string, formula_pretty string, nelements int, composition_reduced string, "
+    "chemsys string, deprecated boolean, theoretical boolean, band_gap double, "
+    "formation_energy_per_atom double, energy_above_hull double, volume double, density double"
 )
 
-ELEMENT_SET_ENTRY = T.StructType.fromDDL(
-    "name STRING, entry_id BIGINT, spacegroup STRING, ntypes INT, band_gap DOUBLE, "
-    "delta_e DOUBLE, stability DOUBLE, prototype STRING, unit_cell ARRAY<DOUBLE>, "
-    f"sites {SITES}, icsd_id BIGINT"
+ELEMENT_SET_ENTRY = _with(
+    fields(
+        "name string, entry_id bigint, spacegroup string, ntypes int, band_gap double, "
+        "delta_e double, stability double, prototype string, icsd_id bigint"
+    ),
+    unit_cell=T.ArrayType(T.DoubleType()),
+    sites=SITES,
 )
 
-PROCESSED_STRUCTURES = T.StructType.fromDDL(
-    "supercon_composition STRING, oqmd_entry_id BIGINT, oqmd_formula STRING, "
-    "oqmd_spacegroup STRING, oqmd_delta_e DOUBLE, oqmd_stability DOUBLE, oqmd_band_gap DOUBLE, "
-    "oqmd_prototype STRING, oqmd_unit_cell_json STRING, oqmd_sites_json STRING, "
-    "oqmd_icsd_id BIGINT"
+PROCESSED_STRUCTURES = fields(
+    "supercon_composition string, oqmd_entry_id bigint, oqmd_formula string, "
+    "oqmd_spacegroup string, oqmd_delta_e double, oqmd_stability double, oqmd_band_gap double, "
+    "oqmd_prototype string, oqmd_unit_cell_json string, oqmd_sites_json string, "
+    "oqmd_icsd_id bigint"
 )
 
-DOS = T.StructType.fromDDL(
-    "efermi DOUBLE, energies ARRAY<DOUBLE>, densities MAP<STRING, ARRAY<DOUBLE>>"
+DOS = _with(
+    fields("efermi double"),
+    energies=T.ArrayType(T.DoubleType()),
+    densities=T.MapType(T.StringType(), T.ArrayType(T.DoubleType())),
 )
 
-PROPERTY_DOC = T.StructType(
-    list(
-        T.StructType.fromDDL(
-            "material_id STRING, cif_string_mp STRING, spacegroup_number INT, "
-            "band_gap_mp DOUBLE, band_gap DOUBLE, formation_energy_per_atom_mp DOUBLE, "
-            "formation_energy_per_atom DOUBLE"
-        )
-    )
-    + [T.StructField("dos_object_mp", DOS, True)]
-    + [T.StructField("critical_temperature_tc", T.DoubleType(), True)]
+PROPERTY_DOC = _with(
+    fields(
+        "material_id string, cif_string_mp string, spacegroup_number int, band_gap_mp double, "
+        "band_gap double, formation_energy_per_atom_mp double, "
+        "formation_energy_per_atom double, critical_temperature_tc double"
+    ),
+    dos_object_mp=DOS,
 )
 
-GRAPH = T.StructType.fromDDL(
-    "material_id STRING, source_block INT, target_block INT, x ARRAY<ARRAY<FLOAT>>, "
-    "edge_index ARRAY<ARRAY<BIGINT>>, edge_attr ARRAY<ARRAY<FLOAT>>, y ARRAY<FLOAT>, split STRING"
+_FLOATS = T.ArrayType(T.FloatType())
+
+GRAPH = T.StructType(
+    [
+        *fields("material_id string, source_block int, target_block int").fields,
+        T.StructField("x", T.ArrayType(_FLOATS)),
+        T.StructField("edge_index", T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField("edge_attr", T.ArrayType(_FLOATS)),
+        T.StructField("y", _FLOATS),
+        T.StructField("split", T.StringType()),
+    ]
 )
 
-PREDICTIONS = T.StructType.fromDDL("material_id STRING, y_true DOUBLE, y_pred DOUBLE")
+PREDICTIONS = fields("material_id string, y_true double, y_pred double")
 
 
 def conform_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
