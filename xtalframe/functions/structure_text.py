@@ -133,7 +133,7 @@ def _loop(text: Column, prefix: str) -> Column:
     )
     blocks = F.split(F.array_join(lines, "\n"), r"(?m)^loop_\s*\n?")
     block = F.try_element_at(F.filter(blocks, lambda b: b.rlike(tagged)), F.lit(1))
-    return let(F.split(block, "\n"), parts)
+    return let(F.filter(F.split(block, "\n"), lambda r: r != ""), parts)
 
 
 def _word(row: Column, tags: Column, tag: str) -> Column:

@@ -6,8 +6,11 @@ driver is one row of means and deviations and one row per categorical column.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -103,7 +106,7 @@ def fit_preprocessor(
     """
     numeric = list(NUMERIC if numeric is None else numeric)
     categorical = list(CATEGORICAL if categorical is None else categorical)
-    stats = scale_stats(train, numeric).first()
+    stats = scale_stats(train, numeric).first() if numeric else {}
     numeric = [c for c in numeric if stats[f"{c}_mean"] is not None]
     parts = []
     for c in numeric:
@@ -293,8 +296,8 @@ def load_models(folder: str) -> PropertyModels:
     for name in _FILES:
         try:
             setattr(models, name, PipelineModel.load(f"{folder}/{name}"))
-        except Exception as error:  # noqa: BLE001 - any unreadable part counts as missing
-            print(f"model part {name} is not available: {str(error)[:120]}")
+        except (PySparkException, Py4JJavaError) as error:
+            warnings.warn(f"model part {name} is not available: {str(error)[:120]}", stacklevel=2)
     return models
 
 

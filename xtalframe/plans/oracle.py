@@ -60,7 +60,7 @@ _ENTRIES = f"""ent AS (
 def _keys(name: str, source: str, column: str) -> str:
     """Chemical system and reduced-formula key per distinct formula of a relation."""
     return f"""{name}_parts AS (
-  SELECT f, p.s AS sym, sum(CASE WHEN p.a='' THEN 1.0::DOUBLE ELSE CAST(p.a AS DOUBLE) END) AS amt
+  SELECT f, p.s AS sym, sum(coalesce(TRY_CAST(p.a AS DOUBLE), 1.0::DOUBLE)) AS amt
   FROM (SELECT f, unnest(list_transform(range(len(ss)), lambda i: {{'s': ss[i+1], 'a': aa[i+1]}})) AS p
     FROM (SELECT {column} AS f, regexp_extract_all({column}, '([A-Z][a-z]?)([0-9.]*)', 1) AS ss,
       regexp_extract_all({column}, '([A-Z][a-z]?)([0-9.]*)', 2) AS aa
@@ -318,7 +318,6 @@ def oracle_sql() -> dict[str, str]:
     sql["join_structure_dos"] = """SELECT 'mp-' || o_orderkey AS material_id,
       CASE WHEN o_orderkey%4<>0 THEN CAST(o_orderkey%8 + 1 AS INTEGER) END AS n_sites,
       CASE WHEN o_orderkey%3<>0 AND o_orderkey%13<>0 AND o_orderkey%11<>0 THEN (o_orderkey%9)/2.0::DOUBLE - 2.5 END AS efermi FROM orders"""
-    first = "SELECT composition, arg_min_null(tc, row_id) AS critical_temperature_tc FROM tn WHERE composition IS NOT NULL GROUP BY composition"
     ranked = "SELECT composition, tc, row_id FROM (SELECT *, row_number() OVER (PARTITION BY composition ORDER BY row_id) AS rn FROM tn WHERE composition IS NOT NULL) WHERE rn = 1"
     sql["join_tc"] = f"{tc} SELECT composition, tc AS critical_temperature_tc FROM ({ranked})"
     sql["join_elements"] = f"""WITH {_EL} SELECT element, count(*) AS n, min(atomic_number) AS atomic_number, min(electronegativity) AS electronegativity
@@ -422,20 +421,20 @@ def oracle_sql() -> dict[str, str]:
     sql["dos_at_fermi"] = f"WITH {_DOS} SELECT k AS structure_id, round(dos, 6) AS dos FROM dos"
     sql["energy_per_site"] = "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey%4>0 THEN o_totalprice/(o_orderkey%4) ELSE o_totalprice END, 4) AS energy FROM orders"
     sql["derive_targets"] = f"""WITH {_DOCS}, {_DOS} SELECT comp AS supercon_composition, coalesce(gap_long, gap_short) AS target_band_gap,
-      round(fe, 6) AS target_formation_energy, coalesce(gap_long, gap_short) = 0 AS target_is_metal, round(dos, 6) AS target_dos_at_fermi
+      round(fe, 8) AS target_formation_energy, coalesce(gap_long, gap_short) = 0 AS target_is_metal, round(dos, 6) AS target_dos_at_fermi
       FROM docs JOIN dos USING (k)"""
 
     full = lambda e: f"CASE WHEN k%10<>0 THEN {e} END"
     sql["feature_table"] = f"""WITH {_EL}, {_CELLS}, {_SITES}, {_EDGES}, {_STATS}, {_DOCS}, {_DOS},
       ne AS (SELECT id, count(*) AS n FROM edges GROUP BY id)
-      SELECT mid AS material_id, comp AS supercon_composition, tc AS critical_temperature_tc, round(coalesce(gap_long, gap_short), 4) AS band_gap_mp,
-      round(fe, 4) AS formation_energy_per_atom_mp, coalesce(gap_long, gap_short)=0 AS is_metal, round(dos, 4) AS dos_at_fermi,
-      {full('num_elements')} AS num_elements, {full('elements')} AS elements, round({full('mass*1.66053906660::DOUBLE/v')}, 4) AS density_pg,
-      round({full('v')}, 4) AS volume_pg, round({full('v/num_sites')}, 4) AS volume_per_atom_pg, {full('CAST(k%230 + 1 AS INTEGER)')} AS spacegroup_number_pg,
+      SELECT mid AS material_id, comp AS supercon_composition, tc AS critical_temperature_tc, round(coalesce(gap_long, gap_short), 8) AS band_gap_mp,
+      round(fe, 8) AS formation_energy_per_atom_mp, coalesce(gap_long, gap_short)=0 AS is_metal, round(dos, 8) AS dos_at_fermi,
+      {full('num_elements')} AS num_elements, {full('elements')} AS elements, round({full('mass*1.66053906660::DOUBLE/v')}, 8) AS density_pg,
+      round({full('v')}, 8) AS volume_pg, round({full('v/num_sites')}, 8) AS volume_per_atom_pg, {full('CAST(k%230 + 1 AS INTEGER)')} AS spacegroup_number_pg,
       {full(_SYSTEM.format(n='(k%230 + 1)'))} AS crystal_system_pg, {full('a')} AS lattice_a_pg, {full('b')} AS lattice_b_pg, {full('c')} AS lattice_c_pg,
       {full('alpha')} AS lattice_alpha_pg, {full('beta')} AS lattice_beta_pg, {full('gamma')} AS lattice_gamma_pg, {full('CAST(num_sites AS INTEGER)')} AS num_sites_pg,
-      round(coalesce(gap_long, gap_short), 4) AS target_band_gap, round(fe, 4) AS target_formation_energy, coalesce(gap_long, gap_short)=0 AS target_is_metal,
-      round(dos, 4) AS target_dos_at_fermi, {full('num_sites')} AS num_graph_nodes, {full('coalesce(ne.n, 0)')} AS num_graph_edges
+      round(coalesce(gap_long, gap_short), 8) AS target_band_gap, round(fe, 8) AS target_formation_energy, coalesce(gap_long, gap_short)=0 AS target_is_metal,
+      round(dos, 8) AS target_dos_at_fermi, {full('num_sites')} AS num_graph_nodes, {full('coalesce(ne.n, 0)')} AS num_graph_edges
       FROM docs JOIN dos USING (k) JOIN cells ON cells.id = k JOIN vol ON vol.id = k JOIN stats ON stats.id = k LEFT JOIN ne ON ne.id = k"""
     prep = ", ".join(
         f"round((coalesce({c}, (SELECT avg({c}) FROM tr)) - (SELECT avg({c}) FROM tr)) / (SELECT CASE WHEN s>0 THEN s ELSE 1 END FROM (SELECT stddev_pop(coalesce({c}, mu)) AS s FROM tr, (SELECT avg({c}) AS mu FROM tr))), 5) AS {c}"
@@ -461,5 +460,4 @@ def oracle_sql() -> dict[str, str]:
       b AS (SELECT id, count(*) AS n, avg(d) AS m FROM edges GROUP BY id)
       SELECT id AS structure_id, round(v, 4) AS volume, round(mass*1.66053906660::DOUBLE/v, 4) AS density, num_sites AS n_nodes, coalesce(n, 0) AS n_edges, round(m, 5) AS mean_bond
       FROM stats JOIN vol USING (id) LEFT JOIN b USING (id) ORDER BY n_edges DESC, structure_id LIMIT 20"""
-    del first
     return sql

@@ -781,7 +781,7 @@ def derive_targets(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "supercon_composition",
         "target_band_gap",
-        F.round("target_formation_energy", 6).alias("target_formation_energy"),
+        F.round("target_formation_energy", 8).alias("target_formation_energy"),
         "target_is_metal",
         F.round("target_dos_at_fermi", 6).alias("target_dos_at_fermi"),
     )
@@ -795,7 +795,7 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = V.property_docs(spark, sf).where("doc IS NOT NULL").select("supercon_composition", "doc.*")
     features = FE.feature_table(docs, graphs=False)
     rounded = [c for c, t in features.dtypes if t == "double"]
-    return _round(features.drop("graph_nodes", "graph_edges", "formula_pretty"), *rounded, digits=4)
+    return _round(features.drop("graph_nodes", "graph_edges", "formula_pretty"), *rounded, digits=8)
 
 
 @query
