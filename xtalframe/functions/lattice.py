@@ -7,8 +7,6 @@ built on the neighbour-search path.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,49 +125,41 @@ def wrap(fraction: Column) -> Column:
     return fraction - F.floor(fraction)
 
 
-@dataclass(frozen=True)
-class Metric:
-    """Metric tensor columns by name, with an optional relation prefix."""
-
-    prefix: str = ""
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.prefix}{name}")
-
-
-def min_image_squares(dx: Column, dy: Column, dz: Column, g: Metric) -> list[Column]:
+def min_image_squares() -> list[Column]:
     """Squared distance to the nearest x image, for each of nine (y, z) images.
 
-    Inputs are differences of wrapped coordinates. In x the square is a
-    quadratic, so the best of its three images follows in closed form: moving
-    by one cell changes it by g11 + u or g11 - u, whichever is lower, if that
-    is negative. The least of the nine covers all 27 images.
+    Works on columns ``dx``, ``dy``, ``dz`` (differences of wrapped
+    coordinates) and the metric. In x the square is a quadratic, so the best
+    of its three images follows in closed form: moving by one cell changes it
+    by g11 + u or g11 - u, whichever is lower, if that is negative. The least
+    of the nine covers all 27 images.
     """
-    a = g["g11"]
     squares = []
-    for ny in (-1.0, 0.0, 1.0):
-        for nz in (-1.0, 0.0, 1.0):
-            y = dy + ny if ny else dy
-            z = dz + nz if nz else dz
-            slope = (g["g12"] * y + g["g13"] * z) * 2.0
-            here = dx * (a * dx + slope) + y * (g["g22"] * y + g["g23"] * z * 2.0) + g["g33"] * z * z
-            squares.append(here + F.least(a - F.abs(a * dx * 2.0 + slope), F.lit(0.0)))
+    for ny in ("- 1D", "+ 0D", "+ 1D"):
+        for nz in ("- 1D", "+ 0D", "+ 1D"):
+            y = f"(dy {ny})" if "0D" not in ny else "dy"
+            z = f"(dz {nz})" if "0D" not in nz else "dz"
+            slope = f"((g12 * {y} + g13 * {z}) * 2D)"
+            squares.append(
+                F.expr(
+                    f"dx * (g11 * dx + {slope}) + {y} * (g22 * {y} + g23 * {z} * 2D)"
+                    f" + g33 * {z} * {z} + least(g11 - abs(g11 * dx * 2D + {slope}), 0D)"
+                )
+            )
     return squares
 
 
-def min_image_distance(dx: Column, dy: Column, dz: Column, g: Metric) -> Column:
-    """Shortest distance over 27 images of a difference of wrapped coordinates."""
-    return F.sqrt(F.greatest(F.least(*min_image_squares(dx, dy, dz, g)), F.lit(0.0)))
+def min_image_distance() -> Column:
+    """Shortest distance over 27 images, on the columns of
+    :func:`min_image_squares`."""
+    return F.sqrt(F.greatest(F.least(*min_image_squares()), F.lit(0.0)))
 
 
-def image_heights(g: Metric) -> tuple[Column, Column, Column]:
-    """Distance between opposite faces of the cell, per axis."""
-    m1 = g["g22"] * g["g33"] - g["g23"] * g["g23"]
-    m2 = g["g11"] * g["g33"] - g["g13"] * g["g13"]
-    m3 = g["g11"] * g["g22"] - g["g12"] * g["g12"]
+def image_heights() -> tuple[Column, Column, Column]:
+    """Distance between opposite faces of the cell, per axis, from the metric columns."""
+    faces = ("g22 * g33 - g23 * g23", "g11 * g33 - g13 * g13", "g11 * g22 - g12 * g12")
     det = (
-        g["g11"] * m1
-        - g["g12"] * (g["g12"] * g["g33"] - g["g13"] * g["g23"])
-        + g["g13"] * (g["g12"] * g["g23"] - g["g22"] * g["g13"])
+        "g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g13 * g23)"
+        " + g13 * (g12 * g23 - g22 * g13)"
     )
-    return tuple(F.sqrt(F.greatest(det, F.lit(0.0)) / m) for m in (m1, m2, m3))
+    return tuple(F.expr(f"sqrt(greatest({det}, 0D) / ({face}))") for face in faces)

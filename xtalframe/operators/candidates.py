@@ -41,15 +41,12 @@ def first_k_per_key(df: DataFrame, key: list[str], order: list[Column], k: int)
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def add_formula_keys(df: DataFrame, formula: str) -> DataFrame:
-    """Add ``chemsys`` and the reduced-formula ``formula_key`` of a formula column."""
-    return compute_once(
-        df,
-        {
-            "chemsys": chemical_system(F.col(formula)),
-            "formula_key": match_key(parse_formula(F.col(formula))),
-        },
-    )
+def add_formula_keys(df: DataFrame, formula: str, match: bool = True) -> DataFrame:
+    """Add ``chemsys`` and, with ``match``, the reduced-formula ``formula_key``."""
+    keys = {"chemsys": chemical_system(F.col(formula))}
+    if match:
+        keys["formula_key"] = match_key(parse_formula(F.col(formula)))
+    return compute_once(df, keys)
 
 
 def join_candidates_chemsys(

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from xtalframe.elements import join_elements
 from xtalframe.functions.lattice import (
     METRIC,
-    Metric,
     image_heights,
     metric,
     min_image_squares,
@@ -79,10 +78,7 @@ def _within(pairs: DataFrame, cutoff: float) -> DataFrame:
     )
     squares = differences.select(
         *ids,
-        *[
-            s.alias(f"s{i}")
-            for i, s in enumerate(min_image_squares(F.col("dx"), F.col("dy"), F.col("dz"), Metric()))
-        ],
+        *[s.alias(f"s{i}") for i, s in enumerate(min_image_squares())],
     )
     distance = F.sqrt(F.greatest(F.least(*[f"s{i}" for i in range(9)]), F.lit(0.0)))
     return squares.select(*ids, F.explode(F.array(distance)).alias("distance")).where(
@@ -121,7 +117,7 @@ def _pairs_on_grid(
     each pair meets once. Structures of at most ``small`` sites are one bin:
     nothing is repeated for them.
     """
-    heights = image_heights(Metric())
+    heights = image_heights()
     with_bins = rows.withColumns(
         {
             f"n{axis}": F.when(F.col("n_sites") <= small, F.lit(1)).otherwise(

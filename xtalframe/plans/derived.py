@@ -83,16 +83,17 @@ def tc_raw(spark: SparkSession, sf: str) -> DataFrame:
     ))
 
 
-def compositions(spark: SparkSession, sf: str) -> DataFrame:
+def compositions(spark: SparkSession, sf: str, match: bool = True) -> DataFrame:
     """Distinct compositions of the Tc table with their formula keys."""
     names = tc_raw(spark, sf).where(F.col("composition").isNotNull()).select("composition").distinct()
-    return add_formula_keys(names, "composition")
+    return add_formula_keys(names, "composition", match)
 
 
-def entries(spark: SparkSession, sf: str) -> DataFrame:
+def entries(spark: SparkSession, sf: str, match: bool = True) -> DataFrame:
     """Candidate entries with formula keys; energies tie often."""
     k = F.col("o_orderkey")
-    base = table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    base = orders.select(
         k.alias("row_id"),
         F.concat(F.lit("mp-"), k.cast("string")).alias("material_id"),
         _formula(F.col("o_custkey"), k * 3 + 1).alias("formula_pretty"),
@@ -100,7 +101,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 13 != 0, -(k % 7) / 2.0).alias("formation_energy_per_atom"),
         F.when(k % 50 != 0, F.col("o_orderstatus") == "P").alias("deprecated"),
     )
-    return add_formula_keys(_as_file(base), "formula_pretty")
+    return add_formula_keys(_as_file(base), "formula_pretty", match)
 
 
 def details(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +129,8 @@ def set_queries(spark: SparkSession, sf: str) -> DataFrame:
 def set_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of the element-set database."""
     k = F.col("o_orderkey")
-    return _as_file(table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    return _as_file(orders.select(
         k.alias("entry_id"),
         F.array_sort(F.array_distinct(F.array(*_triple(F.col("o_custkey")), _symbol(k)))).alias(
             "elements"

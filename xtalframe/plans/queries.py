@@ -99,24 +99,19 @@ def _small_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_doc_map(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as keyed JSON objects, one object per file, and read back."""
+    """Documents written as keyed JSON objects, at most 100 keys each, and read back."""
     folder = shared_folder(spark, "map")
-    pairs = _small_docs(spark, sf).select(
-        "supercon_composition",
-        F.concat(
-            F.lit('"'),
-            "supercon_composition",
-            F.lit('"'),
-            F.lit(": "),
-            F.coalesce(F.to_json("doc"), F.lit("null")),
-        ).alias("pair"),
-    )
-    bucket = F.pmod(F.xxhash64("supercon_composition"), F.lit(64))
-    objects = pairs.groupBy(bucket.alias("bucket")).agg(
-        F.concat(F.lit("{"), F.listagg("pair", F.lit(", ")), F.lit("}")).alias("value")
-    )
-    objects.write.partitionBy("bucket").text(folder)
-    back = IO.scan_doc_map(spark, folder, _DOC)
+    docs = _small_docs(spark, sf).withColumn(
+        "batch", F.floor(F.substring("supercon_composition", 5, 20).cast("bigint") / 100)
+    )
+    pair = F.concat(
+        F.lit('"'), "supercon_composition", F.lit('": '), F.coalesce(F.to_json("doc"), F.lit("null"))
+    )
+    objects = docs.groupBy("batch").agg(
+        F.concat(F.lit("{"), F.listagg(pair, F.lit(", ")), F.lit("}")).alias("value")
+    )
+    objects.select("value").write.text(folder)
+    back = IO.scan_doc_map(spark, folder, _DOC, one_per_file=False)
     return back.select("supercon_composition", "doc.material_id", "doc.energy", F.col("doc").isNull().alias("is_null"))
 
 
@@ -590,7 +585,7 @@ def sample_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def union_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return C.candidate_ids(V.compositions(spark, sf), V.entries(spark, sf))
+    return C.candidate_ids(V.compositions(spark, sf, match=False), V.entries(spark, sf, match=False))
 
 
 @query
@@ -752,8 +747,7 @@ def min_image_distance(spark: SparkSession, sf: str) -> DataFrame:
         *L.metric(F.col("cell")),
         *[(L.wrap(last[i]) - L.wrap(first[i])).alias(n) for i, n in enumerate(("dx", "dy", "dz"))],
     )
-    d = L.min_image_distance(F.col("dx"), F.col("dy"), F.col("dz"), L.Metric())
-    return rows.select("structure_id", F.round(d, 5).alias("distance"))
+    return rows.select("structure_id", F.round(L.min_image_distance(), 5).alias("distance"))
 
 
 @query

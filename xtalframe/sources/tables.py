@@ -70,16 +70,21 @@ def scan_csv(
 
 
 def scan_doc_map(
-    spark: SparkSession, path: str, value: T.DataType, key: str = "supercon_composition"
+    spark: SparkSession,
+    path: str,
+    value: T.DataType,
+    key: str = "supercon_composition",
+    one_per_file: bool = True,
 ) -> DataFrame:
-    """Keyed documents from one JSON object per file, ``{key: document}``.
+    """Keyed documents from JSON objects ``{key: document}``. Columns: the key,
+    ``raw`` (text of the value, null for JSON null) and ``doc``.
 
-    A JSON object cannot be split, so each file is one task: for converting
-    existing small files. Use :func:`scan_docs` for data of any size. Columns:
-    the key, ``raw`` (text of the value, null for JSON null) and ``doc``.
+    A JSON object cannot be split. With ``one_per_file`` each file is one
+    object and one task, which is meant for converting existing small files;
+    otherwise every line is an object. Use :func:`scan_docs` for new data.
     """
-    whole = spark.read.text(path, wholetext=True)
-    pairs = whole.select(
+    objects = spark.read.text(path, wholetext=one_per_file)
+    pairs = objects.select(
         F.explode(F.from_json("value", "map<string,string>")).alias(key, "raw")
     )
     return pairs.withColumn("doc", F.from_json("raw", value))
