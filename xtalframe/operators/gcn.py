@@ -27,6 +27,15 @@ def node_degrees(nodes: DataFrame, edges: DataFrame, weighted: bool = True) -> D
     ).drop("_incoming")
 
 
+def _by_source(edges: DataFrame) -> DataFrame:
+    """Edges partitioned as the message join needs them. Named once and used by
+    the degree sum and by every layer, the shuffle is planned once and reused,
+    and the edges behind it are computed once."""
+    return edges.select(
+        "structure_id", "source_node_index", "target_node_index", "distance"
+    ).repartition("structure_id", "source_node_index")
+
+
 def _propagate(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool) -> DataFrame:
     """One propagation for nodes that already carry ``inv_sqrt_deg``.
 
@@ -62,6 +71,7 @@ def neighbor_aggregate(
 ) -> DataFrame:
     """One graph-convolution propagation with self loops and symmetric
     normalisation; ``weighted=False`` counts every edge as 1."""
+    edges = _by_source(edges)
     with_degrees = node_degrees(nodes, edges, weighted)
     return _propagate(with_degrees, edges, features, weighted).drop("inv_sqrt_deg")
 
@@ -107,6 +117,7 @@ def gcn_score(
     travel with the nodes.
     """
     keep = [*NODE, "inv_sqrt_deg"]
+    edges = _by_source(edges)
     x = _propagate(node_degrees(nodes, edges, weighted), edges, features, weighted)
     h, names = _linear(x, keep, features, weights["w1"], weights["b1"], "h", True)
     h = _propagate(h, edges, names, weighted)
