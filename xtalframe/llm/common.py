@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import xtalframe
 from xtalframe.session import shared_folder
 
 
+@lru_cache
+def _archive(application_id: str) -> str:
+    root = Path(next(iter(xtalframe.__path__)))
+    path = Path(tempfile.mkdtemp(prefix="xtalframe-code-")) / "xtalframe.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return str(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    path = _archive(context.applicationId)
+    if not any(f.endswith("/xtalframe.zip") for f in context.listFiles):
+        context.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

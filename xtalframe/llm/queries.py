@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import quality_rules, secrets, sentencepiece_codec, sharding, token_counts
-from xtalframe.llm.common import table
+from xtalframe.llm import decontamination, line_dedup, quality_rules, secrets, sentencepiece_codec, sharding, token_counts, toxicity
+from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,12 +41,31 @@ def op3_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.minimax_shards(_documents(spark, sf), shards=40)
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score and verdict of every document."""
+    return toxicity.toxicity(_documents(spark, sf), table(spark, sf, "labels"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    found = decontamination.contamination(_documents(spark, sf), table(spark, sf, "benchmark"), size=10)
+    return found.drop("text_key", "items")
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Unigram pieces and best score of every document."""
     return token_counts.count_tokens(_documents(spark, sf))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines kept and dropped of every document."""
+    return line_dedup.digests(_documents(spark, sf), least=40, documents=5)
+
+
 @query
 def op9_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Measurements, failure bits and the current policy's verdict."""
