@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, line_dedup, quality_rules, secrets, sentencepiece_codec, sharding, token_counts, toxicity
+from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secrets, sentencepiece_codec, sharding, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,13 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.digests(_documents(spark, sf), least=40, documents=5)
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Set size and component of every document, four-word shingles at 0.85."""
+    found = ngram_join.near_duplicates(_documents(spark, sf), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op9_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Measurements, failure bits and the current policy's verdict."""

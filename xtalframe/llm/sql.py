@@ -71,6 +71,23 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM w LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
+SQL["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(words[i : least(i + 3, len(words))], ' ') AS g
+      FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.r <> y.r GROUP BY ALL) p
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach AS (SELECT r, r AS x FROM w UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.x)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) JOIN reach USING (r) JOIN w o ON o.r = reach.x GROUP BY w.r, w.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
