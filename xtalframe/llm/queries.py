@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secrets, sentencepiece_codec, sharding, token_counts, toxicity
+from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secrets, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document keeps when repeated 100-byte strings go."""
+    return suffix_dedup.remove_repeats(_documents(spark, sf), length=100).drop("kept")
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Base secrets and linked weak candidates of every document."""

@@ -4,6 +4,28 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+SQL["op1_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i - 1, 200)) ORDER BY r, i) > 1 AS again
+  FROM (SELECT r, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 100)) AS b FROM w WHERE again),
+g AS (SELECT r, b, b - lag(b) OVER (PARTITION BY r ORDER BY b) IS DISTINCT FROM 1 AS opens FROM c),
+n AS (SELECT r, count(*) AS n_removed, count(*) FILTER (opens) AS n_spans FROM g GROUP BY r),
+e AS (SELECT r, b AS a, lead(b) OVER (PARTITION BY r ORDER BY b) AS next_open FROM g WHERE opens),
+s AS (SELECT r, a, (SELECT max(b) FROM g WHERE g.r = e.r AND g.b >= e.a AND (e.next_open IS NULL OR g.b < e.next_open)) AS z FROM e),
+k AS (
+  SELECT d.r, x.part, x.o FROM d JOIN (
+    SELECT r, a AS o, substr(h, 2 * (lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) + 1) - 1,
+                             2 * (a - 1 - lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a))) AS part FROM s JOIN d USING (r)
+    UNION ALL
+    SELECT r, 9223372036854775807, substr(any_value(h), 2 * max(z) + 1) FROM s JOIN d USING (r) GROUP BY r) x USING (r)),
+t AS (SELECT r, string_agg(part, '' ORDER BY o) AS kept FROM k GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
 SQL["op9_quality_ledger"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (
