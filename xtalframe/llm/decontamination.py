@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.llm.common import text_key, texts, written
+from xtalframe.llm.common import Aside, text_key, texts, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what lies between words.
@@ -137,10 +137,4 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept."""
-    hit = contamination(docs, items, size).where("contaminated").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
-    ).distinct()
-    keyed = docs.withColumn("_text_key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(
-        hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_text_key"] == hit["_key"]), "left_anti"
-    ).drop("_text_key")
+    return Aside(docs).without(contamination(docs, items, size).where("contaminated"))

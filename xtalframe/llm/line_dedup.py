@@ -7,20 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.llm.common import text_key, texts, written
+from xtalframe.llm.bloom import filter_bits, has, twice_filter
+from xtalframe.llm.common import Aside, text_key, texts, written
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-BITS_A_ROW = 512  # bits of a filter for each row of the input ...
-LEAST_BITS, MOST_BITS = 20, 28  # ... within these powers of two
-BLOCK_BITS = 19
-MERGED_AT_ONCE = 1024
-
-BLOCKS = "block int, part int, once binary, twice binary"
+LINES_A_ROW = 64
 SUSPECTS = "doc_id long, text_key long, key binary, lines array<int>"
 
 
@@ -36,115 +30,26 @@ def line_keys(data: bytes, least: int) -> dict[bytes, list[int]]:
     return found
 
 
-class Filters:
-    """Bits of the keys seen once and of those seen twice; two bits a key."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once = np.zeros(1 << (bits - 3), np.uint8)
-        self.twice = np.zeros(1 << (bits - 3), np.uint8)
-
-    @staticmethod
-    def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)
-
-    @staticmethod
-    def has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-        yes = np.ones(len(hashes), bool)
-        for at in Filters.places(hashes, bits):
-            yes &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
-        return yes
-
-    def put(self, bitmap: np.ndarray, hashes: np.ndarray) -> None:
-        for at in self.places(hashes, self.bits):
-            np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def add(self, hashes: np.ndarray) -> None:
-        distinct, n = np.unique(hashes, return_counts=True)
-        again = (n > 1) | self.has(self.once, distinct, self.bits)
-        self.put(self.twice, distinct[again])
-        self.put(self.once, distinct)
-
-
 def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-def twice_filter(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Bitmap of the keys that two rows or more may hold.
-
-    Every task fills a pair of filters. Pairs merge block by block: once is the
-    union; twice is the union and what both have once. Blocks travel compressed
-    and without the empty ones; first up to ``MERGED_AT_ONCE`` tasks merge,
-    then what they made.
-    """
-    block_bytes = 1 << (min(bits, BLOCK_BITS) - 3)
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters(bits)
-        for batch in batches:
-            hashes = [_hash(k) for t in batch.column(0) for k in line_keys(t.as_py(), least)]
-            if hashes:
-                filters.add(np.array(hashes, np.uint64))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        part = TaskContext.get().partitionId() // MERGED_AT_ONCE
-        for n in range(len(filters.once) // block_bytes):
-            cut = slice(n * block_bytes, (n + 1) * block_bytes)
-            if filters.once[cut].any():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([n], pa.int32()),
-                        pa.array([part], pa.int32()),
-                        pa.array([pack(filters.once[cut].tobytes())], pa.binary()),
-                        pa.array([pack(filters.twice[cut].tobytes())], pa.binary()),
-                    ],
-                    names=names,
-                )
-
-    def merge(rows: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        pack = zstandard.ZstdCompressor(level=1).compress
-        once, twice = np.zeros(block_bytes, np.uint8), np.zeros(block_bytes, np.uint8)
-        for a, b in zip(rows.column("once"), rows.column("twice")):
-            a, b = (np.frombuffer(unpack(x.as_py()), np.uint8) for x in (a, b))
-            twice |= b | (once & a)
-            once |= a
-        return pa.table(
-            [
-                rows.column("block").slice(0, 1),
-                pa.array([0], pa.int32()),
-                pa.array([pack(once.tobytes())], pa.binary()),
-                pa.array([pack(twice.tobytes())], pa.binary()),
-            ],
-            names=names,
-        )
-
-    merged = docs.select("data").mapInArrow(fill, BLOCKS).groupBy("block", "part").applyInArrow(merge, BLOCKS)
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    unpack = zstandard.ZstdDecompressor().decompress
-    # at most 2**MOST_BITS bits come to the driver, compressed
-    for block, twice in merged.groupBy("block").applyInArrow(merge, BLOCKS).select("block", "twice").toLocalIterator():
-        bitmap[block * block_bytes : (block + 1) * block_bytes] = np.frombuffer(unpack(bytes(twice)), np.uint8)
-    return bitmap
-
-
-def filter_bits(rows: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (rows * BITS_A_ROW).bit_length()))
-
-
 def repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bits: int | None = None) -> DataFrame:
     """doc_id, text_key, drop: the line numbers that each row loses.
 
     Filters only choose what is looked at exactly: a key that the twice filter
     has not is held by one row alone. Its size follows the number of rows up to
-    2**MOST_BITS bits (32 MB, broadcast); beyond that more keys are suspected
-    and shuffled, and results stay the same. Suspected keys travel as 128-bit
+    2**28 bits (32 MB, broadcast); beyond that more keys are suspected and
+    shuffled, and results stay the same. Suspected keys travel as 128-bit
     digests, one row for each key and document.
     """
     read = texts(docs).select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("data"))
-    bits = bits or filter_bits(docs.count())
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(read, bits, least))
+    bits = bits or filter_bits(docs.count() * LINES_A_ROW)
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.array([_hash(k) for t in batch.column(0) for k in line_keys(t.as_py(), least)], np.uint64)
+
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(read.select("data"), bits, hashes))
     names = [f.split()[0] for f in SUSPECTS.split(", ")]
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +62,7 @@ def repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bits: i
                     hashes.append(_hash(key))
             if not rows:
                 continue
-            yes = np.flatnonzero(Filters.has(bitmap, np.array(hashes, np.uint64), bits))
+            yes = np.flatnonzero(has(bitmap, np.array(hashes, np.uint64), bits))
             taken = [rows[k] for k in yes]
             at = pa.array([n for n, _, _ in taken], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -187,9 +92,9 @@ def repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bits: i
     )
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bits: int | None = None) -> DataFrame:
-    """The input's columns with ``text`` less its repeated lines, and
-    ``n_lines`` and ``n_dropped`` (named ``_n_lines``, ``_n_dropped``).
+def lines_left(docs: DataFrame, least: int = 40, documents: int = 5, bits: int | None = None) -> tuple[Aside, DataFrame]:
+    """The input set aside, with ``left`` (its text less its repeated lines),
+    ``n_lines`` and ``n_dropped``.
 
     A line's key is the line without white space at its ends, A-Z lowered. A
     key of at least ``least`` code points that ``documents`` documents hold
@@ -199,34 +104,37 @@ def drop_repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bi
     document when holders are counted; each loses lines of its own. A row
     without doc_id counts for no document and keeps no key.
     """
+    aside = Aside(docs)
     drops = repeated_lines(docs, least, documents, bits).toDF("_id", "_key", "_drop")
+    same = aside.rows["doc_id"].eqNullSafe(drops["_id"]) & (aside.rows["text_key"] == drops["_key"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    left = docs.withColumn("_text_key", text_key(text))
-    joined = left.join(
-        drops, left["doc_id"].eqNullSafe(drops["_id"]) & (left["_text_key"] == drops["_key"]), "left"
-    ).drop("_id", "_key", "_text_key")
-    lines = F.split(text, "\n")
-    n_dropped = F.coalesce(F.size("_drop"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     rest = F.concat_ws("\n", F.transform(kept, lambda i: F.get("_lines", i)))
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumns(
-            {
-                "_n_lines": F.size("_lines").cast("long"),
-                "_n_dropped": n_dropped.cast("long"),
-                "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest),
-            }
-        )
-        .drop("_lines", "_drop")
+    return aside, aside.rows.join(drops, same, "left").withColumn("_lines", F.split(text, "\n")).withColumns(
+        {
+            "n_lines": F.size("_lines").cast("long"),
+            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+            "left": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest),
+        }
     )
 
 
+def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    """The input without its repeated lines, all columns kept; ``n_chars``,
+    where there is one, is that of the new text."""
+    aside, rows = lines_left(docs, **options)
+    new = {aside.column("text"): F.col("left")}
+    if "n_chars" in aside.names:
+        old = F.col(aside.column("n_chars"))
+        new[aside.column("n_chars")] = F.when(F.col("n_dropped") > 0, F.char_length("left").cast("long")).otherwise(old)
+    return aside.restore(rows.withColumns(new))
+
+
 def digests(docs: DataFrame, **options) -> DataFrame:
-    out = drop_repeated_lines(docs.select("doc_id", "text"), **options)
-    return out.select(
+    _, rows = lines_left(docs, **options)
+    return rows.select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.coalesce("left", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

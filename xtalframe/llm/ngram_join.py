@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.llm.common import texts, text_key, written
+from xtalframe.llm.common import Aside, text_key, texts, written
 from xtalframe.llm.components import components
 from xtalframe.llm.textbytes import mix, parts, word_hashes
 
@@ -440,8 +440,5 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     others = (
         rows.join(first, "root")
         .where(~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))))
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     )
-    keyed = docs.withColumn("_text_key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(others["_id"]) & (keyed["_text_key"] == others["_key"])
-    return keyed.join(others, same, "left_anti").drop("_text_key")
+    return Aside(docs).without(others)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.llm.common import texts, written
+from xtalframe.llm.common import Aside, texts, written
 from xtalframe.llm.textbytes import SEPARATORS, hash_of_word, parts, word_hashes
 
 #: Insults that are rarely anything else; one voter each.
@@ -223,16 +223,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     out; without usable labels the untrained lexicon decides. A null doc_id
     is not held out.
     """
-    rows = score(docs.select("doc_id", "text"), train(docs, labels, sample))
+    rows = score(texts(docs), train(docs, labels, sample))
     return rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": F.coalesce("held_out", F.lit(False))})
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns kept."""
-    names = docs.columns
-    shadow = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no input name can clash
-    ready = shadow.select(
-        F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"), *shadow.columns
-    )
-    scored = score(ready, train(docs, labels, sample), *shadow.columns)
-    return scored.where("predicted = 0").select(*shadow.columns).toDF(*names)
+    aside = Aside(docs)
+    return aside.restore(score(aside.rows, train(docs, labels, sample), *aside.columns).where("predicted = 0"))
