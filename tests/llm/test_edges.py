@@ -10,7 +10,7 @@ from xtalframe.llm import (
     line_dedup,
     ngram_join,
     quality_rules,
-    secrets,
+    secret_scan,
     sentencepiece_codec,
     sharding,
     suffix_dedup,
@@ -61,7 +61,7 @@ def one(fn):
 
 OPERATORS = {
     "suffix": one(lambda d: suffix_dedup.remove_repeats(d)),
-    "secrets": one(secrets.scan_secrets),
+    "secrets": one(secret_scan.scan_secrets),
     "shards": one(lambda d: sharding.minimax_shards(d, shards=3)),
     "toxicity": lambda d, i, la: toxicity.toxicity(d, la),
     "decontamination": lambda d, i, la: decontamination.contamination(d, i),

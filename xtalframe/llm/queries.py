@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secrets, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
+from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Base secrets and linked weak candidates of every document."""
-    return secrets.scan_secrets(_documents(spark, sf))
+    return secret_scan.scan_secrets(_documents(spark, sf))
 
 
 @query
