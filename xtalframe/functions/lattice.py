@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from xtalframe.functions.once import let
+
 CELL = "struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>"
 
 # u / A^3 to g / cm^3
@@ -114,8 +116,7 @@ def crystal_system(number: Column) -> Column:
 
 
 def strongly_skewed(cell: Column) -> Column:
-    """Cells with an angle outside 45-135 degrees, for which the nearest image
-    may lie outside the 27 images searched by :func:`min_image_distance`."""
+    """Cells with an angle outside 45-135 degrees: written in an unusual setting."""
     angles = [cell[k] for k in ("alpha", "beta", "gamma")]
     return F.least(*angles).__lt__(45.0) | F.greatest(*angles).__gt__(135.0)
 
@@ -125,34 +126,67 @@ def wrap(fraction: Column) -> Column:
     return fraction - F.floor(fraction)
 
 
+def _square(y: str, z: str) -> str:
+    """Least squared length over all x images, for given y and z differences.
+
+    In x the square is a quadratic, so its least value over the whole numbers
+    is at the one nearest to its minimum, however oblique the cell.
+    """
+    shift = f"(dx + (g12 * {y} + g13 * {z}) / g11)"
+    return (
+        f"g11 * pow({shift} - rint({shift}), 2) + {y} * {y} * (g22 - g12 * g12 / g11)"
+        f" + 2D * {y} * {z} * (g23 - g12 * g13 / g11) + {z} * {z} * (g33 - g13 * g13 / g11)"
+    )
+
+
 def min_image_squares() -> list[Column]:
     """Squared distance to the nearest x image, for each of nine (y, z) images.
 
     Works on columns ``dx``, ``dy``, ``dz`` (differences of wrapped
-    coordinates) and the metric. In x the square is a quadratic, so the best
-    of its three images follows in closed form: moving by one cell changes it
-    by g11 + u or g11 - u, whichever is lower, if that is negative. The least
-    of the nine covers all 27 images.
+    coordinates) and the metric.
     """
-    squares = []
-    for ny in ("- 1D", "+ 0D", "+ 1D"):
-        for nz in ("- 1D", "+ 0D", "+ 1D"):
-            y = f"(dy {ny})" if "0D" not in ny else "dy"
-            z = f"(dz {nz})" if "0D" not in nz else "dz"
-            slope = f"((g12 * {y} + g13 * {z}) * 2D)"
-            squares.append(
-                F.expr(
-                    f"dx * (g11 * dx + {slope}) + {y} * (g22 * {y} + g23 * {z} * 2D)"
-                    f" + g33 * {z} * {z} + least(g11 - abs(g11 * dx * 2D + {slope}), 0D)"
-                )
-            )
-    return squares
+    return [F.expr(_square(f"(dy + {ny}D)", f"(dz + {nz}D)")) for ny in (-1, 0, 1) for nz in (-1, 0, 1)]
+
+
+def nearest_square(best: Column, cutoff: float | None = None) -> Column:
+    """Squared distance to the nearest of all images, from the least of
+    :func:`min_image_squares`.
+
+    An image no further than that one lies within its distance over the height
+    of the cell, in whole cells; only where that reaches beyond the nine, in
+    cells thinner than the distance, are the images in reach gone through.
+    With a ``cutoff`` images beyond it need not be found.
+    """
+    bound = best if cutoff is None else F.least(best, F.lit(float(cutoff) ** 2))
+    _, high_y, high_z = image_heights()
+    reach = lambda h: F.floor(F.sqrt(F.greatest(bound, F.lit(0.0))) / h + 1 + 1e-9).cast("int")
+    thin = (reach(high_y) > 1) | (reach(high_z) > 1)
+    steps = lambda h: F.sequence(-reach(h), reach(h))
+
+    def least_over_z(least: Column, ny: Column) -> Column:
+        y = F.col("dy") + ny
+        return F.aggregate(steps(high_z), least, lambda m, nz: F.least(m, _square_of(y, F.col("dz") + nz)))
+
+    far = F.aggregate(steps(high_y), best, least_over_z)
+    return F.when(thin & ~F.isnan(best), far).otherwise(best)
+
+
+def _square_of(y: Column, z: Column) -> Column:
+    g = {k: F.col(k) for k in METRIC}
+    shift = F.col("dx") + (g["g12"] * y + g["g13"] * z) / g["g11"]
+    rest = shift - F.rint(shift)
+    return (
+        g["g11"] * rest * rest
+        + y * y * (g["g22"] - g["g12"] * g["g12"] / g["g11"])
+        + 2 * y * z * (g["g23"] - g["g12"] * g["g13"] / g["g11"])
+        + z * z * (g["g33"] - g["g13"] * g["g13"] / g["g11"])
+    )
 
 
 def min_image_distance() -> Column:
-    """Shortest distance over 27 images, on the columns of
+    """Shortest distance over all periodic images, on the columns of
     :func:`min_image_squares`."""
-    return F.sqrt(F.greatest(F.least(*min_image_squares()), F.lit(0.0)))
+    return let(F.least(*min_image_squares()), lambda s: F.sqrt(F.greatest(nearest_square(s), F.lit(0.0))))
 
 
 def image_heights() -> tuple[Column, Column, Column]:
