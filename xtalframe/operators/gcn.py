@@ -16,53 +16,64 @@ from pyspark.sql import functions as F
 NODE = ["structure_id", "node"]
 
 
-def node_degrees(nodes: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:
-    """Nodes with ``inv_sqrt_deg``: degree is 1 for the self loop plus the weights coming in."""
+def _with_loops(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool) -> DataFrame:
+    """Messages of one layer before scaling: every edge, and every node to
+    itself with weight 1. Only the loops carry features."""
+    none = [F.lit(None).cast("double").alias(f) for f in features]
     weight = F.col("distance") if weighted else F.lit(1.0)
-    incoming = edges.groupBy("structure_id", F.col("target_node_index").alias("node")).agg(
-        F.sum(weight).alias("_incoming")
+    along = edges.select(
+        "structure_id",
+        F.col("source_node_index").alias("node"),
+        F.col("target_node_index").alias("target"),
+        weight.cast("double").alias("weight"),
+        *none,
+    )
+    loops = nodes.select(
+        "structure_id",
+        "node",
+        F.col("node").alias("target"),
+        F.lit(1.0).alias("weight"),
+        *[F.col(f).cast("double").alias(f) for f in features],
+    )
+    return along.unionAll(loops)
+
+
+def node_degrees(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> DataFrame:
+    """Nodes with ``inv_sqrt_deg``: degree is 1 for the self loop plus the
+    weights coming in. Nodes and edges go through one aggregate by (structure,
+    node), whose partitioning the next join needs as it is."""
+    return (
+        _with_loops(nodes, edges, features, weighted)
+        .groupBy("structure_id", F.col("target").alias("node"))
+        .agg(F.sum("weight").alias("_deg"), *[F.max(f).alias(f) for f in features], F.count_if(F.col("node") == F.col("target")).alias("_own"))
+        .where("_own > 0")  # an edge to a node that isn't there has no node
+        .select(*NODE, (1 / F.sqrt("_deg")).alias("inv_sqrt_deg"), *features)
     )
-    return nodes.join(incoming, NODE, "left").withColumn(
-        "inv_sqrt_deg", 1 / F.sqrt(1 + F.coalesce("_incoming", F.lit(0.0)))
-    ).drop("_incoming")
 
 
-def _by_source(edges: DataFrame) -> DataFrame:
-    """Edges partitioned as the message join needs them. Named once and used by
-    the degree sum and by every layer, the shuffle is planned once and reused,
-    and the edges behind it are computed once."""
-    return edges.select(
-        "structure_id", "source_node_index", "target_node_index", "distance"
-    ).repartition("structure_id", "source_node_index")
+def _messages(nodes: DataFrame, edges: DataFrame, weighted: bool) -> DataFrame:
+    """Edges and loops, partitioned by the node they leave from. Every layer
+    joins the same rows, so they are computed and shuffled once."""
+    return _with_loops(nodes, edges, [], weighted).repartition("structure_id", "node")
 
 
-def _propagate(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool) -> DataFrame:
+def _propagate(nodes: DataFrame, messages: DataFrame, features: Sequence[str]) -> DataFrame:
     """One propagation for nodes that already carry ``inv_sqrt_deg``.
 
-    out_i = s_i * (sum_j w_ji * s_j * x_j + s_i * x_i) with s = deg^-1/2. The
-    scaled features leave once along the edges and are summed map-side before
-    the second shuffle.
+    out_i = s_i * sum_j w_ji * s_j * x_j over edges and the loop, s = deg^-1/2.
+    One join on the node a message leaves from, one aggregate by the node it
+    reaches; the loop brings that node's own s_i along.
     """
-    weight = F.col("distance") if weighted else F.lit(1.0)
-    scaled = nodes.select(
-        *NODE, "inv_sqrt_deg", *[(F.col(f) * F.col("inv_sqrt_deg")).alias(f) for f in features]
-    )
-    messages = (
-        edges.withColumnRenamed("source_node_index", "node")
-        .join(scaled.select(*NODE, *features), NODE)
-        .groupBy("structure_id", F.col("target_node_index").alias("node"))
-        .agg(*[F.sum(weight * F.col(f)).alias(f"_in_{f}") for f in features])
-    )
-    return scaled.join(messages, NODE, "left").select(
-        *NODE,
-        "inv_sqrt_deg",
-        *[
-            (
-                F.col("inv_sqrt_deg")
-                * (F.coalesce(F.col(f"_in_{f}"), F.lit(0.0)) + F.col(f))
-            ).alias(f)
-            for f in features
-        ],
+    own = F.when(F.col("node") == F.col("target"), F.col("inv_sqrt_deg"))
+    return (
+        messages.join(nodes, NODE)
+        .groupBy("structure_id", F.col("target").alias("node"))
+        .agg(
+            F.max(own).alias("inv_sqrt_deg"),
+            *[F.sum(F.col("weight") * F.col("inv_sqrt_deg") * F.col(f)).alias(f) for f in features],
+        )
+        .where(F.col("inv_sqrt_deg").isNotNull())
+        .select(*NODE, "inv_sqrt_deg", *[(F.col("inv_sqrt_deg") * F.col(f)).alias(f) for f in features])
     )
 
 
@@ -71,9 +82,8 @@ def neighbor_aggregate(
 ) -> DataFrame:
     """One graph-convolution propagation with self loops and symmetric
     normalisation; ``weighted=False`` counts every edge as 1."""
-    edges = _by_source(edges)
-    with_degrees = node_degrees(nodes, edges, weighted)
-    return _propagate(with_degrees, edges, features, weighted).drop("inv_sqrt_deg")
+    degrees = node_degrees(nodes, edges, features, weighted)
+    return _propagate(degrees, _messages(nodes, edges, weighted), features).drop("inv_sqrt_deg")
 
 
 def graph_mean_pool(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -117,10 +127,10 @@ def gcn_score(
     travel with the nodes.
     """
     keep = [*NODE, "inv_sqrt_deg"]
-    edges = _by_source(edges)
-    x = _propagate(node_degrees(nodes, edges, weighted), edges, features, weighted)
+    messages = _messages(nodes, edges, weighted)
+    x = _propagate(node_degrees(nodes, edges, features, weighted), messages, features)
     h, names = _linear(x, keep, features, weights["w1"], weights["b1"], "h", True)
-    h = _propagate(h, edges, names, weighted)
+    h = _propagate(h, messages, names)
     h, names = _linear(h, keep, names, weights["w2"], weights["b2"], "k", True)
     pooled = graph_mean_pool(h, names)
     out, _ = _linear(
