@@ -22,17 +22,15 @@ def structure(name, cell, sites):
     return (name, tuple(map(float, cell)), [(i, e, [float(v) for v in f]) for i, (e, f) in enumerate(sites)])
 
 
-def cubic(a):
-    return (a, a, a, 90, 90, 90)
-
-
+SQUARE = (90, 90, 90)
+OBLIQUE = (2.574, 4.36, 9.696, 90, 133.95, 90)
 GOLDEN = [
-    structure("lone", cubic(10), [("He", (0, 0, 0))]),
-    structure("self", cubic(2), [("Po", (0, 0, 0))]),
-    structure("apart", cubic(3.5), [("Na", (0, 0, 0)), ("Cl", (0.5, 0.5, 0.5))]),
-    structure("near", cubic(3.5), [("Na", (0, 0, 0)), ("Cl", (0.4, 0.4, 0.4))]),
-    structure("wrap", cubic(5), [("Fe", (0, 0, 0)), ("Fe", (0.8, 0.8, 0.8))]),
-    structure("two", cubic(3.491), [("Li", (0, 0, 0)), ("Li", (0.45, 0.45, 0.45))]),
+    structure("alone", (6, 6.5, 9, *SQUARE), [("Ar", (0.3, 0.3, 0.3))]),
+    structure("thin", (1.9, 5, 5.5, *SQUARE), [("Pb", (0.2, 0.4, 0.6))]),  # its own image is near
+    structure("far", (5, 6, 7, *SQUARE), [("K", (0.1, 0.2, 0.3)), ("Br", (0.6, 0.7, 0.8))]),
+    structure("bond", (4, 5, 6, *SQUARE), [("Mg", (0.1, 0.1, 0.1)), ("O", (0.5, 0.4, 0.3))]),
+    structure("across", (7, 7.5, 8, *SQUARE), [("Ti", (0.05, 0.5, 0.5)), ("Ti", (0.9, 0.5, 0.4))]),
+    structure("outside", (6, 6, 6, *SQUARE), [("Zn", (1.25, -0.5, 2.0)), ("S", (0.5, 0.75, 0.125))]),
 ]
 
 
@@ -54,8 +52,9 @@ def brute(row, cutoff=3.0):
     _, cell, sites = row
     m, out = matrix(cell), {}
     f = [np.array(s[2]) - np.floor(s[2]) for s in sites]
+    images = np.array(list(itertools.product(range(-5, 6), repeat=3))) @ m
     for i, j in itertools.combinations(range(len(f)), 2):
-        d = min(np.linalg.norm((f[j] - f[i] + n) @ m) for n in itertools.product((-1, 0, 1), repeat=3))
+        d = float(np.sqrt((((f[j] - f[i]) @ m + images) ** 2).sum(1).min()))
         if d <= cutoff:
             out[(i, j)] = d
     return out
@@ -78,14 +77,34 @@ def random_structure(name, n, cell, seed):
 def test_golden_edges_and_nodes(spark):
     df = spark.createDataFrame(GOLDEN, SCHEMA)
     got = edges_of(G.structure_edges(df))
-    assert set(got) == {"near", "wrap", "two"}
-    for name, d in (("near", 2.424871), ("wrap", 1.732051), ("two", 2.720965)):
-        assert got[name] == {(0, 1): pytest.approx(d, abs=1e-6)}
+    expected = {"bond": math.sqrt(1.6**2 + 1.5**2 + 1.2**2), "across": math.sqrt(1.05**2 + 0.8**2), "outside": math.sqrt(1.5**2 + 1.5**2 + 0.75**2)}
+    assert got == {k: {(0, 1): pytest.approx(d, abs=1e-9)} for k, d in expected.items()}
     nodes = {(r["structure_id"], r["original_site_index"]): r for r in G.structure_nodes(df).collect()}
-    assert nodes[("lone", 0)]["atomic_number"] == 2
-    assert math.isnan(nodes[("lone", 0)]["electronegativity"])
+    assert nodes[("alone", 0)]["atomic_number"] == 18
+    assert math.isnan(nodes[("alone", 0)]["electronegativity"])
     counts = {r["structure_id"]: (r["num_nodes"], r["num_edges"]) for r in G.graph_counts(df, G.structure_edges(df)).collect()}
-    assert counts["lone"] == (1, 0) and counts["near"] == (2, 1)
+    assert counts["thin"] == (1, 0) and counts["bond"] == (2, 1)
+
+
+def test_oblique_and_thin_cells(spark):
+    """Nearest images beyond the neighbouring cells are found, in either way."""
+    cells = [OBLIQUE, (2.5, 2.5, 30, 40, 140, 105), (1.1, 9, 9, 90, 90, 90), (9, 1.1, 1.4, 75, 90, 90), (3, 3, 3, 33, 33, 33), (8, 1.2, 8, 90, 150, 90)]
+    rows = [random_structure(f"o{i}", 12, c, 50 + i) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sites = df.select("structure_id", F.explode("sites").alias("s")).select(
+        "structure_id", "s.idx", *[F.col("s.frac")[i].alias(n) for i, n in enumerate("xyz")]
+    )
+    both = [G.structure_edges(df), G.pair_join_within(sites, df.select("structure_id", "cell"), small=1)]
+    for got in map(edges_of, both):
+        for row in rows:
+            assert got.get(row[0], {}) == {k: pytest.approx(d, abs=1e-8) for k, d in brute(row).items()}
+
+
+@pytest.mark.parametrize("n", [63, 64, 65])
+def test_around_the_size_of_in_row_pairs(spark, n):
+    row = random_structure("r", n, (8, 9, 10, 85, 95, 100), n)
+    got = edges_of(G.structure_edges(spark.createDataFrame([row], SCHEMA)))
+    assert got["r"] == {k: pytest.approx(d, abs=1e-9) for k, d in brute(row).items()}
 
 
 CELLS = [(9, 9.5, 14, 80, 95, 110), (3.2, 7, 12, 90, 90, 120), (6.5, 6.5, 6.5, 70, 70, 70), (4, 4, 4, 90, 90, 90)]
@@ -131,16 +150,6 @@ def test_matrix_round_trip(spark):
         assert r["v"] == pytest.approx(abs(np.linalg.det(matrix(tuple(r["cell"])))))
 
 
-def test_blocks_keep_whole_graphs(spark):
-    df = spark.createDataFrame([random_structure("r", 40, (9, 9, 9, 90, 90, 90), 3)], SCHEMA)
-    edges = G.structure_edges(df)
-    whole = G.collect_graph(G.structure_nodes(df), edges).collect()
-    parts = G.collect_graph(G.structure_nodes(df), edges, block=10).collect()
-    assert len(whole) == 1 and len(parts) > 4
-    assert sum(len(p["nodes"]) for p in parts) == 40
-    assert sum(len(p["edges"]) for p in parts) == len(whole[0]["edges"]) == edges.count()
-
-
 def test_symmetric_and_distinct(spark):
     df = spark.createDataFrame(GOLDEN, SCHEMA)
     both = G.structure_edges(df, symmetric=True)

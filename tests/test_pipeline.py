@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from xtalframe.operators import candidates as C
 from xtalframe.operators import clean as CL
 from xtalframe.operators import features as FE
 from xtalframe.operators import graph_dataset as GD
+from xtalframe.operators.gcn import graph_validate
+from xtalframe.operators.graph import structure_edges
 from xtalframe.operators import manual as MA
 from xtalframe.operators import metrics as ME
 from xtalframe.operators import models as MO
@@ -115,13 +118,22 @@ def test_element_sets_against_brute_force(spark, mode):
     assert {(r["composition"], r["entry_id"]) for r in got.collect()} == expected
 
 
+GRID = [-2.0, 0.5, 1.5, 4.0]
+UP, DOWN = [1.0, 2.0, 4.0, 0.5], [0.25, 0.75, 0.25, 1.0]
+
+
+def spectrum(fermi, *spins):
+    return {"efermi": fermi, "energies": GRID, "densities": dict(zip(("1", "-1"), spins))}
+
+
+# interpolated, both spins, on the grid, at its end, beyond it, without a level, absent
 DOS = [
-    ({"efermi": 0.0, "energies": [-1.0, 0.0, 1.0], "densities": {"1": [0.1, 0.2, 0.3]}}, 0.2),
-    ({"efermi": 0.5, "energies": [-1.0, 0.0, 1.0], "densities": {"1": [0.1, 0.2, 0.3], "-1": [0.0, 1.0, 2.0]}}, 1.75),
-    ({"efermi": 1.0, "energies": [0.0, 1.0, 2.0], "densities": {"1": [0.5, 1.5, 0.5]}}, 1.5),
-    ({"efermi": 10.0, "energies": [0.0, 1.0], "densities": {"1": [0.5, 1.5]}}, 0.0),
-    ({"efermi": 1.0, "energies": [0.0, 1.0], "densities": {"1": [0.5, 1.5]}}, 1.5),
-    ({"efermi": None, "energies": [0.0, 1.0], "densities": {"1": [0.5, 1.5]}}, None),
+    (spectrum(0.9, UP), 2.8),
+    (spectrum(0.9, UP, DOWN), 3.35),
+    (spectrum(1.5, UP), 4.0),
+    (spectrum(4.0, UP, DOWN), 1.5),
+    (spectrum(9.0, UP), 0.0),
+    (spectrum(None, UP), None),
     (None, None),
 ]
 
@@ -136,17 +148,15 @@ def sites_json(*items):
     return json.dumps([{"species": [{"element": e, "occu": 1.0}], "xyz": list(x)} for e, x in items])
 
 
-def cubic_json(a):
-    return json.dumps([a, a, a, 90, 90, 90])
-
-
+BOX = "[4.1, 4.3, 5.2, 90, 90, 90]"
+PAIR = sites_json(("K", (0.1, 0.2, 0.3)), ("F", (0.6, 0.2, 0.3)))
 PROCESSED = [
-    (0, cubic_json(5.64), sites_json(("Na", (0, 0, 0)), ("Cl", (0.5, 0.5, 0.5))), 2.5, -3.0),
-    (1, cubic_json(3.867), sites_json(("Si", (0, 0, 0)), ("Si", (0.25, 0.25, 0.25))), 0.5, 0.1),
-    (2, cubic_json(3.0), "[{'not': json", 1.0, -1.0),
-    (3, cubic_json(2.0), sites_json(("Al", (0, 0, 0))), float("nan"), -0.5),
-    (4, None, sites_json(("Y", (0, 0, 0))), 0.2, -0.2),
-    (5, json.dumps([[3.5, 0, 0], [0, 3.5, 0], [0, 0, 3.5]]), sites_json(("Fe", (0, 0, 0))), 0.1, -0.2),
+    (11, BOX, PAIR, 5.1, -6.4),
+    (12, "[[4, 0, 0], [0, 5, 0], [0, 0, 6]]", sites_json(("Mg", (0, 0, 0)), ("O", (0.25, 0.2, 0.25))), 0.75, 0.3),
+    (14, BOX, '[{"species": ', 0.9, 0.9),
+    (15, "[2.6, 2.6, 2.6, 90, 90, 90]", sites_json(("Ni", (0.5, 0.5, 0.5))), float("nan"), 1.2),
+    (17, " ", PAIR, 0.9, 0.9),
+    (18, BOX, PAIR, None, -1.0),
 ]
 
 
@@ -154,24 +164,41 @@ def test_graph_dataset(spark):
     df = spark.createDataFrame(PROCESSED, "row_id bigint, oqmd_unit_cell_json string, oqmd_sites_json string, oqmd_band_gap double, oqmd_delta_e double")
     rows = GD.with_structure(S.unknown_ids(df, "row_id"))
     report = {r["status"]: r["n_rows"] for r in GD.skip_report(rows).collect()}
-    assert report == {"ok": 4, "structure_json_parse_error": 1, "missing_structure_json": 1}
+    assert report == {"ok": 3, "structure_json_parse_error": 1, "missing_structure_json": 1, "missing_targets": 1}
     graphs = GD.graph_rows(rows)
     got = {r["material_id"]: r for r in graphs.collect()}
-    assert set(got) == {f"Unknown_ID_{i}" for i in (1, 2, 4, 6)}
-    assert got["Unknown_ID_1"]["y"] == [2.5, -1.5] and got["Unknown_ID_1"]["edge_index"] == [[], []]
-    assert got["Unknown_ID_2"]["edge_attr"][0][0] == pytest.approx(1.67446, abs=1e-5)
-    assert got["Unknown_ID_2"]["x"][0] == [14.0, pytest.approx(1.9)]
+    assert set(got) == {f"Unknown_ID_{i}" for i in (1, 2, 4)}
+    assert got["Unknown_ID_1"]["y"] == [pytest.approx(5.1), pytest.approx(-3.2)]
+    assert got["Unknown_ID_1"]["edge_index"] == [[0], [1]] and got["Unknown_ID_4"]["edge_index"] == [[], []]
+    assert got["Unknown_ID_1"]["edge_attr"] == [[pytest.approx(2.05)]]
+    assert got["Unknown_ID_2"]["edge_attr"] == [[pytest.approx(math.sqrt(4.25))]]
+    assert got["Unknown_ID_2"]["x"] == [[12.0, pytest.approx(1.31)], [8.0, pytest.approx(3.44)]]
     assert math.isnan(got["Unknown_ID_4"]["y"][0])
-    sized = graphs.join(S.split_three_way(graphs.select("material_id"), "material_id", 0.5, 0.25, 0.25), "material_id")
+    sized = graphs.join(S.split_three_way(graphs.select("material_id"), "material_id", 0.4, 0.3, 0.3), "material_id")
     folder = shared_folder(spark, "graphs")
     IO.sink_graph_dataset(sized, folder)
-    assert [IO.scan_graph_dataset(spark, folder, s).count() for s in ("train", "val", "test")] == [2, 1, 1]
+    assert [IO.scan_graph_dataset(spark, folder, s).count() for s in ("train", "val", "test")] == [1, 1, 1]
     plan = IO.scan_graph_dataset(spark, folder, "val")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
     with pytest.raises(ValueError, match="no graphs"):
         IO.scan_graph_dataset(spark, folder, "absent")
 
 
+def test_large_graph_stays_whole(spark):
+    """1,500 sites: one row, and every edge through rows, sink, scan and check."""
+    rng = random.Random(4)
+    sites = sites_json(*[("Fe", tuple(rng.random() for _ in range(3))) for _ in range(1500)])
+    df = spark.createDataFrame([("big", "[22, 23, 24, 90, 90, 90]", sites, 1.0, -1.0), ("small", BOX, PAIR, 1.0, -1.0)], "material_id string, oqmd_unit_cell_json string, oqmd_sites_json string, oqmd_band_gap double, oqmd_delta_e double")
+    rows = GD.with_structure(df)
+    structures = rows.select(F.col("material_id").alias("structure_id"), "cell", "sites")
+    n_edges = {r["structure_id"]: r["count"] for r in structure_edges(structures).groupBy("structure_id").count().collect()}
+    folder = shared_folder(spark, "graphs")
+    IO.sink_graph_dataset(GD.graph_rows(rows).withColumn("split", F.lit("train")), folder)
+    kept = graph_validate(IO.scan_graph_dataset(spark, folder)).collect()
+    assert {r["material_id"]: (len(r["x"]), len(r["edge_attr"])) for r in kept} == {"big": (1500, n_edges["big"]), "small": (2, 1)}
+    assert n_edges["big"] > 1500
+
+
 @pytest.mark.parametrize(
     ("n", "ratios", "sizes"),
     [
@@ -198,6 +225,13 @@ def test_split_is_repeatable_and_seeded(spark):
     assert S.split_two_way(spark.range(1), "id").first()["split"] == "train"
 
 
+@pytest.mark.parametrize("numbered", [S.split_three_way, S.split_two_way, S.row_ids])
+def test_null_keys_are_refused(spark, numbered):
+    df = spark.createDataFrame([(k if k % 7 else None,) for k in range(1, 21)], "id bigint")
+    with pytest.raises(Exception, match="null in key column id"):
+        numbered(df, "id").collect()
+
+
 def test_row_ids(spark):
     df = spark.createDataFrame([(k * k - 50,) for k in range(300)], "k bigint").repartition(5)
     got = {r["k"]: r["row_number"] for r in S.row_ids(df, "k", buckets=16).collect()}
@@ -233,10 +267,10 @@ def test_manual_rows(spark):
 
 
 DOCS = [
-    ("ValidEntryCu", {"material_id": "mp-123", "band_gap_mp": 1.0, "dos_object_mp": {"efermi": 0.0, "energies": [-1.0, 0.0, 1.0], "densities": {"1": [0.1, 0.2, 0.3]}}, "critical_temperature_tc": 5.2}),
-    ("NoneEntryFe", None),
-    ("MissingCif", {"material_id": "mp-456", "band_gap": 0.0, "critical_temperature_tc": 15.0}),
-    ("NoId", {"material_id": "", "band_gap_mp": 0.1}),
+    ("Cu-full", {"material_id": "mp-9", "band_gap_mp": 0.35, "dos_object_mp": spectrum(0.9, UP), "critical_temperature_tc": 7.1}),
+    ("Pb-null", None),
+    ("Zn-bare", {"material_id": "mp-77", "band_gap": 0.0, "critical_temperature_tc": 21.0}),
+    ("Hg-anon", {"material_id": "", "band_gap_mp": 2.2}),
 ]
 
 CIF = """data_Cu
@@ -266,7 +300,7 @@ loop_
 
 
 def test_feature_table(spark):
-    docs = [(k, d if d is None else {**d, "cif_string_mp": CIF if k == "ValidEntryCu" else None, "spacegroup_number": 225}) for k, d in DOCS]
+    docs = [(k, d if d is None else {**d, "cif_string_mp": CIF if k == "Cu-full" else None, "spacegroup_number": 225}) for k, d in DOCS]
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("supercon_composition", T.StringType()), T.StructField("doc", SC.PROPERTY_DOC)])
@@ -274,14 +308,14 @@ def test_feature_table(spark):
     table = FE.feature_table(FE.with_parsed_cif(flat))
     assert table.columns == SC.FEATURES.names
     got = {r["supercon_composition"]: r for r in table.collect()}
-    cu = got["ValidEntryCu"]
+    cu = got["Cu-full"]
     assert (cu["formula_pretty"], cu["elements"], cu["num_sites_pg"], cu["crystal_system_pg"]) == ("Cu", "Cu", 4, "cubic")
     assert cu["density_pg"] == pytest.approx(8.97, abs=0.01)
     assert cu["num_graph_edges"] == 6 and len(cu["graph_edges"]) == 6 and len(cu["graph_nodes"]) == 4
-    assert (cu["dos_at_fermi"], cu["is_metal"], cu["target_band_gap"]) == (0.2, False, 1.0)
-    missing = got["MissingCif"]
+    assert (cu["dos_at_fermi"], cu["is_metal"], cu["target_band_gap"]) == (pytest.approx(2.8), False, 0.35)
+    missing = got["Zn-bare"]
     assert missing["is_metal"] is True and missing["volume_pg"] is None and missing["num_graph_nodes"] is None
-    assert got["NoId"]["material_id"] == "no_mpid_NoId"
+    assert got["Hg-anon"]["material_id"] == "no_mpid_Hg-anon"
     folder = shared_folder(spark, "features")
     IO.sink_table(table, folder, SC.FEATURES)
     header = spark.read.text(folder).where("value LIKE 'material_id,%'").first()[0]

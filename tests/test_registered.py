@@ -1,10 +1,14 @@
 """Registered queries against their SQL, streaming replay, and plan shapes."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
 from tests.conftest import SF
+from xtalframe.operators import gcn as N
 from xtalframe.operators import graph as G
 from xtalframe.plans import derived as V
 from xtalframe.session import shared_folder
@@ -66,15 +70,43 @@ def test_columns_are_pruned_at_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint>" in text
 
 
-def test_append_is_repeatable(spark):
+def append(spark, base, source, log):
+    stream = ingest.read_manual_rows(spark, f"{base}/{source}")
+    ingest.append_validated(stream, f"{base}/data", f"{base}/bad", f"{base}/{log}").awaitTermination()
+    return spark.read.parquet(f"{base}/data").count(), spark.read.parquet(f"{base}/bad").count()
+
+
+def test_append_adds_sources_and_repeats_nothing(spark):
+    base = shared_folder(spark, "stream")
+    rows = V.manual_rows(spark, SF)
+    rows.write.json(f"{base}/a")
+    rows.limit(90).write.json(f"{base}/b")
+    one = append(spark, base, "a", "log-a")
+    assert sum(one) == rows.count() and min(one) > 0
+    assert append(spark, base, "a", "log-a") == one  # nothing new
+    two = append(spark, base, "b", "log-b")  # another source starts at batch 0 too
+    assert sum(two) == sum(one) + 90
+    assert append(spark, base, "a", "log-lost") == two  # a lost checkpoint repeats no file
+    rows.limit(30).write.mode("append").json(f"{base}/a")
+    assert sum(append(spark, base, "a", "log-lost")) == sum(two) + 30  # and new files still come
+
+
+def test_a_batch_without_valid_rows_replaces_its_rows(spark):
     base = shared_folder(spark, "stream")
-    V.manual_rows(spark, SF).write.json(f"{base}/in")
-    for _ in range(2):  # a second run finds nothing new
-        stream = ingest.read_manual_rows(spark, f"{base}/in")
-        ingest.append_validated(stream, f"{base}/data", f"{base}/bad", f"{base}/log").awaitTermination()
-    good, bad = spark.read.parquet(f"{base}/data").count(), spark.read.parquet(f"{base}/bad").count()
-    assert good + bad == V.manual_rows(spark, SF).count() and good and bad
-    # the same batch again under a lost checkpoint replaces its rows
-    stream = ingest.read_manual_rows(spark, f"{base}/in")
-    ingest.append_validated(stream, f"{base}/data", f"{base}/bad", f"{base}/log2").awaitTermination()
-    assert spark.read.parquet(f"{base}/data").count() == good
+    rows = V.manual_rows(spark, SF).withColumn("source_file", F.lit("f"))
+    for batch in (rows, rows.where("material_id IS NULL")):
+        ingest.store_batch(batch, f"{base}/data", f"{base}/bad", "q", 0)
+    assert spark.read.parquet(f"{base}/data").count() == 0
+    assert spark.read.parquet(f"{base}/bad").count() == rows.where("material_id IS NULL").count()
+
+
+def test_network_scoring_shuffles(spark):
+    """Two joins and four aggregates: no left joins, edges shuffled once."""
+    nodes = spark.range(10).selectExpr("id % 3 as structure_id", "id as node", "1.0D as x0", "2.0D as x1")
+    edges = nodes.selectExpr("structure_id", "node as source_node_index", "node + 3 as target_node_index", "1.5D as distance")
+    weights = {"w1": [[1, 1], [1, 1]], "b1": [0, 0], "w2": [[1, 1], [1, 1]], "b2": [0, 0], "w_out": [1, 1], "b_out": 0}
+    text = plan(N.gcn_score(nodes, edges, ["x0", "x1"], weights))
+    assert "LeftOuter" not in text
+    assert len(re.findall(r"Join", text.split("== Initial Plan")[0])) <= 4
+
+

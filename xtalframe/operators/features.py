@@ -22,9 +22,6 @@ from xtalframe.operators.graph import (
 from xtalframe.operators.graph_dataset import known_elements
 from xtalframe.schemas import FEATURES, conform_schema
 
-# A nested structure already sits in one row, so its graph may as well.
-_WHOLE = 2**31 - 1
-
 
 def derive_targets(df: DataFrame) -> DataFrame:
     """Copy the four properties to their ``target_*`` columns."""
@@ -82,12 +79,12 @@ def feature_table(docs: DataFrame, cutoff: float = CUTOFF, graphs: bool = True)
 
     stats = composition_stats(structures).withColumnRenamed("structure_id", key)
     if graphs:
-        edge_part = collect_edges(edges, _WHOLE).select(
+        edge_part = collect_edges(edges).select(
             F.col("structure_id").alias(key),
             F.col("edges").alias("graph_edges"),
             F.size("edges").cast("bigint").alias("_edges"),
         )
-        node_part = collect_nodes(structure_nodes(structures), _WHOLE).select(
+        node_part = collect_nodes(structure_nodes(structures)).select(
             F.col("structure_id").alias(key), F.col("nodes").alias("graph_nodes")
         )
         joined = base.join(stats, key, "left").join(edge_part, key, "left").join(node_part, key, "left")

@@ -26,13 +26,13 @@ from xtalframe.functions.lattice import (
     image_heights,
     metric,
     min_image_squares,
+    nearest_square,
     wrap,
 )
 
 CUTOFF = 3.0
 SMALL = 64
 BIN_LOAD = 4096
-BLOCK = 1024
 
 _EDGE = ["structure_id", "source_node_index", "target_node_index", "distance"]
 
@@ -76,12 +76,11 @@ def _within(pairs: DataFrame, cutoff: float) -> DataFrame:
         *[F.coalesce(m, nan).alias(m) for m in METRIC],
         *[F.coalesce(F.col(f"q.{c}") - F.col(f"p.{c}"), nan).alias(f"d{c}") for c in "xyz"],
     )
-    squares = differences.select(
-        *ids,
-        *[s.alias(f"s{i}") for i, s in enumerate(min_image_squares())],
-    )
-    distance = F.sqrt(F.greatest(F.least(*[f"s{i}" for i in range(9)]), F.lit(0.0)))
-    return squares.select(*ids, F.explode(F.array(distance)).alias("distance")).where(
+    kept = [*ids, *METRIC, "dx", "dy", "dz"]
+    squares = differences.select(*kept, *[s.alias(f"s{i}") for i, s in enumerate(min_image_squares())])
+    nearest = squares.select(*kept, F.least(*[f"s{i}" for i in range(9)]).alias("near"))
+    distance = F.sqrt(F.greatest(nearest_square(F.col("near"), cutoff), F.lit(0.0)))
+    return nearest.select(*ids, F.explode(F.array(distance)).alias("distance")).where(
         F.col("distance") <= cutoff
     )
 
@@ -313,17 +312,12 @@ def composition_stats(structures: DataFrame) -> DataFrame:
     )
 
 
-def collect_nodes(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Nodes as ordered arrays, one row per (structure, block of ``block`` sites).
-
-    A block bounds the row, not the graph: structures of ordinary size have
-    exactly one, block 0; larger ones continue in the next.
-    """
+def collect_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes as one ordered array per structure."""
     node = F.struct(
         F.col("original_site_index"), F.col("atomic_number"), F.col("electronegativity")
     )
-    block_id = F.floor(F.col("original_site_index") / block).cast("int")
-    return nodes.groupBy("structure_id", block_id.alias("block")).agg(
+    return nodes.groupBy("structure_id").agg(
         F.transform(
             F.array_sort(F.collect_list(node)),
             lambda n: F.struct(
@@ -335,39 +329,22 @@ def collect_nodes(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def collect_edges(edges: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges as ordered arrays, one row per pair of node blocks: at most
-    ``block``^2 edges in a row, and all of them in block (0, 0) for structures
-    of ordinary size."""
+def collect_edges(edges: DataFrame) -> DataFrame:
+    """Edges as one ordered array per structure."""
     edge = F.struct(
         F.col("source_node_index").cast("int").alias("source_node_index"),
         F.col("target_node_index").cast("int").alias("target_node_index"),
         F.col("distance"),
     )
-    return edges.groupBy(
-        "structure_id",
-        F.floor(F.col("source_node_index") / block).cast("int").alias("source_block"),
-        F.floor(F.col("target_node_index") / block).cast("int").alias("target_block"),
-    ).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("structure_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def collect_graph(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Nested graphs: ``structure_id, source_block, target_block, nodes, edges``.
+def collect_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nested graphs: ``structure_id, nodes, edges``, one row per structure.
 
-    Nodes sit in the diagonal blocks; a structure of ordinary size is one row.
+    For graphs that a reader takes whole. A nested graph is a row of memory, as
+    its nested structure was; node and edge tables have no such bound.
     """
-    diagonal = collect_nodes(nodes, block).select(
-        "structure_id",
-        F.col("block").alias("source_block"),
-        F.col("block").alias("target_block"),
-        "nodes",
-    )
-    keys = ["structure_id", "source_block", "target_block"]
-    joined = diagonal.join(collect_edges(edges, block), keys, "full")
-    empty_nodes = F.array().cast(joined.schema["nodes"].dataType)
-    empty_edges = F.array().cast(joined.schema["edges"].dataType)
-    return joined.select(
-        *keys,
-        F.coalesce("nodes", empty_nodes).alias("nodes"),
-        F.coalesce("edges", empty_edges).alias("edges"),
-    )
+    joined = collect_nodes(nodes).join(collect_edges(edges), "structure_id", "left")
+    none = F.array().cast(joined.schema["edges"].dataType)
+    return joined.select("structure_id", "nodes", F.coalesce("edges", none).alias("edges"))

@@ -10,7 +10,7 @@ from xtalframe.functions.dos import energy_per_site
 from xtalframe.functions.lattice import cell_volume
 from xtalframe.functions.once import compute_once, let
 from xtalframe.functions.structure_text import parse_cell, parse_sites
-from xtalframe.operators.graph import BLOCK, collect_graph, structure_edges, structure_nodes
+from xtalframe.operators.graph import collect_graph, structure_edges, structure_nodes
 from xtalframe.schemas import SITES
 
 OK = "ok"
@@ -77,27 +77,21 @@ def graph_targets(with_status: DataFrame) -> DataFrame:
     return with_status.withColumn("y", F.array(F.col("oqmd_band_gap"), energy))
 
 
-def graph_rows(
-    with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = False, block: int = BLOCK
-) -> DataFrame:
+def graph_rows(with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = False) -> DataFrame:
     """Tensor-shaped rows of all ``ok`` structures.
 
     ``material_id`` must be unique. ``x``: [atomic number, electronegativity]
     per node; ``edge_index``: sources and targets; ``edge_attr``: one distance
-    per edge; ``y``. No edges gives empty arrays. A structure of ordinary size
-    is one row; larger ones continue in further (source, target) blocks.
+    per edge; ``y``. No edges gives empty arrays. One row per structure, of any
+    size.
     """
     ok = graph_targets(with_status.where(F.col("status") == OK)).select(
         F.col("material_id").alias("structure_id"), "cell", "sites", "y"
     )
-    graphs = collect_graph(
-        structure_nodes(ok), structure_edges(ok, cutoff, symmetric=symmetric), block
-    )
+    graphs = collect_graph(structure_nodes(ok), structure_edges(ok, cutoff, symmetric=symmetric))
     as_floats = lambda *v: F.array(*[x.cast("float") for x in v])
     return graphs.join(ok.select("structure_id", "y"), "structure_id").select(
         F.col("structure_id").alias("material_id"),
-        "source_block",
-        "target_block",
         F.transform(
             "nodes", lambda n: as_floats(n["atomic_number"], n["electronegativity"])
         ).alias("x"),

@@ -61,9 +61,12 @@ def validate_manual_row(rows: DataFrame) -> DataFrame:
     )
 
 
-def accepted(validated: DataFrame) -> DataFrame:
-    """Valid rows in the column order of the manual-entry table."""
-    return conform_schema(validated.where(F.size("reasons") == 0), MANUAL_ENTRY)
+def accepted(validated: DataFrame, *more: str) -> DataFrame:
+    """Valid rows in the column order of the manual-entry table, then the named
+    further columns."""
+    valid = validated.where(F.size("reasons") == 0)
+    schema = T.StructType([*MANUAL_ENTRY.fields, *(valid.schema[c] for c in more)])
+    return conform_schema(valid, schema)
 
 
 def rejected(validated: DataFrame) -> DataFrame:

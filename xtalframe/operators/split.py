@@ -17,13 +17,21 @@ from pyspark.sql import functions as F
 _HEX_DIGITS = 4  # 65,536 buckets
 
 
-def row_ids(df: DataFrame, key: str, name: str = "row_number", buckets: int = 1024) -> DataFrame:
+def _given(key: str) -> Column:
+    """The key; a null one stops the job, since such a row has no place."""
+    return F.when(F.col(key).isNull(), F.raise_error(F.lit(f"null in key column {key}"))).otherwise(F.col(key))
+
+
+def row_ids(df: DataFrame, key: str, name: str = "row_number", buckets: int | None = None) -> DataFrame:
     """1-based position of each row in order of a unique numeric ``key``.
 
-    Bucket limits are approximate quantiles of the key, at most ``buckets``
-    numbers held as literals, so equal shares of rows go to each bucket
-    however the key is distributed. Positions are exact.
+    Bucket limits are approximate quantiles of the key held as literals, so
+    equal shares of rows go to each bucket however the key is distributed.
+    There are as many as the session has shuffle partitions, eight times over,
+    which is what grows with the data. Positions are exact; null keys raise.
     """
+    buckets = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn(key, _given(key))
     limits = sorted(
         set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets))
     )
@@ -66,6 +74,7 @@ def _assign(df: DataFrame, key: str, seed: int, cuts: Column, names: list[str])
     (all rows). A bucket that no cut divides is labelled as a whole. Only the
     rows of the one bucket holding a cut, about 1 in 65,536, are ranked.
     """
+    df = df.withColumn(key, _given(key))
     digest = _digest(key, seed)
     rows = df.withColumn("_digest", digest).withColumn(
         "_bucket", F.substring("_digest", 1, _HEX_DIGITS)
@@ -121,7 +130,7 @@ def split_three_way(
 ) -> DataFrame:
     """Add ``split`` (train / val / test) with exact sizes, repeatable by seed.
 
-    ``key`` must be unique. Rows are ranked by a digest of seed and key, so
+    ``key`` must be unique; null keys raise. Rows are ranked by a digest of seed and key, so
     membership does not depend on partitioning or row order. One narrow
     counting pass and one map-only pass over the rows.
     """

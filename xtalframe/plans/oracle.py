@@ -1,7 +1,7 @@
 """Independent SQL for the registered queries, in the DuckDB dialect.
 
 Written from the definitions, not from the Spark code: windows where the
-operators use argmin aggregates, plain joins where they pre-aggregate, 27
+operators use argmin aggregates, plain joins where they pre-aggregate, 125
 image rows per pair where they use a closed form.
 """
 
@@ -126,7 +126,7 @@ def _edges(name: str, sites: str, index: str = "i") -> str:
       + 2*a*b*cos(radians(gamma))*dx*dy + 2*a*c*cos(radians(beta))*dx*dz + 2*b*c*cos(radians(alpha))*dy*dz))) AS d
   FROM (SELECT p.id, p.{index} AS i, q.{index} AS j, q.x - p.x + nx AS dx, q.y - p.y + ny AS dy, q.z - p.z + nz AS dz
     FROM {sites} p JOIN {sites} q ON p.id = q.id AND p.{index} < q.{index},
-      (SELECT unnest([-1,0,1]) AS nx), (SELECT unnest([-1,0,1]) AS ny), (SELECT unnest([-1,0,1]) AS nz)) w
+      (SELECT unnest(range(-2, 3)) AS nx), (SELECT unnest(range(-2, 3)) AS ny), (SELECT unnest(range(-2, 3)) AS nz)) w
   JOIN cells USING (id) GROUP BY id, i, j HAVING d <= 3.0)"""
 
 
@@ -247,9 +247,14 @@ def _split2(table: str, key: str) -> str:
 parts AS (SELECT *, CASE WHEN rn <= n - CAST(ceil(0.2::DOUBLE*n) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ranked)"""
 
 
-_GRAPH_OK = f"""WITH {_TEXT_CELLS}, {_SITES}, {_EDGES}, {_TEXT_STATUS},
+_GRAPH_OK = f"""WITH {_EL}, {_TEXT_CELLS}, {_SITES}, {_EDGES}, {_TEXT_STATUS},
 g AS (SELECT k, 'id-' || k AS material_id, n AS n_nodes, (SELECT count(*) FROM edges WHERE id = k) AS n_edges, gap, energy/n AS e
   FROM texts WHERE status = 'ok'),
+zs AS (SELECT id, string_agg(CAST(atomic_number AS VARCHAR), ',' ORDER BY i) AS atomic_numbers FROM sites JOIN el USING (element) GROUP BY id),
+ps AS (SELECT id, string_agg(i || '-' || j, ',' ORDER BY i, j) AS pairs, sum(CAST(CAST(d AS FLOAT) AS DOUBLE)) AS total FROM edges GROUP BY id),
+whole AS (SELECT k, material_id, CAST(n_nodes AS BIGINT) AS n_nodes, n_edges, atomic_numbers, coalesce(pairs, '') AS pairs, round(coalesce(total, 0), 3) AS total_length,
+  round(CAST(CAST(gap AS FLOAT) AS DOUBLE), 4) AS band_gap, round(CAST(CAST(e AS FLOAT) AS DOUBLE), 4) AS energy_per_site
+  FROM g JOIN zs ON zs.id = g.k LEFT JOIN ps ON ps.id = g.k),
 """
 
 
@@ -270,14 +275,16 @@ def oracle_sql() -> dict[str, str]:
     sql["sink_doc_map"] = docs
     sql["sink_graph_dataset"] = (
         _GRAPH_OK + _split3("g", "material_id", 0.6, 0.2, 0.2)
-        + " SELECT split, count(*) AS n_graphs, CAST(sum(n_nodes) AS BIGINT) AS n_nodes, CAST(sum(n_edges) AS BIGINT) AS n_edges FROM g JOIN parts USING (material_id) GROUP BY split"
+        + " SELECT whole.* EXCLUDE (k), split FROM whole JOIN parts USING (material_id)"
     )
     sql["scan_graph_dataset"] = (
         _GRAPH_OK + _split3("g", "material_id", 0.6, 0.2, 0.2)
-        + " SELECT material_id, n_nodes, n_edges FROM g JOIN parts USING (material_id) WHERE split = 'test'"
+        + " SELECT whole.* EXCLUDE (k) FROM whole JOIN parts USING (material_id) WHERE split = 'test'"
     )
-    sql["append_validated"] = f"""WITH {_MANUAL} SELECT CASE WHEN len(reasons)=0 THEN 'dataset' ELSE 'quarantine' END AS target,
-      count(*) AS n_rows FROM judged GROUP BY 1"""
+    number = "TRY_CAST(CASE WHEN {c} NOT IN ('bad', 'x1') THEN {c} END AS DOUBLE) AS {c}"
+    sql["append_validated"] = f"""WITH {_MANUAL} SELECT CASE WHEN len(reasons)=0 THEN 'dataset' ELSE 'quarantine' END AS target, material_id,
+      {number.format(c='band_gap_mp')}, {number.format(c='target_band_gap')}, {number.format(c='target_formation_energy')},
+      target_is_metal = 'True' AS target_is_metal, array_to_string(reasons, '; ') AS reasons FROM judged"""
 
     sql["select_rename"] = f"{tc} SELECT composition, tc_text AS critical_temperature_tc FROM tc"
     sql["require_columns"] = f"{tc} SELECT count(*) AS n_rows FROM tc"
@@ -443,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
     sql["numeric_prep"] = f"WITH {_MODEL}, {_split2('m', 'material_id')}, tr AS (SELECT * FROM parts WHERE split='train') SELECT material_id, {prep} FROM parts"
     sql["structure_nodes"] = f"WITH {_EL}, {_SITES} SELECT id AS structure_id, CAST(i AS INTEGER) AS original_site_index, atomic_number, electronegativity FROM sites JOIN el USING (element)"
     sql["structure_edges"] = f"{geometry} SELECT {edge_columns} FROM edges"
-    sql["graph_rows"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT material_id, n_nodes, n_edges, round(gap, 4) AS band_gap, round(CAST(CAST(e AS FLOAT) AS DOUBLE), 4) AS energy_per_site FROM g"
+    sql["graph_rows"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT * EXCLUDE (k) FROM whole"
     graph = f"WITH {_EL}, {_CELLS}, {_SITES}, {_EDGES}, {_GNODES}"
     sql["neighbor_aggregate"] = f"{graph}, {_layer('l1', 'nodes', ['x0', 'x1'])} SELECT id AS structure_id, CAST(i AS INTEGER) AS node, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM l1"
     sql["graph_mean_pool"] = f"{graph} SELECT id AS structure_id, round(avg(x0), 6) AS x0, round(avg(x1), 6) AS x1 FROM nodes GROUP BY id"
@@ -452,7 +459,7 @@ def oracle_sql() -> dict[str, str]:
       {_layer('l2', 'd1', ['h0', 'h1', 'h2'])}, {_dense('d2', 'l2', ['h0', 'h1', 'h2'], w['w2'], w['b2'], ['k0', 'k1'])}
       SELECT id AS structure_id, round({out}, 6) AS score FROM d2 GROUP BY id"""
     sql["target_select"] = "SELECT o_orderkey AS structure_id, o_orderkey*0.5::DOUBLE AS target FROM orders WHERE o_orderkey%3<>0"
-    sql["graph_validate"] = "SELECT o_orderkey AS structure_id FROM orders WHERE o_orderkey%5<>0 AND o_orderkey%7<>0 AND o_orderkey%11<>0"
+    sql["graph_validate"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT * EXCLUDE (k) FROM whole WHERE k%5<>0"
     sql["cif_to_structure"] = f"""WITH {_CELLS}, {_SITES.replace('z - floor(z) AS z', 'z')}, st AS (SELECT id, gamma, CASE WHEN id%9=0 THEN 'parse_error' WHEN id%6=0 THEN 'unsupported_symmetry' ELSE 'ok' END AS status FROM cells)
       SELECT st.id AS structure_id, status, CASE WHEN status='ok' THEN gamma END AS gamma, CASE WHEN status='ok' THEN st.id%8 + 1 END AS n_sites,
       CASE WHEN status='ok' THEN round(z, 5) END AS last_z FROM st JOIN sites ON sites.id = st.id AND sites.i = st.id%8"""

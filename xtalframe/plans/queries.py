@@ -24,7 +24,7 @@ from xtalframe.operators import metrics as ME
 from xtalframe.operators import models as MO
 from xtalframe.operators import split as S
 from xtalframe.plans import derived as V
-from xtalframe.schemas import MANUAL_ENTRY, MANUAL_ENTRY_TEXT, TC_TABLE, conform_schema, fields
+from xtalframe.schemas import TC_TABLE, conform_schema, fields
 from xtalframe.session import shared_folder
 from xtalframe.sources import tables as IO
 from xtalframe.streaming import ingest
@@ -134,23 +134,32 @@ def _graph_dataset(spark: SparkSession, sf: str) -> str:
     return folder
 
 
-def _graph_summary(graphs: DataFrame) -> DataFrame:
-    return graphs.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_graphs"),
-        F.sum(F.size("x")).alias("n_nodes"),
-        F.sum(F.size("edge_attr")).alias("n_edges"),
+def _graph_values(graphs: DataFrame, *more: str) -> DataFrame:
+    """Everything a graph holds, in comparable form."""
+    sources, targets = F.col("edge_index")[0], F.col("edge_index")[1]
+    pairs = F.zip_with(sources, targets, lambda s, t: F.concat(s.cast("string"), F.lit("-"), t.cast("string")))
+    length = F.aggregate("edge_attr", F.lit(0.0), lambda a, e: a + e[0].cast("double"))
+    return graphs.select(
+        "material_id",
+        *more,
+        F.size("x").cast("bigint").alias("n_nodes"),
+        F.size("edge_attr").cast("bigint").alias("n_edges"),
+        F.array_join(F.transform("x", lambda n: n[0].cast("int").cast("string")), ",").alias("atomic_numbers"),
+        F.array_join(pairs, ",").alias("pairs"),
+        F.round(length, 3).alias("total_length"),
+        F.round(F.col("y")[0].cast("double"), 4).alias("band_gap"),
+        F.round(F.col("y")[1].cast("double"), 4).alias("energy_per_site"),
     )
 
 
 @query
 def sink_graph_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph_summary(IO.scan_graph_dataset(spark, _graph_dataset(spark, sf)))
+    return _graph_values(IO.scan_graph_dataset(spark, _graph_dataset(spark, sf)), "split")
 
 
 @query
 def scan_graph_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    graphs = IO.scan_graph_dataset(spark, _graph_dataset(spark, sf), "test")
-    return graphs.select("material_id", F.size("x").cast("bigint").alias("n_nodes"), F.size("edge_attr").cast("bigint").alias("n_edges"))
+    return _graph_values(IO.scan_graph_dataset(spark, _graph_dataset(spark, sf), "test"))
 
 
 @query
@@ -177,9 +186,10 @@ def append_validated(spark: SparkSession, sf: str) -> DataFrame:
     V.manual_rows(spark, sf).write.json(f"{base}/in")
     stream = ingest.read_manual_rows(spark, f"{base}/in")
     ingest.append_validated(stream, f"{base}/data", f"{base}/bad", f"{base}/log").awaitTermination()
-    good = spark.read.schema(MANUAL_ENTRY).parquet(f"{base}/data").select(F.lit("dataset").alias("target"), "target_band_gap")
-    bad = spark.read.parquet(f"{base}/bad").select(F.lit("quarantine").alias("target"), "target_band_gap")
-    return good.unionByName(bad).groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"))
+    shown = ["material_id", "band_gap_mp", "target_band_gap", "target_formation_energy", "target_is_metal"]
+    good = spark.read.parquet(f"{base}/data").select(F.lit("dataset").alias("target"), *shown, F.lit("").alias("reasons"))
+    bad = spark.read.parquet(f"{base}/bad").select(F.lit("quarantine").alias("target"), *shown, F.array_join("reasons", "; ").alias("reasons"))
+    return good.unionByName(bad)
 
 
 # --- projections, filters, validation ------------------------------------------
@@ -851,14 +861,7 @@ def structure_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def graph_rows(spark: SparkSession, sf: str) -> DataFrame:
-    graphs = GD.graph_rows(GD.with_structure(V.structure_texts(spark, sf)))
-    return graphs.select(
-        "material_id",
-        F.size("x").cast("bigint").alias("n_nodes"),
-        F.size(F.col("edge_index")[0]).cast("bigint").alias("n_edges"),
-        F.round(F.col("y")[0].cast("double"), 4).alias("band_gap"),
-        F.round(F.col("y")[1].cast("double"), 4).alias("energy_per_site"),
-    )
+    return _graph_values(GD.graph_rows(GD.with_structure(V.structure_texts(spark, sf))))
 
 
 def _graph_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -913,14 +916,10 @@ def target_select(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def graph_validate(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("structure_id")
-    graphs = _target_rows(spark, sf).select(
-        "structure_id",
-        F.when(k % 5 != 0, F.array(k)).alias("x"),
-        F.when(k % 7 != 0, F.array(F.array(k), F.array(k))).alias("edge_index"),
-        F.when(k % 11 != 0, F.col("y")).alias("y"),
-    )
-    return N.graph_validate(graphs).select("structure_id")
+    """Whole graphs, some robbed of their targets."""
+    k = F.regexp_extract("material_id", "[0-9]+", 0).cast("bigint")
+    graphs = GD.graph_rows(GD.with_structure(V.structure_texts(spark, sf)))
+    return _graph_values(N.graph_validate(graphs.withColumn("y", F.when(k % 5 != 0, F.col("y")))))
 
 
 @query

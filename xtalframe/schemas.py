@@ -167,7 +167,7 @@ _FLOATS = T.ArrayType(T.FloatType())
 
 GRAPH = T.StructType(
     [
-        *fields("material_id string, source_block int, target_block int").fields,
+        *fields("material_id string").fields,
         T.StructField("x", T.ArrayType(_FLOATS)),
         T.StructField("edge_index", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("edge_attr", T.ArrayType(_FLOATS)),

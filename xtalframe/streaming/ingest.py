@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,30 +24,58 @@ def read_manual_rows(
     )
 
 
+def _stored_files(spark: SparkSession, folders: tuple[str, str], query_id: str) -> DataFrame | None:
+    """Files whose rows another query has stored, if there is another query."""
+    found = []
+    for folder in folders:
+        try:
+            rows = spark.read.option("basePath", folder).parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            continue
+        found.append(rows.where(F.col("query_id") != query_id).select("source_file"))
+    if not found:
+        return None
+    files = found[0] if len(found) == 1 else found[0].unionAll(found[1])
+    return None if files.isEmpty() else files.distinct()
+
+
+def store_batch(batch: DataFrame, dataset: str, quarantine: str, query_id: str, batch_id: int) -> None:
+    """Judge one batch once and rewrite its folder in either table."""
+    stored = _stored_files(batch.sparkSession, (dataset, quarantine), query_id)
+    if stored is not None:
+        batch = batch.join(stored, "source_file", "left_anti")
+    validated = validate_manual_row(batch).persist()
+    try:
+        for rows, folder in ((accepted(validated, "source_file"), dataset), (rejected(validated), quarantine)):
+            rows.write.mode("overwrite").parquet(f"{folder}/query_id={query_id}/batch_id={batch_id}")
+    finally:
+        validated.unpersist()
+
+
 def append_validated(
     stream: DataFrame, dataset: str, quarantine: str, checkpoint: str
 ) -> StreamingQuery:
     """Append valid rows to ``dataset`` and the rest, with reasons, to ``quarantine``.
 
     Rows are judged one by one, so the query keeps no state. Each micro-batch
-    owns the partition of its batch id in both tables and overwrites it: a
-    batch repeated after a failure replaces its rows instead of adding them
-    again. Stops when all files present at the start have been read.
+    owns one folder in either table, named by the id that its checkpoint gives
+    the query and by the batch, and rewrites it as a whole: a batch repeated
+    after a failure replaces its rows, also where none are left, and queries
+    with other checkpoints never touch them. Every row names its file; a query
+    that starts anew, because its checkpoint was lost, leaves out files that
+    another one has stored. Stops when all files present at the start have been
+    read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validated = validate_manual_row(batch)
-        for rows, folder in ((accepted(validated), dataset), (rejected(validated), quarantine)):
-            (
-                rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(folder)
-            )
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store_batch(batch, dataset, quarantine, query_id, batch_id)
 
     return (
-        stream.writeStream.foreachBatch(write)
+        stream.withColumn("source_file", F.input_file_name())
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
