@@ -83,5 +83,5 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     ``df``, also after executors are lost."""
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -14,8 +14,9 @@ from xtalframe.llm.common import Aside, text_key, texts, written
 from xtalframe.llm.components import components
 from xtalframe.llm.textbytes import mix, parts, word_hashes
 
-BAND_RATIO = 1.7
-BITMAP_BYTES = 128
+BAND_RATIO = 1.25
+BITMAP_BYTES = 256  # at least; more where a set has more elements than that has bits
+LEVELS = 4
 TILE = 2048
 MEMBERS_A_TASK = 500
 
@@ -39,9 +40,9 @@ class Rule:
         return (100 - self.percent) * size // (100 + self.percent)
 
     def tiles(self, band: int) -> int:
-        """More parts than differences, and some to spare for empty ones."""
+        """More parts than differences, and some to spare for weak ones."""
         d = self.differences(band)
-        return math.ceil(1.12 * (d + 1)) + 2 if d else 0
+        return math.ceil(1.5 * (d + 1)) + 2 if d else 0
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +83,22 @@ def set_ids(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return sizes, mix(a + sizes.astype(np.uint64)), b
 
 
-def bitmaps(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, BITMAP_BYTES), np.uint8)
-    place = h & np.uint64(8 * BITMAP_BYTES - 1)
-    np.bitwise_or.at(out, (at, (place >> np.uint64(3)).astype(int)), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-    return out
+def bitmaps(h: np.ndarray, at: np.ndarray, n: int) -> list[bytes]:
+    """One bit for each hash, in a power of two of bits, no fewer than elements:
+    in a fuller map the bits of two unlike sets would cover each other."""
+    sizes = np.maximum(np.bincount(at, minlength=n), 8 * BITMAP_BYTES)
+    bits = 1 << np.ceil(np.log2(sizes)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits // 8)])
+    out = np.zeros(base[-1], np.uint8)
+    place = (h & (bits[at] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, base[at] + (place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
+    return [out[a:b].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps at the width of the narrowest: halves of wider ones are joined."""
+    width = min(map(len, bits)) // 8
+    return np.array([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), 0) for b in bits])
 
 
 def signatures(rule: Rule, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +107,12 @@ def signatures(rule: Rule, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, tak
     A set belongs to its size band, and to the next one if a linked set may be
     there. In a band, elements are dealt by hash into more parts than two linked
     sets can differ in, so one part at least is equal in both: (band, part,
-    content) is the tile's key. An empty part tells nothing and is left out
-    unless so many are empty that the count needs them; then both sets of a
-    pair that needs them keep theirs.
+    content) is the tile's key. Parts of few elements are equal by chance, above
+    all where many texts share a passage, and empty ones always are. A set
+    therefore keeps only its parts of L elements or more, L as large (up to
+    ``LEVELS``) as leaves it more parts than differences. Of a linked pair, the
+    set with the larger L has such a part that is equal in both, and the other
+    set, with its smaller L, has kept it too.
     """
     band = np.searchsorted(rule.edges, np.maximum(sizes, 1), "right") - 1
     keys, owners = [], []
@@ -116,13 +131,16 @@ def signatures(rule: Rule, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, tak
         used = per_row[at] > 0
         ha, ra = h[used], at[used]
         part = (mix(ha) % per_row[ra].astype(np.uint64)).astype(np.int64)
-        content, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+        content = np.zeros(base[-1], np.uint64)
         np.add.at(content, base[ra] + part, mix(ha ^ np.uint64(0x5851F42D4C957F2D)))
-        filled[base[ra] + part] = True
+        held = np.bincount(base[ra] + part, minlength=base[-1])
         owner = np.repeat(np.arange(len(sizes)), per_row)
         number = np.arange(base[-1]) - base[owner]
-        full = np.bincount(owner[filled], minlength=len(sizes))
-        filled |= (full <= spare[target])[owner]
+        level = np.zeros(len(sizes), np.int64)
+        for at_least in range(1, LEVELS + 1):
+            enough = np.bincount(owner[held >= at_least], minlength=len(sizes)) > spare[target]
+            level[enough] = at_least
+        filled = held >= level[owner]
         where = (target[owner] * (1 << 32) + number).astype(np.uint64)
         keys.append(mix(content + mix(where))[filled])
         owners.append(owner[filled])
@@ -185,8 +203,8 @@ def tile_rows(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
 
 
 def shared_tiles(packed: DataFrame, buckets: int) -> DataFrame:
-    """tile, low, set_id: for tiles of two sets or more, each set but the lowest
-    beside the lowest."""
+    """tile, n, set_id: the sets of every tile that has two or more, and how
+    many it has."""
     kind = np.dtype([("key", "<u4"), ("set", "<u8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,19 +220,32 @@ def shared_tiles(packed: DataFrame, buckets: int) -> DataFrame:
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
             key, member = key[new], member[new]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            low = member[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            more = np.flatnonzero(~first)
-            tile = key[more].astype(np.int64) * buckets + b
+            _, number, n = np.unique(key, return_inverse=True, return_counts=True)
+            more = np.flatnonzero(n[number] > 1)
             for start in range(0, len(more), 50_000):
-                cut = slice(start, start + 50_000)
+                at = more[start : start + 50_000]
+                tile = key[at].astype(np.int64) * buckets + b
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tile[cut]), pa.array(low[more[cut]]), pa.array(member[more[cut]])],
-                    names=["tile", "low", "set_id"],
+                    [pa.array(tile), pa.array(n[number[at]]), pa.array(member[at])], names=["tile", "n", "set_id"]
                 )
 
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "tile long, low long, set_id long")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "tile long, n long, set_id long")
+
+
+def hub_pairs(tiles: DataFrame) -> DataFrame:
+    """hub, set_id, c: every set beside the hubs of its tiles, with the number
+    of tiles they share.
+
+    A tile's hub is the set of most company over all its tiles. Of an original
+    and its variants, the original keeps all the contents that most variants
+    kept, so it is the hub, and variants that are near it but not each other
+    still hang together after one comparison each.
+    """
+    weight = tiles.groupBy("set_id").agg(F.sum("n").alias("w"))
+    weighed = tiles.join(weight, "set_id")
+    hubs = weighed.groupBy("tile").agg(F.max(F.struct("w", "set_id")).alias("h")).select("tile", F.col("h.set_id").alias("hub"))
+    pairs = tiles.join(hubs, "tile").where("hub <> set_id")
+    return pairs.groupBy("hub", "set_id").agg(F.count(F.lit(1)).alias("c"))
 
 
 def involved_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -226,12 +257,11 @@ def involved_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             for part, data, offsets in parts(batch, 1):
                 h, at = shingles(data, offsets, rule.words)
                 n = part.num_rows
-                bits = bitmaps(h, at, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(np.bincount(at, minlength=n)),
-                        pa.array([x.tobytes() for x in bits], pa.binary()),
+                        pa.array(bitmaps(h, at, n), pa.binary()),
                         part.column(1),
                     ],
                     names=["set_id", "n", "bits", "data"],
@@ -294,8 +324,7 @@ def cross_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule,
     Each bit that one bitmap has and the other lacks is an element that the
     other set lacks: bit counts bound the overlap from above.
     """
-    both = tiles.select("tile", "set_id").unionByName(tiles.select("tile", F.col("low").alias("set_id")).distinct())
-    named = both.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn(
+    named = tiles.select("tile", "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn(
         "root", F.coalesce("root", "set_id")
     )
     mixed = named.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile")
@@ -355,11 +384,11 @@ def cross_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule,
         for table in tiles_of():
             key = table.column("tile").to_numpy()
             ids, roots_, n = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+            bits = table.column("bits").to_pylist()
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             out: list[tuple[int, int]] = []
             for s, e in zip(starts, [*starts[1:], len(key)]):
-                out += compare(ids[s:e], roots_[s:e], n[s:e], bits[s:e])
+                out += compare(ids[s:e], roots_[s:e], n[s:e], folded(bits[s:e]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())],
                 names=["low", "set_id"],
@@ -374,8 +403,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Rows with one set are one node from the start, so copies cost nothing more.
     Sets meet in size-banded tiles (``signatures``); no linked pair can miss
-    all of them. First each set is compared with the lowest set of the tile
-    group it shares most; then, for what hangs together by no link yet, one
+    all of them. First each set is compared with the hub it shares most tiles
+    with; then, for what hangs together by no link yet, one
     possible pair of every two components in a tile; then every such pair.
     Pairs inside a component need no test, which keeps thousands of near copies
     from being multiplied out. Every link is decided by exact intersection.
@@ -393,8 +422,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = written(shared_tiles(tile_rows(read, rule, buckets), buckets), "shared-tiles")
-    pairs = written(tiles.groupBy("low", "set_id").agg(F.count(F.lit(1)).alias("c")), "tile-pairs")
-    members = pairs.select(F.explode(F.array("low", "set_id")).alias("set_id")).distinct()
+    members = tiles.select("set_id").distinct()
     # a doc_id may come with several texts; one row of the set is enough
     wanted = (
         nodes.join(members, "set_id")
@@ -404,8 +432,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     sets = written(involved_sets(read, wanted, rule).dropDuplicates(["set_id"]), "involved-sets")
 
-    first = pairs.groupBy("set_id").agg(F.max_by("low", F.struct("c", "low")).alias("low")).select("low", "set_id")
-    links = written(exact_links(first, sets, rule), "links-first")
+    pairs = written(hub_pairs(tiles), "hub-pairs")
+    best = pairs.groupBy("set_id").agg(F.max(F.struct("c", "hub")).alias("b"))
+    links = written(exact_links(best.select(F.col("b.hub").alias("low"), "set_id"), sets, rule), "links-hub")
     roots = components(links)
     for every in (False, True):
         more = written(cross_pairs(tiles, roots, sets, rule, every), "pairs-more")

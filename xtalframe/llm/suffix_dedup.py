@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +170,22 @@ def occurrences(read: DataFrame, bitmap: np.ndarray, bits: int, length: int) ->
     return read.mapInArrow(run, "anchor long, segment long, doc long, place long")
 
 
+def packed(read: DataFrame) -> DataFrame:
+    """The rows with their bytes compressed, as they travel to a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = pa.array([pack(t.as_py()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], names=["doc", "mark", "data"])
+
+    return read.mapInArrow(run, "doc long, mark long, data binary")
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """key, doc, mark, start, windows, at, string: of every wanted segment the
     windows with more context after the anchor, and those with more before it.
@@ -184,6 +201,7 @@ def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out = []
             for doc, mark, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                text = unpacked(text)
                 for place in places:
                     start, extra, offset = place >> 32, place >> 25 & 127, place >> 18 & 127
                     text_of = text[start : start + extra + length]
@@ -211,7 +229,7 @@ def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     asked = wanted.groupBy("doc", "mark").agg(F.collect_list("place").alias("places"))
-    joined = read.join(asked, ["doc", "mark"]).select("doc", "mark", "data", "places")
+    joined = packed(read).join(asked, ["doc", "mark"]).select("doc", "mark", "data", "places")
     return joined.mapInArrow(
         run, "key long, doc long, mark long, start long, windows long, at long, string binary"
     )
@@ -317,11 +335,11 @@ def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     lead = F.shiftright("place", 17).bitwiseAND(F.lit(1)) == 1
     mark = F.col("place").bitwiseAND(F.lit((1 << 17) - 1)).alias("mark")
     each = found.join(looked.select("segment", "first", "mixed"), "segment").select(
-        "doc", mark, "place", (lead & (F.col("doc") == F.col("first"))).alias("earliest"), "mixed", start.alias("start"), extra.alias("extra")
+        "doc", "place", (lead & (F.col("doc") == F.col("first"))).alias("earliest"), "mixed"
     )
     each = written(each.where("not earliest or mixed"), "segment-verdicts")
-    whole = each.where("not earliest").select("doc", "mark", "start", (F.col("start") + F.col("extra") + length).alias("end"))
-    wanted = each.where("earliest and mixed").select("doc", "mark", "place").distinct()
+    whole = each.where("not earliest").select("doc", mark, start.alias("start"), (start + extra + length).alias("end"))
+    wanted = each.where("earliest and mixed").select("doc", mark, "place").distinct()
     cut = written(pieces(read, wanted, length), "segment-pieces")
     spans = whole.unionByName(repeated_windows(cut, length))
     return read, spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -339,13 +357,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     Rows without doc_id come last.
     """
     read, spans = repeats(docs, length)
-    named = read.join(spans, ["doc", "mark"], "left").select("doc", "data", "spans")
+    named = packed(read).join(spans, ["doc", "mark"], "left").select("doc", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py()
+                text = unpacked(text.as_py())
                 kept, at, n_spans, removed = [], 0, 0, 0
                 merged: list[list[int]] = []
                 for s in sorted((s["start"], s["end"]) for s in found or ()):
