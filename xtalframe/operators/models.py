@@ -291,12 +291,15 @@ def save_models(models: PropertyModels, folder: str) -> None:
 
 
 def load_models(folder: str) -> PropertyModels:
-    """Read what is there; a part that is missing or unreadable stays ``None``."""
+    """Read what is there; a part whose folder is missing stays ``None``. Any
+    other failure to read one is raised."""
     models = PropertyModels()
     for name in _FILES:
         try:
             setattr(models, name, PipelineModel.load(f"{folder}/{name}"))
         except (PySparkException, Py4JJavaError) as error:
+            if "does not exist" not in str(error) and "PATH_NOT_FOUND" not in str(error):
+                raise
             warnings.warn(f"model part {name} is not available: {str(error)[:120]}", stacklevel=2)
     return models
 

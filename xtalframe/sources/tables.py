@@ -65,6 +65,8 @@ def scan_csv(
     try:
         return reader.csv(path)
     except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         warnings.warn(f"cannot read {path}: {str(error)[:200]}", UserWarning, stacklevel=2)
         return _empty(spark, full)
 
