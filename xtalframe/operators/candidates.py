@@ -72,18 +72,9 @@ def join_candidates_chemsys(
     )
 
 
-def _mp_order(row_id: str) -> list[Column]:
-    return [
-        null_to_inf(F.col("energy_above_hull")).alias("hull_key"),
-        null_to_inf(F.col("formation_energy_per_atom")).alias("energy_key"),
-        F.col(row_id),
-    ]
-
-
-def _winner(entries: DataFrame, keys: list[str], columns: list[str], row_id: str) -> DataFrame:
-    return entries.groupBy(*keys).agg(
-        F.min_by(F.struct(*columns), F.struct(*_mp_order(row_id))).alias("entry")
-    )
+def _winner(entries: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """Least rank per key: a few numbers a row, whatever the entry holds."""
+    return entries.groupBy(*keys).agg(F.min(rank).alias("rank"))
 
 
 def best_entry_mp(
@@ -98,37 +89,32 @@ def best_entry_mp(
     Lowest energy above hull, then lowest formation energy (missing counts as
     infinite), then a candidate of the same reduced formula, then input order.
 
-    Entries are reduced to one winner per (system, formula) and from those to
-    one per system, both with map-side partials; the winner of a composition
-    is its system's unless its own formula's winner ties with that one.
+    Ranks (two energies and the unique ``row_id``) are reduced to one winner per
+    (system, formula) and from those to one per system, both with map-side
+    partials; the winner of a composition is its system's unless its own
+    formula's winner ties with that one. Only then are the winners' entries
+    fetched by their ``row_id``.
     """
     columns = [c for c in entries.columns if c not in ("chemsys", "formula_key")]
     usable = filter_deprecated(entries)
-    by_formula = _winner(usable, ["chemsys", "formula_key"], columns, row_id)
-    same = by_formula.select(
-        "chemsys", "formula_key", F.col("entry").alias("same_formula")
+    rank = F.struct(
+        null_to_inf(F.col("energy_above_hull")).alias("hull"),
+        null_to_inf(F.col("formation_energy_per_atom")).alias("energy"),
+        F.col(row_id).alias("row"),
     )
-    asked = compositions.join(same, ["chemsys", "formula_key"], "left")
+    by_formula = _winner(usable, ["chemsys", "formula_key"], rank)
+    ranked = compositions.join(by_formula.withColumnRenamed("rank", "_same"), ["chemsys", "formula_key"], "left")
     if require_formula_match:
-        return asked.withColumnRenamed("same_formula", "entry").drop("chemsys", "formula_key")
-
-    flat = by_formula.select("chemsys", "entry.*")
-    by_system = _winner(flat, ["chemsys"], columns, row_id)
-    both = asked.join(by_system, "chemsys", "left")
-
-    def rank(entry: str) -> list[Column]:
-        return [
-            null_to_inf(F.col(f"{entry}.energy_above_hull")),
-            null_to_inf(F.col(f"{entry}.formation_energy_per_atom")),
-        ]
-
-    ties = F.lit(True)
-    for own, overall in zip(rank("same_formula"), rank("entry")):
-        ties = ties & (own == overall)
-    chosen = F.when(F.col("same_formula").isNotNull() & ties, F.col("same_formula")).otherwise(
-        F.col("entry")
-    )
-    return both.withColumn("entry", chosen).drop("same_formula", "chemsys", "formula_key")
+        chosen = F.col("_same.row")
+    else:
+        by_system = _winner(by_formula, ["chemsys"], F.col("rank")).withColumnRenamed("rank", "_best")
+        ranked = ranked.join(by_system, "chemsys", "left")
+        same, best = F.col("_same"), F.col("_best")
+        ties = (same["hull"] == best["hull"]) & (same["energy"] == best["energy"])
+        chosen = F.when(same.isNotNull() & ties, same["row"]).otherwise(best["row"])
+    named = ranked.withColumn("_row", chosen).drop("_same", "_best", "chemsys", "formula_key")
+    fetched = usable.select(F.col(row_id).alias("_row"), F.struct(*columns).alias("entry"))
+    return named.join(fetched, "_row", "left").drop("_row")
 
 
 def union_ids(candidates: DataFrame, material_id: str = "material_id") -> DataFrame:
