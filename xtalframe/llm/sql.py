@@ -5,15 +5,14 @@ from __future__ import annotations
 SQL: dict[str, str] = {}
 
 SQL["op1_suffix_dedup"] = r"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, encode(coalesce(text, '')) AS e, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (
-  SELECT r, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i - 1, 200)) ORDER BY r, i) > 1 AS again
-  FROM (SELECT r, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
-c AS (SELECT DISTINCT r, unnest(range(i, i + 100)) AS b FROM w WHERE again),
-g AS (SELECT r, b, b - lag(b) OVER (PARTITION BY r ORDER BY b) IS DISTINCT FROM 1 AS opens FROM c),
-n AS (SELECT r, count(*) AS n_removed, count(*) FILTER (opens) AS n_spans FROM g GROUP BY r),
-e AS (SELECT r, b AS a, lead(b) OVER (PARTITION BY r ORDER BY b) AS next_open FROM g WHERE opens),
-s AS (SELECT r, a, (SELECT max(b) FROM g WHERE g.r = e.r AND g.b >= e.a AND (e.next_open IS NULL OR g.b < e.next_open)) AS z FROM e),
+  SELECT r, i, row_number() OVER (PARTITION BY md5(e[i : i + 99]) ORDER BY r, i) > 1 AS again
+  FROM (SELECT r, e, unnest(range(1, octet_length(e) - 98)) AS i FROM d)),
+g AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 100, true) AS opens FROM w WHERE again),
+x AS (SELECT r, i, count(*) FILTER (opens) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+s AS (SELECT r, min(i) AS a, max(i) + 99 AS z FROM x GROUP BY r, k),
+n AS (SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY r),
 k AS (
   SELECT d.r, x.part, x.o FROM d JOIN (
     SELECT r, a AS o, substr(h, 2 * (lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) + 1) - 1,
