@@ -17,7 +17,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
