@@ -184,6 +184,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in judged) / len(judged) > 0.88
 
 
+def test_toxicity_learns_rare_words(spark):
+    # no insult of the lexicon; each toxic word is in a twelfth of the toxic rows
+    rng, docs, labels = random.Random(5), [], []
+    for k in range(1500):
+        toxic = int(k % 5 == 0)
+        words = [f"plain{rng.randrange(400)}" for _ in range(30)] + [f"übel{rng.randrange(25)}" for _ in range(2 * toxic)]
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, toxic if rng.random() > 0.03 else 1 - toxic))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(frame(spark, docs), labels).collect() if r["held_out"]]
+    foul = [r["predicted"] for r in held if r["doc_id"] % 5 == 0]
+    clean = [r["predicted"] for r in held if r["doc_id"] % 5]
+    assert len(foul) > 30 and sum(foul) > 0.9 * len(foul) and sum(clean) < 0.02 * len(clean)
+
+
+def test_toxicity_recall_in_every_language(spark):
+    sf = SF.replace("0.001", "0.1")
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").join(toxic, "doc_id").collect()}
+    of, caught = Counter(), Counter()
+    for r in queries()["op4_toxicity"](spark, sf).collect():
+        if r["held_out"] and r["doc_id"] in lang:
+            of[lang[r["doc_id"]]] += 1
+            caught[lang[r["doc_id"]]] += r["predicted"]
+    assert len(of) == 4 and all(caught[k] >= 0.75 * of[k] for k in of), (of, caught)
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.15

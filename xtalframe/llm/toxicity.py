@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,9 @@ LEXICON = (
     "sleazebag slut stupid trash twit ugly vermin weirdo whore worthless"
 ).split()
 SAMPLE = 20_000
-LEARNED = 64
+LEARNED = 512
+LEAST = 5  # rows that a learned word is in
+PURE = 0.8  # share of them that is toxic
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERNS = ("several", "repeated", "dense", "none")
@@ -138,16 +141,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return texts(docs).join(F.broadcast(usable), "doc_id").select("text", "toxic")
 
 
-def learned_words(train: DataFrame, n_toxic: int, most: int = LEARNED) -> list[str]:
-    """Words that mark the labelled rows: in a tenth of the toxic ones at least
-    and hardly ever in others."""
+def learned_words(train: DataFrame, most: int = LEARNED) -> list[str]:
+    """Words that mark the labelled rows, whatever language they belong to.
+
+    A word counts by what it says against the clean rows, not by its share of
+    all toxic ones: the G statistic of toxic and word must pass what chance
+    gives to the best of all words tested, and four of five of its rows must be
+    toxic (labels are noisy, so clean ones may have it). Copies of a text are
+    one text; the strongest ``most`` words are kept.
+    """
+    texts_once = train.distinct()
+    n_toxic, n = texts_once.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     words = F.array_distinct(F.array_remove(F.split(F.translate("text", UPPER, LOWER), BETWEEN_WORDS), ""))
-    found = (
-        train.select("toxic", F.explode(words).alias("word"))
+    tested = written(
+        texts_once.select("toxic", F.explode(words).alias("word"))
         .groupBy("word")
         .agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n1") >= max(5, n_toxic / 10)) & (F.col("n1") >= 0.9 * F.col("n")))
-        .orderBy(F.desc("n1"), "word")
+        .where(F.col("n") >= LEAST),
+        "toxicity-words",
+    )
+    share, clean = n_toxic / n, F.col("n") - F.col("n1")
+    gain = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
+    found = (
+        tested.withColumn("g", 2 * (gain(F.col("n1"), share) + gain(clean, 1 - share)))
+        .where((F.col("n1") >= LEAST) & (F.col("n1") >= PURE * F.col("n")) & (F.col("n1") > share * F.col("n")))
+        # chance exceeds g with about exp(-g / 2): less than one word of all tested
+        .where(F.col("g") >= 2 * math.log(max(1, tested.count())))
+        .orderBy(F.desc("g"), "word")
         .limit(most)
     )
     return [r["word"] for r in found.collect()]
@@ -159,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n_toxic, n = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n or not n_toxic or n_toxic == n:
         return untrained(tuple(LEXICON))
-    words = tuple(dict.fromkeys([*LEXICON, *learned_words(rows, n_toxic)]))
+    words = tuple(dict.fromkeys([*LEXICON, *learned_words(rows)]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
