@@ -332,6 +332,26 @@ def test_jaccard_components(spark, vocab, words, percent):
     assert sorted(r["doc_id"] for r in kept) == sorted(k for k in sets if find(k) == k)
 
 
+def test_jaccard_with_copies_without_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])
+    hub = " ".join(words)
+    alone = " ".join(words[::-1])
+    # the hub has a copy without id; of the last set there is only a row without id
+    rows = [(1, hub), (None, hub), *((k, near(k)) for k in range(10, 90, 8)), (200, alone), (None, alone + " x"), (201, "y " + alone)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, rows)).collect() if r["doc_id"]}
+    assert got == {k: 1 if k < 100 else 200 for k in got}
+    kept = [r["doc_id"] for r in ngram_join.keep_first(frame(spark, rows)).collect()]
+    assert sorted(kept) == [1, 200]
+
+
+def test_a_set_without_text_is_refused(spark):
+    sets = spark.createDataFrame([(2, bytearray(b"a b c d e f"))], "set_id long, data binary")
+    pairs = spark.createDataFrame([(1, 2)], "low long, set_id long")
+    with pytest.raises(Exception, match="no text"):
+        ngram_join.exact_links(pairs, sets, ngram_join.Rule(5, 80)).collect()
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]

@@ -250,7 +250,7 @@ def hub_pairs(tiles: DataFrame) -> DataFrame:
 
 def involved_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """set_id, n, bits, data: one text of every set in ``wanted`` (set_id,
-    doc_id, text_key)."""
+    doc_id, text_key); a null doc_id finds its row too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +267,9 @@ def involved_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     names=["set_id", "n", "bits", "data"],
                 )
 
-    found = docs.join(wanted, ["doc_id", "text_key"]).select("set_id", "data")
+    asked = wanted.select("set_id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = docs["doc_id"].eqNullSafe(asked["_id"]) & (docs["text_key"] == asked["_key"])
+    found = docs.join(asked, same).select("set_id", "data")
     return found.mapInArrow(run, "set_id long, n long, bits binary, data binary")
 
 
@@ -292,18 +294,20 @@ def exact_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
+        current, whose = np.zeros(0, np.uint64), None
         for batch in batches:
             for part, data, offsets in parts(batch, 4):
                 h, at = shingles(data, offsets, rule.words)
                 ends = np.searchsorted(at, np.arange(part.num_rows + 1))
-                lows, members, ids = (part.column(c).to_pylist() for c in (0, 2, 3))
+                lows, salts, members, ids = (part.column(c).to_pylist() for c in range(4))
                 out: list[tuple[int, int]] = []
                 for k in range(part.num_rows):
                     mine = h[ends[k] : ends[k + 1]]
                     if not members[k]:
-                        current = mine
+                        current, whose = mine, (lows[k], salts[k])
                         continue
+                    if whose != (lows[k], salts[k]):
+                        raise ValueError(f"set {lows[k]} has members to compare but no text")
                     place = np.minimum(np.searchsorted(current, mine), max(len(current) - 1, 0))
                     both = int((current[place] == mine).sum()) if len(current) and len(mine) else 0
                     if both and rule.linked(both, len(current), len(mine)):
@@ -427,7 +431,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     wanted = (
         nodes.join(members, "set_id")
         .groupBy("set_id")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("d"))
         .select("set_id", "d.doc_id", "d.text_key")
     )
     sets = written(involved_sets(read, wanted, rule).dropDuplicates(["set_id"]), "involved-sets")
