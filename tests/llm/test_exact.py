@@ -89,6 +89,31 @@ def test_suffix_dedup(spark, vocab):
     assert [(*r[:5], bytes(r[5])) for r in found] == expected
 
 
+@pytest.mark.parametrize("hot", [3, 20])
+def test_suffix_dedup_with_hot_keys(spark, vocab, monkeypatch, hot):
+    # a passage that all texts share between words of their own, and a repeated row
+    passage = " ".join(random.Random(2).choice(vocab) for _ in range(45))
+    rng = random.Random(9)
+    own = lambda: " ".join(f"{rng.randrange(10**9)}" for _ in range(rng.randint(1, 6)))
+    rows = [(k, f"{own()} {passage} {own()}") for k in range(40)]
+    rows += [rows[7], (50, rows[3][1][20:] + "\n" + own()), (51, own() + rows[5][1][:-20])]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    used = []
+    plain = suffix_dedup.hot_windows
+    monkeypatch.setattr(suffix_dedup, "hot_windows", lambda *a: used.append(a) or plain(*a))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    seen, expected = set(), {}
+    for k, text in dict(rows).items():
+        data = text.encode()
+        keep = np.ones(len(data), bool)
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in seen:
+                keep[at : at + 100] = False
+            seen.add(data[at : at + 100])
+        expected[k] = bytes(np.frombuffer(data, np.uint8)[keep])
+    assert got == expected and used
+
+
 def test_merged_intervals():
     rng = random.Random(2)
     for _ in range(100):

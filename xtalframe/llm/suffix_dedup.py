@@ -19,7 +19,8 @@ from xtalframe.llm.textbytes import mix, parts, prefix_hashes
 NAMES = ("row", "start", "extra", "offset", "anchor", "segment")
 GRAM = 32
 ANCHORS_A_ROW = 128
-BATCH_SYMBOLS = 60_000  # strings merged together; one group may be larger
+BATCH_SYMBOLS = 60_000  # strings merged together; one group, of HOT strings at most, may be larger
+HOT = 8192  # pieces of one key that may meet in a task
 LAST = (1 << 63) - 1
 
 
@@ -235,17 +236,49 @@ def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
 
 
+def hot_windows(found: DataFrame, length: int, hot: int) -> DataFrame:
+    """As ``repeated_windows``, for keys of any number of pieces.
+
+    A window without its key is ``rest`` bytes and the key's place among them.
+    Each becomes a row, and the least (doc, start) of equal ones is an
+    aggregate, so no task holds a key. Windows that more than ``hot`` rows share
+    are few, and joined by broadcast; a join by key would gather their rows.
+    """
+    rest = length - GRAM - (length - GRAM) // 2
+    same = ["key", "side", "content"]
+    windows = found.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1))).select(
+        "key",
+        (F.col("at") - F.col("k")).alias("side"),
+        F.substr("string", (F.col("k") + 1).cast("int"), F.lit(rest)).alias("content"),
+        "doc",
+        "mark",
+        (F.col("start") + F.col("k")).alias("start"),
+    )
+    firsts = windows.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.where("n > 1"), "window-firsts")
+    common = F.broadcast(firsts.where(F.col("n") > hot).drop("n"))
+    others = windows.join(common.drop("first"), same, "left_anti").join(firsts.where(F.col("n") <= hot).drop("n"), same)
+    # rows of one document at one place are the same occurrence
+    later = windows.join(common, same).unionByName(others).where("doc <> first.doc or start <> first.start")
+    return later.select("doc", "mark", "start", (F.col("start") + length).alias("end"))
+
+
 def repeated_windows(found: DataFrame, length: int) -> DataFrame:
     """doc, mark, start, end of the pieces' windows that also start earlier.
 
     Pieces of one key meet in one task; keys come one after the other, and what
     is held is one batch of them. A key holds different contents only: equal
-    segments were made one before, however many documents hold them.
+    segments were made one before, however many documents hold them. At the edge
+    of a passage that many documents share, each has contents of its own: keys
+    of more than ``HOT`` pieces are settled window by window, over all tasks.
     """
     half = (length - GRAM) // 2
     depth = length - GRAM - half + 1
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = found.join(keys, "key").repartition("key").sortWithinPartitions("key")
+    keys = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "piece-keys")
+    hot = F.broadcast(keys.where(F.col("n") > HOT).select("key"))
+    crowded = not hot.isEmpty()
+    cool = found.join(hot, "key", "left_anti") if crowded else found
+    rows = cool.join(keys.where(F.col("n") <= HOT).select("key"), "key").repartition("key").sortWithinPartitions("key")
 
     def resolve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, doc, mark, start, windows, at = (t.column(c).to_numpy() for c in ("key", "doc", "mark", "start", "windows", "at"))
@@ -296,7 +329,8 @@ def repeated_windows(found: DataFrame, length: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from resolve(rest)
 
-    return rows.mapInArrow(run, "doc long, mark long, start long, end long")
+    settled = rows.mapInArrow(run, "doc long, mark long, start long, end long")
+    return settled.unionByName(hot_windows(found.join(hot, "key"), length, HOT)) if crowded else settled
 
 
 def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +345,8 @@ def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     3. Earliest segments that share an anchor with a different one are cut into
        pieces by more context, and the Burrows-Wheeler transforms of the pieces
        that still share it are merged; intervals of ``length`` bytes give the
-       windows that another segment holds earlier.
+       windows that another segment holds earlier. Where very many pieces share
+       it, their windows are aggregated instead.
     """
     read = texts(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
