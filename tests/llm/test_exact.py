@@ -357,6 +357,19 @@ def test_jaccard_components(spark, vocab, words, percent):
     assert sorted(r["doc_id"] for r in kept) == sorted(k for k in sets if find(k) == k)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 85])
+def test_linked_sets_share_a_tile(percent):
+    rule = ngram_join.Rule(5, percent)
+    for small in (1, 3, 10, 47, 200):
+        large = small * 100 // percent
+        if large == small:  # equal sets are one
+            continue
+        h = np.sort(ngram_join.mix(np.arange(large, dtype=np.uint64)))
+        both, at = np.concatenate([h[:small], h]), np.repeat([0, 1], [small, large])
+        keys, owners = ngram_join.signatures(rule, both, at, np.array([small, large]), np.ones(2, bool))
+        assert set(keys[owners == 0]) & set(keys[owners == 1]), (small, large)
+
+
 def test_jaccard_with_copies_without_id(spark):
     words = [f"w{k}" for k in range(100)]
     near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])

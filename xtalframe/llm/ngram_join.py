@@ -104,8 +104,8 @@ def folded(bits: list[bytes]) -> np.ndarray:
 def signatures(rule: Rule, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key and row of every tile that the rows in ``take`` lie in.
 
-    A set belongs to its size band, and to the next one if a linked set may be
-    there. In a band, elements are dealt by hash into more parts than two linked
+    A set belongs to its size band, and to the following ones as far as a linked
+    set may be there. In a band, elements are dealt by hash into more parts than two linked
     sets can differ in, so one part at least is equal in both: (band, part,
     content) is the tile's key. Parts of few elements are equal by chance, above
     all where many texts share a passage, and empty ones always are. A set
@@ -116,10 +116,10 @@ def signatures(rule: Rule, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, tak
     """
     band = np.searchsorted(rule.edges, np.maximum(sizes, 1), "right") - 1
     keys, owners = [], []
-    for step in (0, 1):
-        here = take & (sizes > 0)
-        if step:
-            here &= sizes * 100 // rule.percent >= rule.edges[band + 1]
+    furthest = np.searchsorted(rule.edges, np.maximum(sizes * 100 // rule.percent, 1), "right") - 1
+    last = int((furthest - band)[take].max()) if take.any() else 0
+    for step in range(max(last, 1) + 1):
+        here = take & (sizes > 0) & (band + step <= furthest)
         target = band + step
         present = np.unique(target[here])
         n_parts = np.zeros(len(rule.edges), np.int64)
