@@ -23,11 +23,11 @@ KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 #: Any run long enough to be a key; the hex and weak-secret tests look inside.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ID = re.compile(
-    r"""\b(?:(?:access|client|account|application|tenant)[_-]?(?:key[_-]?)?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""",
+    r"""(?<![A-Za-z0-9])(?:(?:access|client|account|application|tenant)[_-]?(?:key[_-]?)?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""",
     re.IGNORECASE | re.ASCII,
 )
 _ENDPOINT = re.compile(
-    r"""\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb|jdbc:[a-z]+)://[^\s"'<>]+|\bhost(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+""",
+    r"""\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb|jdbc:[a-z]+)://[^\s"'<>]+|(?<![A-Za-z0-9])host(?:name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+""",
     re.IGNORECASE | re.ASCII,
 )
 _BLANK = re.compile(r"\n[^\S\n]*\n")
