@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -169,6 +170,13 @@ class Encoder:
         return [i for w in chunks(text) for i in words[w][0]]
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: what a task has learned of words and
+    pairs serves the tasks after it."""
+    return Encoder(load(path))
+
+
 def text_of(raw: bytes) -> str:
     text = raw.decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text[:1] == " " else text
@@ -182,7 +190,7 @@ def _map(docs: DataFrame, schema: str, row: Callable, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        encoder = Encoder(load(path))
+        encoder = kept_encoder(path)
         fields = [f.split() for f in schema.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
         for batch in batches:

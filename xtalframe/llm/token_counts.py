@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +61,12 @@ class Counter:
         return count, score
 
 
+@lru_cache(maxsize=1)
+def kept_counter(path: str) -> Counter:
+    """One counter for each Python worker, so that later tasks find its words."""
+    return Counter(load(path))
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces and score of every whole text, one row per input row, no shuffle.
 
@@ -72,7 +79,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load(path))
+        counter = kept_counter(path)
         for batch in batches:
             rows = []
             for t in batch.column(1):
