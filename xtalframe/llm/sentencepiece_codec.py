@@ -34,7 +34,9 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.traces: dict[int, list[tuple[float, str, str]]] = {}
-        self.byte_of = {i: b for b, i in enumerate(vocabulary.bytes)}
+        byte_of = {i: bytes((b,)) for b, i in enumerate(vocabulary.bytes)}
+        self.raws = [byte_of.get(i, p.encode()) for i, p in enumerate(vocabulary.pieces)]
+        self.names = [str(i) for i in range(len(vocabulary.pieces))]
         self.words = Recent(CACHE, self.word)
 
     def merged(self, symbols: list[str], steps: list | None = None) -> list[str]:
@@ -130,13 +132,15 @@ class Encoder:
     def encode_known(self, word: str) -> list[int]:
         """Ids of a word whose characters all are pieces."""
         n = len(word)
-        last, pairs = [-1] * (n + 1), self.pairs
+        last, pairs, whole = [-1] * (n + 1), self.pairs, self.whole
         for end, (i, k) in self.v.automaton.iter(word):
             if last[end + 1] >= 0:
                 continue
             start = end + 1 - k
             if not start:
-                fits = self.stands(i)
+                fits = whole.get(i)
+                if fits is None:
+                    fits = self.stands(i)
             else:
                 before = last[start]
                 fits = pairs.get(before << 32 | i)
@@ -153,8 +157,8 @@ class Encoder:
 
     def raw(self, ids: list[int]) -> bytes:
         """Bytes of the pieces, markers and all."""
-        byte_of, pieces = self.byte_of, self.v.pieces
-        return b"".join([bytes((byte_of[i],)) if i in byte_of else pieces[i].encode() for i in ids])
+        raws = self.raws
+        return b"".join([raws[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces join into characters, markers become
@@ -162,8 +166,8 @@ class Encoder:
         return text_of(self.raw(ids))
 
     def word(self, word: str) -> tuple[list[int], str, bytes]:
-        ids = self.encode_word(word)
-        return ids, ",".join(map(str, ids)), self.raw(ids)
+        ids, names = self.encode_word(word), self.names
+        return ids, ",".join([names[i] for i in ids]), self.raw(ids)
 
     def encode(self, text: str) -> list[int]:
         words = self.words
