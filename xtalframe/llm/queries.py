@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_counts, toxicity
+from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, suffix_dedup, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,5 +104,12 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_codec.digests(_documents(spark, sf))
 
 
+@query
+def op11_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of three-word shingles and component at two bits."""
+    found = simhash.near_duplicates(_documents(spark, sf), words=3, bits=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
