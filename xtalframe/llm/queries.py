@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, suffix_dedup, token_counts, toxicity
+from xtalframe.llm import decontamination, lexical_search, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, suffix_dedup, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,5 +111,11 @@ def op11_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical_search.search(_documents(spark, sf), table(spark, sf, "benchmark"), top=50)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
