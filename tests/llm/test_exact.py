@@ -288,7 +288,7 @@ def test_token_counts_match_the_tokenizer(vocab):
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
         ids = tokenizer.encode("▁" + text.replace(" ", "▁") if text else "").ids
-        assert sum(counter.words[w][0] for w in vocabulary.chunks(text)) == len(ids), text
+        assert sum(counter.words[w][0] for w in vocabulary.words_of(text)) == len(ids), text
 
 
 def test_encoding_matches_the_library(vocab):

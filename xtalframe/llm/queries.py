@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xtalframe.llm import decontamination, lexical_search, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, suffix_dedup, token_counts, toxicity
+from xtalframe.llm import decontamination, lexical_search, line_dedup, ngram_join, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, suffix_dedup, token_alignment, token_counts, toxicity
 from xtalframe.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,5 +117,11 @@ def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical_search.search(_documents(spark, sf), table(spark, sf, "benchmark"), top=50)
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links between byte-level and piece tokens of every document."""
+    return token_alignment.align(_documents(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from xtalframe.llm.common import texts
-from xtalframe.llm.vocabulary import SPACE, Recent, Vocabulary, chunks, default_model, load
+from xtalframe.llm.vocabulary import SPACE, Recent, Vocabulary, default_model, load, marked, words_of
 
 CACHE = 400_000
 PAIRS = 1_000_000
@@ -31,11 +31,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pairs: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in vocabulary.pieces]  # by the left one
+        self.n_pairs = 0
         self.whole: dict[int, bool] = {}
         self.traces: dict[int, list[tuple[float, str, str]]] = {}
         byte_of = {i: bytes((b,)) for b, i in enumerate(vocabulary.bytes)}
         self.raws = [byte_of.get(i, p.encode()) for i, p in enumerate(vocabulary.pieces)]
+        self.sizes = [len(p) for p in vocabulary.pieces]
         self.names = [str(i) for i in range(len(vocabulary.pieces))]
         self.words = Recent(CACHE, self.word)
 
@@ -91,9 +93,12 @@ class Encoder:
         """Whether both stand, and stand well beside each other: replay the
         merges of both in the order of their joined text; no merge across the
         border may come first."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        known = self.pairs[a << 32 | b] = self.stands(a) and self.stands(b) and self._apart(a, b)
+        if self.n_pairs >= PAIRS:
+            for known_pairs in self.pairs:
+                known_pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs[a][b] = self.stands(a) and self.stands(b) and self._apart(a, b)
         return known
 
     def _apart(self, a: int, b: int) -> bool:
@@ -134,26 +139,28 @@ class Encoder:
         n = len(word)
         last, pairs, whole = [-1] * (n + 1), self.pairs, self.whole
         for end, (i, k) in self.v.automaton.iter(word):
-            if last[end + 1] >= 0:
+            end += 1
+            if last[end] >= 0:
                 continue
-            start = end + 1 - k
-            if not start:
+            if k == end:
                 fits = whole.get(i)
                 if fits is None:
                     fits = self.stands(i)
             else:
-                before = last[start]
-                fits = pairs.get(before << 32 | i)
+                before = last[end - k]
+                fits = pairs[before].get(i)
                 if fits is None:
                     fits = self.beside(before, i)
             if fits:
-                last[end + 1] = i
+                last[end] = i
         out: list[int] = []
-        pieces, at = self.v.pieces, n
+        sizes, at = self.sizes, n
         while at:
-            out.append(last[at])
-            at -= len(pieces[last[at]])
-        return out[::-1]
+            i = last[at]
+            out.append(i)
+            at -= sizes[i]
+        out.reverse()
+        return out
 
     def raw(self, ids: list[int]) -> bytes:
         """Bytes of the pieces, markers and all."""
@@ -165,13 +172,21 @@ class Encoder:
         spaces, and the marker that encoding put first goes."""
         return text_of(self.raw(ids))
 
-    def word(self, word: str) -> tuple[list[int], str, bytes]:
-        ids, names = self.encode_word(word), self.names
-        return ids, ",".join([names[i] for i in ids]), self.raw(ids)
+    def word(self, word: str) -> tuple[str, bytes]:
+        """Ids of a word of ``words_of``, joined, and their bytes."""
+        ids, names = self.encode_word(marked(word)), self.names
+        return ",".join([names[i] for i in ids]), self.raw(ids)
+
+    def encoded(self, text: str) -> tuple[str, bytes]:
+        """The same of a whole text."""
+        if not text:
+            return "", b""
+        ids, raws = zip(*map(self.words.__getitem__, words_of(text)))
+        return ",".join(ids), b"".join(raws)
 
     def encode(self, text: str) -> list[int]:
-        words = self.words
-        return [i for w in chunks(text) for i in words[w][0]]
+        joined, _ = self.encoded(text)
+        return list(map(int, joined.split(","))) if joined else []
 
 
 @lru_cache(maxsize=1)
@@ -230,12 +245,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The same without the ids and texts themselves: counts and digests."""
 
     def row(encoder: Encoder, text: str) -> tuple:
-        words = encoder.words
-        found = [words[w] for w in chunks(text)]
-        return (
-            sum([len(ids) for ids, _, _ in found]),
-            _sha(",".join([joined for _, joined, _ in found]).encode()),
-            _sha(text_of(b"".join([raw for _, _, raw in found])).encode()),
-        )
+        ids, raw = encoder.encoded(text)
+        return ids.count(",") + 1 if ids else 0, _sha(ids.encode()), _sha(text_of(raw).encode())
 
     return _map(docs, ", ".join(SCHEMA.split(", ")[:4]), row, path or default_model())

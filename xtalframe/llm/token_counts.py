@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from xtalframe.llm.common import texts
-from xtalframe.llm.vocabulary import Recent, Vocabulary, chunks, default_model, load
+from xtalframe.llm.vocabulary import Recent, Vocabulary, default_model, load, marked, words_of
 
 CACHE = 600_000
 UNKNOWN_PENALTY = 10.0  # fixed value: what a unigram tokenizer takes off for a character it lacks
@@ -29,7 +29,7 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.unknown = min(vocabulary.scores[i] for i in vocabulary.ids.values()) - UNKNOWN_PENALTY
-        self.words = Recent(CACHE, self.viterbi)
+        self.words = Recent(CACHE, lambda word: self.viterbi(marked(word)))
 
     def viterbi(self, word: str) -> tuple[int, float]:
         scores, n = self.v.scores, len(word)
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             for t in batch.column(1):
                 text = t.as_py()
                 words = counter.words
-                found = [words[w] for w in chunks(text)]
+                found = [words[w] for w in words_of(text)]
                 rows.append((len(text), len(found), sum(c for c, _ in found), float(sum(s for _, s in found))))
             columns = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64()] * 3 + [pa.float64()]

@@ -53,21 +53,29 @@ def load(path: str) -> Vocabulary:
 
 #: A word with the spaces before it. No piece crosses from a word into the next
 #: space, so the words of a text can be tokenized one by one.
-CHUNK = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CHUNK = re.compile(rf"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
 
-def chunks(text: str) -> list[str]:
-    """The text with spaces as markers and one marker put before it, in words."""
+def words_of(text: str) -> list[str]:
+    """The text's words, each without the one marker that stands before it; more
+    markers, which a text has where spaces follow each other, stay."""
     if not text:
         return []
-    return CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    if text[0] != " " and "  " not in text and SPACE not in text:
+        return text.split(" ")
+    return [w[1:] for w in CHUNK.findall(" " + text)]
+
+
+def marked(word: str) -> str:
+    """A word of ``words_of`` as pieces spell it."""
+    return SPACE + word.replace(" ", SPACE)
 
 
 class Recent(dict):
     """Results for words seen of late: when ``size`` are kept, the older half
-    makes room, but a word asked for again stays."""
+    makes room, but a word asked for again stays. No result is None."""
 
-    def __init__(self, size: int, make):
+    def __init__(self, size: int, make=None):
         super().__init__()
         self.half, self.make, self.older = max(1, size // 2), make, {}
 
@@ -75,13 +83,23 @@ class Recent(dict):
         found = self.older.pop(word, None)
         if found is None:
             found = self.make(word)
-            if len(word) > LONG:
-                return found
+        self.keep(word, found)
+        return found
+
+    def held(self, word: str):
+        """The result, if it is known."""
+        found = self.get(word)
+        if found is None and (found := self.older.pop(word, None)) is not None:
+            self.keep(word, found)
+        return found
+
+    def keep(self, word: str, found) -> None:
+        if len(word) > LONG:
+            return
         if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
         self[word] = found
-        return found
 
 
 #: Longer words are not kept.
