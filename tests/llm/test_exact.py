@@ -304,6 +304,40 @@ def test_encoding_matches_the_library(vocab):
         assert ids == sp.encode(text) and encoder.decode(ids) == sp.decode(ids), text
 
 
+def test_digests_match_the_library(spark):
+    """The whole registered query, every column."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary.default_model())
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = []
+    for r in table(spark, SF, "documents").collect():
+        ids = sp.encode(r["text"] or "")
+        want.append((r["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))))
+    assert sorted(map(tuple, queries()["op10_sentencepiece"](spark, SF).collect())) == sorted(want)
+
+
+def test_token_counts_of_whole_documents(spark):
+    """n_chars, n_words and n_tokens of the registered query, and the score from
+    the tokens themselves."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    v = vocabulary.load(vocabulary.default_model())
+    plain = [p if v.ids.get(p) == i or i > 2 else "\ue000" + p for i, p in enumerate(v.pieces)]
+    tokenizer = Tokenizer(Unigram(vocab=list(zip(plain, v.scores)), unk_id=0, byte_fallback=True))
+    unknown = min(v.scores[i] for i in v.ids.values()) - token_counts.UNKNOWN_PENALTY
+    want = []
+    for r in table(spark, SF, "documents").collect():
+        text = r["text"] or ""
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        ids = tokenizer.encode(marked).ids
+        lacking = sum(c not in v.characters for c in marked)
+        score = sum(v.scores[i] for i in ids if i not in v.bytes) + lacking * unknown
+        want.append((r["doc_id"], len(text), len(re.findall("▁*[^▁]+|▁+", marked)), len(ids), score))
+    assert sorted(map(tuple, queries()["op6_token_counts"](spark, SF).collect())) == sorted(want)
+
+
 def test_pairs_beside_each_other(vocab):
     """The replayed test says what merging the joined text says."""
     v = vocabulary.load(vocabulary.default_model())
