@@ -234,10 +234,20 @@ def test_null_keys_are_refused(spark, numbered):
 
 def test_row_ids(spark):
     df = spark.createDataFrame([(k * k - 50,) for k in range(300)], "k bigint").repartition(5)
-    got = {r["k"]: r["row_number"] for r in S.row_ids(df, "k", buckets=16).collect()}
+    got = {r["k"]: r["row_number"] for r in S.row_ids(df, "k").collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(got))}
 
 
+def test_row_ids_of_text_and_several_columns(spark):
+    rows = [(f"k{(i * 37) % 1000:03d}", -i % 3, {"a": i}) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a string, b bigint, m map<string,bigint>").repartition(7)
+    by_text = {r["a"]: (r["n"], r["m"]) for r in S.row_ids(df, "a", "n").collect()}
+    assert by_text == {a: (i + 1, m) for i, (a, _, m) in enumerate(sorted(rows, key=lambda r: r[0]))}
+    by_two = {(r["b"], r["a"]): r["n"] for r in S.row_ids(df, ["b", "a"], "n").collect()}
+    assert by_two == {k: i + 1 for i, k in enumerate(sorted(by_two))}
+    assert S.row_ids(df.limit(0), "a").collect() == []
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 3.0, 3.0), ("d", 4.0, 6.0)], SC.PREDICTIONS)
     m = ME.regression_metrics(df).first()
@@ -365,6 +375,29 @@ def test_preparation_and_models(spark):
     dos_prep, dos, _ = MO.fit_dos_regressor(df, numeric=numeric)
     _, metal, _ = MO.fit_metal_classifier(df, prep=prep)
     models = MO.PropertyModels(main=prep, band_gap=gap, is_metal=metal, dos_prep=dos_prep, dos=dos)
+    folder = shared_folder(spark, "models")
+    MO.save_models(models, folder)
+    back = MO.load_models(folder)
+    assert back.main.numeric == prep.numeric and back.main.modes == prep.modes and back.main.sizes == prep.sizes
+    again = back.main.transform(df).select("material_id", F.col("features").alias("f"))
+    assert again.join(prep.transform(df), "material_id").where("f != features").count() == 0
     for r in MO.score_properties(df, models).collect():
         assert (r["predicted_dos_at_fermi"] is not None) == r["predicted_is_metal"]
         assert r["predicted_formation_energy"] is None and 0.5 <= r["predicted_probability"] <= 1
+
+
+def test_wide_category_dictionary(spark):
+    """Far more categories than rows a partition: places follow the order of the
+    values, nothing but their number reaches the driver, and a category that a
+    third of the rows share costs no more than its rows."""
+    n = 200_000
+    name = F.concat(F.lit("e"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string"), 12, "0"))
+    train = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(name).alias("elements"))
+    prep = MO.fit_preprocessor(train, [], ["elements"])
+    assert prep.modes == {"elements": "hot"} and prep.width == train.select("elements").distinct().count()
+    order = prep.dictionaries["elements"].orderBy("value").select("position").collect()
+    assert [r[0] for r in order] == list(range(prep.width))
+    test = train.limit(50).unionByName(spark.createDataFrame([(-1, "never seen"), (-2, None)], "id bigint, elements string"))
+    vectors = {r["id"]: r["features"] for r in prep.transform(test).collect()}
+    assert {v.size for v in vectors.values()} == {prep.width} and len(vectors[-1].indices) == 0
+    assert vectors[-2] == vectors[0] and list(vectors[0].values) == [1.0] and list(vectors[0].indices) == [prep.width - 1]

@@ -13,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xtalframe.functions.element_sets import contains, element_set, index_symbols
 from xtalframe.functions.formula import chemical_system, match_key, parse_formula
 from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cell_to_text, sites_to_text, validate_structure
 from xtalframe.functions.text import null_to_inf
 from xtalframe.operators.clean import filter_deprecated
+from xtalframe.operators.skew import SHARE, left_join
 from xtalframe.schemas import ELEMENT_SET_ENTRY
+from xtalframe.session import stored
 
 
 def dedup_first(df: DataFrame, key: str, row_id: str, *values: str) -> DataFrame:
@@ -50,26 +53,20 @@ def add_formula_keys(df: DataFrame, formula: str, match: bool = True) -> DataFra
 
 
 def join_candidates_chemsys(
-    compositions: DataFrame, entries: DataFrame, require_formula_match: bool = False
+    compositions: DataFrame, entries: DataFrame, require_formula_match: bool = False, share: int = SHARE
 ) -> DataFrame:
     """Every composition with the not-deprecated entries of its chemical system.
 
     Both sides carry ``chemsys`` and ``formula_key``. A composition without
     candidates keeps one row of nulls. ``formula_match`` tells whether the
-    candidate reduces to the same formula.
+    candidate reduces to the same formula. A system that more than ``share``
+    entries or compositions have is spread over tasks.
     """
-    right = filter_deprecated(entries).withColumnRenamed("formula_key", "entry_formula_key")
-    keys: list[Column] = [compositions["chemsys"] == right["chemsys"]]
-    if require_formula_match:
-        keys.append(compositions["formula_key"] == right["entry_formula_key"])
-    return (
-        compositions.join(right, keys, "left")
-        .drop(right["chemsys"])
-        .withColumn(
-            "formula_match",
-            F.coalesce(F.col("formula_key") == F.col("entry_formula_key"), F.lit(False)),
-        )
-    )
+    right = filter_deprecated(entries).withColumn("entry_formula_key", F.col("formula_key"))
+    keys = ["chemsys", "formula_key"] if require_formula_match else ["chemsys"]
+    right = right if require_formula_match else right.drop("formula_key")
+    same = F.coalesce(F.col("formula_key") == F.col("entry_formula_key"), F.lit(False))
+    return left_join(compositions, right, keys, share=share).withColumn("formula_match", same)
 
 
 def _winner(entries: DataFrame, keys: list[str], rank: Column) -> DataFrame:
@@ -112,8 +109,13 @@ def best_entry_mp(
         same, best = F.col("_same"), F.col("_best")
         ties = (same["hull"] == best["hull"]) & (same["energy"] == best["energy"])
         chosen = F.when(same.isNotNull() & ties, same["row"]).otherwise(best["row"])
-    named = ranked.withColumn("_row", chosen).drop("_same", "_best", "chemsys", "formula_key")
-    fetched = usable.select(F.col(row_id).alias("_row"), F.struct(*columns).alias("entry"))
+    # without a candidate there is no row to meet; a key of its own keeps such
+    # compositions from all going to the task of the null key
+    alone = F.concat(F.lit("no:"), F.col(key))
+    named = ranked.withColumn("_row", F.coalesce(F.concat(F.lit("row:"), chosen.cast("string")), alone))
+    named = named.drop("_same", "_best", "chemsys", "formula_key")
+    at = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
+    fetched = usable.select(at.alias("_row"), F.struct(*columns).alias("entry"))
     return named.join(fetched, "_row", "left").drop("_row")
 
 
@@ -158,44 +160,49 @@ def join_tc(
 # --- candidates by element set -------------------------------------------------
 
 
-def containing_sets(
-    wanted: DataFrame, available: DataFrame, mode: str = "contains"
-) -> DataFrame:
-    """Pairs of element sets ``(wanted_set, available_set)`` that match.
+def _distinct_sets(df: DataFrame) -> DataFrame:
+    """elements (sorted, distinct) and its bits, for every set that is not empty."""
+    tidy = F.array_sort(F.array_distinct(F.filter("elements", lambda e: e.isNotNull())))
+    sets = df.select(tidy.alias("elements")).where(F.size("elements") > 0).distinct()
+    return sets.withColumn("bits", element_set(F.col("elements")))
+
 
-    Both inputs have one column ``elements`` (sorted array) and are reduced to
-    distinct sets first: the join works on sets, whose number is far below the
-    number of records. ``contains``: available holds all wanted elements;
-    ``subset``: wanted holds all available elements; ``exact``: equal.
+def containing_sets(wanted: DataFrame, available: DataFrame, mode: str = "contains", share: int = SHARE) -> DataFrame:
+    """Pairs of element sets ``(wanted_set, available_set)`` that match, as bits.
 
-    For the two inclusions the smaller set is keyed by its rarest element
-    only, so a common element such as oxygen is used as key for hardly any
-    set, and inclusion is checked on the pair.
+    Both inputs have one column ``elements`` and are reduced to distinct sets
+    first: the join works on sets, whose number is far below the number of
+    records. ``contains``: available holds all wanted elements; ``subset``:
+    wanted holds all available elements; ``exact``: equal.
+
+    For the two inclusions the larger sets are indexed by every two of their
+    elements (and by each single one), the smaller set asks with its two rarest
+    only: a common element such as oxygen is a key for hardly any set, and
+    hardly any pair that meets is no inclusion. Inclusion is a test of bits.
     """
     small, large = (available, wanted) if mode == "subset" else (wanted, available)
-    small = small.select("elements").where(F.size("elements") > 0).distinct()
-    large = large.select("elements").where(F.size("elements") > 0).distinct()
+    small, large = _distinct_sets(small), _distinct_sets(large)
     if mode == "exact":
-        pairs = small.join(large, "elements").select(
-            F.col("elements").alias("small_set"), F.col("elements").alias("large_set")
+        pairs = small.select("bits").join(large.select("bits"), "bits").select(
+            F.col("bits").alias("small_set"), F.col("bits").alias("large_set")
         )
     else:
-        exploded = large.select(F.explode("elements").alias("key"), F.col("elements").alias("large_set"))
-        # One row per element symbol seen: at most a few hundred rows, whatever the data.
-        frequency = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        keyed = (
-            small.select(F.explode("elements").alias("key"), F.col("elements").alias("small_set"))
-            .join(frequency, "key", "left")
-            .groupBy("small_set")
-            .agg(
-                F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), F.col("key"))).alias("key")
-            )
-        )
-        pairs = (
-            keyed.join(exploded, "key")
-            .where(F.size(F.array_except("small_set", "large_set")) == 0)
-            .select("small_set", "large_set")
+        small, large = (d.withColumn("names", index_symbols(F.col("elements"))) for d in (small, large))
+        # at most 119 names, whatever the data
+        counted = large.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        table = counted.select(F.map_from_entries(F.collect_list(F.struct("name", "n")))).scalar()
+        rank = lambda names: F.array_sort(
+            F.transform(names, lambda e: F.struct(F.coalesce(F.try_element_at(F.col("rarity"), e), F.lit(0).cast("bigint")).alias("n"), e.alias("name")))
         )
+        ranked = lambda df: df.withColumn("rarity", table).withColumn("ranked", rank(F.col("names"))).drop("rarity")
+        second = F.coalesce(F.try_element_at("ranked", F.lit(2)), F.element_at("ranked", 1))["name"]
+        asking = ranked(small).select(F.col("ranked")[0]["name"].alias("rare"), second.alias("next"), F.col("bits").alias("small_set"))
+        first = ranked(large).select("bits", "ranked", F.posexplode("ranked").alias("at", "r"))
+        rest = F.slice("ranked", F.col("at") + 1, F.size("ranked"))  # the element itself, then those after it
+        index = first.select(F.col("r.name").alias("rare"), F.explode(rest).alias("s"), F.col("bits").alias("large_set"))
+        index = index.select("rare", F.col("s.name").alias("next"), "large_set")
+        met = left_join(asking, index, ["rare", "next"], "inner", share)
+        pairs = met.where(contains(F.col("large_set"), F.col("small_set"))).select("small_set", "large_set")
     names = ("available_set", "wanted_set") if mode == "subset" else ("wanted_set", "available_set")
     return pairs.toDF(*names)
 
@@ -207,22 +214,20 @@ def join_candidates_elements(
     per_key: int | None = None,
     key: str = "composition",
     entry_id: str = "entry_id",
+    share: int = SHARE,
 ) -> DataFrame:
     """Every composition with the entries matching its element set.
 
     Both sides carry ``elements``. A composition without a match keeps one row
     of nulls. ``per_key`` keeps the first so many by ``entry_id``, for callers
-    that want the page limit of a remote service; by default all are kept.
+    that want the page limit of a remote service; by default all are kept. A
+    set that more than ``share`` records have is spread over tasks.
     """
-    pairs = containing_sets(compositions, entries, mode)
-    right = entries.withColumnRenamed("elements", "available_set")
-    found = (
-        compositions.withColumnRenamed("elements", "wanted_set")
-        .join(pairs, "wanted_set", "left")
-        .join(right, "available_set", "left")
-        .withColumnRenamed("wanted_set", "elements")
-        .drop("available_set")
-    )
+    pairs = stored(containing_sets(compositions, entries, mode, share), "set-pairs")
+    right = entries.withColumn("available_set", element_set(F.col("elements"))).drop("elements")
+    asked = compositions.withColumn("wanted_set", element_set(F.col("elements")))
+    by_set = left_join(asked, pairs, ["wanted_set"], share=share)
+    found = left_join(by_set, right, ["available_set"], share=share).drop("wanted_set", "available_set")
     if per_key is None:
         return found
     return first_k_per_key(found, [key], [F.col(entry_id).asc_nulls_last()], per_key)
@@ -233,24 +238,26 @@ def best_by_element_set(
 ) -> DataFrame:
     """Best matching entry per composition without building candidate pairs.
 
-    Entries are reduced to one winner per element set, winners to one per
-    wanted set, and only then joined to the compositions. ``order`` must be a
-    total order over the entry columns.
+    Entries are stored under a number and reduced to the least rank per element
+    set, ranks to one per wanted set, and only the winners' entries are fetched
+    and joined to the compositions. ``order`` must be a total order over the
+    entry columns; of equal entries any one is taken.
     """
     columns = [c for c in entries.columns if c != "elements"]
-
-    def winner(df: DataFrame, by: str) -> DataFrame:
-        return df.groupBy(by).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("entry"))
-
-    per_set = winner(entries, "elements").withColumnRenamed("elements", "available_set")
-    pairs = containing_sets(compositions, entries, mode)
-    per_wanted = winner(
-        pairs.join(per_set, "available_set").select("wanted_set", "entry.*"), "wanted_set"
-    ).withColumnRenamed("wanted_set", "elements")
-    return compositions.join(per_wanted, "elements", "left")
-
-
-def best_entry_oqmd(entries: DataFrame, key: str = "supercon_composition") -> DataFrame:
+    rows = stored(entries.withColumn("_at", F.monotonically_increasing_id()), "entries")
+    rank = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col("_at").alias("at"))
+    least = lambda df, by: df.groupBy(by).agg(F.min("rank").alias("rank"))
+    ranks = rows.select(element_set(F.col("elements")).alias("available_set"), rank.alias("rank"))
+    per_set = least(ranks.where(F.col("available_set").isNotNull()), "available_set")
+    pairs = containing_sets(compositions, rows, mode)
+    per_wanted = least(pairs.join(per_set, "available_set"), "wanted_set")
+    fetched = rows.select(F.col("_at"), F.struct(*columns).alias("entry"))
+    winners = per_wanted.select("wanted_set", F.col("rank.at").alias("_at")).join(fetched, "_at").drop("_at")
+    asked = compositions.withColumn("wanted_set", element_set(F.col("elements")))
+    return left_join(asked, winners, ["wanted_set"]).drop("wanted_set")
+
+
+def best_entry_oqmd(entries: DataFrame, key: str = "supercon_composition", address: list[str] | None = None) -> DataFrame:
     """Best structurally valid entry per composition as a processed row.
 
     ``entries`` has one row per (composition, ``entry`` struct); a composition
@@ -259,16 +266,34 @@ def best_entry_oqmd(entries: DataFrame, key: str = "supercon_composition") -> Da
     ``entry_id`` (missing counts as 0). Compositions without a valid entry
     keep a row of nulls: an invalid entry sorts after every valid one instead
     of being filtered out, so no second pass has to bring the keys back.
+
+    Only ranks and addresses are aggregated; the winners' entries are fetched by
+    their address afterwards. ``address`` names the columns that tell every row
+    apart, such as the file and the row in it that a reader gives; without it
+    the rows are stored under numbers first.
     """
+    if address is None:
+        entries = stored(entries.withColumn("_at", F.monotonically_increasing_id()), "entries")
+        address = ["_at"]
     entry = F.col("entry")
     valid = validate_structure(entry["unit_cell"], entry["sites"])
-    order = F.struct(
+    rank = F.struct(
         (~valid).alias("invalid"),
-        null_to_inf(entry["delta_e"]),
-        null_to_inf(entry["stability"]),
-        F.coalesce(entry["entry_id"], F.lit(0).cast("bigint")),
+        null_to_inf(entry["delta_e"]).alias("delta_e"),
+        null_to_inf(entry["stability"]).alias("stability"),
+        F.coalesce(entry["entry_id"], F.lit(0).cast("bigint")).alias("entry_id"),
+        *[F.col(c).alias(f"at{k}") for k, c in enumerate(address)],
+    )
+    # computed before the aggregate sorts its input: no entry is sorted
+    ranks = compute_once(entries, {"_rank": rank}).select(key, "_rank")
+    best = ranks.groupBy(key).agg(F.min("_rank").alias("best"))
+    name = lambda parts: F.concat_ws("|", F.lit("row"), *[p.cast("string") for p in parts])
+    # a composition without a valid entry gets a name that no row has
+    won = F.when(F.col("best.invalid"), F.concat(F.lit("none|"), F.coalesce(F.col(key), F.lit("")))).otherwise(
+        name([F.col(f"best.at{k}") for k in range(len(address))])
     )
-    best = entries.groupBy(key).agg(F.min_by(F.when(valid, entry), order).alias("entry"))
+    fetched = entries.select(name([F.col(c) for c in address]).alias("_won"), "entry")
+    best = best.select(key, won.alias("_won")).join(fetched, "_won", "left")
     return best.select(
         F.col(key),
         entry["entry_id"].alias("oqmd_entry_id"),

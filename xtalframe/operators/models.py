@@ -1,7 +1,8 @@
 """Feature preparation and the four forest models on MLlib.
 
-Preparation statistics are ordinary aggregates. What fitting brings to the
-driver is one row of means and deviations and one row per categorical column.
+Preparation statistics are ordinary aggregates, categories are tables. What
+fitting brings to the driver is one row of means and deviations and one row per
+categorical column, and what MLlib's forests bring there.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xtalframe.functions.text import no_nan
+from xtalframe.functions.vectors import sparse_vector
 from xtalframe.operators.metrics import classification_metrics, regression_metrics
-from xtalframe.operators.split import split_two_way
+from xtalframe.operators.split import row_ids, split_two_way
+from xtalframe.session import stored
 
+# The feature columns of the interchange tables.
 CATEGORICAL = ["elements", "crystal_system_pg"]
 NUMERIC = [
     "num_elements",
@@ -96,51 +99,106 @@ def numeric_prep(df: DataFrame, train: DataFrame, numeric: list[str]) -> DataFra
     return with_stats.withColumns(out).drop("_stats")
 
 
+def category_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """value, position: the distinct values of a column in order, from 0.
+
+    Positions are places in range partitions plus the partitions' offsets; no
+    task and no driver holds the list.
+    """
+    distinct = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    numbered = row_ids(distinct, "value", "_number")
+    return numbered.select("value", (F.col("_number") - 1).alias("position"))
+
+
+@dataclass
+class Preprocessor:
+    """Imputation, scaling and one-hot encoding as fitted on training rows.
+
+    ``numeric``: column -> (mean, deviation). ``modes``: categorical column ->
+    what fills its gaps. ``dictionaries``: categorical column -> its stored
+    dictionary (value, position), ``sizes`` their rows. The vector has the
+    numeric columns first, then one place for each category.
+    """
+
+    numeric: dict[str, tuple[float, float]]
+    modes: dict[str, str]
+    dictionaries: dict[str, DataFrame]
+    sizes: dict[str, int]
+
+    @property
+    def width(self) -> int:
+        return len(self.numeric) + sum(self.sizes.values())
+
+    def places(self, df: DataFrame) -> DataFrame:
+        """Add ``<column>__at`` for each categorical column: the vector's place
+        that is set, null for a category not seen in training.
+
+        One join with each dictionary, on its unique values: a category that
+        very many rows have can be split by adaptive execution.
+        """
+        start = len(self.numeric)
+        for c, dictionary in self.dictionaries.items():
+            own = dictionary.select(F.col("value").alias(f"{c}__value"), (F.col("position") + start).alias(f"{c}__at"))
+            filled = F.coalesce(F.col(c), F.lit(self.modes[c]))
+            df = df.join(own, filled == F.col(f"{c}__value"), "left").drop(f"{c}__value")
+            start += self.sizes[c]
+        return df
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``features``, a sparse vector of ``width``."""
+        placed = self.places(df)
+        scaled = [(F.coalesce(_value(c), F.lit(mean)) - mean) / (std or 1.0) for c, (mean, std) in self.numeric.items()]
+        at = [F.col(f"{c}__at") for c in self.dictionaries]
+        set_ = F.array_compact(F.array(*at)) if at else F.array().cast("array<bigint>")
+        indices = F.concat(F.array(*[F.lit(k).cast("bigint") for k in range(len(scaled))]).cast("array<bigint>"), set_)
+        values = F.concat(F.array(*scaled).cast("array<double>"), F.transform(set_, lambda _: F.lit(1.0)))
+        return placed.withColumn("features", sparse_vector(self.width, indices, values)).drop(*[f"{c}__at" for c in self.dictionaries])
+
+    def save(self, folder: str) -> None:
+        """Dictionaries as tables, numbers and modes as one small table."""
+        spark = SparkSession.active()
+        for c, dictionary in self.dictionaries.items():
+            dictionary.write.mode("overwrite").parquet(f"{folder}/dictionary/{c}")
+        rows = [(c, mean, std, None, None) for c, (mean, std) in self.numeric.items()]
+        rows += [(c, None, None, mode, self.sizes[c]) for c, mode in self.modes.items()]
+        rows = [(k, *r) for k, r in enumerate(rows)]
+        spark.createDataFrame(rows, _FITTED).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fitted")
+
+    @classmethod
+    def load(cls, folder: str) -> Preprocessor:
+        spark = SparkSession.active()
+        rows = spark.read.schema(_FITTED).parquet(f"{folder}/fitted").orderBy("place").collect()  # one row a column
+        numeric = {r["column"]: (r["mean"], r["std"]) for r in rows if r["size"] is None}
+        categorical = [r for r in rows if r["size"] is not None]
+        read = {r["column"]: spark.read.schema("value string, position bigint").parquet(f"{folder}/dictionary/{r['column']}") for r in categorical}
+        return cls(numeric, {r["column"]: r["mode"] for r in categorical}, read, {r["column"]: r["size"] for r in categorical})
+
+
+_FITTED = "place int, column string, mean double, std double, mode string, size bigint"
+
+
 def fit_preprocessor(
     train: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None
-) -> PipelineModel:
+) -> Preprocessor:
     """Fit imputation, scaling and one-hot encoding on the training rows.
 
-    A numeric column without any value is left out; a category not seen in
-    training encodes as all zeros. The result writes ``features``.
+    A numeric column without any value is left out; a gap in a categorical
+    column counts as its most frequent value (the empty text where there is
+    none); a category not seen in training sets no place. One row of means and
+    deviations comes to the driver, and one row for each categorical column.
     """
     numeric = list(NUMERIC if numeric is None else numeric)
     categorical = list(CATEGORICAL if categorical is None else categorical)
     stats = scale_stats(train, numeric).first() if numeric else {}
-    numeric = [c for c in numeric if stats[f"{c}_mean"] is not None]
-    parts = []
-    for c in numeric:
-        mean, std = float(stats[f"{c}_mean"]), float(stats[f"{c}_std"])
-        present = f"IF(isnan(CAST({c} AS DOUBLE)), NULL, CAST({c} AS DOUBLE))"
-        parts.append(f"(coalesce({present}, {mean!r}D) - {mean!r}D) / {std or 1.0!r}D AS {c}__s")
+    fitted = {c: (float(stats[f"{c}_mean"]), float(stats[f"{c}_std"])) for c in numeric if stats[f"{c}_mean"] is not None}
+    modes, dictionaries, sizes = {}, {}, {}
     for c in categorical:
         mode = most_frequent(train, c).first()
-        fill = ("" if mode is None else mode["value"]).replace("\\", "\\\\").replace("'", "\\'")
-        parts.append(f"coalesce({c}, '{fill}') AS {c}__f")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
-    if categorical:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"{c}__f" for c in categorical],
-                outputCols=[f"{c}__i" for c in categorical],
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            )
-        )
-        stages.append(
-            OneHotEncoder(
-                inputCols=[f"{c}__i" for c in categorical],
-                outputCols=[f"{c}__v" for c in categorical],
-                dropLast=True,
-            )
-        )
-    stages.append(
-        VectorAssembler(
-            inputCols=[f"{c}__s" for c in numeric] + [f"{c}__v" for c in categorical],
-            outputCol="features",
-        )
-    )
-    return Pipeline(stages=stages).fit(train)
+        modes[c] = "" if mode is None else mode["value"]
+        filled = train.select(F.coalesce(F.col(c), F.lit(modes[c])).alias(c))
+        dictionaries[c] = stored(category_dictionary(filled, c), "categories")
+        sizes[c] = dictionaries[c].count()
+    return Preprocessor(fitted, modes, dictionaries, sizes)
 
 
 @dataclass(frozen=True)
@@ -156,8 +214,8 @@ class Forest:
 class PropertyModels:
     """The fitted models; a missing one only disables its own prediction."""
 
-    main: PipelineModel | None = None
-    dos_prep: PipelineModel | None = None
+    main: Preprocessor | None = None
+    dos_prep: Preprocessor | None = None
     band_gap: object | None = None
     formation_energy: object | None = None
     is_metal: object | None = None
@@ -193,7 +251,7 @@ def fit_dos_regressor(
     test_size: float = 0.2,
     forest: Forest = Forest(),
     numeric: list[str] | None = None,
-) -> tuple[PipelineModel, object, DataFrame]:
+) -> tuple[Preprocessor, object, DataFrame]:
     """Density of states for metals that have one: (preprocessor, model, metrics)."""
     metals = table.where(F.col("target_is_metal")).dropna(subset=["target_dos_at_fermi"])
     parts = split_two_way(metals, key, test_size, forest.seed)
@@ -218,8 +276,8 @@ def fit_main_regressor(
     test_size: float = 0.2,
     forest: Forest = Forest(),
     numeric: list[str] | None = None,
-    prep: PipelineModel | None = None,
-) -> tuple[PipelineModel, object, DataFrame]:
+    prep: Preprocessor | None = None,
+) -> tuple[Preprocessor, object, DataFrame]:
     """Band gap or formation energy: (preprocessor, model, metrics)."""
     train, test = _main_parts(table, key, test_size, forest.seed)
     prep = prep or fit_preprocessor(train, numeric)
@@ -233,8 +291,8 @@ def fit_metal_classifier(
     test_size: float = 0.2,
     forest: Forest = Forest(),
     numeric: list[str] | None = None,
-    prep: PipelineModel | None = None,
-) -> tuple[PipelineModel, object, DataFrame]:
+    prep: Preprocessor | None = None,
+) -> tuple[Preprocessor, object, DataFrame]:
     """Metal or not: (preprocessor, model, metrics)."""
     train, test = _main_parts(table, key, test_size, forest.seed)
     prep = prep or fit_preprocessor(train, numeric)
@@ -278,14 +336,18 @@ def fit_all(
     return models
 
 
-_FILES = ["main", "dos_prep", "band_gap", "formation_energy", "is_metal", "dos"]
+_PREPARED = ["main", "dos_prep"]
+_FILES = [*_PREPARED, "band_gap", "formation_energy", "is_metal", "dos"]
 
 
 def save_models(models: PropertyModels, folder: str) -> None:
-    """Write every fitted part as an MLlib directory below ``folder``."""
+    """Write every fitted part below ``folder``: preprocessors as tables, models
+    as MLlib directories."""
     for name in _FILES:
         part = getattr(models, name)
-        if part is not None:
+        if isinstance(part, Preprocessor):
+            part.save(f"{folder}/{name}")
+        elif part is not None:
             wrapped = part if isinstance(part, PipelineModel) else PipelineModel([part])
             wrapped.write().overwrite().save(f"{folder}/{name}")
 
@@ -295,8 +357,9 @@ def load_models(folder: str) -> PropertyModels:
     other failure to read one is raised."""
     models = PropertyModels()
     for name in _FILES:
+        kind = Preprocessor if name in _PREPARED else PipelineModel
         try:
-            setattr(models, name, PipelineModel.load(f"{folder}/{name}"))
+            setattr(models, name, kind.load(f"{folder}/{name}"))
         except (PySparkException, Py4JJavaError) as error:
             if "does not exist" not in str(error) and "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -307,7 +370,7 @@ def load_models(folder: str) -> PropertyModels:
 def score_properties(df: DataFrame, models: PropertyModels, key: str = "material_id") -> DataFrame:
     """Predicted class with its probability, gap, energy and, where a metal is
     predicted, density of states. A prediction whose model is missing is null.
-    One map-only pass: models travel to the rows."""
+    Rows meet the category dictionaries by joins; models travel to the rows."""
     null = F.lit(None).cast("double")
     out = df
     names: dict[str, Column] = {}
@@ -326,8 +389,7 @@ def score_properties(df: DataFrame, models: PropertyModels, key: str = "material
         out = models.formation_energy.transform(out)
         names["predicted_formation_energy"] = F.col("predicted_target_formation_energy")
     if "predicted_is_metal" in names and models.dos_prep is not None and models.dos is not None:
-        kept = [c for c in out.columns if not c.endswith(("__s", "__f", "__i", "__v"))]
-        out = models.dos.transform(models.dos_prep.transform(out.select(kept).drop("features")))
+        out = models.dos.transform(models.dos_prep.transform(out.drop("features")))
         names["predicted_dos_at_fermi"] = F.when(
             names["predicted_is_metal"], F.col("predicted_target_dos_at_fermi")
         )

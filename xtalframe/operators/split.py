@@ -1,19 +1,19 @@
 """Row numbers and exact-size, repeatable splits without a global sort.
 
-Both work on *buckets*: ordered, disjoint groups of rows whose sizes are
-counted first. The count table has a fixed maximum size, so cumulative
-offsets over it are cheap whatever the data, and only rows of few buckets
-ever need an order among themselves.
+Both work on ordered, disjoint groups of rows whose sizes are counted: range
+partitions for row numbers, digest buckets for splits. The count table has a
+fixed maximum size, so cumulative offsets over it are cheap whatever the data.
 """
 
 from __future__ import annotations
 
 import warnings
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from xtalframe.session import stored
+
 _HEX_DIGITS = 4  # 65,536 buckets
 
 
@@ -22,37 +22,34 @@ def _given(key: str) -> Column:
     return F.when(F.col(key).isNull(), F.raise_error(F.lit(f"null in key column {key}"))).otherwise(F.col(key))
 
 
-def row_ids(df: DataFrame, key: str, name: str = "row_number", buckets: int | None = None) -> DataFrame:
-    """1-based position of each row in order of a unique numeric ``key``.
+_PLACE_BITS = 33  # of monotonically_increasing_id: the place within a partition
+
 
-    Bucket limits are approximate quantiles of the key held as literals, so
-    equal shares of rows go to each bucket however the key is distributed.
-    There are as many as the session has shuffle partitions, eight times over,
-    which is what grows with the data. Positions are exact; null keys raise.
+def row_ids(df: DataFrame, key: str | list[str], name: str = "row_number") -> DataFrame:
+    """1-based position of each row in order of ``key``: any orderable column,
+    or several, unique together. Null keys raise.
+
+    Rows are range partitioned and sorted within partitions, one shuffle, and
+    stored with their place there: limits of ranges are sampled, so places must
+    not be computed twice. A partition's offset is the number of rows in those
+    before it; offsets are one row a partition, which bounds what is broadcast.
     """
-    buckets = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn(key, _given(key))
-    limits = sorted(
-        set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets))
-    )
-    inf = float("inf")
-    bucketizer = Bucketizer(splits=[-inf, *limits, inf], inputCol="_key", outputCol="_bucket")
-    rows = bucketizer.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-    )
-    within = Window.partitionBy("_bucket").orderBy(key)
+    keys = [key] if isinstance(key, str) else list(key)
+    given = df.withColumns({k: _given(k) for k in keys})
+    sorted_rows = given.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_place", _PLACE_BITS)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
-        rows.withColumn("_within", F.row_number().over(within))
-        .join(F.broadcast(before), "_bucket")
-        .withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint"))
-        .drop("_bucket", "_before", "_within")
+        rows.join(F.broadcast(before), part == F.col("_part"))
+        .withColumn(name, F.col("_before") + within + 1)
+        .drop("_place", "_part", "_before")
     )
 
 
-def unknown_ids(df: DataFrame, key: str, material_id: str = "material_id") -> DataFrame:
+def unknown_ids(df: DataFrame, key: str | list[str], material_id: str = "material_id") -> DataFrame:
     """Fill a missing id column with ``Unknown_ID_<position>``; rows that are
     skipped later keep their number."""
     if material_id in df.columns:

@@ -141,7 +141,8 @@ def set_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entry_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """supercon_composition and one candidate ``entry`` struct per row."""
+    """supercon_composition and one candidate ``entry`` struct per row, and the
+    row's address: its file and its place there."""
     k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     number = lambda v: F.lit(v).cast("double")
     cell = (
@@ -177,6 +178,8 @@ def entry_lists(spark: SparkSession, sf: str) -> DataFrame:
     return _as_file(table(spark, sf, "lineitem").select(
         F.concat(F.lit("part-"), p.cast("string")).alias("supercon_composition"),
         F.when(p % 19 != 0, entry).alias("entry"),
+        F.col("_metadata.file_path").alias("row_file"),
+        F.col("_metadata.row_index").alias("row_index"),
     ))
 
 

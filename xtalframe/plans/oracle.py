@@ -91,12 +91,16 @@ e AS (SELECT o_orderkey AS entry_id,
     CASE WHEN o_orderkey%9<>0 THEN (o_orderkey%11)/4.0::DOUBLE END AS delta_e,
     CASE WHEN o_orderkey%7<>0 THEN (o_orderkey%3)/8.0::DOUBLE END AS stability FROM orders)"""
 
-_ENTRY_LISTS = """lists AS (
+_ENTRY_LISTS = f"""lists AS (
   SELECT 'part-' || l_partkey AS comp, l_partkey % 19 <> 0 AS has_entry,
     (l_partkey%19<>0 AND l_orderkey%11 NOT IN (0,1) AND l_partkey%13 NOT IN (0,1,2)) AS valid,
     l_orderkey*100 + l_linenumber AS entry_id,
     CASE WHEN l_orderkey%9<>0 THEN l_extendedprice/10000 - 5 END AS delta_e,
-    CASE WHEN l_suppkey%7<>0 THEN l_discount END AS stability
+    CASE WHEN l_suppkey%7<>0 THEN l_discount END AS stability,
+    {_sym('l_partkey')} || {_sym('l_suppkey')} AS name, l_returnflag AS spacegroup, l_tax AS band_gap, l_linestatus AS prototype,
+    '[{{"species":[{{"element":"' || {_sym('l_partkey')} || '","occu":1.0}}],"xyz":[0.0,0.5,' || CAST((l_partkey%10)/10.0::DOUBLE AS VARCHAR)
+      || ']}},{{"species":[{{"element":"' || {_sym('l_suppkey')} || '","occu":1.0}}],"xyz":[0.0,0.5,' || CAST((l_partkey%10)/10.0::DOUBLE AS VARCHAR) || ']}}]' AS sites,
+    l_partkey AS icsd
   FROM lineitem),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY (NOT valid),
     coalesce(delta_e, 'inf'::DOUBLE), coalesce(stability, 'inf'::DOUBLE), entry_id) AS rn FROM lists) WHERE rn = 1)"""
@@ -227,12 +231,18 @@ _DIRTY = """dirty AS (SELECT row_id, composition || CASE row_id%6 WHEN 0 THEN '-
     WHEN 3 THEN 'x=' WHEN 4 THEN 'X1' ELSE '+y ' END AS text FROM tc WHERE composition IS NOT NULL)"""
 
 _MODEL = """m AS (SELECT 'part-' || p_partkey AS material_id, p_partkey AS p,
+    CAST(p_partkey%5 + 1 AS DOUBLE) AS num_elements,
     CASE WHEN p_partkey%11<>0 THEN q END AS density_pg, CASE WHEN p_partkey%12<>0 THEN price/1000 END AS volume_pg,
-    p_size/4.0::DOUBLE + 1 AS lattice_b_pg, 90.0::DOUBLE AS lattice_alpha_pg,
+    price/(p_partkey%5 + 1) AS volume_per_atom_pg, CAST(p_partkey%230 + 1 AS DOUBLE) AS spacegroup_number_pg,
+    p_size/5.0::DOUBLE AS lattice_a_pg, p_size/4.0::DOUBLE + 1 AS lattice_b_pg, p_retailprice/500 AS lattice_c_pg,
+    90.0::DOUBLE AS lattice_alpha_pg, 90 + disc*100 AS lattice_beta_pg, 90.0::DOUBLE AS lattice_gamma_pg, CAST(p_partkey%8 + 1 AS DOUBLE) AS num_sites_pg,
     CASE WHEN p_partkey%14<>0 THEN p_brand END AS elements, CASE WHEN p_partkey%15<>0 THEN lower(p_type) END AS crystal_system_pg
-  FROM part LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS q, avg(l_extendedprice) AS price FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"""
+  FROM part LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS q, avg(l_extendedprice) AS price, avg(l_discount) AS disc FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"""
 
-_PREP = ["density_pg", "volume_pg", "lattice_b_pg", "lattice_alpha_pg"]
+_PREP = [
+    "num_elements", "density_pg", "volume_pg", "volume_per_atom_pg", "spacegroup_number_pg", "lattice_a_pg",
+    "lattice_b_pg", "lattice_c_pg", "lattice_alpha_pg", "lattice_beta_pg", "lattice_gamma_pg", "num_sites_pg",
+]
 
 
 def _split3(table: str, key: str, train: float, val: float, test: float) -> str:
@@ -342,8 +352,14 @@ def oracle_sql() -> dict[str, str]:
       SELECT *, row_number() OVER (PARTITION BY composition ORDER BY {_BEST_ORDER}, (NOT formula_match), row_id) AS rn FROM cand) WHERE rn = 1"""
     sql["best_entry_mp_same_formula"] = f"""{_PAIRS} SELECT composition, CASE WHEN formula_match THEN material_id END AS material_id FROM (
       SELECT *, row_number() OVER (PARTITION BY composition ORDER BY (NOT formula_match), {_BEST_ORDER}, row_id) AS rn FROM cand) WHERE rn = 1"""
-    sql["best_entry_oqmd"] = f"""WITH {_ENTRY_LISTS} SELECT comp AS supercon_composition, CASE WHEN valid THEN entry_id END AS oqmd_entry_id,
-      CASE WHEN valid THEN delta_e END AS oqmd_delta_e, CASE WHEN valid THEN stability END AS oqmd_stability FROM best"""
+    of_best = ", ".join(
+        f"CASE WHEN valid THEN {c} END AS oqmd_{n}"
+        for c, n in (
+            ("entry_id", "entry_id"), ("name", "formula"), ("spacegroup", "spacegroup"), ("delta_e", "delta_e"), ("stability", "stability"),
+            ("band_gap", "band_gap"), ("prototype", "prototype"), ("'[5.0,5.0,5.0,90.0,90.0,90.0]'", "unit_cell_json"), ("sites", "sites_json"), ("icsd", "icsd_id"),
+        )
+    )
+    sql["best_entry_oqmd"] = f"WITH {_ENTRY_LISTS} SELECT comp AS supercon_composition, {of_best} FROM best"
     sql["dedup_first"] = f"{tc} {ranked}"
     sql["distinct_compositions"] = f"{tc} SELECT DISTINCT composition FROM tc WHERE composition IS NOT NULL"
     sql["match_counts"] = f"""WITH {_ENTRY_LISTS} SELECT count(*) AS rows_total, count(*) FILTER (valid) AS oqmd_entry_id_present,
@@ -373,10 +389,9 @@ def oracle_sql() -> dict[str, str]:
     sql["evaluate_model"] = f"""{compare} SELECT count(*) AS n, round(avg(abs(y_true-y_pred)), 6) AS mae, round(sqrt(avg(pow(y_true-y_pred, 2))), 6) AS rmse,
       round(1 - sum(pow(y_true-y_pred, 2))/sum(pow(y_true-(SELECT avg(y_true) FROM t), 2)), 6) AS r2,
       round(avg(abs(y_true-b)), 6) AS baseline_mae, round(sqrt(avg(pow(y_true-b, 2))), 6) AS baseline_rmse FROM t"""
-    mode = "(SELECT '{c}' AS feature, {c} AS value FROM m WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
-    sql["impute_stats"] = f"""WITH {_MODEL} SELECT 'lattice_b_pg' AS feature, CAST(round(avg(lattice_b_pg), 6) AS VARCHAR) AS value FROM m
-      UNION ALL SELECT 'lattice_alpha_pg', CAST(round(avg(lattice_alpha_pg), 6) AS VARCHAR) FROM m
-      UNION ALL {mode.format(c='elements')} UNION ALL {mode.format(c='crystal_system_pg')}"""
+    mode = "(SELECT {c} FROM m WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_mode"
+    means = ", ".join(f"round(avg({c}), 6) AS {c}_mean" for c in _PREP)
+    sql["impute_stats"] = f"WITH {_MODEL} SELECT {means}, {mode.format(c='elements')}, {mode.format(c='crystal_system_pg')} FROM m"
     stats = ", ".join([f"round(avg({c}), 6) AS {c}_mean" for c in _PREP] + [f"round((SELECT stddev_pop(coalesce({c}, mu)) FROM m, (SELECT avg({c}) AS mu FROM m)), 6) AS {c}_std" for c in _PREP])
     sql["scale_stats"] = f"WITH {_MODEL} SELECT {stats} FROM m"
 
@@ -448,6 +463,22 @@ def oracle_sql() -> dict[str, str]:
         for c in _PREP
     )
     sql["numeric_prep"] = f"WITH {_MODEL}, {_split2('m', 'material_id')}, tr AS (SELECT * FROM parts WHERE split='train') SELECT material_id, {prep} FROM parts"
+    categories = lambda c, start: f"""{c}_f AS (SELECT material_id, split, coalesce({c}, (SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS v FROM parts),
+      {c}_d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 + {start} AS at FROM (SELECT DISTINCT v FROM {c}_f WHERE split = 'train'))"""
+    sql["categorical_prep"] = f"""WITH {_MODEL}, {_split2('m', 'material_id')}, tr AS (SELECT * FROM parts WHERE split='train'),
+      {categories('elements', 0)}, {categories('crystal_system_pg', '(SELECT count(*) FROM elements_d)')}
+      SELECT material_id, p.split, e.at AS elements_at, c.at AS crystal_system_pg_at,
+        CAST((SELECT count(*) FROM elements_d) + (SELECT count(*) FROM crystal_system_pg_d) AS INTEGER) AS width,
+        concat_ws(',', e.at, c.at) AS set
+      FROM parts p JOIN elements_f ef USING (material_id) JOIN crystal_system_pg_f cf USING (material_id)
+      LEFT JOIN elements_d e ON e.v = ef.v LEFT JOIN crystal_system_pg_d c ON c.v = cf.v"""
+    held_out = "SELECT CAST(ceil(0.2::DOUBLE*count(*)) AS BIGINT) AS n, true AS learned FROM part WHERE {where}"
+    for name in ("fit_gap_regressor", "fit_energy_regressor", "fit_metal_classifier"):
+        sql[name] = held_out.format(where="p_partkey%21<>0")
+    sql["fit_dos_regressor"] = held_out.format(where="p_partkey%3=0 AND p_partkey%6<>0")
+    sql["score_properties"] = """SELECT 'part-' || p_partkey AS material_id, true AS has_class, true AS probable, true AS gap_inside,
+      true AS energy_inside, true AS dos_for_metals FROM part"""
+    sql["model_save_load"] = "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_without_model FROM part"
     sql["structure_nodes"] = f"WITH {_EL}, {_SITES} SELECT id AS structure_id, CAST(i AS INTEGER) AS original_site_index, atomic_number, electronegativity FROM sites JOIN el USING (element)"
     sql["structure_edges"] = f"{geometry} SELECT {edge_columns} FROM edges"
     sql["graph_rows"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT * EXCLUDE (k) FROM whole"

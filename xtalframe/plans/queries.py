@@ -25,7 +25,7 @@ from xtalframe.operators import models as MO
 from xtalframe.operators import split as S
 from xtalframe.plans import derived as V
 from xtalframe.schemas import TC_TABLE, conform_schema, fields
-from xtalframe.session import shared_folder
+from xtalframe.session import shared_folder, stored
 from xtalframe.sources import tables as IO
 from xtalframe.streaming import ingest
 
@@ -422,9 +422,7 @@ def best_entry_mp_same_formula(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def best_entry_oqmd(spark: SparkSession, sf: str) -> DataFrame:
-    return C.best_entry_oqmd(V.entry_lists(spark, sf)).select(
-        "supercon_composition", "oqmd_entry_id", "oqmd_delta_e", "oqmd_stability"
-    )
+    return C.best_entry_oqmd(V.entry_lists(spark, sf), address=["row_file", "row_index"])
 
 
 @query
@@ -515,24 +513,19 @@ def baseline_compare(spark: SparkSession, sf: str) -> DataFrame:
     return _round(ME.baseline_compare(test, train), "model_mae", "model_rmse", "baseline_mae", "baseline_rmse")
 
 
-_PREP = ["density_pg", "volume_pg", "lattice_b_pg", "lattice_alpha_pg"]
-
-
 @query
 def impute_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of all numeric columns and the most frequent value of either
+    categorical one."""
     data = V.model_table(spark, sf)
-    means = MO.impute_stats(data, _PREP).select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.round(f"{c}_mean", 6).cast("string").alias("value")) for c in ("lattice_b_pg", "lattice_alpha_pg")])
-        ).alias("r")
-    ).select("r.*")
-    modes = [MO.most_frequent(data, c).select("feature", "value") for c in MO.CATEGORICAL]
-    return means.unionByName(modes[0]).unionByName(modes[1])
+    means = MO.impute_stats(data, MO.NUMERIC)
+    modes = {f"{c}_mode": MO.most_frequent(data, c).select("value").scalar() for c in MO.CATEGORICAL}
+    return _round(means, *means.columns).withColumns(modes)
 
 
 @query
 def scale_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = MO.scale_stats(V.model_table(spark, sf), _PREP)
+    stats = MO.scale_stats(V.model_table(spark, sf), MO.NUMERIC)
     return _round(stats, *stats.columns)
 
 
@@ -802,48 +795,74 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     return _round(features.drop("graph_nodes", "graph_edges", "formula_pretty"), *rounded, digits=8)
 
 
+def _model_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The model table with its split, stored: preparing, fitting and scoring
+    all read it."""
+    return stored(S.split_two_way(V.model_table(spark, sf), "material_id"), "model-table")
+
+
 @query
 def numeric_prep(spark: SparkSession, sf: str) -> DataFrame:
-    parts = S.split_two_way(V.model_table(spark, sf), "material_id")
-    out = MO.numeric_prep(parts, parts.where("split = 'train'"), _PREP)
-    return _round(out.select("material_id", *_PREP), *_PREP, digits=5)
+    parts = _model_parts(spark, sf)
+    out = MO.numeric_prep(parts, parts.where("split = 'train'"), MO.NUMERIC)
+    return _round(out.select("material_id", *MO.NUMERIC), *MO.NUMERIC, digits=5)
 
 
 @query
 def categorical_prep(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded vectors of the test rows: which position is set, none if unseen."""
-    parts = S.split_two_way(V.model_table(spark, sf), "material_id")
-    prep = MO.fit_preprocessor(parts.where("split = 'train'"), [], ["crystal_system_pg"])
-    encoded = prep.transform(parts.where("split = 'test'"))
-    return encoded.select("material_id", MO.vector_to_array("features").alias("v")).select(
-        "material_id", F.array_position("v", F.lit(1.0)).alias("position"), F.size("v").alias("width")
-    )
+    """The place that each row's categories set in the vector (none if not seen
+    in training), the vector's width, and the places that it sets."""
+    parts = _model_parts(spark, sf)
+    prep = MO.fit_preprocessor(parts.where("split = 'train'"), [])
+    vectors = prep.transform(prep.places(parts).withColumnsRenamed({f"{c}__at": f"{c}_at" for c in MO.CATEGORICAL}))
+    parts_of = F.from_json(F.to_json(F.struct("features")), "features struct<size int, indices array<int>>")["features"]
+    return vectors.select("material_id", "split", *[f"{c}_at" for c in MO.CATEGORICAL], parts_of["size"].alias("width"), F.array_join(parts_of["indices"], ",").alias("set"))
+
+
+def _learned(metrics: DataFrame, score: str, least: float) -> DataFrame:
+    """Forests are not SQL; that the model scores above a bound on held-out
+    rows, and on how many of them, is."""
+    return metrics.select(F.col("n"), (F.col(score) > least).alias("learned"))
 
 
 @query
 def fit_dos_regressor(spark: SparkSession, sf: str) -> DataFrame:
-    return MO.fit_dos_regressor(V.model_table(spark, sf))[2]
+    return _learned(MO.fit_dos_regressor(V.model_table(spark, sf))[2], "r2", 0.8)
 
 
 @query
 def fit_gap_regressor(spark: SparkSession, sf: str) -> DataFrame:
-    return MO.fit_main_regressor(V.model_table(spark, sf), "target_band_gap")[2]
+    return _learned(MO.fit_main_regressor(V.model_table(spark, sf), "target_band_gap")[2], "r2", 0.0)
 
 
 @query
 def fit_energy_regressor(spark: SparkSession, sf: str) -> DataFrame:
-    return MO.fit_main_regressor(V.model_table(spark, sf), "target_formation_energy")[2]
+    return _learned(MO.fit_main_regressor(V.model_table(spark, sf), "target_formation_energy")[2], "r2", 0.8)
 
 
 @query
 def fit_metal_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    return MO.fit_metal_classifier(V.model_table(spark, sf))[2]
+    return _learned(MO.fit_metal_classifier(V.model_table(spark, sf))[2], "accuracy", 0.5)
 
 
 @query
 def score_properties(spark: SparkSession, sf: str) -> DataFrame:
-    data = V.model_table(spark, sf)
-    return MO.score_properties(data, MO.fit_all(data))
+    """What holds for every row's predictions: a class with its probability,
+    values inside the range of the targets, a density of states for metals."""
+    data = stored(V.model_table(spark, sf), "model-table")
+    scored = MO.score_properties(data, MO.fit_all(data))
+    span = lambda c: data.select(F.struct(F.min(c).alias("low"), F.max(c).alias("high"))).scalar()
+    ranged = scored.withColumns({"gap": span("target_band_gap"), "energy": span("target_formation_energy")})
+    eps = 1e-9
+    inside = lambda c, r: F.col(c).between(F.col(f"{r}.low") - eps, F.col(f"{r}.high") + eps)
+    return ranged.select(
+        "material_id",
+        F.col("predicted_is_metal").isNotNull().alias("has_class"),
+        F.col("predicted_probability").between(0.5, 1.0).alias("probable"),
+        inside("predicted_band_gap", "gap").alias("gap_inside"),
+        inside("predicted_formation_energy", "energy").alias("energy_inside"),
+        (F.col("predicted_dos_at_fermi").isNotNull() == F.col("predicted_is_metal")).alias("dos_for_metals"),
+    )
 
 
 # --- graphs --------------------------------------------------------------------

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, **conf: str) -> SparkSession:
@@ -50,4 +50,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = _local_folder(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_application(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _application(spark: SparkSession) -> str:
+    return f"xtalframe-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write to the shared folder and read back, so that what several jobs need
+    is computed once and survives the executors that computed it."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Remove all that this application put into the shared folder. For the
+    owner of the application, when its results are stored elsewhere: tables
+    that were read from there can't be read any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{_application(spark)}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
