@@ -101,12 +101,67 @@ def test_a_batch_without_valid_rows_replaces_its_rows(spark):
 
 
 def test_network_scoring_shuffles(spark):
-    """Two joins and four aggregates: no left joins, edges shuffled once."""
+    """Messages are stored in buckets of their source node: a layer joins them as
+    they lie, and only sums by target node are shuffled."""
     nodes = spark.range(10).selectExpr("id % 3 as structure_id", "id as node", "1.0D as x0", "2.0D as x1")
     edges = nodes.selectExpr("structure_id", "node as source_node_index", "node + 3 as target_node_index", "1.5D as distance")
     weights = {"w1": [[1, 1], [1, 1]], "b1": [0, 0], "w2": [[1, 1], [1, 1]], "b2": [0, 0], "w_out": [1, 1], "b_out": 0}
-    text = plan(N.gcn_score(nodes, edges, ["x0", "x1"], weights))
-    assert "LeftOuter" not in text
-    assert len(re.findall(r"Join", text.split("== Initial Plan")[0])) <= 4
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(N.gcn_score(nodes, edges, ["x0", "x1"], weights)).split("== Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "LeftOuter" not in text and "Generate" not in text  # no edge is made here
+    assert len(re.findall(r"SortMergeJoin", text)) == 2
+    assert len(re.findall(r"Bucketed: true", text)) >= 2
+    exchanges = re.findall(r"Exchange (\w+)\(([^,)]*), ?([^,)]*)", text)
+    assert len(exchanges) == 4 and not any("node" in b for _, _, b in exchanges)
 
 
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The tables in twenty files each: more splits than cores."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    for name in ("orders", "events", "lineitem", "part"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(20).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+READS = {  # of the whole input, over all jobs of the query
+    "gcn_score": 1,
+    "neighbor_aggregate": 1,
+    "feature_table": 1,
+    "best_entry_mp": 2,
+    "union_splits": 2,
+    "numeric_prep": 2,
+    "split_three_way": 2,
+    "best_entry_oqmd": 2,
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_input_is_read_few_times(spark, many_files, name):
+    """Rows of the largest table that the query's stages read, counted by an
+    accumulator of Spark's own: the status of all its jobs."""
+    table = {"union_splits": "orders", "split_three_way": "orders", "numeric_prep": "part", "best_entry_oqmd": "lineitem"}.get(name, "orders")
+    seen = []
+    tracker = spark._jsparkSession.sharedState().statusStore()
+    before = tracker.executionsCount()
+    queries()[name](spark, many_files).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for k in range(before, tracker.executionsCount()):
+        execution = tracker.executionsList(k, 1).head()
+        graph = tracker.planGraph(execution.executionId())
+        metrics = tracker.executionMetrics(execution.executionId())
+        nodes = graph.allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            if not node.name().startswith("Scan parquet") or f"{many_files}/{table}.parquet" not in node.desc():
+                continue
+            for j in range(node.metrics().size()):
+                metric = node.metrics().apply(j)
+                if metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                    seen.append(int(str(metrics.apply(metric.accumulatorId())).replace(",", "").split(".")[0]))
+    rows = spark.read.parquet(f"{many_files}/{table}.parquet").count()
+    assert sum(seen) and round(sum(seen) / rows) <= READS[name], seen

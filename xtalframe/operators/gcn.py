@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xtalframe.session import stored_by
+
 NODE = ["structure_id", "node"]
 
 
@@ -38,35 +40,36 @@ def _with_loops(nodes: DataFrame, edges: DataFrame, features: Sequence[str], wei
     return along.unionAll(loops)
 
 
-def node_degrees(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> DataFrame:
-    """Nodes with ``inv_sqrt_deg``: degree is 1 for the self loop plus the
-    weights coming in. Nodes and edges go through one aggregate by (structure,
-    node), whose partitioning the next join needs as it is."""
+def graph_messages(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> DataFrame:
+    """Edges and loops, stored in buckets of the node they leave from. Nodes and
+    edges are read, and edges found, once for degrees and all layers; layers
+    join the buckets as they lie."""
+    return stored_by(_with_loops(nodes, edges, features, weighted), "messages", *NODE)
+
+
+def node_degrees(messages: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Nodes with their features and ``inv_sqrt_deg``: degree is 1 for the self
+    loop plus the weights coming in. One aggregate by (structure, node), whose
+    partitioning the next join needs as it is."""
     return (
-        _with_loops(nodes, edges, features, weighted)
-        .groupBy("structure_id", F.col("target").alias("node"))
+        messages.groupBy("structure_id", F.col("target").alias("node"))
         .agg(F.sum("weight").alias("_deg"), *[F.max(f).alias(f) for f in features], F.count_if(F.col("node") == F.col("target")).alias("_own"))
         .where("_own > 0")  # an edge to a node that isn't there has no node
         .select(*NODE, (1 / F.sqrt("_deg")).alias("inv_sqrt_deg"), *features)
     )
 
 
-def _messages(nodes: DataFrame, edges: DataFrame, weighted: bool) -> DataFrame:
-    """Edges and loops, partitioned by the node they leave from. Every layer
-    joins the same rows, so they are computed and shuffled once."""
-    return _with_loops(nodes, edges, [], weighted).repartition("structure_id", "node")
-
-
 def _propagate(nodes: DataFrame, messages: DataFrame, features: Sequence[str]) -> DataFrame:
     """One propagation for nodes that already carry ``inv_sqrt_deg``.
 
     out_i = s_i * sum_j w_ji * s_j * x_j over edges and the loop, s = deg^-1/2.
-    One join on the node a message leaves from, one aggregate by the node it
-    reaches; the loop brings that node's own s_i along.
+    One join on the node a message leaves from, where the messages lie, and one
+    aggregate by the node it reaches, whose partial sums are all that is
+    shuffled; the loop brings that node's own s_i along.
     """
     own = F.when(F.col("node") == F.col("target"), F.col("inv_sqrt_deg"))
     return (
-        messages.join(nodes, NODE)
+        messages.select(*NODE, "target", "weight").join(nodes, NODE)
         .groupBy("structure_id", F.col("target").alias("node"))
         .agg(
             F.max(own).alias("inv_sqrt_deg"),
@@ -82,8 +85,8 @@ def neighbor_aggregate(
 ) -> DataFrame:
     """One graph-convolution propagation with self loops and symmetric
     normalisation; ``weighted=False`` counts every edge as 1."""
-    degrees = node_degrees(nodes, edges, features, weighted)
-    return _propagate(degrees, _messages(nodes, edges, weighted), features).drop("inv_sqrt_deg")
+    messages = graph_messages(nodes, edges, features, weighted)
+    return _propagate(node_degrees(messages, features), messages, features).drop("inv_sqrt_deg")
 
 
 def graph_mean_pool(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -127,8 +130,8 @@ def gcn_score(
     travel with the nodes.
     """
     keep = [*NODE, "inv_sqrt_deg"]
-    messages = _messages(nodes, edges, weighted)
-    x = _propagate(node_degrees(nodes, edges, features, weighted), messages, features)
+    messages = graph_messages(nodes, edges, features, weighted)
+    x = _propagate(node_degrees(messages, features), messages, features)
     h, names = _linear(x, keep, features, weights["w1"], weights["b1"], "h", True)
     h = _propagate(h, messages, names)
     h, names = _linear(h, keep, names, weights["w2"], weights["b2"], "k", True)

@@ -68,44 +68,35 @@ def _assign(df: DataFrame, key: str, seed: int, cuts: Column, names: list[str])
     """Label rows by where their rank in digest order falls among the cuts.
 
     ``cuts`` is an array expression of cumulative sizes over a column ``_n``
-    (all rows). A bucket that no cut divides is labelled as a whole. Only the
-    rows of the one bucket holding a cut, about 1 in 65,536, are ranked.
+    (all rows). The key column is read once and its digests are stored; they
+    are counted by bucket, and only the bucket that a cut falls into, about 1 in
+    65,536 rows, is ranked to find the row that opens the next part. Those rows,
+    one for each cut, are the whole plan: labelling compares with them, so
+    whoever uses the split adds no shuffle and no further read.
     """
-    df = df.withColumn(key, _given(key))
-    digest = _digest(key, seed)
-    rows = df.withColumn("_digest", digest).withColumn(
-        "_bucket", F.substring("_digest", 1, _HEX_DIGITS)
-    )
-    counts = (
-        df.select(F.substring(digest, 1, _HEX_DIGITS).alias("_bucket"))
-        .groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-    )
-    # At most 16**4 rows from here on.
-    ordered = Window.orderBy("_bucket")
+    digests = stored(df.select(_given(key).alias("key"), _digest(key, seed).alias("digest")), "digests")
+    bucket = F.substring("digest", 1, _HEX_DIGITS)
+    counts = digests.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
+    # at most 16**4 rows from here on
+    ordered = Window.orderBy("bucket")
     plan = counts.select(
-        "_bucket",
-        (F.sum("_size").over(ordered) - F.col("_size")).alias("_start"),
-        F.sum("_size").over(ordered).alias("_end"),
-        F.sum("_size").over(Window.partitionBy()).alias("_n"),
-    ).withColumn("_cuts", cuts)
-    plan = plan.select(
-        "_bucket",
-        "_start",
-        "_cuts",
-        F.exists("_cuts", lambda c: (c > F.col("_start")) & (c < F.col("_end"))).alias("_divided"),
+        "bucket",
+        (F.sum("size").over(ordered) - F.col("size")).alias("start"),
+        F.sum("size").over(ordered).alias("end"),
+        F.sum("size").over(Window.partitionBy()).alias("_n"),
     )
-    placed = rows.join(F.broadcast(plan), "_bucket")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
-    whole = placed.where(~F.col("_divided")).withColumn("_rank", F.col("_start"))
-    divided = placed.where("_divided").withColumn("_rank", F.col("_start") + rank - 1)
-    passed = F.size(F.filter("_cuts", lambda c: c <= F.col("_rank")))
+    asked = plan.select("bucket", "start", "end", F.posexplode(cuts).alias("cut", "at")).where("at >= start AND at < end")
+    inside = digests.withColumn("bucket", bucket).join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi")
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("digest", "key")) - 1)
+    opening = ranked.join(F.broadcast(asked), "bucket").where("start + rank = at").select("cut", "digest", "key")
+    opens = {r["cut"]: r for r in opening.collect()}  # one row for each cut at most
+    digest = _digest(key, seed)
+    passed = F.lit(0)
+    for r in opens.values():  # a cut at the very end opens nothing
+        place, its_key = F.lit(r["digest"]), F.lit(r["key"])
+        passed = passed + F.when((digest > place) | ((digest == place) & (F.col(key) >= its_key)), 1).otherwise(0)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), passed + 1)
-    return (
-        whole.unionByName(divided)
-        .withColumn("split", label)
-        .drop("_digest", "_bucket", "_start", "_cuts", "_divided", "_rank")
-    )
+    return df.withColumn("split", label)
 
 
 def split_sizes(n: Column, train: float, val: float, test: float) -> tuple[Column, Column, Column]:
@@ -128,8 +119,8 @@ def split_three_way(
     """Add ``split`` (train / val / test) with exact sizes, repeatable by seed.
 
     ``key`` must be unique; null keys raise. Rows are ranked by a digest of seed and key, so
-    membership does not depend on partitioning or row order. One narrow
-    counting pass and one map-only pass over the rows.
+    membership does not depend on partitioning or row order. The key column is
+    read when this is called, and the rows once where the result is used.
     """
     if abs(train + val + test - 1.0) > 1e-9:
         warnings.warn(f"ratios {train}, {val}, {test} do not sum to 1", UserWarning, stacklevel=2)

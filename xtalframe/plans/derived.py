@@ -25,14 +25,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core some rows when the input has fewer splits than that.
-
-    A file of one row group is one split. Input of cluster size has more
-    splits than cores and passes through untouched.
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """A table as a store partitioned by its key delivers it: in as many hash
+    partitions as the session shuffles into, whatever its files look like. Plans
+    are the same at every size, and what reads the view twice shuffles it once.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _as_file(df: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def compositions(spark: SparkSession, sf: str, match: bool = True) -> DataFrame:
 def entries(spark: SparkSession, sf: str, match: bool = True) -> DataFrame:
     """Candidate entries with formula keys; energies tie often."""
     k = F.col("o_orderkey")
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    orders = by_key(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     base = orders.select(
         k.alias("row_id"),
         F.concat(F.lit("mp-"), k.cast("string")).alias("material_id"),
@@ -129,7 +127,7 @@ def set_queries(spark: SparkSession, sf: str) -> DataFrame:
 def set_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of the element-set database."""
     k = F.col("o_orderkey")
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    orders = by_key(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     return _as_file(orders.select(
         k.alias("entry_id"),
         F.array_sort(F.array_distinct(F.array(*_triple(F.col("o_custkey")), _symbol(k)))).alias(
@@ -209,7 +207,7 @@ def structures(spark: SparkSession, sf: str, columns: tuple[str, ...] = ()) -> D
             ).alias("frac"),
         ),
     )
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", *columns))
+    orders = by_key(table(spark, sf, "orders").select("o_orderkey", *columns), "o_orderkey")
     return _as_file(orders.select(k.alias("structure_id"), _cell(k).alias("cell"), sites.alias("sites"), *columns))
 
 

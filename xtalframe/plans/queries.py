@@ -600,7 +600,7 @@ def distinct_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def union_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the union of three splits, and of keys shared by any two."""
-    parts = S.split_three_way(V.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.6, 0.2, 0.2)
+    parts = stored(S.split_three_way(V.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.6, 0.2, 0.2), "splits")
     train, val, test = (parts.where(F.col("split") == s) for s in ("train", "val", "test"))
     merged = S.union_splits(train, val, test).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys")
