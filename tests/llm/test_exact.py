@@ -411,6 +411,35 @@ def test_linked_sets_share_a_tile(percent):
         assert set(keys[owners == 0]) & set(keys[owners == 1]), (small, large)
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    """The Thue-Morse word and its complement: equal under any polynomial hash
+    modulo 2**64."""
+    signs = [0]
+    for _ in range(10):
+        signs += [1 - x for x in signs]
+    a, b = ("".join("ab"[x ^ flip] for x in signs) for flip in (0, 1))
+    rows = [(1, a), (2, b), (3, a.upper()), (4, " ".join([a, b] * 20)), (5, " ".join([b, a] * 20) + " x")]
+    got = ngram_join.near_duplicates(frame(spark, rows), 1, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (2, 4), 5: (3, 5)}
+
+
+def test_sets_that_share_an_id_stay_apart(spark, vocab, monkeypatch):
+    """Ids of nine bits clash all the time; blocks of three sets cut every tile."""
+    rows = corpus(vocab, 120, 3)
+    want = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, rows), 4, 85).collect()}
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    got = ngram_join.near_duplicates(frame(spark, rows), 4, 85, id_bits=9).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < len(rows)
+
+
+def test_shared_shingles_need_both_hashes():
+    a = np.array([1, 2, 2, 5], np.uint64), np.array([1, 1, 2, 7], np.uint64)
+    b = np.array([1, 2, 5], np.uint64), np.array([1, 2, 8], np.uint64)
+    assert ngram_join.shared_count(a, b) == ngram_join.shared_count(b, a) == 2
+    c = np.array([1, 2, 5], np.uint64), np.array([9, 2, 7], np.uint64)
+    assert ngram_join.shared_count(b, c) == 1
+
+
 def test_jaccard_with_copies_without_id(spark):
     words = [f"w{k}" for k in range(100)]
     near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from xtalframe.llm.bloom import filter_bits, has, twice_filter
 from xtalframe.llm.common import Aside, text_key, texts, written
+from xtalframe.operators.skew import left_join
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 LINES_A_ROW = 64
+HOLDERS_A_TASK = 2000
 SUSPECTS = "doc_id long, text_key long, key binary, lines array<int>"
 
 
@@ -83,8 +85,9 @@ def repeated_lines(docs: DataFrame, least: int = 40, documents: int = 5, bits: i
         .where(F.col("n") >= documents)
         .select("key", "keeper")
     )
+    # a line that very many documents hold is spread over tasks
     return (
-        suspects.join(repeated, "key")
+        left_join(suspects, repeated, ["key"], "inner", share=HOLDERS_A_TASK)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("doc_id", "text_key", F.explode("lines").alias("line"))
         .groupBy("doc_id", "text_key")
@@ -131,6 +134,8 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the hash of the lines left of every row;
+    nulls, repeated rows and ties as in ``lines_left``."""
     _, rows = lines_left(docs, **options)
     return rows.select(
         "doc_id",

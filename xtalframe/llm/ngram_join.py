@@ -18,14 +18,16 @@ BAND_RATIO = 1.25
 BITMAP_BYTES = 256  # at least; more where a set has more elements than that has bits
 LEVELS = 4
 TILE = 2048
+KEYS_A_SET = 64  # tiles that a set lies in, about
+KEYS_A_BUCKET = 4_000_000
 MEMBERS_A_TASK = 500
 
 
 class Rule:
     """Shingles of ``words`` words; linked when 100 * both >= percent * either."""
 
-    def __init__(self, words: int, percent: int):
-        self.words, self.percent = words, percent
+    def __init__(self, words: int, percent: int, id_bits: int = 64):
+        self.words, self.percent, self.id_bits = words, percent, id_bits
         edges = [1]
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
@@ -45,42 +47,69 @@ class Rule:
         return math.ceil(1.5 * (d + 1)) + 2 if d else 0
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every row, by row and in order; and the row of
-    each. A text of fewer words is one shingle; one without words has none."""
-    words, rows = word_hashes(data, offsets)
-    n = len(words)
-    factors = mix(np.arange(1, k + 1, dtype=np.uint64))
-    full = max(0, n - k + 1)
-    h = np.full(full, k, np.uint64)
-    for j in range(k):
-        h += words[j : j + full] * factors[j]
-    ok = rows[:full] == rows[k - 1 : k - 1 + full]
-    out, at = mix(h[ok]), rows[:full][ok]
-    counts = np.bincount(rows, minlength=len(offsets) - 1)
-    short = (counts > 0) & (counts < k)
-    if short.any():
-        firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        which = np.flatnonzero(short)
-        sums = counts[which].astype(np.uint64)
-        for j in range(k - 1):
-            inside = counts[which] > j
-            sums[inside] += words[firsts[which[inside]] + j] * factors[j]
-        out, at = np.concatenate([out, mix(sums)]), np.concatenate([at, which])
-    order = np.lexsort((out, at))
-    out, at = out[order], at[order]
-    new = np.ones(len(out), bool)
-    new[1:] = (out[1:] != out[:-1]) | (at[1:] != at[:-1])
-    return out[new], at[new]
-
-
-def set_ids(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two 64-bit digests of every row's set."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of every row, by row and in order: two independent
+    64-bit hashes, which together stand for the shingle, and its row. A text of
+    fewer words is one shingle; one without words has none."""
+    both = []
+    for seed in (0, 1):
+        words, rows = word_hashes(data, offsets, seed=seed)
+        n = len(words)
+        factors = mix(np.arange(1, k + 1, dtype=np.uint64))
+        full = max(0, n - k + 1)
+        h = np.full(full, k, np.uint64)
+        for j in range(k):
+            h += words[j : j + full] * factors[j]
+        ok = rows[:full] == rows[k - 1 : k - 1 + full]
+        out, at = mix(h[ok]), rows[:full][ok]
+        counts = np.bincount(rows, minlength=len(offsets) - 1)
+        short = (counts > 0) & (counts < k)
+        if short.any():
+            firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+            which = np.flatnonzero(short)
+            sums = counts[which].astype(np.uint64)
+            for j in range(k - 1):
+                inside = counts[which] > j
+                sums[inside] += words[firsts[which[inside]] + j] * factors[j]
+            out, at = np.concatenate([out, mix(sums)]), np.concatenate([at, which])
+        both.append(out)
+    h, g = both
+    order = np.lexsort((h, at))
+    h, g, at = h[order], g[order], at[order]
+    same = (h[1:] == h[:-1]) & (at[1:] == at[:-1])
+    if (same & (g[1:] != g[:-1])).any():  # the first hash alone isn't enough
+        order = np.lexsort((g, h, at))
+        h, g, at = h[order], g[order], at[order]
+        same = (h[1:] == h[:-1]) & (at[1:] == at[:-1])
+    new = np.ones(len(h), bool)
+    new[1:] = ~same | (g[1:] != g[:-1])
+    return h[new], g[new], at[new]
+
+
+def shared_count(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two sets share, by both hashes."""
+    (ha, ga), (hb, gb) = a, b
+    if not len(ha) or not len(hb):
+        return 0
+    if (ha[1:] == ha[:-1]).any() or (hb[1:] == hb[:-1]).any():
+        return len(set(zip(ha.tolist(), ga.tolist())) & set(zip(hb.tolist(), gb.tolist())))
+    place = np.minimum(np.searchsorted(ha, hb), len(ha) - 1)
+    return int(((ha[place] == hb) & (ga[place] == gb)).sum())
+
+
+def set_ids(rule: Rule, h: np.ndarray, g: np.ndarray, at: np.ndarray, n: int, clashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, id and check of every row's set; id and check together, 128 bits,
+    stand for the set. Ids that other sets have too are in ``clashes``, one
+    array for each time that they were looked for; such sets get new ones."""
     sizes = np.bincount(at, minlength=n)
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     np.add.at(a, at, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    np.add.at(b, at, mix(h + np.uint64(0x632BE59BD9B4E019)))
-    return sizes, mix(a + sizes.astype(np.uint64)), b
+    np.add.at(b, at, mix(g + np.uint64(0x632BE59BD9B4E019)))
+    a, b = mix(a + sizes.astype(np.uint64)) >> np.uint64(64 - rule.id_bits), mix(b)
+    for number, known in enumerate(clashes):
+        hit = np.isin(a, known)
+        a[hit] = mix(a[hit] ^ mix(b[hit] + np.uint64(number)))
+    return sizes, a, b
 
 
 def bitmaps(h: np.ndarray, at: np.ndarray, n: int) -> list[bytes]:
@@ -151,14 +180,14 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+def document_sets(docs: DataFrame, rule: Rule, clashes: list[np.ndarray]) -> DataFrame:
     """doc_id, text_key, n, set_id, check of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in parts(batch, 2):
-                h, at = shingles(data, offsets, rule.words)
-                sizes, a, b = set_ids(h, at, part.num_rows)
+                h, g, at = shingles(data, offsets, rule.words)
+                sizes, a, b = set_ids(rule, h, g, at, part.num_rows, clashes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(1), _long(sizes), _long(a), _long(b)],
                     names=["doc_id", "text_key", "n", "set_id", "check"],
@@ -167,7 +196,20 @@ def document_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, n long, set_id long, check long")
 
 
-def tile_rows(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+def identified_sets(docs: DataFrame, rule: Rule) -> tuple[DataFrame, list[np.ndarray]]:
+    """``document_sets``, stored, with an id of its own for every set, and the
+    ids that had to be changed: of 10**10 sets some three pairs share 64 bits."""
+    clashes: list[np.ndarray] = []
+    while True:
+        nodes = written(document_sets(docs, rule, clashes), "document-sets")
+        twice = nodes.where("n > 0").groupBy("set_id").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
+        found = np.array([r[0] for r in twice.select("set_id").collect()], np.int64)  # a handful, if any
+        if not len(found):
+            return nodes, clashes
+        clashes = [*clashes, found.view(np.uint64)]
+
+
+def tile_rows(docs: DataFrame, rule: Rule, buckets: int, clashes: list[np.ndarray]) -> DataFrame:
     """bucket, rows: tile keys with the sets in them, packed.
 
     A set yields some tens of keys of twelve bytes; as rows of their own they
@@ -179,8 +221,8 @@ def tile_rows(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         done: set[int] = set()
         for batch in batches:
             for part, data, offsets in parts(batch, 2):
-                h, at = shingles(data, offsets, rule.words)
-                sizes, a, _ = set_ids(h, at, part.num_rows)
+                h, g, at = shingles(data, offsets, rule.words)
+                sizes, a, _ = set_ids(rule, h, g, at, part.num_rows, clashes)
                 take = np.zeros(part.num_rows, bool)
                 for k, s in enumerate(a.tolist()):
                     if s not in done:
@@ -255,7 +297,7 @@ def involved_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in parts(batch, 1):
-                h, at = shingles(data, offsets, rule.words)
+                h, _, at = shingles(data, offsets, rule.words)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -294,23 +336,22 @@ def exact_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, whose = np.zeros(0, np.uint64), None
+        current, whose = (np.zeros(0, np.uint64),) * 2, None
         for batch in batches:
             for part, data, offsets in parts(batch, 4):
-                h, at = shingles(data, offsets, rule.words)
+                h, g, at = shingles(data, offsets, rule.words)
                 ends = np.searchsorted(at, np.arange(part.num_rows + 1))
                 lows, salts, members, ids = (part.column(c).to_pylist() for c in range(4))
                 out: list[tuple[int, int]] = []
                 for k in range(part.num_rows):
-                    mine = h[ends[k] : ends[k + 1]]
+                    mine = h[ends[k] : ends[k + 1]], g[ends[k] : ends[k + 1]]
                     if not members[k]:
                         current, whose = mine, (lows[k], salts[k])
                         continue
                     if whose != (lows[k], salts[k]):
                         raise ValueError(f"set {lows[k]} has members to compare but no text")
-                    place = np.minimum(np.searchsorted(current, mine), max(len(current) - 1, 0))
-                    both = int((current[place] == mine).sum()) if len(current) and len(mine) else 0
-                    if both and rule.linked(both, len(current), len(mine)):
+                    both = shared_count(current, mine)
+                    if both and rule.linked(both, len(current[0]), len(mine[0])):
                         out.append((lows[k], ids[k]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())],
@@ -322,40 +363,48 @@ def exact_links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def cross_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule, every: bool) -> DataFrame:
     """Pairs of sets that share a tile, hang together by no link so far, and
-    whose bitmaps allow enough overlap; for each two components in a tile one
-    pair, or ``every`` pair.
+    whose bitmaps allow enough overlap; for each two components in a part of a
+    tile one pair, or ``every`` pair.
 
     Each bit that one bitmap has and the other lacks is an element that the
-    other set lacks: bit counts bound the overlap from above.
+    other set lacks: bit counts bound the overlap from above. A tile is dealt
+    into blocks of about ``TILE`` sets, and every two blocks are a part of their
+    own: a tile of any size spreads over tasks, and none holds more than two
+    blocks of it.
     """
-    named = tiles.select("tile", "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn(
+    named = tiles.select("tile", "n", "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn(
         "root", F.coalesce("root", "set_id")
     )
     mixed = named.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile")
+    blocks = F.ceil(F.col("n") / TILE)
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    held = named.select("tile", "set_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id", F.lit(3)), blocks).alias("block"))
     rows = (
-        named.join(mixed, "tile")
+        held.join(mixed, "tile")
+        .select("tile", "set_id", "root", "block", F.explode(other).alias("other"))
+        .select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).alias("right"), "set_id", "root")
         .join(sets.select("set_id", "n", "bits"), "set_id")
-        .select("tile", "set_id", "root", "n", "bits")
-        .repartition("tile")
-        .sortWithinPartitions("tile")
+        .repartition("tile", "x", "y")
+        .sortWithinPartitions("tile", "x", "y")
     )
 
-    def compare(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    def compare(right: np.ndarray, within: bool, ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
         found, best = [], {}
-        for a in range(0, len(ids), TILE):
-            for b in range(a, len(ids), TILE):
-                x, y = slice(a, a + TILE), slice(b, b + TILE)
+        left, other = (np.arange(len(ids)),) * 2 if within else (np.flatnonzero(~right), np.flatnonzero(right))
+        for a in range(0, len(left), TILE):
+            for b in range(0, len(other), TILE):
+                x, y = left[a : a + TILE], other[b : b + TILE]
                 i, j = np.nonzero(roots[x, None] != roots[None, y])
-                i, j = i + a, j + b
-                keep = i < j
-                i, j = i[keep], j[keep]
+                i, j = x[i], y[j]
+                if within:
+                    keep = i < j
+                    i, j = i[keep], j[keep]
                 i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in zip(*_bounded(i, j, n, bits)))
-                found += list(zip(i, j))
+                found += list(zip(i.tolist(), j.tolist()))
         if every:
             return [tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in found]
         for i, j in found:
-            p, q = (i, j) if ids[i] < ids[j] else (j, i)
-            best.setdefault(tuple(sorted((roots[i], roots[j]))), (int(ids[p]), int(ids[q])))
+            best.setdefault(tuple(sorted((roots[i], roots[j]))), tuple(sorted((int(ids[i]), int(ids[j])))))
         return list(best.values())
 
     def _bounded(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
@@ -372,27 +421,31 @@ def cross_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule,
             yield a[ok], b[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tiles_of() -> Iterator[pa.Table]:
+        def key_of(t: pa.Table) -> np.ndarray:
+            return np.stack([t.column(c).to_numpy() for c in ("tile", "x", "y")], 1)
+
+        def whole_parts() -> Iterator[pa.Table]:
             rest = None
             for batch in batches:
                 t = pa.Table.from_batches([batch])
                 rest = t if rest is None else pa.concat_tables([rest, t])
-                key = rest.column("tile").to_numpy()
-                if len(key) and key[0] != key[-1]:
-                    cut = int(np.searchsorted(key, key[-1]))
+                key = key_of(rest)
+                if len(key) and (key[0] != key[-1]).any():
+                    cut = len(key) - int((key[::-1] != key[-1]).any(1).argmax())
                     yield rest.slice(0, cut)
                     rest = rest.slice(cut)
             if rest is not None and rest.num_rows:
                 yield rest
 
-        for table in tiles_of():
-            key = table.column("tile").to_numpy()
+        for table in whole_parts():
+            key = key_of(table)
             ids, roots_, n = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
+            right = table.column("right").to_numpy(zero_copy_only=False)
             bits = table.column("bits").to_pylist()
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             out: list[tuple[int, int]] = []
             for s, e in zip(starts, [*starts[1:], len(key)]):
-                out += compare(ids[s:e], roots_[s:e], n[s:e], folded(bits[s:e]))
+                out += compare(right[s:e], key[s, 1] == key[s, 2], ids[s:e], roots_[s:e], n[s:e], folded(bits[s:e]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())],
                 names=["low", "set_id"],
@@ -401,7 +454,7 @@ def cross_pairs(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule,
     return rows.mapInArrow(run, "low long, set_id long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_bits: int = 64) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and root (a set that names the
     component; null without words) of every row.
 
@@ -411,21 +464,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with; then, for what hangs together by no link yet, one
     possible pair of every two components in a tile; then every such pair.
     Pairs inside a component need no test, which keeps thousands of near copies
-    from being multiplied out. Every link is decided by exact intersection.
+    from being multiplied out. Every link is decided by exact intersection;
+    shingles are told apart by 128 bits of two hashes, sets by 128 bits as well.
 
     Texts without words, null ones too, are linked with nothing, not even with
     each other: component_id is their own doc_id. Repeated rows fall together.
-    Rows without doc_id never name a component that has another row.
+    Rows without doc_id never name a component that has another row. Very long
+    texts take some hundred bytes for each word. Columns besides doc_id and text
+    are not looked at. An empty table has no rows.
     """
     spark = docs.sparkSession
-    rule = Rule(words, percent)
+    rule = Rule(words, percent, id_bits)
     read = texts(docs).select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("data"))
-    nodes = written(document_sets(read, rule), "document-sets")
-    clash = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets share a 64-bit id")))
-    chosen = nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), clash.alias("clash"))
+    nodes, clashes = identified_sets(read, rule)
+    chosen = nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = written(shared_tiles(tile_rows(read, rule, buckets), buckets), "shared-tiles")
+    # a bucket is held whole by a task: their number follows the data
+    sets_read = nodes.agg(F.approx_count_distinct("set_id")).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets_read * KEYS_A_SET // KEYS_A_BUCKET)
+    tiles = written(shared_tiles(tile_rows(read, rule, buckets, clashes), buckets), "shared-tiles")
     members = tiles.select("set_id").distinct()
     # a doc_id may come with several texts; one row of the set is enough
     wanted = (
@@ -448,7 +505,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         roots = components(links)
 
     # the smallest doc_id of a component, over all rows of all its sets
-    classes = chosen.where(F.col("clash").isNull()).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    classes = chosen.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     classes = classes.withColumn("root", F.coalesce("root", "set_id"))
     names = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = classes.join(names, "root").select("set_id", "root", "component_id")

@@ -16,7 +16,7 @@ from xtalframe.llm.bloom import filter_bits, has, twice_filter
 from xtalframe.llm.common import text_key, texts, written
 from xtalframe.llm.textbytes import mix, parts, prefix_hashes
 
-NAMES = ("row", "start", "extra", "offset", "anchor", "segment")
+NAMES = ("row", "anchor", "start", "extra", "offset")
 GRAM = 32
 ANCHORS_A_ROW = 128
 BATCH_SYMBOLS = 60_000  # strings merged together; one group, of HOT strings at most, may be larger
@@ -30,13 +30,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     The anchor of a window is its ``GRAM``-byte string of least hash (the
     leftmost of equals), so equal windows have equal anchors at equal places.
     Windows in a row that share an anchor form a segment: row, start, extra
-    (its windows start at start .. start + extra), the anchor's offset from start,
-    the anchor's hash and the hash of the whole segment.
+    (its windows start at start .. start + extra), the anchor's offset from start
+    and the anchor's hash. The hash chooses what is compared; it decides nothing.
     """
     n, w = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return {k: none.astype(np.uint64) if k in ("anchor", "segment") else none for k in NAMES}
+        return {k: none.astype(np.uint64) if k == "anchor" else none for k in NAMES}
     sums, down = prefix_hashes(data)
     value = (sums[GRAM:] - sums[: n + 1 - GRAM]) * down[: n + 1 - GRAM]
     bits = np.uint64(int(n).bit_length())
@@ -55,29 +55,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     last = room.copy()
     last[:-1] &= ~room[1:] | (place[1:] != place[:-1])
     start, end = np.flatnonzero(first), np.flatnonzero(last)
-    hashed = lambda at: mix((sums[at + length] - sums[at]) * down[at])
     extra, at = end - start, place[start]
     row = np.searchsorted(offsets, start, "right") - 1
-    shape = (extra << 32 | (at - start)).astype(np.uint64)
     return {
         "row": row,
         "start": start - offsets[row],
         "extra": extra,
         "offset": at - start,
         "anchor": mix(value[at]),
-        "segment": mix(hashed(start) * np.uint64(3) + mix(hashed(end) ^ mix(shape))),
     }
 
 
 def block_codes(symbols: np.ndarray, ahead, width: int) -> np.ndarray:
-    """Dense code of the ``width`` symbols from every place on, round its string."""
-    h = np.zeros(len(symbols), np.uint64)
-    factors = mix(np.arange(1, width + 1, dtype=np.uint64))
-    spread = mix(symbols.astype(np.uint64))
-    for j in range(width):
-        h += spread[ahead(j)] * factors[j]
-    distinct, code = np.unique(h, return_inverse=True)
-    return code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+    """Dense code of the ``width`` symbols from every place on, round its string:
+    codes of two halves are paired and made dense again, so no two blocks fall
+    together."""
+    known: dict[int, np.ndarray] = {}
+
+    def code(w: int) -> np.ndarray:
+        if w not in known:
+            if w == 1:
+                pairs = symbols
+            else:
+                left, right = code(w // 2), code(w - w // 2)
+                pairs = left * (int(right.max(initial=0)) + 1) + right[ahead(w // 2)]
+            known[w] = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        return known[w]
+
+    out = code(width)
+    return out.astype(np.uint16 if out.max(initial=0) < 1 << 16 else np.uint32)
 
 
 def repeated_intervals(strings: list[np.ndarray], depth: int, shards: int = 4, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -130,19 +136,26 @@ def repeated_intervals(strings: list[np.ndarray], depth: int, shards: int = 4, m
     return merged, interval
 
 
-# A segment's place in one number: start, extra windows, the anchor's offset,
-# whether it is the first of its content in the row, bits of the text's hash.
-# Fixed widths: 31, 7, 7, 1 and 17 bits; extra and offset are below ``length``.
-def pack(start, extra, offset, lead, mark) -> np.ndarray:
-    return (start << 32) | (extra << 25) | (offset << 18) | (lead.astype(np.int64) << 17) | mark
+# A segment's place in one number: start, extra windows, the anchor's offset and
+# whether it is the first of its content in the row. Extra and offset are below
+# ``length``, which takes seven bits.
+def pack(start, extra, offset, lead) -> np.ndarray:
+    return (start << 15) | (extra << 8) | (offset << 1) | lead.astype(np.int64)
 
 
-def _mark(key):
-    return F.col(key).bitwiseAND(F.lit((1 << 17) - 1))
+def content(data: np.ndarray, offsets: np.ndarray, found: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each segment's bytes and its shape."""
+    view = memoryview(data)
+    at = offsets[found["row"]] + found["start"]
+    digest = xxhash.xxh3_128_digest
+    cuts = zip(at.tolist(), (at + found["extra"] + length).tolist(), (found["extra"] << 7 | found["offset"]).tolist())
+    both = np.frombuffer(b"".join([digest(view[a:b], shape) for a, b, shape in cuts]), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def occurrences(read: DataFrame, bitmap: np.ndarray, bits: int, length: int) -> DataFrame:
-    """anchor, segment, doc, place of the segments whose anchor the filter has."""
+    """anchor, segment, check, doc, mark, place of the segments whose anchor the
+    filter has; segment and check together stand for the content."""
     shared = read.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,25 +163,20 @@ def occurrences(read: DataFrame, bitmap: np.ndarray, bits: int, length: int) ->
             for part, data, offsets in parts(batch, 2):
                 found = anchors(data, offsets, length)
                 take = has(shared.value, found["anchor"], bits)
-                row, anchor, segment, start, extra, offset = (
-                    found[k][take] for k in ("row", "anchor", "segment", "start", "extra", "offset")
-                )
-                order = np.lexsort((start, segment, row))
+                found = {k: v[take] for k, v in found.items()}
+                row, anchor, start, extra, offset = (found[k] for k in NAMES)
+                segment, check = content(data, offsets, found, length)
+                order = np.lexsort((start, check, segment, row))
                 lead = np.ones(len(row), bool)
-                same = (row[order][1:] == row[order][:-1]) & (segment[order][1:] == segment[order][:-1])
+                same = (row[order][1:] == row[order][:-1]) & (segment[order][1:] == segment[order][:-1]) & (check[order][1:] == check[order][:-1])
                 lead[order[1:][same]] = False
                 doc, mark = (part.column(c).to_numpy()[row] for c in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(segment.view(np.int64)),
-                        pa.array(doc),
-                        pa.array(pack(start, extra, offset, lead, mark)),
-                    ],
-                    names=["anchor", "segment", "doc", "place"],
-                )
+                columns = (anchor.view(np.int64), segment, check, doc, mark, pack(start, extra, offset, lead))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return read.mapInArrow(run, "anchor long, segment long, doc long, place long")
+    schema = "anchor long, segment long, check long, doc long, mark long, place long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    return read.mapInArrow(run, schema)
 
 
 def packed(read: DataFrame) -> DataFrame:
@@ -178,9 +186,9 @@ def packed(read: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             data = pa.array([pack(t.as_py()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], names=["doc", "mark", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, batch.column(3)], names=["doc", "mark", "data", "doc_id"])
 
-    return read.mapInArrow(run, "doc long, mark long, data binary")
+    return read.mapInArrow(run, "doc long, mark long, data binary, doc_id long")
 
 
 def unpacked(data: bytes) -> bytes:
@@ -188,23 +196,24 @@ def unpacked(data: bytes) -> bytes:
 
 
 def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """key, doc, mark, start, windows, at, string: of every wanted segment the
-    windows with more context after the anchor, and those with more before it.
+    """key, check, doc, mark, start, windows, at, string: of every wanted segment
+    the windows with more context after the anchor, and those with more before it.
 
     All windows of a piece hold the anchor and half of the other bytes on one
-    side; that stretch is the key, and stands in the string as one symbol.
+    side; that stretch, told by the 128 bits of key and check, stands in the
+    string as one symbol.
     """
     half = (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "mark", "start", "windows", "at", "string"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        names = ["key", "check", "doc", "mark", "start", "windows", "at", "string"]
+        kinds = [pa.int64()] * 7 + [pa.binary()]
         for batch in batches:
             out = []
             for doc, mark, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 text = unpacked(text)
                 for place in places:
-                    start, extra, offset = place >> 32, place >> 25 & 127, place >> 18 & 127
+                    start, extra, offset = place >> 15, place >> 8 & 127, place >> 1 & 127
                     text_of = text[start : start + extra + length]
                     split = max(0, offset - half)  # windows before it have more bytes before the anchor
                     for first, end, key_at in ((0, split, offset - half), (split, extra + 1, offset)):
@@ -214,10 +223,11 @@ def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         part = text_of[first : end - 1 + length]
                         at = key_at - first
                         key = part[at : at + GRAM + half]
-                        side = key_at == offset
+                        digest = xxhash.xxh3_128_intdigest(key, seed=key_at == offset)
                         out.append(
                             (
-                                xxhash.xxh3_64_intdigest(key, seed=side) - (1 << 63),
+                                (digest >> 64) - (1 << 63),
+                                (digest & (1 << 64) - 1) - (1 << 63),
                                 doc,
                                 mark,
                                 start + first,
@@ -226,13 +236,13 @@ def pieces(read: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                                 part[:at] + part[at + GRAM + half :],
                             )
                         )
-            columns = list(zip(*out)) or [()] * 7
+            columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     asked = wanted.groupBy("doc", "mark").agg(F.collect_list("place").alias("places"))
     joined = packed(read).join(asked, ["doc", "mark"]).select("doc", "mark", "data", "places")
     return joined.mapInArrow(
-        run, "key long, doc long, mark long, start long, windows long, at long, string binary"
+        run, "key long, check long, doc long, mark long, start long, windows long, at long, string binary"
     )
 
 
@@ -245,9 +255,10 @@ def hot_windows(found: DataFrame, length: int, hot: int) -> DataFrame:
     are few, and joined by broadcast; a join by key would gather their rows.
     """
     rest = length - GRAM - (length - GRAM) // 2
-    same = ["key", "side", "content"]
+    same = ["key", "check", "side", "content"]
     windows = found.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1))).select(
         "key",
+        "check",
         (F.col("at") - F.col("k")).alias("side"),
         F.substr("string", (F.col("k") + 1).cast("int"), F.lit(rest)).alias("content"),
         "doc",
@@ -281,8 +292,10 @@ def repeated_windows(found: DataFrame, length: int) -> DataFrame:
     rows = cool.join(keys.where(F.col("n") <= HOT).select("key"), "key").repartition("key").sortWithinPartitions("key")
 
     def resolve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, doc, mark, start, windows, at = (t.column(c).to_numpy() for c in ("key", "doc", "mark", "start", "windows", "at"))
-        number = np.unique(key, return_inverse=True)[1]
+        key, check, doc, mark, start, windows, at = (
+            t.column(c).to_numpy() for c in ("key", "check", "doc", "mark", "start", "windows", "at")
+        )
+        number = np.unique(np.stack([key, check], 1), axis=0, return_inverse=True)[1].reshape(-1)
         strings = []
         for k, s in enumerate(t.column("string").to_pylist()):
             b, a = np.frombuffer(s, np.uint8).astype(np.int64), int(at[k])
@@ -340,8 +353,8 @@ def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     1. Every window lies in a segment around its anchor. Segments whose anchor
        a Bloom pair has seen twice are looked at; the filter's size follows the
        number of rows up to a bound, and only what is looked at depends on it.
-    2. Equal segments fall together by their hash: all but the earliest are
-       repeats as a whole, whatever number of documents holds them.
+    2. Equal segments fall together by 128 bits of their bytes: all but the
+       earliest are repeats as a whole, whatever number of documents holds them.
     3. Earliest segments that share an anchor with a different one are cut into
        pieces by more context, and the Burrows-Wheeler transforms of the pieces
        that still share it are merged; intervals of ``length`` bytes give the
@@ -350,10 +363,10 @@ def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """
     read = texts(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        text_key().alias("key"),
+        text_key().alias("mark"),
         F.col("text").cast("binary").alias("data"),
+        F.col("doc_id").cast("long").alias("doc_id"),
     )
-    read = read.select("doc", _mark("key").alias("mark"), "data")
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, data, offsets in parts(batch, 2):
@@ -361,20 +374,20 @@ def repeats(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
 
     bits = filter_bits(docs.count() * ANCHORS_A_ROW)
     found = written(occurrences(read, twice_filter(read, bits, hashes), bits, length), "segments")
+    whole_of = ["segment", "check"]
     contents = written(
-        found.groupBy("anchor", "segment").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "contents"
+        found.groupBy("anchor", *whole_of).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "contents"
     )
     mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("mixed"))
     looked = contents.join(mixed, "anchor", "left").where("n > 1 or mixed")
-    start, extra = F.shiftright("place", 32), F.shiftright("place", 25).bitwiseAND(F.lit(127))
-    lead = F.shiftright("place", 17).bitwiseAND(F.lit(1)) == 1
-    mark = F.col("place").bitwiseAND(F.lit((1 << 17) - 1)).alias("mark")
-    each = found.join(looked.select("segment", "first", "mixed"), "segment").select(
-        "doc", "place", (lead & (F.col("doc") == F.col("first"))).alias("earliest"), "mixed"
+    start, extra = F.shiftright("place", 15), F.shiftright("place", 8).bitwiseAND(F.lit(127))
+    lead = F.col("place").bitwiseAND(F.lit(1)) == 1
+    each = found.join(looked.select(*whole_of, "first", "mixed"), whole_of).select(
+        "doc", "mark", "place", (lead & (F.col("doc") == F.col("first"))).alias("earliest"), "mixed"
     )
     each = written(each.where("not earliest or mixed"), "segment-verdicts")
-    whole = each.where("not earliest").select("doc", mark, start.alias("start"), (start + extra + length).alias("end"))
-    wanted = each.where("earliest and mixed").select("doc", mark, "place").distinct()
+    whole = each.where("not earliest").select("doc", "mark", start.alias("start"), (start + extra + length).alias("end"))
+    wanted = each.where("earliest and mixed").select("doc", "mark", "place").distinct()
     cut = written(pieces(read, wanted, length), "segment-pieces")
     spans = whole.unionByName(repeated_windows(cut, length))
     return read, spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -387,12 +400,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     A byte goes if a ``length``-byte string over it also starts earlier: in a
     smaller doc_id, or further to the front of the same document. Null and
     short texts lose nothing. Rows that repeat a doc_id count as the same
-    document at the same places, so equal rows keep what one alone would; rows
-    with other texts under one doc_id are told apart by 17 bits of a hash.
-    Rows without doc_id come last.
+    document at the same places, so equal rows keep what one alone would; texts
+    under one doc_id are told apart by a 64-bit hash. Rows without doc_id come
+    last. Very long texts take some ninety bytes of a worker for each byte.
+    Columns besides doc_id and text are not looked at. An empty table has no rows.
     """
     read, spans = repeats(docs, length)
-    named = packed(read).join(spans, ["doc", "mark"], "left").select("doc", "data", "spans")
+    named = packed(read).join(spans, ["doc", "mark"], "left").select("doc_id", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,10 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return named.mapInArrow(run, schema).select(
-        F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
-    )
+    return named.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

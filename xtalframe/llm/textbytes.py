@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))  # fixed seed: the same hashes in every worker
 BYTE_VALUES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -93,13 +94,37 @@ def word_bounds(
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 512
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every stretch of bytes, eight bytes a step. Every step
+    mixes all bits, so no family of stretches falls together, as it does with
+    sums of powers; other seeds give independent hashes."""
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))  # eight bytes from every place on
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D & (1 << 64) - 1))
+    short = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = starts[short], size[short]
+    while len(short):
+        lane = words[at] & _MASKS[np.minimum(left, 8)]
+        h[short] = mix((h[short] ^ lane) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(0x632BE59BD9B4E019))
+        more = np.flatnonzero(left > 8)
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return h
+
+
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES, seed: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word with A-Z lowered, and its row."""
     starts, ends, rows = word_bounds(data, offsets, between)
-    sums, down = prefix_hashes(LOWER[data])
-    return mix((sums[ends] - sums[starts]) * down[starts]), rows
+    return range_hashes(LOWER[data], starts, ends, seed), rows
 
 
 def hash_of_word(word: bytes) -> np.uint64:
