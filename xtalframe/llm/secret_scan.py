@@ -6,6 +6,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,10 +55,11 @@ def _weak(text: str, base: list[Span]) -> list[Span]:
     """Candidates too weak to report alone."""
     covered = sorted((a, b) for a, b, _ in base)
     starts = [a for a, _ in covered]
+    furthest = list(accumulate((b for _, b in covered), max))  # end of all up to each place
 
     def free(a: int, b: int) -> bool:
         k = bisect_left(starts, b)
-        return all(y <= a for _, y in covered[max(0, k - 3) : k])
+        return not k or furthest[k - 1] <= a
 
     ends = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
     urls = [a for a, _, _ in ends]
@@ -78,14 +80,15 @@ def _weak(text: str, base: list[Span]) -> list[Span]:
     return ends + [s for s in ids if free(s[0], s[1])] + keys
 
 
-def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
+def linked_spans(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
     """Weak candidates with a complementary part in the same scope.
 
-    A scope is a stretch of text without a blank line, and the parts stand at
-    most ``reach`` code points apart. Identifiers and endpoints complement
-    secrets, and the other way round. Interval join by nearest neighbours: for
-    each candidate the nearest complementary interval on either side decides,
-    so the work is n log n and no pairs are built.
+    A scope is a stretch of text without a blank line; with ``reach`` the parts
+    also stand at most so many code points apart. Identifiers and endpoints
+    complement secrets, and the other way round. Interval join by nearest
+    neighbours: no span crosses a line, so for each candidate the complementary
+    spans next to it on either side, and the one that ends last before it,
+    decide; the work is n log n and no pairs are built.
     """
     weak = _weak(text, base)
     if not weak:
@@ -96,26 +99,17 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     for s in sorted(base + weak):
         sides[role[s[2]]].append(s)
     starts = {k: [s[0] for s in v] for k, v in sides.items()}
-    # furthest end up to each place: the nearest interval before may not be the last to start
-    reaches = {}
-    for k, v in sides.items():
-        far, best = [], (-1, -1)
-        for a, b, _ in v:
-            best = max(best, (b, a))
-            far.append(best)
-        reaches[k] = far
+    reaches = {k: list(accumulate(((b, a) for a, b, _ in v), max)) for k, v in sides.items()}
 
     def near(a: int, b: int, side: str) -> bool:
         k = bisect_left(starts[side], a)
-        found = []
+        found = [s[:2] for s in sides[side][max(0, k - 1) : k + 1]]
         if k:
-            found.append((reaches[side][k - 1][1], reaches[side][k - 1][0]))
-        if k < len(starts[side]):
-            found.append(sides[side][k][:2])
-        for x, y in found:
-            if max(x - b, a - y) <= reach and bisect_left(breaks, min(a, x)) == bisect_left(breaks, max(a, x)):
-                return True
-        return False
+            found.append(reaches[side][k - 1][::-1])
+        return any(
+            (reach is None or max(x - b, a - y) <= reach) and bisect_left(breaks, min(a, x)) == bisect_left(breaks, max(a, x))
+            for x, y in found
+        )
 
     other = {"secret": "part", "part": "secret"}
     return [s for s in weak if near(s[0], s[1], other[role[s[2]]])]
@@ -126,7 +120,7 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], order[s[2]], s[1])))
 
 
-def scan_text(text: str, reach: int) -> tuple:
+def scan_text(text: str, reach: int | None = None) -> tuple:
     base = base_spans(text)
     linked = linked_spans(text, base, reach)
     n = {k: 0 for k in KINDS}
@@ -145,7 +139,7 @@ def scan_text(text: str, reach: int) -> tuple:
     )
 
 
-def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """Secrets of every whole text, one row per input row.
 
     Base patterns report by themselves. Weak candidates (named identifiers,
@@ -154,7 +148,10 @@ def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     within a text, so it runs beside the scan: no shuffle, nothing to skew.
 
     Null and empty texts have no spans (``base_sha256`` of the empty string);
-    repeated rows and null doc_ids are rows of their own.
+    repeated rows and null doc_ids are rows of their own. Spans that start alike
+    are listed by kind, then by end. Very long texts take memory in proportion
+    to their spans. Columns besides doc_id and text are not looked at. An empty
+    table has no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
