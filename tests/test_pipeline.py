@@ -21,6 +21,7 @@ from xtalframe.operators import metrics as ME
 from xtalframe.operators import models as MO
 from xtalframe.operators import split as S
 from xtalframe.session import shared_folder
+from xtalframe.sources import graphs as GR
 from xtalframe.sources import tables as IO
 
 
@@ -174,14 +175,42 @@ def test_graph_dataset(spark):
     assert got["Unknown_ID_2"]["edge_attr"] == [[pytest.approx(math.sqrt(4.25))]]
     assert got["Unknown_ID_2"]["x"] == [[12.0, pytest.approx(1.31)], [8.0, pytest.approx(3.44)]]
     assert math.isnan(got["Unknown_ID_4"]["y"][0])
-    sized = graphs.join(S.split_three_way(graphs.select("material_id"), "material_id", 0.4, 0.3, 0.3), "material_id")
+    tables = GD.graph_tables(rows)
     folder = shared_folder(spark, "graphs")
-    IO.sink_graph_dataset(sized, folder)
-    assert [IO.scan_graph_dataset(spark, folder, s).count() for s in ("train", "val", "test")] == [1, 1, 1]
-    plan = IO.scan_graph_dataset(spark, folder, "val")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(split" in plan
+    GR.sink_graph_dataset(tables, S.split_three_way(graphs.select("material_id"), "material_id", 0.4, 0.3, 0.3), folder)
+    assert [GR.scan_graph_dataset(spark, folder, s).graphs.count() for s in ("train", "val", "test")] == [1, 1, 1]
+    for table in GR.scan_graph_dataset(spark, folder, "val"):
+        assert "PartitionFilters: [isnotnull(split" in table._jdf.queryExecution().executedPlan().toString()
+    back = {r["material_id"]: r for r in GD.nested_graphs(GR.scan_graph_dataset(spark, folder)).drop("split").collect()}
+    assert str(sorted(back.items())) == str(sorted(got.items()))  # NaN too
+    one = GR.scan_graph(spark, folder, "Unknown_ID_1")
+    assert one.graphs.first()["num_edges"] == one.edges.count() == 1 and one.nodes.count() == 2
+    assert "PartitionFilters: [isnotnull(part" in one.edges._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="no graphs"):
-        IO.scan_graph_dataset(spark, folder, "absent")
+        GR.scan_graph_dataset(spark, folder, "absent")
+
+
+def test_ten_million_edges_of_one_graph(spark):
+    """One graph beside small ones: stored in many files, each a bounded stretch
+    of its nodes, and read back without a row that holds it."""
+    n = 10_000_000
+    node = lambda df: df.select(F.col("id").alias("node"), F.lit(26).alias("atomic_number"), F.lit(1.83).alias("electronegativity"))
+    big, small = F.lit("big").alias("material_id"), F.concat(F.lit("g"), F.col("g")).alias("material_id")
+    few = spark.range(50).withColumnRenamed("id", "g")
+    nodes = node(spark.range(n // 10)).select(big, "*").unionByName(few.select(small, F.explode(F.array(F.lit(0), F.lit(1))).alias("node")).withColumns({"atomic_number": F.lit(8), "electronegativity": F.lit(3.44)}))
+    edges = spark.range(n).select(big, F.floor(F.col("id") / 10).alias("source_node_index"), (F.floor(F.col("id") / 10) + F.col("id") % 10 + 1).alias("target_node_index"), F.lit(2.5).alias("distance"))
+    edges = edges.unionByName(few.select(small, F.lit(0).alias("source_node_index"), F.lit(1).alias("target_node_index"), F.lit(1.5).alias("distance")))
+    graphs = nodes.select("material_id").distinct().withColumn("y", F.array(F.lit(1.0).cast("float")))
+    splits = graphs.select("material_id", F.when(F.col("material_id") == "big", "train").otherwise("test").alias("split"))
+    folder = shared_folder(spark, "graphs")
+    GR.sink_graph_dataset(GR.GraphTables(graphs, nodes, edges), splits, folder)
+    one = GR.scan_graph(spark, folder, "big")
+    assert one.graphs.select("num_nodes", "num_edges", "split").first() == (n // 10, n, "train")
+    per_file = one.edges.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.min("source_node_index").alias("a"), F.max("source_node_index").alias("b")).orderBy("a").collect()
+    assert len(per_file) >= 4 and sum(r["n"] for r in per_file) == n and max(r["n"] for r in per_file) <= n // 2
+    assert one.edges.agg(F.sum("target_node_index")).first()[0] == edges.where("material_id = 'big'").agg(F.sum("target_node_index")).first()[0]
+    tests = GR.scan_graph_dataset(spark, folder, "test")
+    assert tests.edges.count() == 50 and GD.nested_graphs(tests).count() == 50
 
 
 def test_large_graph_stays_whole(spark):
@@ -193,8 +222,8 @@ def test_large_graph_stays_whole(spark):
     structures = rows.select(F.col("material_id").alias("structure_id"), "cell", "sites")
     n_edges = {r["structure_id"]: r["count"] for r in structure_edges(structures).groupBy("structure_id").count().collect()}
     folder = shared_folder(spark, "graphs")
-    IO.sink_graph_dataset(GD.graph_rows(rows).withColumn("split", F.lit("train")), folder)
-    kept = graph_validate(IO.scan_graph_dataset(spark, folder)).collect()
+    GR.sink_graph_dataset(GD.graph_tables(rows), rows.select("material_id", F.lit("train").alias("split")), folder)
+    kept = graph_validate(GD.nested_graphs(GR.scan_graph_dataset(spark, folder))).collect()
     assert {r["material_id"]: (len(r["x"]), len(r["edge_attr"])) for r in kept} == {"big": (1500, n_edges["big"]), "small": (2, 1)}
     assert n_edges["big"] > 1500
 

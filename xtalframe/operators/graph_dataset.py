@@ -12,6 +12,8 @@ from xtalframe.functions.once import compute_once, let
 from xtalframe.functions.structure_text import parse_cell, parse_sites
 from xtalframe.operators.graph import collect_graph, structure_edges, structure_nodes
 from xtalframe.schemas import SITES
+from xtalframe.session import stored
+from xtalframe.sources.graphs import GraphTables
 
 OK = "ok"
 
@@ -77,20 +79,38 @@ def graph_targets(with_status: DataFrame) -> DataFrame:
     return with_status.withColumn("y", F.array(F.col("oqmd_band_gap"), energy))
 
 
-def graph_rows(with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = False) -> DataFrame:
-    """Tensor-shaped rows of all ``ok`` structures.
+def graph_tables(with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = False) -> GraphTables:
+    """Graphs, nodes and edges of all ``ok`` structures, as rows.
 
-    ``material_id`` must be unique. ``x``: [atomic number, electronegativity]
-    per node; ``edge_index``: sources and targets; ``edge_attr``: one distance
-    per edge; ``y``. No edges gives empty arrays. One row per structure, of any
-    size.
+    ``material_id`` must be unique. The targets ``y`` are band gap and formation
+    energy per site. Parsed structures are stored, so that their text is read
+    and parsed once for the three tables.
     """
-    ok = graph_targets(with_status.where(F.col("status") == OK)).select(
-        F.col("material_id").alias("structure_id"), "cell", "sites", "y"
+    ok = graph_targets(with_status.where(F.col("status") == OK)).select(F.col("material_id").alias("structure_id"), "cell", "sites", "y")
+    ok = stored(ok, "structures")
+    nodes = structure_nodes(ok).select(
+        F.col("structure_id").alias("material_id"), F.col("original_site_index").alias("node"), "atomic_number", "electronegativity"
     )
-    graphs = collect_graph(structure_nodes(ok), structure_edges(ok, cutoff, symmetric=symmetric))
+    edges = structure_edges(ok, cutoff, symmetric=symmetric).withColumnRenamed("structure_id", "material_id")
+    targets = F.transform("y", lambda v: v.cast("float")).alias("y")
+    return GraphTables(ok.select(F.col("structure_id").alias("material_id"), targets), nodes, edges)
+
+
+def nested_graphs(tables: GraphTables) -> DataFrame:
+    """An export for readers that take a graph whole: one tensor-shaped row each.
+
+    ``x``: [atomic number, electronegativity] per node; ``edge_index``: sources
+    and targets; ``edge_attr``: one distance per edge; ``y``, and ``split`` where
+    there is one. No edges gives empty arrays. A nested graph is a row of
+    memory; the tables have no such bound.
+    """
+    nodes = tables.nodes.select(
+        F.col("material_id").alias("structure_id"), F.col("node").alias("original_site_index"), "atomic_number", "electronegativity"
+    )
+    graphs = collect_graph(nodes, tables.edges.select("source_node_index", "target_node_index", "distance", F.col("material_id").alias("structure_id")))
     as_floats = lambda *v: F.array(*[x.cast("float") for x in v])
-    return graphs.join(ok.select("structure_id", "y"), "structure_id").select(
+    kept = [c for c in ("y", "split") if c in tables.graphs.columns]
+    return graphs.join(tables.graphs.select(F.col("material_id").alias("structure_id"), *kept), "structure_id").select(
         F.col("structure_id").alias("material_id"),
         F.transform(
             "nodes", lambda n: as_floats(n["atomic_number"], n["electronegativity"])
@@ -100,5 +120,10 @@ def graph_rows(with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = Fa
             F.transform("edges", lambda e: e["target_node_index"].cast("bigint")),
         ).alias("edge_index"),
         F.transform("edges", lambda e: as_floats(e["distance"])).alias("edge_attr"),
-        F.transform("y", lambda v: v.cast("float")).alias("y"),
+        *kept,
     )
+
+
+def graph_rows(with_status: DataFrame, cutoff: float = 3.0, symmetric: bool = False) -> DataFrame:
+    """Nested rows of all ``ok`` structures."""
+    return nested_graphs(graph_tables(with_status, cutoff, symmetric))

@@ -26,6 +26,7 @@ from xtalframe.operators import split as S
 from xtalframe.plans import derived as V
 from xtalframe.schemas import TC_TABLE, conform_schema, fields
 from xtalframe.session import shared_folder, stored
+from xtalframe.sources import graphs as GR
 from xtalframe.sources import tables as IO
 from xtalframe.streaming import ingest
 
@@ -125,12 +126,8 @@ def sink_doc_map(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph_dataset(spark: SparkSession, sf: str) -> str:
     folder = shared_folder(spark, "graphs")
-    rows = GD.with_structure(V.structure_texts(spark, sf))
-    graphs = GD.graph_rows(rows)
-    sizes = S.split_three_way(
-        rows.where("status = 'ok'").select("material_id"), "material_id", 0.6, 0.2, 0.2
-    )
-    IO.sink_graph_dataset(graphs.join(sizes, "material_id"), folder)
+    tables = GD.graph_tables(GD.with_structure(V.structure_texts(spark, sf)))
+    GR.sink_graph_dataset(tables, S.split_three_way(tables.graphs.select("material_id"), "material_id", 0.6, 0.2, 0.2), folder)
     return folder
 
 
@@ -154,12 +151,12 @@ def _graph_values(graphs: DataFrame, *more: str) -> DataFrame:
 
 @query
 def sink_graph_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph_values(IO.scan_graph_dataset(spark, _graph_dataset(spark, sf)), "split")
+    return _graph_values(GD.nested_graphs(GR.scan_graph_dataset(spark, _graph_dataset(spark, sf))), "split")
 
 
 @query
 def scan_graph_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph_values(IO.scan_graph_dataset(spark, _graph_dataset(spark, sf), "test"))
+    return _graph_values(GD.nested_graphs(GR.scan_graph_dataset(spark, _graph_dataset(spark, sf), "test")))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xtalframe.schemas import GRAPH, conform_schema, require_columns
+from xtalframe.schemas import conform_schema
 
 CORRUPT = "_corrupt_record"
 
@@ -122,28 +122,3 @@ def sink_table(
         table.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         table.write.mode("overwrite").format(fmt).save(path)
-
-
-def sink_graph_dataset(graphs: DataFrame, path: str) -> None:
-    """Graphs as parquet partitioned by ``split``. An empty split leaves no
-    folder; reading the parent folder gives all graphs."""
-    require_columns(graphs, "split", "material_id")
-    graphs.write.mode("overwrite").partitionBy("split").parquet(path)
-
-
-def scan_graph_dataset(
-    spark: SparkSession,
-    path: str,
-    split: str | None = None,
-    schema: T.StructType = GRAPH,
-) -> DataFrame:
-    """Graphs of one split (only its folder is read), or of all splits.
-
-    Raises ``ValueError`` when there is nothing to read.
-    """
-    graphs = spark.read.schema(schema).parquet(path)
-    if split is not None:
-        graphs = graphs.where(F.col("split") == split)
-    if graphs.isEmpty():
-        raise ValueError(f"no graphs in {path} for split {split!r}")
-    return graphs
