@@ -100,6 +100,62 @@ def test_a_batch_without_valid_rows_replaces_its_rows(spark):
     assert spark.read.parquet(f"{base}/bad").count() == rows.where("material_id IS NULL").count()
 
 
+def _one_file(spark, name, n=40):
+    return V.manual_rows(spark, SF).limit(n).withColumn("source_file", F.lit(name))
+
+
+def _stored(spark, base):
+    out = []
+    for table in ("data", "bad"):
+        try:
+            out += [r[0] for r in spark.read.parquet(f"{base}/{table}").select("source_file").collect()]
+        except Exception as error:  # noqa: BLE001
+            assert "UNABLE_TO_INFER" in str(error) or "PATH_NOT_FOUND" in str(error)
+    return {f: out.count(f) for f in set(out)}
+
+
+def test_crash_between_the_two_tables(spark, monkeypatch):
+    """The dataset's folder is written, the quarantine's is not: the same query
+    repeats the batch, another one takes it over; nothing is there twice."""
+    for again in ("q", "other"):
+        base = shared_folder(spark, "stream")
+        ingest.store_batch(_one_file(spark, "f0"), f"{base}/data", f"{base}/bad", "q", 0)
+        with monkeypatch.context() as m:
+            m.setattr(ingest, "rejected", lambda rows: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                ingest.store_batch(_one_file(spark, "f1"), f"{base}/data", f"{base}/bad", "q", 1)
+        assert 0 < _stored(spark, base)["f1"] < 40
+        ingest.store_batch(_one_file(spark, "f1"), f"{base}/data", f"{base}/bad", again, 1)
+        assert _stored(spark, base) == {"f0": 40, "f1": 40}
+        # crash after both tables, before the commit
+        with monkeypatch.context() as m:
+            m.setattr(ingest.Manifest, "commit", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                ingest.store_batch(_one_file(spark, "f2"), f"{base}/data", f"{base}/bad", "q", 2)
+        ingest.store_batch(_one_file(spark, "f2"), f"{base}/data", f"{base}/bad", again, 2)
+        ingest.store_batch(_one_file(spark, "f2"), f"{base}/data", f"{base}/bad", "third", 0)
+        assert _stored(spark, base) == {"f0": 40, "f1": 40, "f2": 40}
+
+
+def test_a_batch_does_not_pay_for_history(spark, monkeypatch):
+    """Runs are merged level by level: few are left, every file is in one, and a
+    lookup reads the runs' ranges, not the stored rows."""
+    from xtalframe.streaming import manifest
+
+    monkeypatch.setattr(manifest, "FAN", 4)
+    base = shared_folder(spark, "manifest")
+    kept = manifest.Manifest(spark, f"{base}/data")
+    for k in range(21):
+        kept.commit([f"{k:02d}-{j}" for j in range(5)], "q", k)
+    runs = {level: len(kept._children(f"{kept.path}/{level}")) for level in kept._children(kept.path)}
+    assert runs == {"0": 1, "1": 1, "2": 1}
+    assert kept.rows().count() == kept.rows().distinct().count() == 105
+    assert kept.stored_by_others(["03-1", "20-4", "99-9"], "new") == {"03-1", "20-4"}
+    assert kept.stored_by_others(["03-1"], "q") == set() and kept._committed("q", 3) and not kept._committed("q", 77)
+    lookup = kept.rows().where(F.col("source_file").isin(["03-1"]) & (F.col("query_id") != "new"))
+    assert "PushedFilters: [" in plan(lookup) and "source_file,03-1" in plan(lookup).replace("[", ",").replace("In(", "")
+
+
 def test_network_scoring_shuffles(spark):
     """Messages are stored in buckets of their source node: a layer joins them as
     they lie, and only sums by target node are shuffled."""

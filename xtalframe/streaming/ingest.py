@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from xtalframe.operators.manual import accepted, rejected, validate_manual_row
 from xtalframe.schemas import MANUAL_ENTRY_TEXT
+from xtalframe.streaming.manifest import Manifest
 
 
 def read_manual_rows(
@@ -24,34 +24,26 @@ def read_manual_rows(
     )
 
 
-def _stored_files(spark: SparkSession, folders: tuple[str, str], query_id: str) -> DataFrame | None:
-    """Files whose rows another query has stored, if there is another query."""
-    found = []
-    for folder in folders:
-        try:
-            rows = spark.read.option("basePath", folder).parquet(folder)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            continue
-        found.append(rows.where(F.col("query_id") != query_id).select("source_file"))
-    if not found:
-        return None
-    files = found[0] if len(found) == 1 else found[0].unionAll(found[1])
-    return None if files.isEmpty() else files.distinct()
-
-
 def store_batch(batch: DataFrame, dataset: str, quarantine: str, query_id: str, batch_id: int) -> None:
-    """Judge one batch once and rewrite its folder in either table."""
-    stored = _stored_files(batch.sparkSession, (dataset, quarantine), query_id)
-    if stored is not None:
-        batch = batch.join(stored, "source_file", "left_anti")
+    """Judge one batch once, rewrite its folder in either table, then commit its
+    files to the manifest. ``source_file`` names a row's file; a batch has as
+    many as the stream takes at a time, and their names come to the driver."""
+    spark = batch.sparkSession
+    files = [r[0] for r in batch.select("source_file").distinct().collect()]
+    manifest = Manifest(spark, dataset)
+    taken = manifest.stored_by_others(files, query_id)
+    own = [f for f in files if f not in taken]
+    manifest.undo_unfinished((dataset, quarantine), set(own), query_id)
+    if taken:
+        batch = batch.where(~F.col("source_file").isin(sorted(taken)))
     validated = validate_manual_row(batch).persist()
+    own_folder = f"query_id={query_id}/batch_id={batch_id}"
     try:
-        for rows, folder in ((accepted(validated, "source_file"), dataset), (rejected(validated), quarantine)):
-            rows.write.mode("overwrite").parquet(f"{folder}/query_id={query_id}/batch_id={batch_id}")
+        accepted(validated, "source_file").write.mode("overwrite").parquet(f"{dataset}/{own_folder}")
+        rejected(validated).write.mode("overwrite").parquet(f"{quarantine}/{own_folder}")
     finally:
         validated.unpersist()
+    manifest.commit(own, query_id, batch_id)
 
 
 def append_validated(
@@ -62,11 +54,13 @@ def append_validated(
     Rows are judged one by one, so the query keeps no state. Each micro-batch
     owns one folder in either table, named by the id that its checkpoint gives
     the query and by the batch, and rewrites it as a whole: a batch repeated
-    after a failure replaces its rows, also where none are left, and queries
-    with other checkpoints never touch them. Every row names its file; a query
-    that starts anew, because its checkpoint was lost, leaves out files that
-    another one has stored. Stops when all files present at the start have been
-    read.
+    after a failure replaces its rows, also where none are left. A manifest has
+    one row for each stored file, committed after both folders: a query that
+    starts anew, because its checkpoint was lost, leaves out files that another
+    one has committed, and takes back what another one had begun to store of
+    its files. What a batch costs does not grow with what is stored. Two
+    queries must not read the same files at the same time. Stops when all files
+    present at the start have been read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
