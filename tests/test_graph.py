@@ -100,6 +100,42 @@ def test_oblique_and_thin_cells(spark):
             assert got.get(row[0], {}) == {k: pytest.approx(d, abs=1e-8) for k, d in brute(row).items()}
 
 
+def test_reduced_lattices(spark):
+    """Any setting: the same lattice by vectors that nothing shortens, and the
+    same distances as by all images within reach."""
+    rng = random.Random(12)
+    cells = []
+    while len(cells) < 300:
+        lengths = [rng.choice([1.0, 1.3, 4.0, 9.0, 40.0]) * rng.uniform(0.9, 1.1) for _ in range(3)]
+        angles = [rng.uniform(25, 155) for _ in range(3)]
+        cos = [math.cos(math.radians(x)) for x in angles]
+        if 1 - sum(c * c for c in cos) + 2 * math.prod(cos) > 0.01:
+            cells.append((*lengths, *angles))
+    cells += [(3.0, 3.0, 3.0, 60.0, 60.0, 60.0), (3.0, 3.0, 3.0, 109.4712206, 109.4712206, 109.4712206), (5.0, 5.0, 5.0, 90.0, 90.0, 90.0), (1.0, 1000.0, 2.0, 90.0, 90.0, 140.0)]
+    rows = [(str(i), c, [{"idx": k, "element": "Fe", "frac": [rng.uniform(-2, 2) for _ in range(3)]} for k in range(2)]) for i, c in enumerate(cells)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = df.select("structure_id", L.reduced_lattice(F.col("cell")).alias("l")).collect()
+    reduced = {r["structure_id"]: r["l"] for r in got}
+    edges = edges_of(G.structure_edges(df, cutoff=1e9))
+    for name, c, sites in rows:
+        a, b, g = (math.cos(math.radians(x)) for x in c[3:])
+        metric = np.array([[c[0] ** 2, c[0] * c[1] * g, c[0] * c[2] * b], [c[0] * c[1] * g, c[1] ** 2, c[1] * c[2] * a], [c[0] * c[2] * b, c[1] * c[2] * a, c[2] ** 2]])
+        lat = reduced[name]
+        turn = np.array([[lat[f"t{i}{j}"] for j in (1, 2, 3)] for i in (1, 2, 3)])
+        assert np.allclose(turn, np.rint(turn)) and abs(abs(np.linalg.det(turn)) - 1) < 1e-6
+        new = np.array([[lat[f"g{min(i, j)}{max(i, j)}"] for j in (1, 2, 3)] for i in (1, 2, 3)])
+        assert np.allclose(turn @ new @ turn.T, metric, rtol=1e-6, atol=1e-6 * np.abs(metric).max())
+        steps = np.array(np.meshgrid(*[[-1, 0, 1]] * 3)).reshape(3, -1).T
+        steps = steps[np.abs(steps).sum(1) > 1]
+        sums = np.einsum("ni,ij,nj->n", steps, new, steps)
+        assert (sums >= (1 - 1e-6) * np.max(np.where(steps != 0, np.diag(new), 0), 1)).all()
+        # all images within reach, in the reduced lattice and far beyond its neighbours
+        delta = (np.array(sites[1]["frac"]) - np.array(sites[0]["frac"])) @ turn
+        delta -= np.rint(delta)
+        wide = np.array(np.meshgrid(*[range(-4, 5)] * 3)).reshape(3, -1).T + delta
+        assert edges[name][0, 1] == pytest.approx(math.sqrt(np.einsum("ni,ij,nj->n", wide, new, wide).min()), rel=1e-6, abs=1e-7)
+
+
 @pytest.mark.parametrize("n", [63, 64, 65])
 def test_around_the_size_of_in_row_pairs(spark, n):
     row = random_structure("r", n, (8, 9, 10, 85, 95, 100), n)
@@ -132,9 +168,9 @@ def test_one_huge_structure_among_small_ones(spark, monkeypatch):
     expected = brute(rows[0])
     by_rows = edges_of(G.pair_join_within(sites, df.select("structure_id", "cell")))
     assert set(by_rows["big"]) == set(expected)
-    placed = sites.select("structure_id", G._point(F.col("idx"), F.col("x"), F.col("y"), F.col("z")).alias("p")).join(
-        df.select("structure_id", *L.metric(F.col("cell")), F.size("sites").alias("n_sites")), "structure_id"
-    )
+    lattices = df.select("structure_id", L.reduced_lattice(F.col("cell")).alias("lattice"), F.size("sites").alias("n_sites"))
+    point = G._point(F.col("idx"), F.col("x"), F.col("y"), F.col("z")).alias("p")
+    placed = sites.join(lattices, "structure_id").select("structure_id", *G._metric(), "n_sites", point)
     salted = edges_of(G._pairs_on_grid(placed, 3.0, bin_load=5))
     assert set(salted["big"]) == set(expected)
     assert {k: set(v) for k, v in salted.items()} == {k: set(v) for k, v in by_rows.items()}

@@ -143,50 +143,120 @@ def min_image_squares() -> list[Column]:
     """Squared distance to the nearest x image, for each of nine (y, z) images.
 
     Works on columns ``dx``, ``dy``, ``dz`` (differences of wrapped
-    coordinates) and the metric.
+    coordinates) and the metric, both of the reduced lattice: there the nearest
+    image of all is among these.
     """
     return [F.expr(_square(f"(dy + {ny}D)", f"(dz + {nz}D)")) for ny in (-1, 0, 1) for nz in (-1, 0, 1)]
 
 
-def nearest_square(best: Column, cutoff: float | None = None) -> Column:
-    """Squared distance to the nearest of all images, from the least of
-    :func:`min_image_squares`.
-
-    An image no further than that one lies within its distance over the height
-    of the cell, in whole cells; only where that reaches beyond the nine, in
-    cells thinner than the distance, are the images in reach gone through.
-    With a ``cutoff`` images beyond it need not be found.
+def min_image_distance() -> Column:
+    """Shortest distance over all periodic images, on the columns of
+    :func:`min_image_squares`."""
+    return F.sqrt(F.greatest(F.least(*min_image_squares()), F.lit(0.0)))
+
+
+TURN = [f"t{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+_SWEEPS = 16  # of nine steps; two steps on a pair of vectors divide their ratio by three
+_SLACK = 1e-9  # what lengths may differ by before a vector counts as shorter
+#: The steps of a sweep: the vector that changes, the one that is taken off it,
+#: the third; then each vector against both others.
+_MOVES = [(1, 0, 2), (0, 1, 2), (2, 0, 1), (0, 2, 1), (2, 1, 0), (1, 2, 0)]
+_SUMS = [(0, 1, 2), (1, 0, 2), (2, 0, 1)]
+
+
+def _at(matrix: Column, i, j) -> Column:
+    """Entry of a 3x3 matrix held as nine numbers, by columns or numbers."""
+    place = i * 3 + j
+    return F.get(matrix, F.lit(place) if isinstance(place, int) else place)
+
+
+def _is_reduced(g: Column) -> Column:
+    """Minkowski's conditions for three vectors with the metric ``g``."""
+    pair = lambda i, j: 2 * F.abs(_at(g, i, j)) <= F.least(_at(g, i, i), _at(g, j, j)) * (1 + _SLACK)
+    lengths = [_at(g, i, i) for i in range(3)]
+    crossed = F.least(*[s * _at(g, 0, 1) + t * _at(g, 0, 2) + s * t * _at(g, 1, 2) for s in (1, -1) for t in (1, -1)])
+    shortest = lengths[0] + lengths[1] + lengths[2] + 2 * crossed
+    return pair(0, 1) & pair(0, 2) & pair(1, 2) & (shortest >= F.greatest(*lengths) * (1 - _SLACK))
+
+
+def _reduce_step(s: Column, n: Column) -> Column:
+    """Step n: vector v less as many of vector a as leave it shortest; or, if it
+    is the longest, replaced by a shorter sum of all three. Only lengths fall."""
+    g, t = s["g"], s["t"]
+    moves = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(m, "vab")], F.lit(k >= len(_MOVES)).alias("all")) for k, m in enumerate([*_MOVES, *_SUMS])])
+
+    def factors(m: Column) -> Column:
+        v, a, b = m["v"], m["a"], m["b"]
+        own = _at(g, v, v)
+        less = -F.rint(F.coalesce(F.try_divide(_at(g, a, v), _at(g, a, a)), F.lit(0.0)))
+        others = _at(g, a, a) + _at(g, b, b)
+        sums = F.array(
+            *[
+                F.struct((own + others + 2 * (p * _at(g, v, a) + q * _at(g, v, b) + p * q * _at(g, a, b))).alias("square"), F.lit(float(p)).alias("p"), F.lit(float(q)).alias("q"))
+                for p in (1, -1)
+                for q in (1, -1)
+            ]
+        )
+        longest = (own >= _at(g, a, a)) & (own >= _at(g, b, b))
+        zero = F.lit(0.0)
+
+        def chosen(least: Column) -> Column:
+            use = longest & (least["square"] < own * (1 - _SLACK))
+            return F.struct(v.alias("v"), a.alias("a"), b.alias("b"), F.when(use, least["p"]).otherwise(zero).alias("ka"), F.when(use, least["q"]).otherwise(zero).alias("kb"))
+
+        single = F.struct(v.alias("v"), a.alias("a"), b.alias("b"), less.alias("ka"), zero.alias("kb"))
+        return F.when(m["all"], let(F.array_min(sums), chosen)).otherwise(single)
+
+    def moved(f: Column) -> Column:
+        v, a, b, ka, kb = (f[c] for c in ("v", "a", "b", "ka", "kb"))
+        zero = F.lit(0.0)
+        nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(3)])
+
+        def length(x: Column) -> Column:
+            i, j = x["i"], x["j"]
+            right = F.when(i == v, ka * _at(g, a, j) + kb * _at(g, b, j)).otherwise(zero)
+            down = F.when(j == v, ka * _at(g, i, a) + kb * _at(g, i, b)).otherwise(zero)
+            twice = ka * ka * _at(g, a, a) + kb * kb * _at(g, b, b) + 2 * ka * kb * _at(g, a, b)
+            return _at(g, i, j) + right + down + F.when((i == v) & (j == v), twice).otherwise(zero)
+
+        def turn(x: Column) -> Column:
+            i, j = x["i"], x["j"]
+            return _at(t, i, j) - F.when(j == a, ka).when(j == b, kb).otherwise(zero) * _at(t, i, v)
+
+        return F.struct(F.transform(nine, length).alias("g"), F.transform(nine, turn).alias("t"))
+
+    return let(let(F.element_at(moves, n % F.lit(len(_MOVES) + len(_SUMS)) + 1), factors), moved)
+
+
+def reduced_lattice(cell: Column) -> Column:
+    """The lattice of a cell by its shortest vectors (Minkowski reduction): six
+    numbers of the metric, and nine that turn fractions of the cell into
+    fractions of those vectors.
+
+    However oblique or thin the setting a cell is written in, its nearest
+    images are afterwards the nearest in every direction. A fold of a fixed
+    number of steps; cells that are reduced as they are take none.
     """
-    bound = best if cutoff is None else F.least(best, F.lit(float(cutoff) ** 2))
-    _, high_y, high_z = image_heights()
-    reach = lambda h: F.floor(F.sqrt(F.greatest(bound, F.lit(0.0))) / h + 1 + 1e-9).cast("int")
-    thin = (reach(high_y) > 1) | (reach(high_z) > 1)
-    steps = lambda h: F.sequence(-reach(h), reach(h))
-
-    def least_over_z(least: Column, ny: Column) -> Column:
-        y = F.col("dy") + ny
-        return F.aggregate(steps(high_z), least, lambda m, nz: F.least(m, _square_of(y, F.col("dz") + nz)))
-
-    far = F.aggregate(steps(high_y), best, least_over_z)
-    return F.when(thin & ~F.isnan(best), far).otherwise(best)
-
-
-def _square_of(y: Column, z: Column) -> Column:
-    g = {k: F.col(k) for k in METRIC}
-    shift = F.col("dx") + (g["g12"] * y + g["g13"] * z) / g["g11"]
-    rest = shift - F.rint(shift)
-    return (
-        g["g11"] * rest * rest
-        + y * y * (g["g22"] - g["g12"] * g["g12"] / g["g11"])
-        + 2 * y * z * (g["g23"] - g["g12"] * g["g13"] / g["g11"])
-        + z * z * (g["g33"] - g["g13"] * g["g13"] / g["g11"])
+    g = {name: value for name, value in zip(METRIC, metric(cell))}
+    full = F.array(*[g[f"g{min(i, j)}{max(i, j)}"] for i in (1, 2, 3) for j in (1, 2, 3)])
+    one = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
+    start = F.struct(full.alias("g"), one.alias("t"))
+    steps = F.sequence(F.lit(0), F.lit(_SWEEPS * (len(_MOVES) + len(_SUMS)) - 1))
+    guarded = lambda s, n: F.when(_is_reduced(s["g"]), s).otherwise(_reduce_step(s, n))
+    whole = let(start, lambda s: F.when(_is_reduced(s["g"]), s).otherwise(F.aggregate(steps, s, guarded)))
+    entries = {f"g{i}{j}": (i, j) for i in (1, 2, 3) for j in (1, 2, 3)}
+    return let(
+        whole,
+        lambda s: F.struct(
+            *[_at(s["g"], entries[n][0] - 1, entries[n][1] - 1).alias(n) for n in METRIC],
+            *[_at(s["t"], k // 3, k % 3).alias(n) for k, n in enumerate(TURN)],
+        ),
     )
 
 
-def min_image_distance() -> Column:
-    """Shortest distance over all periodic images, on the columns of
-    :func:`min_image_squares`."""
-    return let(F.least(*min_image_squares()), lambda s: F.sqrt(F.greatest(nearest_square(s), F.lit(0.0))))
+def turned(lattice: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Fractions of the cell as fractions of its reduced lattice."""
+    return tuple(x * lattice[f"t1{j}"] + y * lattice[f"t2{j}"] + z * lattice[f"t3{j}"] for j in (1, 2, 3))
 
 
 def image_heights() -> tuple[Column, Column, Column]:

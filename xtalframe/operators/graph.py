@@ -13,6 +13,9 @@ large structure:
   (structure, bin) with the 27 surrounding bins. Distant pairs are never
   built, and the bins of one huge structure spread over many tasks; crowded
   bins are split further by a salt.
+
+Both work on the reduced lattice, in which a fixed set of images has the nearest
+one, however the cell is written.
 """
 
 from __future__ import annotations
@@ -21,14 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.elements import join_elements
-from xtalframe.functions.lattice import (
-    METRIC,
-    image_heights,
-    metric,
-    min_image_squares,
-    nearest_square,
-    wrap,
-)
+from xtalframe.functions.lattice import METRIC, image_heights, min_image_squares, reduced_lattice, turned, wrap
+from xtalframe.functions.once import compute_once
 
 CUTOFF = 3.0
 SMALL = 64
@@ -79,7 +76,7 @@ def _within(pairs: DataFrame, cutoff: float) -> DataFrame:
     kept = [*ids, *METRIC, "dx", "dy", "dz"]
     squares = differences.select(*kept, *[s.alias(f"s{i}") for i, s in enumerate(min_image_squares())])
     nearest = squares.select(*kept, F.least(*[f"s{i}" for i in range(9)]).alias("near"))
-    distance = F.sqrt(F.greatest(nearest_square(F.col("near"), cutoff), F.lit(0.0)))
+    distance = F.sqrt(F.greatest(F.col("near"), F.lit(0.0)))
     return nearest.select(*ids, F.explode(F.array(distance)).alias("distance")).where(
         F.col("distance") <= cutoff
     )
@@ -168,7 +165,18 @@ def _pairs_on_grid(
     return _within(pairs.select("structure_id", *METRIC, "p", "q"), cutoff)
 
 
+def _lattice(df: DataFrame) -> DataFrame:
+    """Add the reduced ``lattice`` of the cell, once per structure."""
+    return compute_once(df, {"lattice": reduced_lattice(F.col("cell"))})
+
+
+def _metric() -> list[Column]:
+    return [F.col(f"lattice.{m}").alias(m) for m in METRIC]
+
+
 def _point(idx: Column, x: Column, y: Column, z: Column) -> Column:
+    """A site in fractions of the reduced lattice, in columns beside it."""
+    x, y, z = turned(F.col("lattice"), x, y, z)
     return F.struct(
         idx.alias("idx"), wrap(x).alias("x"), wrap(y).alias("y"), wrap(z).alias("z")
     )
@@ -184,33 +192,17 @@ def structure_edges(
     shortest periodic distance is at most ``cutoff``; never a site with its own
     image. ``symmetric`` adds the reverse of every edge.
     """
-    base = structures.where(F.col("cell").isNotNull() & (F.size("sites") > 1)).select(
-        "structure_id", *metric(F.col("cell")), "sites"
-    )
+    base = _lattice(structures.where(F.col("cell").isNotNull() & (F.size("sites") > 1)).select("structure_id", "cell", "sites"))
     frac = lambda s: (s["frac"][0], s["frac"][1], s["frac"][2])
     points = F.transform("sites", lambda s, i: _point(i, *frac(s)))
     in_row = _pairs_in_row(
-        base.where(F.size("sites") <= small).select(
-            "structure_id", *METRIC, points.alias("points")
-        ),
-        cutoff,
+        base.where(F.size("sites") <= small).select("structure_id", *_metric(), points.alias("points")), cutoff
     )
     large = base.where(F.size("sites") > small).select(
-        "structure_id",
-        *METRIC,
-        F.size("sites").alias("n_sites"),
-        F.posexplode("sites").alias("at", "site"),
-    )
-    on_grid = _pairs_on_grid(
-        large.select(
-            "structure_id",
-            *METRIC,
-            "n_sites",
-            _point(F.col("at"), *frac(F.col("site"))).alias("p"),
-        ),
-        cutoff,
-        small,
+        "structure_id", "lattice", F.size("sites").alias("n_sites"), F.posexplode("sites").alias("at", "site")
     )
+    point = _point(F.col("at"), *frac(F.col("site"))).alias("p")
+    on_grid = _pairs_on_grid(large.select("structure_id", *_metric(), "n_sites", point), cutoff, small)
     edges = in_row.unionByName(on_grid)
     return symmetric_edges(edges) if symmetric else edges
 
@@ -241,14 +233,10 @@ def pair_join_within(
     structure that holds a large part of all rows; the grid key then spreads it.
     """
     counts = sites.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    sized = (
-        cells.select("structure_id", *metric(F.col("cell")))
-        .join(counts, "structure_id")
-        .where(F.col("n_sites") > 1)
-    )
+    sized = _lattice(cells.select("structure_id", "cell")).drop("cell").join(counts, "structure_id").where(F.col("n_sites") > 1)
     point = _point(F.col("idx"), F.col("x"), F.col("y"), F.col("z"))
-    placed = sites.select("structure_id", point.alias("p")).join(sized, "structure_id")
-    return _pairs_on_grid(placed, cutoff, small)
+    placed = sites.select("structure_id", "idx", "x", "y", "z").join(sized, "structure_id")
+    return _pairs_on_grid(placed.select("structure_id", *_metric(), "n_sites", point.alias("p")), cutoff, small)
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

@@ -132,9 +132,10 @@ def baseline_compare(
 
 
 def evaluate_model(
-    test: DataFrame, train: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred"
+    test: DataFrame, train: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", key: str = "material_id", n_errors: int = 5
 ) -> DataFrame:
-    """Metrics of the model and of the mean predictor side by side, one row."""
+    """Metrics of the model and of the mean predictor side by side, and the rows
+    with the largest errors (``top_errors``, largest first): one row."""
     rows = join_baseline(test, train, y_true)
     error, truth = _errors(y_true, y_pred)
     base = F.col(y_true) - F.col("y_baseline")
@@ -146,6 +147,9 @@ def evaluate_model(
         F.avg(F.abs(base)).alias("baseline_mae"),
         F.sqrt(F.avg(base * base)).alias("baseline_rmse"),
     )
+    worst = top_errors(test, n_errors, key, y_true, y_pred)
+    order = F.struct((-F.col("absolute_error")).alias("o"), F.col(key).alias("k"), F.struct(*worst.columns).alias("row"))
+    listed = worst.agg(F.transform(F.array_sort(F.collect_list(order)), lambda e: e["row"]).alias("rows"))  # n_errors rows
     return sums.select(
         "n",
         "mae",
@@ -153,4 +157,4 @@ def evaluate_model(
         (1 - F.col("mse") / F.nullif(F.col("variance"), F.lit(0.0))).alias("r2"),
         "baseline_mae",
         "baseline_rmse",
-    )
+    ).withColumn("top_errors", listed.scalar())

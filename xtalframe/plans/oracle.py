@@ -245,6 +245,29 @@ _PREP = [
 ]
 
 
+# Formulas that are always written as the molecule.
+_MOLECULES = "LiO Li2O2 NaO Na2O2 KO K2O2 HO H2O2 CsO Cs2O2 RbO Rb2O2 O O2 N N2 F F2 Cl Cl2 H H2".split()
+_MOLECULE = "CASE formula " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(_MOLECULES[::2], _MOLECULES[1::2])) + " ELSE formula END"
+
+
+def _display(parts: str) -> str:
+    """shown(f, formula): symbols by electronegativity, the last two in brackets
+    where their amounts have a factor of their own and they lie close enough.
+    Elements without a value come last, by symbol."""
+    digits = lambda x: f"CASE WHEN {x} = 1 THEN '' WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST(round({x}, 8) AS VARCHAR) END"
+    return f"""named AS (
+  SELECT f, sym, amt, electronegativity AS en, row_number() OVER (PARTITION BY f ORDER BY CASE WHEN isnan(electronegativity) THEN 1e9 ELSE electronegativity END, sym) AS r,
+    count(*) OVER (PARTITION BY f) AS n FROM {parts} JOIN el ON element = sym WHERE abs(amt) > 1e-8),
+factor AS (SELECT f, CASE WHEN bool_and(amt = floor(amt)) THEN list_reduce(list(CAST(amt AS BIGINT)), lambda x, y: gcd(x, y)) ELSE 1 END AS g FROM named GROUP BY f),
+tail AS (SELECT f, CASE WHEN bool_and(amt/g = floor(amt/g)) THEN list_reduce(list(CAST(amt/g AS BIGINT)), lambda x, y: gcd(x, y)) ELSE 1 END AS h,
+    max(en) FILTER (r = n) - max(en) FILTER (r = n - 1) AS gap FROM named JOIN factor USING (f) WHERE r > n - 2 AND n >= 3 GROUP BY f),
+shown AS (SELECT f, {_MOLECULE} AS formula FROM (
+  SELECT f, string_agg(CASE WHEN h <> 1 AND gap < 1.65 AND r > n - 2
+      THEN CASE WHEN r = n - 1 THEN '(' ELSE '' END || sym || {digits('(amt/g/h)')} || CASE WHEN r = n THEN ')' || {digits('h')} ELSE '' END
+      ELSE sym || {digits('(amt/g)')} END, '' ORDER BY r) AS formula
+  FROM named JOIN factor USING (f) LEFT JOIN tail USING (f) GROUP BY f))"""
+
+
 def _split3(table: str, key: str, train: float, val: float, test: float) -> str:
     rest, share = val + test, test / (val + test)
     return f"""ranked AS (SELECT {key}, row_number() OVER (ORDER BY md5('42:' || {key}), {key}) AS rn, count(*) OVER () AS n FROM {table}),
@@ -388,7 +411,9 @@ def oracle_sql() -> dict[str, str]:
       round(avg(abs(y_true-b)), 6) AS baseline_mae, round(sqrt(avg(pow(y_true-b, 2))), 6) AS baseline_rmse FROM t"""
     sql["evaluate_model"] = f"""{compare} SELECT count(*) AS n, round(avg(abs(y_true-y_pred)), 6) AS mae, round(sqrt(avg(pow(y_true-y_pred, 2))), 6) AS rmse,
       round(1 - sum(pow(y_true-y_pred, 2))/sum(pow(y_true-(SELECT avg(y_true) FROM t), 2)), 6) AS r2,
-      round(avg(abs(y_true-b)), 6) AS baseline_mae, round(sqrt(avg(pow(y_true-b, 2))), 6) AS baseline_rmse FROM t"""
+      round(avg(abs(y_true-b)), 6) AS baseline_mae, round(sqrt(avg(pow(y_true-b, 2))), 6) AS baseline_rmse,
+      (SELECT string_agg(material_id || ' ' || CAST(e AS VARCHAR), ', ' ORDER BY k) FROM (SELECT material_id, round(abs(y_true-y_pred), 4) AS e,
+        row_number() OVER (ORDER BY abs(y_true-y_pred) DESC, material_id) AS k FROM t) WHERE k <= 5) AS top_errors FROM t"""
     mode = "(SELECT {c} FROM m WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_mode"
     means = ", ".join(f"round(avg({c}), 6) AS {c}_mean" for c in _PREP)
     sql["impute_stats"] = f"WITH {_MODEL} SELECT {means}, {mode.format(c='elements')}, {mode.format(c='crystal_system_pg')} FROM m"
@@ -417,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
     sql["formula_elements"] = f"{tc} SELECT row_id, {elements.format(sep=',')} AS elements FROM tc WHERE composition IS NOT NULL"
     sql["chemical_system"] = f"{tc} SELECT row_id, {elements.format(sep='-')} AS chemsys FROM tc"
     sql["join_elements_text"] = f"{tc} SELECT row_id, {elements.format(sep=',')} AS elements FROM tc"
+    sql["reduced_formula"] = f"WITH {_EL}, {_ENTRIES}, {_keys('ek', 'ent', 'formula_pretty')}, {_display('ek_parts')} SELECT row_id, formula FROM ent LEFT JOIN shown ON f = formula_pretty"
     fm = f"f AS (SELECT o_orderkey AS row_id, {_formula('o_custkey', '(o_orderkey*3+1)')} AS a, {_formula('o_custkey', '(o_orderkey*3+1+4*(o_orderkey%3))')} AS b FROM orders)"
     sql["formula_match"] = f"WITH {fm}, both_ab AS (SELECT a AS t FROM f UNION ALL SELECT b FROM f), {_keys('k', 'both_ab', 't')} SELECT row_id, x.fkey = y.fkey AS same FROM f JOIN k x ON x.f = a JOIN k y ON y.f = b"
     sql["normalise_na"] = f"{tc} SELECT row_id, CASE WHEN tc_text NOT IN ('', 'N/A') THEN tc_text END AS tc_text FROM tc"
@@ -424,12 +450,25 @@ def oracle_sql() -> dict[str, str]:
     sql["parse_cell"] = f"WITH {_TEXT_CELLS} SELECT o_orderkey AS row_id, " + ", ".join(
         f"CASE WHEN NOT {bad_cell} THEN round({n}, 6) END AS cell_{n}" for n in ("a", "b", "c", "alpha", "beta", "gamma")
     ) + " FROM orders JOIN cells ON id = o_orderkey"
-    sql["parse_sites"] = f"""WITH {_SITES.replace('x - floor(x) AS x', 'x')} SELECT id AS row_id, CAST(i AS INTEGER) AS idx, CASE WHEN id%67=0 THEN 'Qq' ELSE element END AS element, round(x, 6) AS x
+    raw_sites = _SITES.replace("x - floor(x) AS x, y - floor(y) AS y, z - floor(z) AS z", "x, y, z")
+    sql["parse_sites"] = f"""WITH {raw_sites} SELECT id AS row_id, CAST(i AS INTEGER) AS idx, CASE WHEN id%67=0 THEN 'Qq' ELSE element END AS element,
+      round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z
       FROM sites WHERE id%31<>0 AND id%47<>0 AND id%53<>0 AND id%59<>0 AND id%61<>0"""
-    sql["cell_to_text"] = """SELECT count(*) AS n_rows, count(*) AS n_cells_kept,
-      CAST(sum(CASE WHEN l_partkey%13=0 THEN 0 WHEN l_partkey%13=1 THEN 1 ELSE 2 END) AS BIGINT) AS n_sites FROM lineitem WHERE l_partkey%19<>0"""
-    sql["parse_dos"] = """SELECT o_orderkey AS structure_id, CASE WHEN o_orderkey%13<>0 AND o_orderkey%11<>0 THEN (o_orderkey%9)/2.0::DOUBLE - 2.5 END AS efermi,
-      CASE WHEN o_orderkey%13<>0 THEN 3 END AS n_energies, CASE WHEN o_orderkey%13<>0 THEN CASE WHEN o_orderkey%2=0 THEN 2 ELSE 1 END END AS n_spins FROM orders"""
+    of_entry = "'part-' || l_partkey AS supercon_composition, l_orderkey*100 + l_linenumber AS entry_id"
+    sql["cell_to_text"] = f"""SELECT {of_entry}, CASE l_orderkey%11 WHEN 0 THEN '[5.0,5.0,5.0,5.0,5.0]' WHEN 1 THEN '[5.0,5.0,5.0,5.0,5.0,null]'
+      ELSE '[5.0,5.0,5.0,90.0,90.0,90.0]' END AS cell_text, true AS same FROM lineitem WHERE l_partkey%19<>0"""
+    xyz = "'\"xyz\":[0.0,0.5' || CASE WHEN l_partkey%13=1 THEN '' ELSE ',' || CAST((l_partkey%10)/10.0::DOUBLE AS VARCHAR) END || ']}'"
+    site = lambda e: f"""'{{"species":[{{' || {e} || '"occu":1.0}}],' || {xyz}"""
+    named = lambda n: f"""'"element":"' || {_sym(n)} || '",'"""
+    sql["sites_to_text"] = f"""SELECT {of_entry}, '[' || CASE l_partkey%13 WHEN 0 THEN '' WHEN 1 THEN {site(named('l_partkey'))}
+      WHEN 2 THEN {site(named('l_partkey'))} || ',' || {site("''")} ELSE {site(named('l_partkey'))} || ',' || {site(named('l_suppkey'))} END || ']' AS sites_text,
+      true AS same FROM lineitem WHERE l_partkey%19<>0"""
+    spins = lambda *v: "concat_ws(',', " + ", ".join(f"CAST({x}::DOUBLE AS VARCHAR)" for x in v) + ")"
+    k = "o_orderkey"
+    sql["parse_dos"] = f"""SELECT {k} AS structure_id, CASE WHEN {k}%13<>0 AND {k}%11<>0 THEN ({k}%9)/2.0::DOUBLE - 2.5 END AS efermi,
+      CASE WHEN {k}%13<>0 THEN {spins(f'(-1.0::DOUBLE - {k}%3)', '0.0', f'(1.0::DOUBLE + {k}%2)')} END AS energies,
+      CASE WHEN {k}%13<>0 THEN {spins(f'(({k}%5)/10.0::DOUBLE)', f'(({k}%7)/5.0::DOUBLE)', f'(({k}%4)/2.0::DOUBLE)')} END AS up,
+      CASE WHEN {k}%13<>0 AND {k}%2=0 THEN {spins(f'(({k}%3)/10.0::DOUBLE)', f'(({k}%2)/5.0::DOUBLE)', f'(({k}%6)/2.0::DOUBLE)')} END AS down FROM orders"""
     trig = "WITH " + _CELLS + ", t AS (SELECT *, cos(radians(alpha)) AS ca, cos(radians(beta)) AS cb, cos(radians(gamma)) AS cg, sin(radians(alpha)) AS sa, sin(radians(beta)) AS sb FROM cells), u AS (SELECT *, acos((ca*cb - cg)/(sa*sb)) AS gs FROM t)"
     sql["lattice_matrix"] = trig + """ SELECT id AS structure_id, round(a*sb, 6) AS m00, 0.0::DOUBLE AS m01, round(a*cb, 6) AS m02,
       round(-b*sa*cos(gs), 6) + 0.0 AS m10, round(b*sa*sin(gs), 6) AS m11, round(b*ca, 6) AS m12, 0.0::DOUBLE AS m20, 0.0::DOUBLE AS m21, c AS m22 FROM u"""
@@ -437,8 +476,8 @@ def oracle_sql() -> dict[str, str]:
     sql["cell_volume"] = f"WITH {_CELLS} SELECT id AS structure_id, round(v, 6) AS volume, round(v/nullif(id%8, 0), 6) AS volume_per_atom, false AS skewed FROM vol"
     sql["density"] = f"WITH {_EL}, {_CELLS}, {_SITES}, {_STATS} SELECT id AS structure_id, round(mass*1.66053906660::DOUBLE/v, 6) AS density FROM stats JOIN vol USING (id)"
     sql["crystal_system"] = f"SELECT o_orderkey AS row_id, {_SYSTEM.format(n='(o_orderkey%240)')} AS crystal_system FROM orders"
-    sql["min_image_distance"] = f"""WITH {_CELLS}, {_SITES}, ends AS (SELECT * FROM sites WHERE i = 0 OR i = id%8),
-      {_edges('edges', 'ends').replace('HAVING d <= 3.0', '')} SELECT c.id AS structure_id, coalesce(round(d, 5), 0.0) AS distance FROM cells c LEFT JOIN edges e USING (id)"""
+    sql["min_image_distance"] = f"""WITH {_CELLS}, {_SITES}, {_EDGES.replace('HAVING d <= 3.0', '')}
+      SELECT id AS structure_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(d, 5) AS distance FROM edges"""
     sql["is_metal"] = f"WITH {_DOCS} SELECT comp AS supercon_composition, gap_long = 0 AS is_metal FROM docs"
     sql["dos_at_fermi"] = f"WITH {_DOS} SELECT k AS structure_id, round(dos, 6) AS dos FROM dos"
     sql["energy_per_site"] = "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey%4>0 THEN o_totalprice/(o_orderkey%4) ELSE o_totalprice END, 4) AS energy FROM orders"
@@ -448,7 +487,9 @@ def oracle_sql() -> dict[str, str]:
 
     full = lambda e: f"CASE WHEN k%10<>0 THEN {e} END"
     sql["feature_table"] = f"""WITH {_EL}, {_CELLS}, {_SITES}, {_EDGES}, {_STATS}, {_DOCS}, {_DOS},
-      ne AS (SELECT id, count(*) AS n FROM edges GROUP BY id)
+      ne AS (SELECT id, count(*) AS n, string_agg(i || '-' || j, ',' ORDER BY i, j) AS pairs, sum(d) AS total FROM edges GROUP BY id),
+      gn AS (SELECT id, string_agg(i || ':' || atomic_number || ':' || CAST(electronegativity AS VARCHAR), ',' ORDER BY i) AS nodes FROM sites JOIN el USING (element) GROUP BY id),
+      amounts AS (SELECT CAST(id AS VARCHAR) AS f, element AS sym, CAST(count(*) AS DOUBLE) AS amt FROM sites GROUP BY id, element), {_display('amounts')}
       SELECT mid AS material_id, comp AS supercon_composition, tc AS critical_temperature_tc, round(coalesce(gap_long, gap_short), 8) AS band_gap_mp,
       round(fe, 8) AS formation_energy_per_atom_mp, coalesce(gap_long, gap_short)=0 AS is_metal, round(dos, 8) AS dos_at_fermi,
       {full('num_elements')} AS num_elements, {full('elements')} AS elements, round({full('mass*1.66053906660::DOUBLE/v')}, 8) AS density_pg,
@@ -456,8 +497,10 @@ def oracle_sql() -> dict[str, str]:
       {full(_SYSTEM.format(n='(k%230 + 1)'))} AS crystal_system_pg, {full('a')} AS lattice_a_pg, {full('b')} AS lattice_b_pg, {full('c')} AS lattice_c_pg,
       {full('alpha')} AS lattice_alpha_pg, {full('beta')} AS lattice_beta_pg, {full('gamma')} AS lattice_gamma_pg, {full('CAST(num_sites AS INTEGER)')} AS num_sites_pg,
       round(coalesce(gap_long, gap_short), 8) AS target_band_gap, round(fe, 8) AS target_formation_energy, coalesce(gap_long, gap_short)=0 AS target_is_metal,
-      round(dos, 8) AS target_dos_at_fermi, {full('num_sites')} AS num_graph_nodes, {full('coalesce(ne.n, 0)')} AS num_graph_edges
-      FROM docs JOIN dos USING (k) JOIN cells ON cells.id = k JOIN vol ON vol.id = k JOIN stats ON stats.id = k LEFT JOIN ne ON ne.id = k"""
+      round(dos, 8) AS target_dos_at_fermi, {full('num_sites')} AS num_graph_nodes, {full('coalesce(ne.n, 0)')} AS num_graph_edges,
+      {full('shown.formula')} AS formula_pretty, {full('gn.nodes')} AS graph_nodes, {full("coalesce(ne.pairs, '')")} AS graph_edges, round({full('coalesce(ne.total, 0)')}, 4) AS graph_length
+      FROM docs JOIN dos USING (k) JOIN cells ON cells.id = k JOIN vol ON vol.id = k JOIN stats ON stats.id = k LEFT JOIN ne ON ne.id = k
+      JOIN gn ON gn.id = k JOIN shown ON shown.f = CAST(k AS VARCHAR)"""
     prep = ", ".join(
         f"round((coalesce({c}, (SELECT avg({c}) FROM tr)) - (SELECT avg({c}) FROM tr)) / (SELECT CASE WHEN s>0 THEN s ELSE 1 END FROM (SELECT stddev_pop(coalesce({c}, mu)) AS s FROM tr, (SELECT avg({c}) AS mu FROM tr))), 5) AS {c}"
         for c in _PREP

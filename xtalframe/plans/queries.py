@@ -13,6 +13,7 @@ from xtalframe.functions import dos as D
 from xtalframe.functions import formula as FO
 from xtalframe.functions import lattice as L
 from xtalframe.functions import structure_text as ST
+from xtalframe.functions.once import compute_once
 from xtalframe.operators import candidates as C
 from xtalframe.operators import clean as CL
 from xtalframe.operators import features as FE
@@ -24,7 +25,7 @@ from xtalframe.operators import metrics as ME
 from xtalframe.operators import models as MO
 from xtalframe.operators import split as S
 from xtalframe.plans import derived as V
-from xtalframe.schemas import TC_TABLE, conform_schema, fields
+from xtalframe.schemas import SITES, TC_TABLE, conform_schema, fields
 from xtalframe.session import shared_folder, stored
 from xtalframe.sources import graphs as GR
 from xtalframe.sources import tables as IO
@@ -672,29 +673,40 @@ def parse_cell(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_sites(spark: SparkSession, sf: str) -> DataFrame:
     parsed = V.structure_texts(spark, sf).select("row_id", F.explode(ST.parse_sites(F.col("oqmd_sites_json"))).alias("s"))
-    return parsed.select("row_id", "s.idx", "s.element", F.round(F.col("s.frac")[0], 6).alias("x"))
+    frac = F.col("s.frac")
+    return parsed.select("row_id", "s.idx", "s.element", *[F.round(frac[i], 6).alias(n) for i, n in enumerate("xyz")])
+
+
+def _entry_texts(spark: SparkSession, sf: str, name: str, text) -> DataFrame:
+    """A text of every entry, and whether reading it back gives the same text."""
+    entry = F.col("entry")
+    rows = V.entry_lists(spark, sf).where("entry IS NOT NULL")
+    return rows.select("supercon_composition", entry["entry_id"].alias("entry_id"), text(entry).alias(name))
 
 
 @query
 def cell_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Cell and sites to text and back: the round trip changes nothing."""
-    entry = F.col("entry")
-    texts = V.entry_lists(spark, sf).where("entry IS NOT NULL").select(
-        entry["unit_cell"].alias("cell"), entry["sites"].alias("sites"),
-        ST.cell_to_text(entry["unit_cell"]).alias("cell_text"), ST.sites_to_text(entry["sites"]).alias("sites_text"),
-    )
-    return texts.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.to_json(F.from_json("cell_text", "array<double>")) == F.col("cell_text")).alias("n_cells_kept"),
-        F.sum(F.size("sites")).alias("n_sites"),
-    )
+    texts = _entry_texts(spark, sf, "cell_text", lambda e: ST.cell_to_text(e["unit_cell"]))
+    back = F.to_json(F.from_json("cell_text", "array<double>"))
+    return texts.withColumn("same", back == F.col("cell_text"))
+
+
+@query
+def sites_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _entry_texts(spark, sf, "sites_text", lambda e: ST.sites_to_text(e["sites"]))
+    return texts.withColumn("same", F.to_json(F.from_json("sites_text", SITES)) == F.col("sites_text"))
 
 
 @query
 def parse_dos(spark: SparkSession, sf: str) -> DataFrame:
+    """Energies and the densities of either spin, as parsed."""
     texts = V.dos_docs(spark, sf).select("structure_id", F.to_json("dos").alias("text"))
-    dos = ST.parse_dos(F.col("text"))
-    return texts.select("structure_id", dos["efermi"].alias("efermi"), F.size(dos["energies"]).alias("n_energies"), F.size(dos["densities"]).alias("n_spins"))
+    dos = compute_once(texts, {"dos": ST.parse_dos(F.col("text"))})
+    listed = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
+    spin = lambda k: listed(F.try_element_at(F.col("dos.densities"), F.lit(k)))
+    return dos.select(
+        "structure_id", "dos.efermi", listed(F.col("dos.energies")).alias("energies"), spin("1").alias("up"), spin("-1").alias("down")
+    )
 
 
 def _cell_columns(spark: SparkSession, sf: str, *columns) -> DataFrame:
@@ -740,14 +752,17 @@ def crystal_system(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def min_image_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance between the first and last site of every structure."""
-    first, last = F.col("sites")[0]["frac"], F.element_at("sites", -1)["frac"]
-    rows = V.structures(spark, sf).select(
-        "structure_id",
-        *L.metric(F.col("cell")),
-        *[(L.wrap(last[i]) - L.wrap(first[i])).alias(n) for i, n in enumerate(("dx", "dy", "dz"))],
+    """Distance between every two sites of every structure."""
+    lattices = compute_once(V.structures(spark, sf), {"lattice": L.reduced_lattice(F.col("cell"))})
+    first = lattices.select("structure_id", "lattice", "sites", F.posexplode("sites").alias("i", "p"))
+    rest = F.slice("sites", F.col("i") + 2, F.size("sites"))
+    pairs = first.select("structure_id", "lattice", "i", "p", F.posexplode(rest).alias("at", "q"))
+    p, q = (L.turned(F.col("lattice"), *[F.col(f"{n}.frac")[k] for k in range(3)]) for n in "pq")
+    rows = pairs.select(
+        "structure_id", "i", (F.col("i") + F.col("at") + 1).alias("j"), *[F.col(f"lattice.{m}").alias(m) for m in L.METRIC],
+        *[(L.wrap(b) - L.wrap(a)).alias(n) for a, b, n in zip(p, q, ("dx", "dy", "dz"))],
     )
-    return rows.select("structure_id", F.round(L.min_image_distance(), 5).alias("distance"))
+    return rows.select("structure_id", "i", "j", F.round(L.min_image_distance(), 5).alias("distance"))
 
 
 @query
@@ -787,9 +802,14 @@ def derive_targets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = V.property_docs(spark, sf).where("doc IS NOT NULL").select("supercon_composition", "doc.*")
-    features = FE.feature_table(docs, graphs=False)
+    features = FE.feature_table(docs)
     rounded = [c for c, t in features.dtypes if t == "double"]
-    return _round(features.drop("graph_nodes", "graph_edges", "formula_pretty"), *rounded, digits=8)
+    nodes = F.transform("graph_nodes", lambda n: F.concat_ws(":", n["original_site_index"].cast("string"), n["atomic_number"].cast("string"), F.coalesce(n["electronegativity"], F.lit(0.0)).cast("string")))
+    edges = F.transform("graph_edges", lambda e: F.concat_ws("-", e["source_node_index"].cast("string"), e["target_node_index"].cast("string")))
+    length = F.aggregate("graph_edges", F.lit(0.0), lambda a, e: a + e["distance"])
+    return _round(features, *rounded, digits=8).withColumns(
+        {"graph_nodes": F.array_join(nodes, ","), "graph_edges": F.array_join(edges, ","), "graph_length": F.round(length, 4)}
+    )
 
 
 def _model_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -941,7 +961,9 @@ def graph_validate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evaluate_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _parts(spark, sf)
-    return _round(ME.evaluate_model(test, train), "mae", "rmse", "r2", "baseline_mae", "baseline_rmse")
+    out = _round(ME.evaluate_model(test, train), "mae", "rmse", "r2", "baseline_mae", "baseline_rmse")
+    shown = F.transform("top_errors", lambda e: F.concat_ws(" ", e["material_id"], F.round(e["absolute_error"], 4).cast("string")))
+    return out.withColumn("top_errors", F.array_join(shown, ", "))
 
 
 @query

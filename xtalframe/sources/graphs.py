@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from xtalframe.operators.skew import SHARE, left_join
 from xtalframe.schemas import fields, require_columns
 
-PARTS = 64
+PARTS = 16
 #: Nodes of one graph whose rows, and whose edges, go to one file.
 CHUNK = 100_000
 
