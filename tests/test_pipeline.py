@@ -374,10 +374,50 @@ def test_cif_variants(spark):
     texts = [CIF, CIF.replace("'P 1'", "'Fm-3m'"), CIF.replace("3.61(2)", "?"), None, CIF.replace("'x, y, z'", "'-x, -y, -z'")]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = df.select("i", ST.cif_to_structure(F.col("t")).alias("r")).orderBy("i").collect()
-    assert [r["r"]["status"] for r in got] == ["ok", "unsupported_symmetry", "parse_error", "missing", "unsupported_symmetry"]
+    assert [r["r"]["status"] for r in got] == ["ok", "unsupported_symmetry", "parse_error", "missing", "ok"]
     assert [s["frac"] for s in got[0]["r"]["sites"]][1] == [0.5, 0.5, 0.0]
 
 
+def cif_with(operations, sites, group="'F m -3 m'"):
+    lines = "\n".join(f"  {k + 1} '{o}'" for k, o in enumerate(operations))
+    atoms = "\n".join(f"  {e}{k} {e} {x} {y} {z}" for k, (e, x, y, z) in enumerate(sites))
+    cell = "\n".join(f"_cell_length_{n} 5.0" for n in "abc") + "\n" + "\n".join(f"_cell_angle_{n} 90" for n in ("alpha", "beta", "gamma"))
+    return (
+        f"data_x\n_symmetry_space_group_name_H-M {group}\n{cell}\nloop_\n _symmetry_equiv_pos_site_id\n _symmetry_equiv_pos_as_xyz\n{lines}\n"
+        f"loop_\n _atom_site_label\n _atom_site_type_symbol\n _atom_site_fract_x\n _atom_site_fract_y\n _atom_site_fract_z\n{atoms}\n"
+    )
+
+
+def test_symmetry_operations(spark):
+    shifts = [(0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0)]
+    word = {0: "", 0.5: "+1/2"}
+    face = [f"x{word[a]},y{word[b]},z{word[c]}" for a, b, c in shifts]
+    both = face + [f"-X{word[a]}, 1/2-y, -z{word[c]}" if b else f"-x{word[a]},-y,-z{word[c]}" for a, b, c in shifts]
+    texts = [
+        cif_with(face, [("Na", 0, 0, 0), ("Cl", 0.5, 0.5, 0.5)]),
+        cif_with(both, [("Na", 0, 0, 0), ("O", 0.1, 0.2, 0.3)]),
+        cif_with(["x,y,z", "x-y, x, z+0.25", "-z,2*x,1/3+y"], [("Fe", 0.1, 0.7, 0.9999999)]),
+        cif_with(["x,y,z", "x,y"], [("Fe", 0, 0, 0)]),
+        cif_with(["x,y,z", "x,y,z+1/0"], [("Fe", 0, 0, 0)]),
+        cif_with(["x,y,z"], [("Fe", 1.25, -0.25, 0)], "'P 1'"),
+        cif_with(["x,y,z"], [("Fe", 0, 0, 0)]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["r"] for r in df.select("i", ST.cif_to_structure(F.col("t")).alias("r")).orderBy("i").collect()]
+    assert [r["status"] for r in got] == ["ok", "ok", "ok", "parse_error", "parse_error", "ok", "unsupported_symmetry"]
+    salt = [(s["element"], tuple(s["frac"])) for s in got[0]["sites"]]
+    assert salt == [("Na", s) for s in shifts] + [("Cl", tuple((0.5 + x) % 1 for x in s)) for s in shifts]
+    oxygen = [s["frac"] for s in got[1]["sites"] if s["element"] == "O"]
+    assert [s["idx"] for s in got[1]["sites"]] == list(range(12)) and len(oxygen) == 8
+    assert oxygen[5] == [pytest.approx(0.9), pytest.approx(0.3), pytest.approx(0.2)]
+    assert [s["frac"] for s in got[2]["sites"]] == [
+        [pytest.approx(0.1), pytest.approx(0.7), pytest.approx(0.9999999)],
+        [pytest.approx(0.4), pytest.approx(0.1), pytest.approx(0.2499999)],
+        [pytest.approx(0.0000001, abs=1e-6), pytest.approx(0.2), pytest.approx(1 / 30)],
+    ]
+    assert [s["frac"] for s in got[5]["sites"]] == [[1.25, -0.25, 0.0]]  # as written
+
+
 def test_tsv(spark, tmp_path):
     path = tmp_path / "t.tsv"
     path.write_text("#meta\nname\tchemical formula\ttc\na\tFe1\t1.5\nb\t\t2\n")

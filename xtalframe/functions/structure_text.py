@@ -98,8 +98,11 @@ def parse_dos(text: Column) -> Column:
     )
 
 
+_OPERATIONS = "array<array<struct<x:double,y:double,z:double,shift:double>>>"
 _UNCERTAINTY = r"\(\d+\)"
-_IDENTITY = r"^'?\s*\+?x\s*,\s*\+?y\s*,\s*\+?z\s*'?$"
+_TERM = r"([+-]?)(\d*\.?\d*)\*?"
+_SHIFT = r"^([+-]?\d*\.?\d+)(?:/(\d+))?$"
+_SAME_PLACE = 1e-4  # of a cell: images that close are one site
 _SPACE_GROUP_TAGS = r"(?im)^\s*_(?:symmetry_space_group_name_H-M|space_group_name_H-M_alt)\s+(.+?)\s*$"
 _SPACE_GROUP_NUMBER = r"(?im)^\s*_(?:symmetry_Int_Tables_number|space_group_IT_number)\s+(\d+)"
 
@@ -142,14 +145,58 @@ def _word(row: Column, tags: Column, tag: str) -> Column:
     return F.when(at > 0, F.try_element_at(words, F.nullif(at, F.lit(0))))
 
 
+def symmetry_operation(text: Column) -> Column:
+    """``x,-y,z+1/2`` as three rows ``struct<x, y, z, shift>`` that make a
+    fraction from the old ones; null if a row can't be read."""
+
+    def row(part: Column) -> Column:
+        def factor(axis: str) -> Column:
+            number = F.nullif(F.regexp_extract(part, _TERM + axis, 2), F.lit(""))
+            sign = F.when(F.regexp_extract(part, _TERM + axis, 1) == "-", -1.0).otherwise(1.0)
+            return F.when(part.contains(axis), sign * F.coalesce(number.try_cast("double"), F.lit(1.0))).otherwise(0.0)
+
+        rest = F.regexp_replace(part, r"[+-]?\d*\.?\d*\*?[xyz]", "")
+        number = F.regexp_extract(rest, _SHIFT, 1).try_cast("double")
+        under = F.coalesce(F.nullif(F.regexp_extract(rest, _SHIFT, 2), F.lit("")).try_cast("double"), F.lit(1.0))
+        shift = F.when(rest == "", 0.0).when(rest.rlike(_SHIFT), F.try_divide(number, under))
+        return F.when((part != "") & shift.isNotNull(), F.struct(*[factor(a).alias(a) for a in "xyz"], shift.alias("shift")))
+
+    bare = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\d+\s+", ""), r"['\"\s]", ""))
+    rows = lambda parts: F.transform(parts, row)
+    whole = lambda r: F.when((F.size(r) == 3) & F.forall(r, lambda x: x.isNotNull()), r)
+    return let(let(F.split(bare, ","), rows), whole)
+
+
+def _is_identity(operation: Column) -> Column:
+    row = lambda k, axis: F.forall(
+        F.array(*[F.when(operation[k][n] == (1.0 if n == axis else 0.0), 1) for n in ("x", "y", "z", "shift")]), lambda v: v.isNotNull()
+    )
+    return row(0, "x") & row(1, "y") & row(2, "z")
+
+
+def orbit(frac: Column, operations: Column) -> Column:
+    """The distinct places of a site under all operations, in [0, 1), in order;
+    places that coincide, also across a face of the cell, are one."""
+    moved = lambda r: r["x"] * frac[0] + r["y"] * frac[1] + r["z"] * frac[2] + r["shift"]
+    inside = lambda v: v - F.floor(v)
+    places = F.transform(operations, lambda o: F.array(*[inside(moved(o[k])) for k in range(3)]))
+    apart = lambda p, q, k: F.abs(p[k] - q[k] - F.rint(p[k] - q[k]))
+    same = lambda p, q: F.greatest(*[apart(p, q, k) for k in range(3)]) < _SAME_PLACE
+    none = F.array().cast("array<array<double>>")
+    return F.aggregate(places, none, lambda kept, p: F.when(F.exists(kept, lambda q: same(p, q)), kept).otherwise(F.concat(kept, F.array(p))))
+
+
 def cif_to_structure(text: Column) -> Column:
-    """CIF text with no symmetry but the identity, as
-    ``struct<status, cell, sites, spacegroup_number>``.
+    """CIF text as ``struct<status, cell, sites, spacegroup_number>``.
+
+    Listed symmetry operations are applied: each site becomes its orbit, in
+    order of sites and operations. Where the identity is the only one, sites
+    stay as they are written.
 
-    ``status``: ``ok``, ``missing`` (no text), ``unsupported_symmetry`` (any
-    other symmetry operation or group name) or ``parse_error``. Bracketed
-    uncertainties are dropped; the element of a site is its type symbol
-    without charge, or else the letters of its label.
+    ``status``: ``ok``, ``missing`` (no text), ``unsupported_symmetry`` (a space
+    group other than P1 by name or number without its operations) or
+    ``parse_error``. Bracketed uncertainties are dropped; the element of a site
+    is its type symbol without charge, or else the letters of its label.
     """
     numbers = [
         _cif_scalar(text, tag)
@@ -183,25 +230,24 @@ def cif_to_structure(text: Column) -> Column:
         _loop(text, "_atom_site_"),
         lambda loop: F.transform(loop["rows"], lambda r, i: site(r, i, loop["tags"])),
     )
-    operations = _loop(text, "_(?:symmetry_equiv_pos|space_group_symop)")["rows"]
-    only_identity = F.forall(
-        operations, lambda r: F.regexp_replace(r, r"^\d+\s+", "").rlike(_IDENTITY)
-    )
+    listed = _loop(text, "_(?:symmetry_equiv_pos|space_group_symop)")["rows"]
+    operations = F.transform(listed, symmetry_operation)
     group = F.regexp_replace(F.regexp_extract(text, _SPACE_GROUP_TAGS, 1), r"['\"\s]", "")
     number = F.nullif(F.regexp_extract(text, _SPACE_GROUP_NUMBER, 1), F.lit("")).cast("int")
-    symmetric = (
-        ~F.coalesce(only_identity, F.lit(True))
-        | ~group.isin("", "P1")
-        | (F.coalesce(number, F.lit(1)) != 1)
-    )
+    named = ~group.isin("", "P1") | (F.coalesce(number, F.lit(1)) != 1)
     raw = F.struct(
         (text.isNull() | (F.trim(text) == "")).alias("missing"),
-        symmetric.alias("symmetric"),
+        named.alias("named"),
+        F.coalesce(operations, F.array().cast(_OPERATIONS)).alias("operations"),
         number.alias("number"),
         cell(*numbers).alias("cell"),
         sites.alias("sites"),
     )
 
+    def all_places(sites: Column, operations: Column) -> Column:
+        each = F.flatten(F.transform(sites, lambda s: F.transform(orbit(s["frac"], operations), lambda p: F.struct(s["element"].alias("element"), p.alias("frac")))))
+        return F.transform(each, lambda s, i: F.struct(i.alias("idx"), s["element"].alias("element"), s["frac"].alias("frac")))
+
     def result(r: Column) -> Column:
         numbers_given = F.lit(True)
         for name in ("a", "b", "c", "alpha", "beta", "gamma"):
@@ -213,9 +259,11 @@ def cif_to_structure(text: Column) -> Column:
                 r["sites"], lambda s: s["element"].isNotNull() & _all_present(s["frac"], 3)
             )
         )
+        good = good & F.forall(r["operations"], lambda o: o.isNotNull())
+        plain = F.forall(r["operations"], lambda o: F.coalesce(_is_identity(o), F.lit(False)))
         status = (
             F.when(r["missing"], "missing")
-            .when(r["symmetric"], "unsupported_symmetry")
+            .when(r["named"] & plain, "unsupported_symmetry")
             .when(F.coalesce(good, F.lit(False)), "ok")
             .otherwise("parse_error")
         )
@@ -224,7 +272,7 @@ def cif_to_structure(text: Column) -> Column:
             lambda st: F.struct(
                 st.alias("status"),
                 F.when(st == "ok", r["cell"]).alias("cell"),
-                F.when(st == "ok", r["sites"]).alias("sites"),
+                F.when((st == "ok") & plain, r["sites"]).when(st == "ok", all_places(r["sites"], r["operations"])).alias("sites"),
                 r["number"].alias("spacegroup_number"),
             ),
         )

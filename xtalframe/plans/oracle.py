@@ -534,9 +534,18 @@ def oracle_sql() -> dict[str, str]:
       SELECT id AS structure_id, round({out}, 6) AS score FROM d2 GROUP BY id"""
     sql["target_select"] = "SELECT o_orderkey AS structure_id, o_orderkey*0.5::DOUBLE AS target FROM orders WHERE o_orderkey%3<>0"
     sql["graph_validate"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT * EXCLUDE (k) FROM whole WHERE k%5<>0"
-    sql["cif_to_structure"] = f"""WITH {_CELLS}, {_SITES.replace('z - floor(z) AS z', 'z')}, st AS (SELECT id, gamma, CASE WHEN id%9=0 THEN 'parse_error' WHEN id%6=0 THEN 'unsupported_symmetry' ELSE 'ok' END AS status FROM cells)
-      SELECT st.id AS structure_id, status, CASE WHEN status='ok' THEN gamma END AS gamma, CASE WHEN status='ok' THEN st.id%8 + 1 END AS n_sites,
-      CASE WHEN status='ok' THEN round(z, 5) END AS last_z FROM st JOIN sites ON sites.id = st.id AND sites.i = st.id%8"""
+    moves = "(VALUES (0, x, y, z), (1, -x, -y, -z), (2, x + 0.5, 0.5 - y, z)) m(o, mx, my, mz)"
+    of_cell = ", ".join(f"CASE WHEN status='ok' THEN {n} END AS cell_{n}" for n in ("a", "b", "c", "alpha", "beta", "gamma"))
+    far = lambda n: f"abs(p.{n} - q.{n} - round_even(p.{n} - q.{n}, 0)) < 1e-4"
+    sql["cif_to_structure"] = f"""WITH {_CELLS}, {raw_sites},
+      st AS (SELECT *, CASE WHEN id%9=0 THEN 'parse_error' WHEN id%6=0 AND id%5<>0 THEN 'unsupported_symmetry' ELSE 'ok' END AS status FROM cells),
+      moved AS (SELECT id, i, element, o, mx - floor(mx) AS x, my - floor(my) AS y, mz - floor(mz) AS z FROM sites, LATERAL (SELECT * FROM {moves}) WHERE id%5=0),
+      every AS (SELECT id, i, 0 AS o, element, x, y, z FROM sites WHERE id%5<>0 UNION ALL
+        SELECT id, i, o, element, x, y, z FROM moved p WHERE NOT EXISTS (SELECT 1 FROM moved q WHERE q.id = p.id AND q.i = p.i AND q.o < p.o
+          AND {far('x')} AND {far('y')} AND {far('z')})),
+      placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o) - 1 AS INTEGER) AS site FROM every)
+      SELECT st.id AS structure_id, status, {of_cell}, site, element, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z
+      FROM st LEFT JOIN placed ON placed.id = st.id AND status = 'ok'"""
     sql["structure_report"] = f"""WITH {_EL}, {_CELLS}, {_SITES}, {_EDGES}, {_STATS},
       b AS (SELECT id, count(*) AS n, avg(d) AS m FROM edges GROUP BY id)
       SELECT id AS structure_id, round(v, 4) AS volume, round(mass*1.66053906660::DOUBLE/v, 4) AS density, num_sites AS n_nodes, coalesce(n, 0) AS n_edges, round(m, 5) AS mean_bond

@@ -978,9 +978,11 @@ def cif_to_structure(spark: SparkSession, sf: str) -> DataFrame:
     ]
     group = F.when(k % 6 == 0, "'Fm-3m'").otherwise("'P 1'")
     head = F.concat(F.lit("data_x\n_symmetry_space_group_name_H-M "), group)
-    loop = F.lit(
-        "loop_\n _symmetry_equiv_pos_site_id\n _symmetry_equiv_pos_as_xyz\n 1 'x, y, z'\n"
-        "loop_\n _atom_site_type_symbol\n _atom_site_label\n _atom_site_fract_x\n _atom_site_fract_y\n _atom_site_fract_z"
+    more = F.when(k % 5 == 0, "\n 2 '-x, -y, -z'\n 3 'x+1/2, 1/2-y, z'").otherwise("")
+    loop = F.concat(
+        F.lit("loop_\n _symmetry_equiv_pos_site_id\n _symmetry_equiv_pos_as_xyz\n 1 'x, y, z'"),
+        more,
+        F.lit("\nloop_\n _atom_site_type_symbol\n _atom_site_label\n _atom_site_fract_x\n _atom_site_fract_y\n _atom_site_fract_z"),
     )
     lines = F.transform(
         "sites",
@@ -989,13 +991,15 @@ def cif_to_structure(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(k % 9 == 0, "data_x\nnothing here").otherwise(
         F.concat_ws("\n", head, *scalars, loop, F.array_join(lines, "\n"))
     )
-    parsed = V.structures(spark, sf).select("structure_id", ST.cif_to_structure(text).alias("r"))
-    return parsed.select(
+    parsed = compute_once(V.structures(spark, sf).select("structure_id", text.alias("text")), {"r": ST.cif_to_structure(F.col("text"))})
+    rows = parsed.select("structure_id", "r.status", "r.cell", F.explode_outer("r.sites").alias("s"))
+    return rows.select(
         "structure_id",
-        "r.status",
-        F.round("r.cell.gamma", 4).alias("gamma"),
-        F.when(F.col("r.sites").isNotNull(), F.size("r.sites")).cast("bigint").alias("n_sites"),
-        F.round(F.element_at("r.sites", -1)["frac"][2], 5).alias("last_z"),
+        "status",
+        *[F.round(f"cell.{n}", 4).alias(f"cell_{n}") for n in ("a", "b", "c", "alpha", "beta", "gamma")],
+        F.col("s.idx").alias("site"),
+        "s.element",
+        *[F.round(F.col("s.frac")[i], 5).alias(n) for i, n in enumerate("xyz")],
     )
 
 
