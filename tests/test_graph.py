@@ -114,8 +114,7 @@ def test_reduced_lattices(spark):
     cells += [(3.0, 3.0, 3.0, 60.0, 60.0, 60.0), (3.0, 3.0, 3.0, 109.4712206, 109.4712206, 109.4712206), (5.0, 5.0, 5.0, 90.0, 90.0, 90.0), (1.0, 1000.0, 2.0, 90.0, 90.0, 140.0)]
     rows = [(str(i), c, [{"idx": k, "element": "Fe", "frac": [rng.uniform(-2, 2) for _ in range(3)]} for k in range(2)]) for i, c in enumerate(cells)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = df.select("structure_id", L.reduced_lattice(F.col("cell")).alias("l")).collect()
-    reduced = {r["structure_id"]: r["l"] for r in got}
+    reduced = {r["structure_id"]: r["lattice"] for r in L.with_reduced_lattice(df).collect()}
     edges = edges_of(G.structure_edges(df, cutoff=1e9))
     for name, c, sites in rows:
         a, b, g = (math.cos(math.radians(x)) for x in c[3:])
@@ -168,7 +167,7 @@ def test_one_huge_structure_among_small_ones(spark, monkeypatch):
     expected = brute(rows[0])
     by_rows = edges_of(G.pair_join_within(sites, df.select("structure_id", "cell")))
     assert set(by_rows["big"]) == set(expected)
-    lattices = df.select("structure_id", L.reduced_lattice(F.col("cell")).alias("lattice"), F.size("sites").alias("n_sites"))
+    lattices = L.with_reduced_lattice(df).select("structure_id", "lattice", F.size("sites").alias("n_sites"))
     point = G._point(F.col("idx"), F.col("x"), F.col("y"), F.col("z")).alias("p")
     placed = sites.join(lattices, "structure_id").select("structure_id", *G._metric(), "n_sites", point)
     salted = edges_of(G._pairs_on_grid(placed, 3.0, bin_load=5))

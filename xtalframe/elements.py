@@ -198,3 +198,16 @@ def electronegativity_of(symbol: Column) -> Column:
     """Pauling value of a symbol as an expression; unknown symbols give null."""
     pairs = [F.lit(v) for r in ELEMENTS for v in (r[0], r[2])]
     return F.try_element_at(F.create_map(*pairs), symbol)
+
+
+def symbol_array() -> Column:
+    """All symbols in order of atomic number, as one constant."""
+    return F.expr("array(" + ", ".join(f"'{e[0]}'" for e in ELEMENTS) + ")")
+
+
+def element_values(symbol: Column) -> Column:
+    """``struct<atomic_number, electronegativity, atomic_mass>`` of a symbol as an
+    expression, for use within a row; unknown symbols give null."""
+    number = lambda v: f"double('{v}')" if v != v else f"{v!r}D"
+    rows = ", ".join(f"named_struct('atomic_number', {z}, 'electronegativity', {number(en)}, 'atomic_mass', {number(m)})" for _, z, en, m in ELEMENTS)
+    return F.get(F.expr(f"array({rows})"), F.array_position(symbol_array(), symbol).cast("int") - 1)

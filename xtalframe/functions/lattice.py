@@ -7,10 +7,10 @@ built on the neighbour-search path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.functions.once import let
+from xtalframe.functions.once import compute_once
 
 CELL = "struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>"
 
@@ -139,6 +139,52 @@ def _square(y: str, z: str) -> str:
     )
 
 
+_IMAGES = [(y, z) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def image_constants(lattice: str) -> Column:
+    """What the nine (y, z) images of a reduced lattice add to a pair's own
+    terms, for ``pairs_within``: once per structure."""
+    g = {n: f"{lattice}.{n}" for n in METRIC}
+    ratio = lambda a, b: f"coalesce(try_divide({a}, {b}), double('NaN'))"
+    parts = {
+        "g": g["g11"],
+        "cy": ratio(g["g12"], g["g11"]),
+        "cz": ratio(g["g13"], g["g11"]),
+        "yy": f"{g['g22']} - {ratio(f'{g['g12']} * {g['g12']}', g['g11'])}",
+        "zz": f"{g['g33']} - {ratio(f'{g['g13']} * {g['g13']}', g['g11'])}",
+        "yz": f"2D * ({g['g23']} - {ratio(f'{g['g12']} * {g['g13']}', g['g11'])})",
+    }
+    for k, (y, z) in enumerate(_IMAGES):
+        parts[f"s{k}"] = f"{y} * ({parts['cy']}) + {z} * ({parts['cz']})"
+        parts[f"q{k}"] = f"{y * y} * ({parts['yy']}) + {z * z} * ({parts['zz']}) + {y * z} * ({parts['yz']})"
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in parts.items()) + ")")
+
+
+def pairs_within(points: str, images: str, cutoff: float) -> Column:
+    """The neighbour pairs of one structure as an array of (source_node_index,
+    target_node_index, distance), in order. ``points`` names an array of
+    (x, y, z), wrapped fractions of the reduced lattice; ``images`` its
+    ``image_constants``.
+
+    All pairs are built within the row: for structures of few sites.
+    """
+    c = images
+    moved = lambda k, y, z: f"d.q + {c}.q{k}" + (f" + {y} * d.a" if y else "") + (f" + {z} * d.b" if z else "")
+    squares = ", ".join(
+        f"{c}.g * pow((d.s + {c}.s{k}) - rint(d.s + {c}.s{k}), 2) + {moved(k, y, z)}" for k, (y, z) in enumerate(_IMAGES)
+    )
+    own = (
+        f"named_struct('s', w.x + w.y * {c}.cy + w.z * {c}.cz, 'q', w.y * (w.y * {c}.yy + w.z * {c}.yz) + w.z * w.z * {c}.zz,"
+        f" 'a', 2D * w.y * {c}.yy + w.z * {c}.yz, 'b', 2D * w.z * {c}.zz + w.y * {c}.yz)"
+    )
+    between = "named_struct('x', q.x - p.x, 'y', q.y - p.y, 'z', q.z - p.z)"
+    distance = f"transform(transform(array({between}), w -> {own}), d -> sqrt(greatest(least({squares}), 0D)))[0]"
+    pair = f"named_struct('source_node_index', i, 'target_node_index', i + 1 + j, 'distance', {distance})"
+    rest = f"slice({points}, i + 2, size({points}))"
+    return F.expr(f"filter(flatten(transform({points}, (p, i) -> transform({rest}, (q, j) -> {pair}))), e -> e.distance <= {float(cutoff)!r}D)")
+
+
 def min_image_squares() -> list[Column]:
     """Squared distance to the nearest x image, for each of nine (y, z) images.
 
@@ -157,101 +203,77 @@ def min_image_distance() -> Column:
 
 TURN = [f"t{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 _SWEEPS = 16  # of nine steps; two steps on a pair of vectors divide their ratio by three
-_SLACK = 1e-9  # what lengths may differ by before a vector counts as shorter
-#: The steps of a sweep: the vector that changes, the one that is taken off it,
-#: the third; then each vector against both others.
-_MOVES = [(1, 0, 2), (0, 1, 2), (2, 0, 1), (0, 2, 1), (2, 1, 0), (1, 2, 0)]
-_SUMS = [(0, 1, 2), (1, 0, 2), (2, 0, 1)]
-
-
-def _at(matrix: Column, i, j) -> Column:
-    """Entry of a 3x3 matrix held as nine numbers, by columns or numbers."""
-    place = i * 3 + j
-    return F.get(matrix, F.lit(place) if isinstance(place, int) else place)
-
-
-def _is_reduced(g: Column) -> Column:
-    """Minkowski's conditions for three vectors with the metric ``g``."""
-    pair = lambda i, j: 2 * F.abs(_at(g, i, j)) <= F.least(_at(g, i, i), _at(g, j, j)) * (1 + _SLACK)
-    lengths = [_at(g, i, i) for i in range(3)]
-    crossed = F.least(*[s * _at(g, 0, 1) + t * _at(g, 0, 2) + s * t * _at(g, 1, 2) for s in (1, -1) for t in (1, -1)])
-    shortest = lengths[0] + lengths[1] + lengths[2] + 2 * crossed
-    return pair(0, 1) & pair(0, 2) & pair(1, 2) & (shortest >= F.greatest(*lengths) * (1 - _SLACK))
-
-
-def _reduce_step(s: Column, n: Column) -> Column:
-    """Step n: vector v less as many of vector a as leave it shortest; or, if it
-    is the longest, replaced by a shorter sum of all three. Only lengths fall."""
-    g, t = s["g"], s["t"]
-    moves = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(m, "vab")], F.lit(k >= len(_MOVES)).alias("all")) for k, m in enumerate([*_MOVES, *_SUMS])])
-
-    def factors(m: Column) -> Column:
-        v, a, b = m["v"], m["a"], m["b"]
-        own = _at(g, v, v)
-        less = -F.rint(F.coalesce(F.try_divide(_at(g, a, v), _at(g, a, a)), F.lit(0.0)))
-        others = _at(g, a, a) + _at(g, b, b)
-        sums = F.array(
-            *[
-                F.struct((own + others + 2 * (p * _at(g, v, a) + q * _at(g, v, b) + p * q * _at(g, a, b))).alias("square"), F.lit(float(p)).alias("p"), F.lit(float(q)).alias("q"))
-                for p in (1, -1)
-                for q in (1, -1)
-            ]
-        )
-        longest = (own >= _at(g, a, a)) & (own >= _at(g, b, b))
-        zero = F.lit(0.0)
-
-        def chosen(least: Column) -> Column:
-            use = longest & (least["square"] < own * (1 - _SLACK))
-            return F.struct(v.alias("v"), a.alias("a"), b.alias("b"), F.when(use, least["p"]).otherwise(zero).alias("ka"), F.when(use, least["q"]).otherwise(zero).alias("kb"))
-
-        single = F.struct(v.alias("v"), a.alias("a"), b.alias("b"), less.alias("ka"), zero.alias("kb"))
-        return F.when(m["all"], let(F.array_min(sums), chosen)).otherwise(single)
-
-    def moved(f: Column) -> Column:
-        v, a, b, ka, kb = (f[c] for c in ("v", "a", "b", "ka", "kb"))
-        zero = F.lit(0.0)
-        nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(3)])
-
-        def length(x: Column) -> Column:
-            i, j = x["i"], x["j"]
-            right = F.when(i == v, ka * _at(g, a, j) + kb * _at(g, b, j)).otherwise(zero)
-            down = F.when(j == v, ka * _at(g, i, a) + kb * _at(g, i, b)).otherwise(zero)
-            twice = ka * ka * _at(g, a, a) + kb * kb * _at(g, b, b) + 2 * ka * kb * _at(g, a, b)
-            return _at(g, i, j) + right + down + F.when((i == v) & (j == v), twice).otherwise(zero)
-
-        def turn(x: Column) -> Column:
-            i, j = x["i"], x["j"]
-            return _at(t, i, j) - F.when(j == a, ka).when(j == b, kb).otherwise(zero) * _at(t, i, v)
-
-        return F.struct(F.transform(nine, length).alias("g"), F.transform(nine, turn).alias("t"))
-
-    return let(let(F.element_at(moves, n % F.lit(len(_MOVES) + len(_SUMS)) + 1), factors), moved)
-
-
-def reduced_lattice(cell: Column) -> Column:
-    """The lattice of a cell by its shortest vectors (Minkowski reduction): six
-    numbers of the metric, and nine that turn fractions of the cell into
+_MORE, _LESS = "1.000000001D", "0.999999999D"  # what lengths may differ by and count as equal
+#: The steps of a sweep: the vector v that changes, the one that is taken off it
+#: and the third; then each vector against both others.
+_MOVES = [(1, 0, 2), (0, 1, 2), (2, 0, 1), (0, 2, 1), (2, 1, 0), (1, 2, 0), (0, 1, 2), (1, 0, 2), (2, 0, 1)]
+_SUMS_FROM = 6
+
+# State s: metric g and turn t, nine numbers each, row by row.
+_REDUCED = (
+    f"2 * abs({{s}}.g[1]) <= least({{s}}.g[0], {{s}}.g[4]) * {_MORE} AND 2 * abs({{s}}.g[2]) <= least({{s}}.g[0], {{s}}.g[8]) * {_MORE}"
+    f" AND 2 * abs({{s}}.g[5]) <= least({{s}}.g[4], {{s}}.g[8]) * {_MORE} AND {{s}}.g[0] + {{s}}.g[4] + {{s}}.g[8] + 2 * least("
+    "{s}.g[1] + {s}.g[2] + {s}.g[5], {s}.g[1] - {s}.g[2] - {s}.g[5], {s}.g[2] - {s}.g[1] - {s}.g[5], {s}.g[5] - {s}.g[1] - {s}.g[2])"
+    f" >= greatest({{s}}.g[0], {{s}}.g[4], {{s}}.g[8]) * {_LESS}"
+)
+
+
+def _step_sql() -> str:
+    """One step as SQL over the state ``s`` and the step's number ``n``: vector v
+    less as many of vector a as leave it shortest; or, if it is the longest,
+    replaced by a shorter sum of all three. Only lengths fall."""
+    moves = ", ".join(f"named_struct('v', {v}, 'a', {a}, 'b', {b}, 'sum', {str(k >= _SUMS_FROM).lower()})" for k, (v, a, b) in enumerate(_MOVES))
+    g = lambda i, j: f"s.g[m.{i} * 3 + m.{j}]"
+    square = f"{g('v', 'v')} + {g('a', 'a')} + {g('b', 'b')}"
+    sums = ", ".join(
+        f"named_struct('square', {square} + 2 * ({p} * {g('v', 'a')} + {q} * {g('v', 'b')} + {p * q} * {g('a', 'b')}), 'p', {p}D, 'q', {q}D)"
+        for p in (1, -1)
+        for q in (1, -1)
+    )
+    longest = f"{g('v', 'v')} >= {g('a', 'a')} AND {g('v', 'v')} >= {g('b', 'b')}"
+    both = (
+        f"transform(array(array_min(array({sums}))), c -> named_struct('m', m, 'ka', if({longest} AND c.square < {g('v', 'v')} * {_LESS}, c.p, 0D),"
+        f" 'kb', if({longest} AND c.square < {g('v', 'v')} * {_LESS}, c.q, 0D)))[0]"
+    )
+    one = f"named_struct('m', m, 'ka', -rint(coalesce(try_divide({g('a', 'v')}, {g('a', 'a')}), 0D)), 'kb', 0D)"
+    nine = "array(" + ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(3) for j in range(3)) + ")"
+    f = lambda i, j: f"s.g[{i} * 3 + {j}]"
+    a, b, v = "f.m.a", "f.m.b", "f.m.v"
+    length = (
+        f"{f('x.i', 'x.j')} + if(x.i = {v}, f.ka * {f(a, 'x.j')} + f.kb * {f(b, 'x.j')}, 0D) + if(x.j = {v}, f.ka * {f('x.i', a)} + f.kb * {f('x.i', b)}, 0D)"
+        f" + if(x.i = {v} AND x.j = {v}, f.ka * f.ka * {f(a, a)} + f.kb * f.kb * {f(b, b)} + 2 * f.ka * f.kb * {f(a, b)}, 0D)"
+    )
+    turn = f"s.t[x.i * 3 + x.j] - if(x.j = {a}, f.ka, if(x.j = {b}, f.kb, 0D)) * s.t[x.i * 3 + {v}]"
+    factors = f"transform(array(element_at(array({moves}), n % {len(_MOVES)} + 1)), m -> if(m.sum, {both}, {one}))"
+    return f"transform({factors}, f -> named_struct('g', transform({nine}, x -> {length}), 't', transform({nine}, x -> {turn})))[0]"
+
+
+def with_reduced_lattice(df: DataFrame, cell: str = "cell", name: str = "lattice") -> DataFrame:
+    """Add the lattice of a cell by its shortest vectors (Minkowski reduction):
+    six numbers of the metric, and nine that turn fractions of the cell into
     fractions of those vectors.
 
     However oblique or thin the setting a cell is written in, its nearest
     images are afterwards the nearest in every direction. A fold of a fixed
-    number of steps; cells that are reduced as they are take none.
+    number of steps, once for each row; cells that are reduced as they are take
+    none, and after a first sweep the others are hardly ever looked at.
     """
-    g = {name: value for name, value in zip(METRIC, metric(cell))}
+    g = dict(zip(METRIC, metric(F.col(cell))))
     full = F.array(*[g[f"g{min(i, j)}{max(i, j)}"] for i in (1, 2, 3) for j in (1, 2, 3)])
     one = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
-    start = F.struct(full.alias("g"), one.alias("t"))
-    steps = F.sequence(F.lit(0), F.lit(_SWEEPS * (len(_MOVES) + len(_SUMS)) - 1))
-    guarded = lambda s, n: F.when(_is_reduced(s["g"]), s).otherwise(_reduce_step(s, n))
-    whole = let(start, lambda s: F.when(_is_reduced(s["g"]), s).otherwise(F.aggregate(steps, s, guarded)))
-    entries = {f"g{i}{j}": (i, j) for i in (1, 2, 3) for j in (1, 2, 3)}
-    return let(
-        whole,
-        lambda s: F.struct(
-            *[_at(s["g"], entries[n][0] - 1, entries[n][1] - 1).alias(n) for n in METRIC],
-            *[_at(s["t"], k // 3, k % 3).alias(n) for k, n in enumerate(TURN)],
-        ),
-    )
+    step = _step_sql()
+
+    def go_on(first: int, last: int) -> Column:
+        steps = f"sequence({first * len(_MOVES)}, {last * len(_MOVES) - 1})"
+        fold = f"aggregate({steps}, _state, (s, n) -> if({_REDUCED.format(s='s')}, s, {step}))"
+        return F.expr(f"if(coalesce({_REDUCED.format(s='_state')}, true), _state, {fold})")  # null: no cell
+
+    out = compute_once(df, {"_state": F.struct(full.alias("g"), one.alias("t"))})
+    for first, last in ((0, 1), (1, _SWEEPS)):
+        out = compute_once(out, {"_state": go_on(first, last)})
+    entries = [f"'g{i}{j}', _state.g[{3 * (i - 1) + j - 1}]" for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))]
+    entries += [f"'{n}', _state.t[{k}]" for k, n in enumerate(TURN)]
+    return compute_once(out, {name: F.expr(f"named_struct({', '.join(entries)})")}).drop("_state")
 
 
 def turned(lattice: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from xtalframe.functions.element_sets import contains, element_set, index_symbols
+from xtalframe.functions.element_sets import contains, element_set, index_symbols, set_key, tidy
 from xtalframe.functions.formula import chemical_system, match_key, parse_formula
 from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cell_to_text, sites_to_text, validate_structure
@@ -161,14 +161,15 @@ def join_tc(
 
 
 def _distinct_sets(df: DataFrame) -> DataFrame:
-    """elements (sorted, distinct) and its bits, for every set that is not empty."""
-    tidy = F.array_sort(F.array_distinct(F.filter("elements", lambda e: e.isNotNull())))
-    sets = df.select(tidy.alias("elements")).where(F.size("elements") > 0).distinct()
-    return sets.withColumn("bits", element_set(F.col("elements")))
+    """key, elements (sorted, distinct) and bits of every set that is not empty,
+    stored: there are far fewer than records, and they are read several times."""
+    sets = df.select(tidy(F.col("elements")).alias("elements")).where(F.size("elements") > 0).distinct()
+    return stored(sets.select(set_key(F.col("elements")).alias("key"), "elements", element_set(F.col("elements")).alias("bits")), "element-sets")
 
 
 def containing_sets(wanted: DataFrame, available: DataFrame, mode: str = "contains", share: int = SHARE) -> DataFrame:
-    """Pairs of element sets ``(wanted_set, available_set)`` that match, as bits.
+    """Pairs of element sets ``(wanted_set, available_set)`` that match, by their
+    keys.
 
     Both inputs have one column ``elements`` and are reduced to distinct sets
     first: the join works on sets, whose number is far below the number of
@@ -183,9 +184,7 @@ def containing_sets(wanted: DataFrame, available: DataFrame, mode: str = "contai
     small, large = (available, wanted) if mode == "subset" else (wanted, available)
     small, large = _distinct_sets(small), _distinct_sets(large)
     if mode == "exact":
-        pairs = small.select("bits").join(large.select("bits"), "bits").select(
-            F.col("bits").alias("small_set"), F.col("bits").alias("large_set")
-        )
+        pairs = small.join(large.select("key"), "key").select(F.col("key").alias("small_set"), F.col("key").alias("large_set"))
     else:
         small, large = (d.withColumn("names", index_symbols(F.col("elements"))) for d in (small, large))
         # at most 119 names, whatever the data
@@ -196,13 +195,13 @@ def containing_sets(wanted: DataFrame, available: DataFrame, mode: str = "contai
         )
         ranked = lambda df: df.withColumn("rarity", table).withColumn("ranked", rank(F.col("names"))).drop("rarity")
         second = F.coalesce(F.try_element_at("ranked", F.lit(2)), F.element_at("ranked", 1))["name"]
-        asking = ranked(small).select(F.col("ranked")[0]["name"].alias("rare"), second.alias("next"), F.col("bits").alias("small_set"))
-        first = ranked(large).select("bits", "ranked", F.posexplode("ranked").alias("at", "r"))
+        asking = ranked(small).select(F.col("ranked")[0]["name"].alias("rare"), second.alias("next"), F.col("key").alias("small_set"), F.col("bits").alias("small"))
+        first = ranked(large).select("key", "bits", "ranked", F.posexplode("ranked").alias("at", "r"))
         rest = F.slice("ranked", F.col("at") + 1, F.size("ranked"))  # the element itself, then those after it
-        index = first.select(F.col("r.name").alias("rare"), F.explode(rest).alias("s"), F.col("bits").alias("large_set"))
-        index = index.select("rare", F.col("s.name").alias("next"), "large_set")
+        index = first.select(F.col("r.name").alias("rare"), F.explode(rest).alias("s"), F.col("key").alias("large_set"), F.col("bits").alias("large"))
+        index = index.select("rare", F.col("s.name").alias("next"), "large_set", "large")
         met = left_join(asking, index, ["rare", "next"], "inner", share)
-        pairs = met.where(contains(F.col("large_set"), F.col("small_set"))).select("small_set", "large_set")
+        pairs = met.where(contains(F.col("large"), F.col("small"))).select("small_set", "large_set")
     names = ("available_set", "wanted_set") if mode == "subset" else ("wanted_set", "available_set")
     return pairs.toDF(*names)
 
@@ -224,8 +223,8 @@ def join_candidates_elements(
     set that more than ``share`` records have is spread over tasks.
     """
     pairs = stored(containing_sets(compositions, entries, mode, share), "set-pairs")
-    right = entries.withColumn("available_set", element_set(F.col("elements"))).drop("elements")
-    asked = compositions.withColumn("wanted_set", element_set(F.col("elements")))
+    right = entries.withColumn("available_set", set_key(F.col("elements"))).drop("elements")
+    asked = compositions.withColumn("wanted_set", set_key(F.col("elements")))
     by_set = left_join(asked, pairs, ["wanted_set"], share=share)
     found = left_join(by_set, right, ["available_set"], share=share).drop("wanted_set", "available_set")
     if per_key is None:
@@ -247,14 +246,14 @@ def best_by_element_set(
     rows = stored(entries.withColumn("_at", F.monotonically_increasing_id()), "entries")
     rank = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col("_at").alias("at"))
     least = lambda df, by: df.groupBy(by).agg(F.min("rank").alias("rank"))
-    ranks = rows.select(element_set(F.col("elements")).alias("available_set"), rank.alias("rank"))
+    ranks = rows.select(set_key(F.col("elements")).alias("available_set"), rank.alias("rank"))
     per_set = least(ranks.where(F.col("available_set").isNotNull()), "available_set")
     pairs = containing_sets(compositions, rows, mode)
-    per_wanted = least(pairs.join(per_set, "available_set"), "wanted_set")
+    per_wanted = stored(least(pairs.join(per_set, "available_set"), "wanted_set"), "winners")
     fetched = rows.select(F.col("_at"), F.struct(*columns).alias("entry"))
     winners = per_wanted.select("wanted_set", F.col("rank.at").alias("_at")).join(fetched, "_at").drop("_at")
-    asked = compositions.withColumn("wanted_set", element_set(F.col("elements")))
-    return left_join(asked, winners, ["wanted_set"]).drop("wanted_set")
+    asked = compositions.withColumn("wanted_set", set_key(F.col("elements")))
+    return asked.join(winners, "wanted_set", "left").drop("wanted_set")  # one winner a set
 
 
 def best_entry_oqmd(entries: DataFrame, key: str = "supercon_composition", address: list[str] | None = None) -> DataFrame:

@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xtalframe.elements import element_values
 from xtalframe.functions.dos import dos_at_fermi, is_metal
 from xtalframe.functions.formula import reduced_formula
-from xtalframe.functions.lattice import cell_volume, crystal_system, density, volume_per_atom
+from xtalframe.functions.lattice import (
+    cell_volume,
+    crystal_system,
+    density,
+    image_constants,
+    pairs_within,
+    turned,
+    volume_per_atom,
+    with_reduced_lattice,
+    wrap,
+)
 from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cif_to_structure
 from xtalframe.operators.clean import id_fallback
 from xtalframe.operators.graph import (
     CUTOFF,
+    SMALL,
     collect_edges,
     collect_nodes,
     composition_stats,
@@ -59,7 +71,62 @@ def property_columns(docs: DataFrame) -> DataFrame:
     ).withColumn("is_metal", is_metal(F.col("band_gap_mp")))
 
 
-def feature_table(docs: DataFrame, cutoff: float = CUTOFF, graphs: bool = True) -> DataFrame:
+def _within_rows(base: DataFrame, cutoff: float, usable: Column) -> DataFrame:
+    """Statistics, nodes and edges of structures of few sites, each from its own
+    row: nothing is exploded or shuffled. Null where not ``usable``."""
+    of = lambda s: s["element"]
+    frac = lambda s: [s["frac"][k] for k in range(3)]
+    sites = F.when(usable, F.col("sites"))
+    rows = compute_once(with_reduced_lattice(base), {"_sites": sites})
+    symbols = F.array_sort(F.array_distinct(F.transform("_sites", of)))
+    point = lambda s: F.struct(*[wrap(v).alias(n) for n, v in zip("xyz", turned(F.col("lattice"), *frac(s)))])
+    value = lambda s: element_values(s["element"])
+    rows = compute_once(
+        rows,
+        {
+            "symbols": symbols,
+            "_points": F.transform("_sites", point),
+            "_values": F.transform("_sites", value),
+            "_images": image_constants("lattice"),
+        },
+    )
+    amount = lambda e: F.size(F.filter("_sites", lambda s: s["element"] == e)).cast("double")
+    amounts = F.transform("symbols", lambda e: F.struct(e.alias("symbol"), amount(e).alias("amount")))
+    nodes = F.transform(
+        "_values",
+        lambda v, i: F.struct(
+            v["atomic_number"].alias("atomic_number"),
+            F.coalesce(v["electronegativity"], F.lit(0.0)).alias("electronegativity"),
+            i.alias("original_site_index"),
+        ),
+    )
+    rows = compute_once(rows, {"amounts": amounts, "graph_nodes": nodes, "graph_edges": pairs_within("_points", "_images", cutoff)})
+    mass = F.aggregate("amounts", F.lit(0.0), lambda m, a: m + a["amount"] * element_values(a["symbol"])["atomic_mass"])
+    return rows.withColumns(
+        {
+            "num_sites": F.size("_sites").cast("bigint"),
+            "num_elements": F.size("symbols"),
+            "total_mass": mass,
+            "_edges": F.size("graph_edges").cast("bigint"),
+        }
+    ).drop("_sites", "_points", "_values", "_images", "lattice")
+
+
+def _by_joins(base: DataFrame, cutoff: float) -> DataFrame:
+    """The same for structures of any size, over site and edge rows."""
+    key = "supercon_composition"
+    structures = base.select(F.col(key).alias("structure_id"), "cell", "sites")
+    named = lambda df: df.withColumnRenamed("structure_id", key)
+    edges = named(collect_edges(structure_edges(structures, cutoff))).withColumnRenamed("edges", "graph_edges")
+    nodes = named(collect_nodes(structure_nodes(structures))).withColumnRenamed("nodes", "graph_nodes")
+    return (
+        base.join(named(composition_stats(structures)), key, "left")
+        .join(edges.withColumn("_edges", F.size("graph_edges").cast("bigint")), key, "left")
+        .join(nodes, key, "left")
+    )
+
+
+def feature_table(docs: DataFrame, cutoff: float = CUTOFF, graphs: bool = True, small: int = SMALL) -> DataFrame:
     """One feature row per document, in the column order of ``FEATURES``.
 
     ``docs``: unique ``supercon_composition``, ``material_id``, ``cell``,
@@ -68,31 +135,17 @@ def feature_table(docs: DataFrame, cutoff: float = CUTOFF, graphs: bool = True)
     element, nulls the structural columns only. ``graphs=False`` leaves the
     nested node and edge columns null and keeps the counts.
 
-    Site-level work is aggregated per structure within the map task that reads
-    the document, so what is shuffled is one small row per structure.
+    Structures of up to ``small`` sites are worked out within their row, so such
+    documents go through one map-only pass; larger ones go through site rows, a
+    grid join and aggregates.
     """
     key = "supercon_composition"
     base = property_columns(id_fallback(docs, "material_id", key))
-    usable = F.col("cell").isNotNull() & (F.size("sites") > 0) & known_elements(F.col("sites"))
-    structures = base.where(usable).select(F.col(key).alias("structure_id"), "cell", "sites")
-    edges = structure_edges(structures, cutoff)
-
-    stats = composition_stats(structures).withColumnRenamed("structure_id", key)
-    if graphs:
-        edge_part = collect_edges(edges).select(
-            F.col("structure_id").alias(key),
-            F.col("edges").alias("graph_edges"),
-            F.size("edges").cast("bigint").alias("_edges"),
-        )
-        node_part = collect_nodes(structure_nodes(structures)).select(
-            F.col("structure_id").alias(key), F.col("nodes").alias("graph_nodes")
-        )
-        joined = base.join(stats, key, "left").join(edge_part, key, "left").join(node_part, key, "left")
-    else:
-        edge_part = (
-            edges.groupBy(F.col("structure_id").alias(key)).agg(F.count(F.lit(1)).alias("_edges"))
-        )
-        joined = base.join(stats, key, "left").join(edge_part, key, "left")
+    usable = F.coalesce(F.col("cell").isNotNull() & (F.size("sites") > 0) & known_elements(F.col("sites")), F.lit(False))
+    large = usable & (F.size("sites") > small)
+    joined = _within_rows(base.where(~large), cutoff, usable).unionByName(_by_joins(base.where(large), cutoff), allowMissingColumns=True)
+    if not graphs:
+        joined = joined.withColumns({c: F.lit(None).cast(FEATURES[c].dataType) for c in ("graph_nodes", "graph_edges")})
 
     has = F.col("num_sites").isNotNull()
     cell = F.col("cell")

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.elements import join_elements
-from xtalframe.functions.lattice import METRIC, image_heights, min_image_squares, reduced_lattice, turned, wrap
-from xtalframe.functions.once import compute_once
+from xtalframe.functions.lattice import METRIC, image_heights, min_image_squares, turned, with_reduced_lattice, wrap
 
 CUTOFF = 3.0
 SMALL = 64
@@ -165,11 +164,6 @@ def _pairs_on_grid(
     return _within(pairs.select("structure_id", *METRIC, "p", "q"), cutoff)
 
 
-def _lattice(df: DataFrame) -> DataFrame:
-    """Add the reduced ``lattice`` of the cell, once per structure."""
-    return compute_once(df, {"lattice": reduced_lattice(F.col("cell"))})
-
-
 def _metric() -> list[Column]:
     return [F.col(f"lattice.{m}").alias(m) for m in METRIC]
 
@@ -192,7 +186,7 @@ def structure_edges(
     shortest periodic distance is at most ``cutoff``; never a site with its own
     image. ``symmetric`` adds the reverse of every edge.
     """
-    base = _lattice(structures.where(F.col("cell").isNotNull() & (F.size("sites") > 1)).select("structure_id", "cell", "sites"))
+    base = with_reduced_lattice(structures.where(F.col("cell").isNotNull() & (F.size("sites") > 1)).select("structure_id", "cell", "sites"))
     frac = lambda s: (s["frac"][0], s["frac"][1], s["frac"][2])
     points = F.transform("sites", lambda s, i: _point(i, *frac(s)))
     in_row = _pairs_in_row(
@@ -233,7 +227,8 @@ def pair_join_within(
     structure that holds a large part of all rows; the grid key then spreads it.
     """
     counts = sites.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    sized = _lattice(cells.select("structure_id", "cell")).drop("cell").join(counts, "structure_id").where(F.col("n_sites") > 1)
+    several = cells.select("structure_id", "cell").join(counts, "structure_id").where(F.col("n_sites") > 1)
+    sized = with_reduced_lattice(several).drop("cell")
     point = _point(F.col("idx"), F.col("x"), F.col("y"), F.col("z"))
     placed = sites.select("structure_id", "idx", "x", "y", "z").join(sized, "structure_id")
     return _pairs_on_grid(placed.select("structure_id", *_metric(), "n_sites", point.alias("p")), cutoff, small)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.elements import ELEMENTS
+from xtalframe.elements import symbol_array
 from xtalframe.functions.dos import energy_per_site
 from xtalframe.functions.lattice import cell_volume
 from xtalframe.functions.once import compute_once, let
@@ -20,8 +20,7 @@ OK = "ok"
 
 def known_elements(sites: Column) -> Column:
     """Whether there are sites and every one holds a known element."""
-    known = F.array(*[F.lit(e[0]) for e in ELEMENTS])
-    return (F.size(sites) > 0) & (F.size(F.array_except(F.transform(sites, lambda s: s["element"]), known)) == 0)
+    return (F.size(sites) > 0) & (F.size(F.array_except(F.transform(sites, lambda s: s["element"]), symbol_array())) == 0)
 
 
 def with_structure(rows: DataFrame) -> DataFrame:

@@ -214,7 +214,8 @@ def structures(spark: SparkSession, sf: str, columns: tuple[str, ...] = ()) -> D
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """One cell per order."""
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("structure_id"), _cell(k).alias("cell"))
+    orders = by_key(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(k.alias("structure_id"), _cell(k).alias("cell"))
 
 
 def site_rows(spark: SparkSession, sf: str) -> DataFrame:

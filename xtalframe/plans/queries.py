@@ -753,7 +753,7 @@ def crystal_system(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def min_image_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Distance between every two sites of every structure."""
-    lattices = compute_once(V.structures(spark, sf), {"lattice": L.reduced_lattice(F.col("cell"))})
+    lattices = L.with_reduced_lattice(V.structures(spark, sf))
     first = lattices.select("structure_id", "lattice", "sites", F.posexplode("sites").alias("i", "p"))
     rest = F.slice("sites", F.col("i") + 2, F.size("sites"))
     pairs = first.select("structure_id", "lattice", "i", "p", F.posexplode(rest).alias("at", "q"))
