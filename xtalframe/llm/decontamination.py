@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.llm.common import Aside, text_key, texts, written
+from xtalframe.operators.skew import left_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what lies between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Prefix tokens broadcast at once; a row holds one word and one window.
 BROADCAST_ROWS = 50_000
+#: Rows of one word or window that one task may hold in a join.
+ROWS_A_KEY = 1000
 
 
 def word_list(text: Column) -> Column:
@@ -34,11 +37,12 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _blocks(small: DataFrame, rows: int, most: int) -> list[DataFrame]:
-    """The small side in parts of about ``most`` rows, each fit to broadcast."""
+    """The small side in parts of about ``most`` rows, each fit to broadcast:
+    dealt by all its columns, so that windows of one rarest word spread too."""
     n = -(-rows // most) or 1
     if n == 1:
         return [small]
-    return [small.where(F.pmod(F.xxhash64("token"), F.lit(n)) == k) for k in range(n)]
+    return [small.where(F.pmod(F.xxhash64(*small.columns), F.lit(n)) == k) for k in range(n)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -65,10 +69,10 @@ def matches(words: DataFrame, items: DataFrame, size: int, block: int = BROADCAS
         for part in _blocks(tokens, tokens.count(), block)
     ]
     counts = _union(counted).withColumnRenamed("count", "n")
+    asked = windows.select("window", F.posexplode("window").alias("offset", "token")).distinct()
+    # words that very many windows have are spread over tasks
     rarest = (
-        windows.select("window", F.posexplode("window").alias("offset", "token"))
-        .distinct()
-        .join(counts, "token")
+        left_join(asked, counts, ["token"], "inner", share=ROWS_A_KEY)
         .groupBy("window")
         # a window with a word that no document has can't occur
         .agg(F.min(F.struct("n", "token", "offset")).alias("r"), F.countDistinct("token").alias("found"))
@@ -86,7 +90,9 @@ def matches(words: DataFrame, items: DataFrame, size: int, block: int = BROADCAS
         .select("doc_id", "text_key", "window", start.alias("start"), length.alias("length"))
         for part in _blocks(prefixes, prefixes.count(), block)
     ]
-    return _union(found).join(windows, "window").select("doc_id", "text_key", "item_id", "start", "length")
+    # and so are windows that very many documents hold
+    held = written(_union(found), "window-places")
+    return left_join(held, windows, ["window"], "inner", share=ROWS_A_KEY).select("doc_id", "text_key", "item_id", "start", "length")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int = BROADCAST_ROWS) -> DataFrame:
@@ -95,8 +101,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block: int
 
     Null and empty texts and items have no words: such a document is clean,
     such an item matches nothing. Rows that repeat a doc_id with another text
-    are judged apart; equal rows give equal results. Only doc_id and text of
-    the documents and item_id and text of the items are read.
+    are judged apart; equal rows give equal results. Words that are rarest alike
+    are ordered by their text. Only doc_id and text of the documents and item_id
+    and text of the items are read. Very long texts take memory in proportion to
+    their words. Empty tables give no rows, or rows without a hit.
     """
     # the words are read three times; written once they need no splitting again
     words = written(

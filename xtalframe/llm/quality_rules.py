@@ -111,7 +111,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     """Measurements and ``fail_bits``: every rule evaluated once per row.
 
     Null text counts as empty and fails ``few_words``; repeated rows and null
-    doc_ids are kept as rows of their own.
+    doc_ids are kept as rows of their own. A measurement that equals a rule's
+    bound passes. Very long texts take memory in proportion to their words.
+    Columns besides doc_id and text are not looked at. An empty table has no rows.
     """
     bits = reduce(
         lambda a, b: a.bitwiseOR(b),
@@ -125,10 +127,21 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0
 
 
+def only_failure(policy: str) -> Column:
+    """The one rule of the policy that a ledger row fails, null if it fails none
+    or several: a number with a single bit has no bit in common with one less."""
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long"))
+    single = (failed != 0) & (failed.bitwiseAND(failed - 1) == 0)
+    names = F.array(*[F.lit(r) for r in RULES])
+    return F.when(single, F.get(names, F.bit_count(failed - 1)))
+
+
 def ablation(rows: DataFrame) -> DataFrame:
     """For every policy and each of its rules: rows kept, rows kept without the
-    rule, and rows that only this rule drops. The ledger shrinks to one count
-    per distinct bit pattern first; policies then meet those few patterns."""
+    rule, and rows that only this rule drops, all from bits alone. The ledger
+    shrinks to one count per distinct bit pattern first (2**rules at most, with
+    partial sums); policies then meet those few patterns. An empty ledger gives
+    no rows."""
     patterns = rows.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
     cases = [(p, r, mask(rules), mask([r])) for p, rules in POLICIES.items() for r in rules]
     listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("policy", "rule", "mask", "bit"), c)]) for c in cases])

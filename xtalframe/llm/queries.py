@@ -95,9 +95,17 @@ def op9_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
         quality_rules.passes("v1").alias("kept_v1"),
         "n_lines",
         F.col("fail_bits"),
+        quality_rules.only_failure("v2").alias("dropped_only_by"),
     )
 
 
+@query
+def quality_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """For every policy and rule: documents kept, kept without the rule, and
+    dropped by this rule alone."""
+    return quality_rules.ablation(quality_rules.ledger(_documents(spark, sf)))
+
+
 @query
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and digests of ids and decoded text of every document."""

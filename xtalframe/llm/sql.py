@@ -50,10 +50,23 @@ b AS (
     + 16 * CAST(word_chars < 2 * n_words AS INT) + 32 * CAST(word_chars > 25 * n_words AS INT) AS BIGINT) AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, (fail_bits & 7) = 0 AS kept_v1, n_lines, fail_bits
+       fail_bits = 0 AS kept, (fail_bits & 7) = 0 AS kept_v1, n_lines, fail_bits,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+         WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS dropped_only_by
 FROM b
 """
 
+SQL["quality_ablation"] = (
+    SQL["op9_quality_ledger"].rpartition("SELECT doc_id")[0].rstrip()
+    + r""",
+policies AS (SELECT * FROM (VALUES ('base', 3), ('v1', 7), ('v2', 63)) p(policy, mask)),
+rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) u(rule, bit))
+SELECT policy, rule, count(*) FILTER ((fail_bits & mask) = 0) AS kept, count(*) FILTER ((fail_bits & mask & ~bit) = 0) AS kept_without,
+       count(*) FILTER ((fail_bits & mask) = bit) AS dropped_by_rule_alone
+FROM b, policies, rules WHERE mask & bit <> 0 GROUP BY policy, rule
+"""
+)
+
 SQL["op7_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
