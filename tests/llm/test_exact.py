@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from check_oracle import compare, connect
 from tests.conftest import SF
@@ -234,6 +236,40 @@ def test_shards(spark):
         by_shard[r["shard"]].append(r["slot"])
     assert all(len(s) == 1 for s in by_text.values()) and set(by_shard) <= set(range(40))
     assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, SF, "documents").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {d: (len(t) + 16, zlib.crc32(t)) for d, t in texts.items()}
+    assert {r["law"] for r in rows} == {"bytes"} and len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("bits,shards,huge", [(16, 40, False), (2, 7, False), (3, 5, True), (1, 3, True)])
+def test_shards_cut_between_single_groups(spark, bits, shards, huge):
+    """Capacity and order over all groups' sizes, however coarse the first atoms."""
+    rng = random.Random(bits)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["copy " * 9] * 60 + (["x" * 4000] if huge else [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    groups = sorted(order, key=order.get)
+    sizes = [texts.count(t) * (len(t.encode()) + 16) for t in groups]
+    got = {r["doc_id"]: r["shard"] for r in sharding.minimax_shards(docs, shards=shards, atom_bits=bits, cells=4).collect()}
+    by_group = [{got[d] for d, t in enumerate(texts) if t == g} for g in groups]
+    assert all(len(s) == 1 for s in by_group)
+    placed = [s.pop() for s in by_group]
+    assert placed == sorted(placed)  # contiguous
+    full = Counter()
+    for n, k in zip(sizes, placed):
+        full[k] += n
+    assert max(full.values()) == sharding.smallest_capacity(sizes, shards)
+
+
+def test_equal_rows_get_slots_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "same")] * 20 + [(None, "same")] * 3 + [(2, None), (2, "")], "doc_id long, text string")
+    rows = sharding.minimax_shards(docs, shards=2, cells=2).collect()
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r["shard"]].append(r["slot"])
+    assert len(rows) == 25 and all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    assert len({r["shard"] for r in rows if r["size"] == 20}) == 1 == len({r["shard"] for r in rows if r["size"] == 16})
 
 
 def test_toxicity_on_held_out_rows(spark):
