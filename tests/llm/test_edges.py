@@ -13,7 +13,9 @@ from xtalframe.llm import (
     secret_scan,
     sentencepiece_codec,
     sharding,
+    simhash,
     suffix_dedup,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -71,6 +73,8 @@ OPERATORS = {
     "quality": one(quality_rules.ledger),
     "encode": one(sentencepiece_codec.encode_decode),
     "digests": one(sentencepiece_codec.digests),
+    "simhash": one(simhash.near_duplicates),
+    "alignment": one(token_alignment.align),
 }
 
 
@@ -115,3 +119,29 @@ def test_stages_keep_columns(k, spark, docs, items, labels, tmp_path):
     kept = sorted(str(r[0]) for r in out.collect())
     lost = {2: [], 3: ["6"]}.get(k, [])
     assert kept == sorted(str(r[0]) for r in ROWS if str(r[0]) not in lost)
+
+
+def test_texts_larger_than_a_part(spark, labels):
+    """Rows of more bytes than are worked on at once, beside small ones."""
+    words = [f"w{k * 7919 % 100_003}" for k in range(260_000)]
+    long = " ".join(words)
+    assert len(long) > 1_500_000
+    rows = [(1, long), (2, long + " and a tail"), (3, "short"), (4, "\n".join(words[:130_000]) + "\n" + "x" * 60 + "\n" + "y" * 1_200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    size = {d: len(t) for d, t in rows}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    grams = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in rows)}
+    assert near == {d: (len(grams[d]), 3 if d == 3 else 1) for d in size}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}[2] == 1
+    cut = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert {d: n for d, (n, _) in cut.items()} == size
+    # the words repeat after 100,003; what runs on into the tail does not
+    first = len(" ".join(words[:100_003])) + 1
+    assert cut[1][1] == size[1] - first and size[2] - 120 < cut[2][1] <= size[2] and cut[3][1] == 0
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()} == {d: 0 for d in size}
+    tokens = {r["doc_id"]: r["n_tokens"] for r in sentencepiece_codec.digests(docs).collect()}
+    pairs = {r["doc_id"]: (r["n_b"], r["n_links"], r["n_a"], r["n_groups"]) for r in token_alignment.align(docs).collect()}
+    assert {d: p[0] for d, p in pairs.items()} == tokens
+    assert all(links == a + b - groups for b, links, a, groups in pairs.values())
+    lines = {r["doc_id"]: r["n_lines"] for r in line_dedup.digests(docs).collect()}
+    assert lines == {1: 1, 2: 1, 3: 1, 4: 130_002}
