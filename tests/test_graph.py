@@ -1,5 +1,6 @@
 """Neighbour search, lattice and network scoring against brute force."""
 
+import copy
 import itertools
 import math
 import random
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from xtalframe.functions import lattice as L
 from xtalframe.operators import gcn as N
+from xtalframe.operators import gcn_fit as GF
 from xtalframe.operators import graph as G
 
 SCHEMA = (
@@ -221,3 +223,76 @@ def test_network_score_equals_numpy(spark):
     ed = spark.createDataFrame(edges, "structure_id string, source_node_index int, target_node_index int, distance double")
     got = {r["structure_id"]: r["score"] for r in N.gcn_score(nd, ed, ["x0", "x1"], weights).collect()}
     assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def small_network(seed):
+    """Graphs of a few nodes, directed edges with weights, targets."""
+    rng = np.random.default_rng(seed)
+    nodes, edges, targets = [], [], []
+    for g in range(6):
+        n = int(rng.integers(1, 7))
+        nodes += [(g, k, float(rng.normal()), float(rng.normal())) for k in range(n)]
+        edges += [(g, int(a), int(b), float(rng.uniform(0.5, 2))) for a in range(n) for b in range(n) if a != b and rng.random() < 0.4]
+        targets.append((g, float(rng.normal()) if g != 4 else None, "val" if g == 5 else "train"))
+    return nodes, edges, targets
+
+
+def network_errors(nodes, edges, targets, w):
+    out = {}
+    for g, y, split in targets:
+        x = np.array([r[2:] for r in nodes if r[0] == g])
+        a = np.eye(len(x))
+        for h, s, t, d in edges:
+            if h == g:
+                a[t, s] += d
+        root = 1 / np.sqrt(a.sum(1))
+        a = root[:, None] * a * root[None, :]
+        h = np.maximum(a @ x @ np.array(w["w1"]) + w["b1"], 0)
+        k = np.maximum(a @ h @ np.array(w["w2"]) + w["b2"], 0)
+        if y is not None:
+            out[g] = (k.mean(0) @ np.array(w["w_out"]) + w["b_out"] - y, split)
+    loss = lambda s: float(np.mean([e * e for e, part in out.values() if part == s]))
+    return loss("train"), loss("val")
+
+
+def test_gradients_equal_differences(spark):
+    nodes, edges, targets = small_network(3)
+    w = GF.first_weights(2, 3, seed=1)
+    w["b1"], w["b2"], w["b_out"] = [0.3, -0.1, 0.2], [0.2, 0.1, -0.05], 0.4
+    n = spark.createDataFrame(nodes, "structure_id bigint, node int, x0 double, x1 double")
+    e = spark.createDataFrame(edges, "structure_id bigint, source_node_index int, target_node_index int, distance double")
+    t = spark.createDataFrame(targets, "structure_id bigint, y double, split string")
+    network = GF.prepare(n, e, ["x0", "x1"])
+    got, loss, validation = GF.gradient(network, t, w)
+    assert (loss, validation) == (pytest.approx(network_errors(nodes, edges, targets, w)[0]), pytest.approx(network_errors(nodes, edges, targets, w)[1]))
+    assert len(got) == 2 * 3 + 3 + 3 * 3 + 3 + 3 + 1
+
+    def moved(place, by):
+        v = copy.deepcopy(w)
+        name, *at = place
+        if not at:
+            v[name] += by
+        elif len(at) == 1:
+            v[name][at[0]] += by
+        else:
+            v[name][at[0]][at[1]] += by
+        return network_errors(nodes, edges, targets, v)[0]
+
+    for place, slope in got.items():
+        assert slope == pytest.approx((moved(place, 1e-6) - moved(place, -1e-6)) / 2e-6, abs=1e-6), place
+
+
+def test_fitting_lowers_the_error(spark):
+    nodes, edges, targets = small_network(8)
+    n = spark.createDataFrame(nodes, "structure_id bigint, node int, x0 double, x1 double")
+    e = spark.createDataFrame(edges, "structure_id bigint, source_node_index int, target_node_index int, distance double")
+    t = spark.createDataFrame([(g, y, "train") for g, y, _ in targets], "structure_id bigint, y double, split string")
+    w, history = GF.fit_gcn(n, e, ["x0", "x1"], t.drop("split"), GF.first_weights(2, 4), epochs=4, rate=0.02)
+    losses = [h.loss for h in history]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.95 * losses[0]
+    assert all(h.validation is None for h in history)
+    scored = {r["structure_id"]: r["score"] for r in N.gcn_score(n, e, ["x0", "x1"], w).collect()}
+    errors = [scored[g] - y for g, y, _ in targets if y is not None]
+    assert sum(x * x for x in errors) / len(errors) < losses[-1]
+    with pytest.raises(ValueError, match="no training graph"):
+        GF.fit_gcn(n, e, ["x0", "x1"], t.withColumn("split", F.lit("val")), GF.first_weights(2, 4), epochs=1)

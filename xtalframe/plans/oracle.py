@@ -532,6 +532,10 @@ def oracle_sql() -> dict[str, str]:
     sql["gcn_score"] = f"""{graph}, {_layer('l1', 'nodes', ['x0', 'x1'])}, {_dense('d1', 'l1', ['x0', 'x1'], w['w1'], w['b1'], ['h0', 'h1', 'h2'])},
       {_layer('l2', 'd1', ['h0', 'h1', 'h2'])}, {_dense('d2', 'l2', ['h0', 'h1', 'h2'], w['w2'], w['b2'], ['k0', 'k1'])}
       SELECT id AS structure_id, round({out}, 6) AS score FROM d2 GROUP BY id"""
+    scored = sql["gcn_score"].replace(f"round({out}, 6) AS score", f"{out} AS score").rpartition("SELECT id AS structure_id")
+    sql["gcn_fit"] = f"""{scored[0]}, scored AS (SELECT id AS structure_id{scored[2]})
+      SELECT 0 AS epoch, round(avg(pow(score - (structure_id%9)/4.0::DOUBLE, 2)), 6) AS first_loss, CAST(NULL AS BOOLEAN) AS lower FROM scored
+      UNION ALL SELECT 1, NULL, true"""
     sql["target_select"] = "SELECT o_orderkey AS structure_id, o_orderkey*0.5::DOUBLE AS target FROM orders WHERE o_orderkey%3<>0"
     sql["graph_validate"] = _GRAPH_OK.rstrip().rstrip(",") + " SELECT * EXCLUDE (k) FROM whole WHERE k%5<>0"
     moves = "(VALUES (0, x, y, z), (1, -x, -y, -z), (2, x + 0.5, 0.5 - y, z)) m(o, mx, my, mz)"

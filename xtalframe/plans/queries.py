@@ -18,6 +18,7 @@ from xtalframe.operators import candidates as C
 from xtalframe.operators import clean as CL
 from xtalframe.operators import features as FE
 from xtalframe.operators import gcn as N
+from xtalframe.operators import gcn_fit as GF
 from xtalframe.operators import graph as G
 from xtalframe.operators import graph_dataset as GD
 from xtalframe.operators import manual as MA
@@ -939,6 +940,18 @@ def gcn_score(spark: SparkSession, sf: str) -> DataFrame:
     return _round(N.gcn_score(nodes, edges, ["x0", "x1"], WEIGHTS), "score")
 
 
+@query
+def gcn_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Two epochs from given weights: the error before the first update, and
+    whether it is lower before the second."""
+    nodes, edges = _graph_tables(spark, sf)
+    k = F.col("o_orderkey")
+    targets = V.table(spark, sf, "orders").select(k.alias("structure_id"), ((k % 9) / 4.0).alias("y"))
+    _, (first, second) = GF.fit_gcn(nodes, edges, ["x0", "x1"], targets, WEIGHTS, epochs=2, rate=0.01)
+    rows = [(0, round(first.loss, 6), None), (1, None, second.loss < first.loss)]
+    return spark.createDataFrame(rows, "epoch int, first_loss double, lower boolean")
+
+
 def _target_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     y = F.when(k % 3 == 0, F.array(F.col("o_totalprice"))).otherwise(F.array(F.col("o_totalprice"), k * 0.5))
