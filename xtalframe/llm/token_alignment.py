@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +26,8 @@ BATCH_CHARS = 1 << 20
 HEAVY = 1 << 20
 #: Where both vocabularies begin anew: one space between two other characters.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: Texts without this can be split at every space.
+UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -76,20 +79,43 @@ class Pair:
 
     def learn(self, words: list[str]) -> list[tuple[bytes, ...]]:
         """Ids of words with the space before them, packed; nothing where the
-        tokens' bytes are not the word's."""
-        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        out = []
-        for w, x, y in zip(words, a, self.b.encode(words, num_threads=1)):
-            x, whole = x.ids, (" " + w).encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == whole == b"".join([self.bytes_b[i] for i in y])
-            out.append((np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else ())
-        return out
+        tokens' bytes are not the word's.
+
+        Words without white space at their ends are encoded as one text, whose
+        borders they are, and cut at their bytes; where that text is not given
+        back, and for the other words, one by one."""
+        out: dict[str, tuple[bytes, ...]] = {}
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+        if plain:
+            text = " " + " ".join(plain)
+            whole, ends = text.encode(), np.cumsum([len(w.encode()) + 1 for w in plain])
+            x, y = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+            sides = ((x, self.bytes_a, self.length_a), (y, self.bytes_b, self.length_b))
+            packed = []
+            for ids, table, length in sides:
+                ids = np.array(ids, "<i4")
+                token_ends = np.cumsum(length[ids])
+                cuts = np.searchsorted(token_ends, ends, "right")
+                given_back = b"".join([table[i] for i in ids.tolist()]) == whole
+                if given_back and cuts[0] > 0 and (token_ends[cuts - 1] == ends).all():
+                    data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                    packed.append([data[a:b] for a, b in zip([0, *cuts], cuts)])
+            if len(packed) == 2:
+                out = dict(zip(plain, zip(*packed)))
+        rest = [w for w in words if w not in out]
+        if rest:
+            a = self.a.encode_batch([" " + w for w in rest], add_special_tokens=False)
+            for w, x, y in zip(rest, a, self.b.encode(rest, num_threads=1)):
+                x, whole = x.ids, (" " + w).encode()
+                same = b"".join([self.bytes_a[i] for i in x]) == whole == b"".join([self.bytes_b[i] for i in y])
+                out[w] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else ()
+        return [out[w] for w in words]
 
     def encode(self, text: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of texts by both; none where a text has no tokens."""
-        split = [BORDER.split(t) if t else [] for t in text]
+        split = [[] if not t else BORDER.split(t) if UNEVEN.search(t) else t.split(" ") for t in text]
         words = self.words
-        seen = {w: words.held(w) for w in {w for ws in split for w in ws}}
+        seen = {w: words.held(w) for w in set(chain.from_iterable(split))}
         new = [w for w, known in seen.items() if known is None]
         for w, ids in zip(new, self.learn(new) if new else ()):
             seen[w] = ids
@@ -97,10 +123,13 @@ class Pair:
         a, b = [], []
         for ws in split:
             found = [seen[w] for w in ws]
-            if () in found:
-                found = []
-            a.append(b"".join([x for x, _ in found]))
-            b.append(b"".join([y for _, y in found]))
+            if not found or () in found:
+                a.append(b"")
+                b.append(b"")
+                continue
+            x, y = zip(*found)
+            a.append(b"".join(x))
+            b.append(b"".join(y))
         return a, b
 
 
