@@ -22,6 +22,7 @@ LEXICON = (
     "sleazebag slut stupid trash twit ugly vermin weirdo whore worthless"
 ).split()
 SAMPLE = 20_000
+CHUNK = 2048  # labelled rows that the fit works on at once
 LEARNED = 512
 LEAST = 5  # rows that a learned word is in
 PURE = 0.8  # share of them that is toxic
@@ -96,9 +97,14 @@ def label_model(fired: np.ndarray, rounds: int = 30) -> np.ndarray:
         p1[~seen] = p0[~seen] = 0.5
         prior = np.clip(n1 / n, 1e-3, 0.5)
         if r == rounds // 2:
-            rest = x - (q[:, None] * p1 + (1 - q)[:, None] * p0)
-            sd = np.maximum(rest.std(0), 1e-9)
-            rho = np.clip((rest.T @ rest / n) / np.outer(sd, sd), 0, 1)
+            total, square = np.zeros(k), np.zeros((k, k))
+            for at in range(0, n, CHUNK):  # the driver holds no second matrix of all rows
+                part, w = x[at : at + CHUNK], q[at : at + CHUNK, None]
+                rest = part - (w * p1 + (1 - w) * p0)
+                total += rest.sum(0)
+                square += rest.T @ rest
+            sd = np.maximum(np.sqrt(np.maximum(np.diag(square) / n - (total / n) ** 2, 0)), 1e-9)
+            rho = np.clip((square / n) / np.outer(sd, sd), 0, 1)
             rho[rho < 0.2] = 0
             np.fill_diagonal(rho, 1)
             share = 1 / rho.sum(1)
@@ -113,7 +119,10 @@ def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.01, rounds: int =
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - q) + penalty * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        curve, bend = np.diag(penalty), p * (1 - p) + 1e-6
+        for at in range(0, len(x), CHUNK):
+            part = x[at : at + CHUNK]
+            curve = curve + (part * bend[at : at + CHUNK, None]).T @ part
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -198,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = np.array([np.frombuffer(r["counts"], np.int32) for r in got])
     n_words = np.array([r["n_words"] for r in got])
     noisy = np.array([r["toxic"] == 1 for r in got])
+    del got
     q = label_model(np.hstack([votes(counts, n_words), noisy[:, None]]))
     return Model(words, fit_linear(features(counts, n_words), q))
 
@@ -235,13 +245,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     labelled rows, patterns over them, and the annotators' own noisy label. A
     generative label model weighs them without believing any; a linear
     classifier then learns its posterior from words alone. The fit takes
-    ``sample`` labelled rows at most (a parameter) and never a row whose
-    crc32(doc_id) mod 5 is 0; scoring covers all rows in one pass.
+    ``sample`` labelled rows at most (a parameter), of whose words the ``LEARNED``
+    strongest, and never a row whose crc32(doc_id) mod 5 is 0; scoring covers
+    all rows in one pass, in parts of about a megabyte, one text at least.
 
     Null and empty texts have no word and get the lowest score; repeated rows
     get equal scores; labels that are null or of unknown documents are left
     out; without usable labels the untrained lexicon decides. A null doc_id
-    is not held out.
+    is not held out. A score of exactly 0.5 is predicted toxic; learned words
+    that are equally strong are taken in order of their text. Columns besides
+    doc_id and text, and doc_id and toxic of the labels, are not looked at. An
+    empty table has no rows.
     """
     rows = score(texts(docs), train(docs, labels, sample))
     return rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": F.coalesce("held_out", F.lit(False))})
