@@ -584,5 +584,70 @@ def test_pipeline(spark):
     assert all(r["ids"] == sp.encode(texts[r["doc_id"]]) for r in ids)
 
 
+def plain_lines(docs):
+    """doc_id -> text without repeated lines."""
+    strip = "\x20\x09\x0a\x0b\x0c\x0d"
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(strip))
+    holders = defaultdict(set)
+    for d, t in docs.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(d)
+    last = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    return {d: "\n".join(line for line in t.split("\n") if last.get(key(line), d) == d) for d, t in docs.items()}
+
+
+def plain_single(docs, words, percent):
+    """doc_id -> text of the least doc_id of each group of near copies."""
+    sets = {}
+    for d, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: t for d, t in docs.items() if find(d) == d}
+
+
+def plain_free(docs, items, size):
+    """doc_id -> text of documents without an item's window."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if w]
+    windows = {tuple(w[k : k + size]) for w in map(split, items) if w for k in range(max(1, len(w) - size + 1))}
+    lengths = {len(w) for w in windows}
+    out = {}
+    for d, t in docs.items():
+        w = split(t)
+        if not any(tuple(w[k : k + n]) in windows for n in lengths for k in range(len(w) - n + 1)):
+            out[d] = t
+    return out
+
+
+def test_pipeline_from_end_to_end(spark):
+    """The registered query's rows: after the toxicity stage, whose verdicts are
+    learned, every stage by a plain version over whole tables."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    clean = corpus_pipeline.drop_toxic(spark, table(spark, SF, "documents"), SF).collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in clean}
+    items = [r["text"] or "" for r in table(spark, SF, "benchmark").collect()]
+    left = plain_free(plain_single(plain_lines(docs), 5, 80), items, 10)
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary.default_model())
+    want = {d: sp.encode(t) for d, t in left.items()}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert len(got) == len(want) < len(docs) and {r["doc_id"]: r["ids"] for r in got} == want
+
+
 def docs_schema(spark):
     return table(spark, SF, "documents").schema
