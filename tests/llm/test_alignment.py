@@ -123,3 +123,34 @@ def test_pieces_do_equal_work_and_join():
             found = ta.overlaps(a, b, step)
             assert list(zip(found.a, found.b)) == list(dict.fromkeys(whole))
             assert a[found.cut_a - 1].tolist() == sorted(set(a) & set(b)) == b[found.cut_b - 1].tolist()
+
+
+def test_words_together_equal_whole_texts(libraries, monkeypatch):
+    """Random texts through word tables that are full all the time: ids as by
+    the libraries over whole texts, of any letters and spaces."""
+    monkeypatch.setattr(ta, "CACHE", 40)
+    tok, sp = libraries
+    both = ta.Pair(ta.byte_model(), default_model())
+    rng = np.random.default_rng(7)
+    parts = ["a", "the", "Str", "ß", "é", "ÿ", "ƀ", "ɏ", "ɐ", "ж", "中", "😀", "'s", "'", "1", "²", "½", "ª", "_", "-", "§", "\u00ad", " ", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "\u2003", "\x1c", "\x00", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(3000)]
+    for k in range(0, len(texts), 100):
+        some = texts[k : k + 100]
+        a, b = both.encode(some)
+        for t, x, y in zip(some, a, b):
+            want_a, want_b = tok.encode(" " + t, add_special_tokens=False).ids, sp.encode(t)
+            whole = (" " + t).encode()
+            if b"".join(both.bytes_a[i] for i in want_a) != whole or b"".join(both.bytes_b[i] for i in want_b) != whole:
+                want_a = want_b = []
+            assert (np.frombuffer(x, "<i4").tolist(), np.frombuffer(y, "<i4").tolist()) == (want_a, want_b), repr(t)
+    assert len(both.words) <= 40 + 100 * 40
+
+
+def test_merges_follow_the_ids(libraries):
+    """What lets tokens be merged by rank: ids number the merges in order."""
+    import json
+
+    model = json.load(open(ta.byte_model()))["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    assert ids == sorted(ids) and len(set(ids)) == len(ids)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.llm.common import texts, written
-from xtalframe.llm.vocabulary import SPACE, Recent, default_model
+from xtalframe.llm.vocabulary import LONG, SPACE, default_model
 
 CACHE = 250_000
 PIECE = 1 << 14  # steps of the merge in one piece
@@ -27,7 +27,10 @@ HEAVY = 1 << 20
 #: Where both vocabularies begin anew: one space between two other characters.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Texts without this can be split at every space.
-UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+UNEVEN = re.compile(r" \s|\s |^ | \Z")
+#: Fixed value: how byte-level vocabularies split a text into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_END = "\u0250"  # the letters before it are Latin in every version of Unicode
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -75,61 +78,93 @@ class Pair:
         # a token, and what stands behind it: inside a group, at the end of its half
         names = [(str(i), "|") for i in range(len(self.bytes_a))] + [(str(i), ";") for i in range(len(self.bytes_b))]
         self.names = [n + end for n, last in names for end in (",", last)]
-        self.words = Recent(CACHE)
-
-    def learn(self, words: list[str]) -> list[tuple[bytes, ...]]:
+        self.words: dict[str, tuple[bytes, ...]] = {}
+        self.older: dict[str, tuple[bytes, ...]] = {}
+        self.latin = self.ranks()
+
+    def ranks(self) -> object:
+        """The same vocabulary A for texts of Latin letters, whose classes no two
+        versions of Unicode tell apart: tokens merge in order of their ids."""
+        import tiktoken
+
+        known = {token: i for i, token in enumerate(self.bytes_a) if token}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+
+    def cut(self, words: list[str], encode_a: Callable[[str], list[int]]) -> list[tuple[bytes, ...]] | None:
+        """Packed ids of words, encoded as one text whose borders they are, and cut
+        at their bytes; None if the tokens don't give the text back."""
+        text = " " + " ".join(words)
+        whole, ends = text.encode(), np.cumsum([len(w.encode()) + 1 for w in words])
+        sides = ((encode_a(text), self.bytes_a, self.length_a), (self.b.encode(text[1:]), self.bytes_b, self.length_b))
+        packed = []
+        for ids, table, length in sides:
+            if b"".join([table[i] for i in ids]) != whole:
+                return None
+            ids = np.array(ids, "<i4")
+            token_ends = np.cumsum(length[ids])
+            cuts = np.searchsorted(token_ends, ends, "right")
+            if not cuts[0] or (token_ends[cuts - 1] != ends).any():
+                return None
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            packed.append([data[a:b] for a, b in zip([0, *cuts], cuts)])
+        return list(zip(*packed))
+
+    def learn(self, words: list[str]) -> dict[str, tuple[bytes, ...]]:
         """Ids of words with the space before them, packed; nothing where the
-        tokens' bytes are not the word's.
-
-        Words without white space at their ends are encoded as one text, whose
-        borders they are, and cut at their bytes; where that text is not given
-        back, and for the other words, one by one."""
+        tokens' bytes are not the word's. Words without white space at their
+        ends go together, the others one by one."""
+        groups: dict[str, list[str]] = {"latin": [], "other": [], "alone": []}
+        for w in words:
+            edge = w[0].isspace() or w[-1].isspace()
+            groups["alone" if edge else "latin" if w.isascii() or max(w) < LATIN_END else "other"].append(w)
+        of_a = {"latin": self.latin.encode_ordinary, "other": lambda t: self.a.encode(t, add_special_tokens=False).ids}
         out: dict[str, tuple[bytes, ...]] = {}
-        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
-        if plain:
-            text = " " + " ".join(plain)
-            whole, ends = text.encode(), np.cumsum([len(w.encode()) + 1 for w in plain])
-            x, y = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-            sides = ((x, self.bytes_a, self.length_a), (y, self.bytes_b, self.length_b))
-            packed = []
-            for ids, table, length in sides:
-                ids = np.array(ids, "<i4")
-                token_ends = np.cumsum(length[ids])
-                cuts = np.searchsorted(token_ends, ends, "right")
-                given_back = b"".join([table[i] for i in ids.tolist()]) == whole
-                if given_back and cuts[0] > 0 and (token_ends[cuts - 1] == ends).all():
-                    data, cuts = ids.tobytes(), (4 * cuts).tolist()
-                    packed.append([data[a:b] for a, b in zip([0, *cuts], cuts)])
-            if len(packed) == 2:
-                out = dict(zip(plain, zip(*packed)))
-        rest = [w for w in words if w not in out]
+        for group, encode_a in of_a.items():
+            found = self.cut(groups[group], encode_a) if groups[group] else []
+            if found is None:
+                groups["alone"] += groups[group]
+            else:
+                out |= zip(groups[group], found)
+        rest = groups["alone"]
         if rest:
             a = self.a.encode_batch([" " + w for w in rest], add_special_tokens=False)
             for w, x, y in zip(rest, a, self.b.encode(rest, num_threads=1)):
                 x, whole = x.ids, (" " + w).encode()
                 same = b"".join([self.bytes_a[i] for i in x]) == whole == b"".join([self.bytes_b[i] for i in y])
                 out[w] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else ()
-        return [out[w] for w in words]
+        return out
+
+    def hold(self, words: set[str]) -> dict[str, tuple[bytes, ...]]:
+        """A table with all these words. When it has grown to half of ``CACHE``, it
+        starts anew with them, and the old one is kept beside it for once."""
+        missing = words.difference(self.words)
+        if missing:
+            found = {w: self.older[w] for w in missing.intersection(self.older)}
+            found |= self.learn([w for w in missing if w not in found])
+            if len(self.words) + len(found) > CACHE // 2:
+                found |= {w: self.words[w] for w in words if w not in found}
+                self.older, self.words = self.words, {}
+            self.words |= found
+        return self.words
 
     def encode(self, text: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of texts by both; none where a text has no tokens."""
         split = [[] if not t else BORDER.split(t) if UNEVEN.search(t) else t.split(" ") for t in text]
-        words = self.words
-        seen = {w: words.held(w) for w in set(chain.from_iterable(split))}
-        new = [w for w, known in seen.items() if known is None]
-        for w, ids in zip(new, self.learn(new) if new else ()):
-            seen[w] = ids
-            words.keep(w, ids)
+        words = set(chain.from_iterable(split))
+        table = self.hold(words)
+        lost = {w for w in words if not table[w]}
         a, b = [], []
         for ws in split:
-            found = [seen[w] for w in ws]
-            if not found or () in found:
+            found = [table[w] for w in ws]
+            if not found or (lost and not lost.isdisjoint(ws)):
                 a.append(b"")
                 b.append(b"")
                 continue
             x, y = zip(*found)
             a.append(b"".join(x))
             b.append(b"".join(y))
+        for w in [w for w in words if len(w) > LONG]:  # a giant word is not worth its memory
+            table.pop(w, None)
         return a, b
 
 
