@@ -296,3 +296,28 @@ def test_fitting_lowers_the_error(spark):
     assert sum(x * x for x in errors) / len(errors) < losses[-1]
     with pytest.raises(ValueError, match="no training graph"):
         GF.fit_gcn(n, e, ["x0", "x1"], t.withColumn("split", F.lit("val")), GF.first_weights(2, 4), epochs=1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_sites_are_worked_out_in_compiled_columns(spark, tmp_path):
+    rows = spark.sql(
+        "SELECT 1L structure_id, named_struct('a', 4D, 'b', 5D, 'c', 6D, 'alpha', 90D, 'beta', 90D, 'gamma', 120D) cell,"
+        " array(named_struct('idx', 0, 'element', 'Fe', 'frac', array(0D, 0D, 0D)), named_struct('idx', 1, 'element', 'O', 'frac', array(0.9D, 0.1D, 0D))) sites"
+    )
+    rows.write.parquet(str(tmp_path / "s"))
+    edges = G.structure_edges(spark.read.parquet(str(tmp_path / "s")))
+    assert "transform(sites" not in _plan(edges)
+    ((i, j, distance),) = edges.select("source_node_index", "target_node_index", "distance").collect()
+    # -0.1 a + 0.1 b at 120 degrees: 0.16 + 0.25 + 0.2
+    assert (i, j) == (0, 1) and abs(distance - 0.61**0.5) < 1e-12
+
+
+def test_text_of_sites_is_parsed_once(spark):
+    from xtalframe.operators import graph_dataset
+
+    rows = spark.sql("SELECT 'm' material_id, uuid() oqmd_unit_cell_json, uuid() oqmd_sites_json, 1D oqmd_band_gap, 1D oqmd_delta_e")
+    analyzed = graph_dataset.with_structure(rows)._jdf.queryExecution().analyzed().toString()
+    assert analyzed.count("from_json(ArrayType(StructType(StructField(species") == 1

@@ -218,34 +218,46 @@ _REDUCED = (
 )
 
 
-def _step_sql() -> str:
-    """One step as SQL over the state ``s`` and the step's number ``n``: vector v
-    less as many of vector a as leave it shortest; or, if it is the longest,
-    replaced by a shorter sum of all three. Only lengths fall."""
-    moves = ", ".join(f"named_struct('v', {v}, 'a', {a}, 'b', {b}, 'sum', {str(k >= _SUMS_FROM).lower()})" for k, (v, a, b) in enumerate(_MOVES))
-    g = lambda i, j: f"s.g[m.{i} * 3 + m.{j}]"
-    square = f"{g('v', 'v')} + {g('a', 'a')} + {g('b', 'b')}"
-    sums = ", ".join(
-        f"named_struct('square', {square} + 2 * ({p} * {g('v', 'a')} + {q} * {g('v', 'b')} + {p * q} * {g('a', 'b')}), 'p', {p}D, 'q', {q}D)"
-        for p in (1, -1)
-        for q in (1, -1)
-    )
-    longest = f"{g('v', 'v')} >= {g('a', 'a')} AND {g('v', 'v')} >= {g('b', 'b')}"
-    both = (
-        f"transform(array(array_min(array({sums}))), c -> named_struct('m', m, 'ka', if({longest} AND c.square < {g('v', 'v')} * {_LESS}, c.p, 0D),"
-        f" 'kb', if({longest} AND c.square < {g('v', 'v')} * {_LESS}, c.q, 0D)))[0]"
-    )
-    one = f"named_struct('m', m, 'ka', -rint(coalesce(try_divide({g('a', 'v')}, {g('a', 'a')}), 0D)), 'kb', 0D)"
-    nine = "array(" + ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(3) for j in range(3)) + ")"
-    f = lambda i, j: f"s.g[{i} * 3 + {j}]"
-    a, b, v = "f.m.a", "f.m.b", "f.m.v"
-    length = (
-        f"{f('x.i', 'x.j')} + if(x.i = {v}, f.ka * {f(a, 'x.j')} + f.kb * {f(b, 'x.j')}, 0D) + if(x.j = {v}, f.ka * {f('x.i', a)} + f.kb * {f('x.i', b)}, 0D)"
-        f" + if(x.i = {v} AND x.j = {v}, f.ka * f.ka * {f(a, a)} + f.kb * f.kb * {f(b, b)} + 2 * f.ka * f.kb * {f(a, b)}, 0D)"
-    )
-    turn = f"s.t[x.i * 3 + x.j] - if(x.j = {a}, f.ka, if(x.j = {b}, f.kb, 0D)) * s.t[x.i * 3 + {v}]"
-    factors = f"transform(array(element_at(array({moves}), n % {len(_MOVES)} + 1)), m -> if(m.sum, {both}, {one}))"
-    return f"transform({factors}, f -> named_struct('g', transform({nine}, x -> {length}), 't', transform({nine}, x -> {turn})))[0]"
+def _step_sql(v: int, a: int, b: int, sums: bool) -> str:
+    """One step as SQL over the state ``s``: vector v less as many of vector a as
+    leave it shortest; or, if it is the longest, replaced by a shorter sum of all
+    three. Only lengths fall. Written out for its three vectors, so that a row
+    pays for the numbers that change and not for looking up which do."""
+    f = lambda i, j: f"s.g[{3 * i + j}]"
+    if sums:
+        square = f"{f(v, v)} + {f(a, a)} + {f(b, b)}"
+        four = ", ".join(
+            f"named_struct('square', {square} + 2 * ({p} * {f(v, a)} + {q} * {f(v, b)} + {p * q} * {f(a, b)}), 'ka', {p}D, 'kb', {q}D)"
+            for p in (1, -1)
+            for q in (1, -1)
+        )
+        # the longest vector has something to win
+        taken = f"{f(v, v)} >= {f(a, a)} AND {f(v, v)} >= {f(b, b)} AND c.square < {f(v, v)} * {_LESS}"
+        ka, kb = "c.ka", "c.kb"
+    else:
+        ka, kb = "c", ""
+    and_b = lambda value: f" + {kb} * {value}" if sums else ""
+
+    def length(i: int, j: int) -> str:
+        value = f(i, j)
+        if i == v:
+            value += f" + ({ka} * {f(a, j)}{and_b(f(b, j))})"
+        if j == v:
+            value += f" + ({ka} * {f(i, a)}{and_b(f(i, b))})"
+        if i == j == v:
+            value += f" + ({ka} * {ka} * {f(a, a)}" + (f" + {kb} * {kb} * {f(b, b)} + 2 * {ka} * {kb} * {f(a, b)})" if sums else ")")
+        return value
+
+    def turn(i: int, j: int) -> str:
+        less = {a: ka, b: kb}.get(j)
+        return f"s.t[{3 * i + j}]" + (f" - {less} * s.t[{3 * i + v}]" if less else "")
+
+    nine = lambda of: "array(" + ", ".join(of(i, j) for i in range(3) for j in range(3)) + ")"
+    moved = f"named_struct('g', {nine(length)}, 't', {nine(turn)})"
+    if sums:
+        return f"transform(array(array_min(array({four}))), c -> if({taken}, {moved}, s))[0]"
+    count = f"-rint(coalesce(try_divide({f(a, v)}, {f(a, a)}), 0D))"
+    return f"transform(array({count}), c -> if(c = 0D, s, {moved}))[0]"
 
 
 def with_reduced_lattice(df: DataFrame, cell: str = "cell", name: str = "lattice") -> DataFrame:
@@ -261,16 +273,19 @@ def with_reduced_lattice(df: DataFrame, cell: str = "cell", name: str = "lattice
     g = dict(zip(METRIC, metric(F.col(cell))))
     full = F.array(*[g[f"g{min(i, j)}{max(i, j)}"] for i in (1, 2, 3) for j in (1, 2, 3)])
     one = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
-    step = _step_sql()
+    steps = [_step_sql(*move, sums=k >= _SUMS_FROM) for k, move in enumerate(_MOVES)]
+    step = f"CASE n % {len(_MOVES)} " + " ".join(f"WHEN {k} THEN {one}" for k, one in enumerate(steps)) + " ELSE s END"
 
     def go_on(first: int, last: int) -> Column:
-        steps = f"sequence({first * len(_MOVES)}, {last * len(_MOVES) - 1})"
-        fold = f"aggregate({steps}, _state, (s, n) -> if({_REDUCED.format(s='s')}, s, {step}))"
-        return F.expr(f"if(coalesce({_REDUCED.format(s='_state')}, true), _state, {fold})")  # null: no cell
+        places = f"sequence({first * len(_MOVES)}, {last * len(_MOVES) - 1})"
+        fold = f"aggregate({places}, _state, (s, n) -> if({_REDUCED.format(s='s')}, s, {step}))"
+        return F.expr(f"if(_done, _state, {fold})")
 
     out = compute_once(df, {"_state": F.struct(full.alias("g"), one.alias("t"))})
     for first, last in ((0, 1), (1, _SWEEPS)):
-        out = compute_once(out, {"_state": go_on(first, last)})
+        # folds are not compiled; a column beside them is, and most rows need no more
+        done = out.withColumn("_done", F.expr(f"coalesce({_REDUCED.format(s='_state')}, true)"))  # null: no cell
+        out = compute_once(done, {"_state": go_on(first, last)}).drop("_done")
     entries = [f"'g{i}{j}', _state.g[{3 * (i - 1) + j - 1}]" for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))]
     entries += [f"'{n}', _state.t[{k}]" for k, n in enumerate(TURN)]
     return compute_once(out, {name: F.expr(f"named_struct({', '.join(entries)})")}).drop("_state")

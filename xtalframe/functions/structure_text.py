@@ -51,20 +51,21 @@ def parse_sites(text: Column) -> Column:
     Null when the text is no list of sites, the list is empty, or any site has
     no species, no element or no three numbers. Occupancy is not used.
     """
-
-    def checked(raw: Column) -> Column:
-        good = (F.size(raw) > 0) & F.forall(raw, _valid_site)
-        return F.when(
-            F.coalesce(good, F.lit(False)),
-            F.transform(
-                raw,
-                lambda s, i: F.struct(
-                    i.alias("idx"), _first_element(s).alias("element"), s["xyz"].alias("frac")
-                ),
+    return let(F.from_json(text, SITES), checked_sites)
+
+
+def checked_sites(raw: Column) -> Column:
+    """The same from JSON that is read already."""
+    good = (F.size(raw) > 0) & F.forall(raw, _valid_site)
+    return F.when(
+        F.coalesce(good, F.lit(False)),
+        F.transform(
+            raw,
+            lambda s, i: F.struct(
+                i.alias("idx"), _first_element(s).alias("element"), s["xyz"].alias("frac")
             ),
-        )
-
-    return let(F.from_json(text, SITES), checked)
+        ),
+    )
 
 
 def _valid_site(site: Column) -> Column:

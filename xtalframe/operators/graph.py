@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.elements import join_elements
-from xtalframe.functions.lattice import METRIC, image_heights, min_image_squares, turned, with_reduced_lattice, wrap
+from xtalframe.functions.lattice import METRIC, TURN, image_heights, min_image_squares, turned, with_reduced_lattice, wrap
 
 CUTOFF = 3.0
 SMALL = 64
@@ -82,13 +82,20 @@ def _within(pairs: DataFrame, cutoff: float) -> DataFrame:
 
 
 def _pairs_in_row(nested: DataFrame, cutoff: float) -> DataFrame:
-    """Pairs of each structure from its own ``points`` array, sorted by idx."""
-    first = nested.select(
-        "structure_id", *METRIC, "points", F.posexplode("points").alias("at", "p")
-    )
-    rest = F.slice("points", F.col("at") + 2, F.greatest(F.size("points"), F.lit(1)))
-    pairs = first.select("structure_id", *METRIC, "p", F.explode(rest).alias("q"))
-    return _within(pairs.where(F.col("p.idx") < F.col("q.idx")), cutoff)
+    """Pairs of each structure from its own ``sites``: ``structure_id``,
+    ``lattice`` and ``sites``. Places are worked out for each pair, in compiled
+    projections, rather than for each site in a lambda, which is not compiled.
+    """
+    turns = [F.col(f"lattice.{t}").alias(t) for t in TURN]
+    numbers = nested.select("structure_id", *_metric(), *turns, "sites")
+    kept = ["structure_id", *METRIC, *TURN]
+    first = numbers.select(*kept, "sites", F.posexplode("sites").alias("at", "first"))
+    rest = F.slice("sites", F.col("at") + 2, F.greatest(F.size("sites"), F.lit(1)))
+    pairs = first.select(*kept, "at", "first", F.posexplode(rest).alias("after", "second"))
+    lattice = {t: F.col(t) for t in TURN}
+    p = _point(F.col("at"), *_fractions(F.col("first")), lattice)
+    q = _point(F.col("at") + 1 + F.col("after"), *_fractions(F.col("second")), lattice)
+    return _within(pairs.select("structure_id", *METRIC, p.alias("p"), q.alias("q")), cutoff)
 
 
 def _steps(bins: Column) -> Column:
@@ -168,14 +175,18 @@ def _metric() -> list[Column]:
     return [F.col(f"lattice.{m}").alias(m) for m in METRIC]
 
 
-def _point(idx: Column, x: Column, y: Column, z: Column) -> Column:
+def _point(idx: Column, x: Column, y: Column, z: Column, lattice: Column | dict[str, Column] | None = None) -> Column:
     """A site in fractions of the reduced lattice, in columns beside it."""
-    x, y, z = turned(F.col("lattice"), x, y, z)
+    x, y, z = turned(F.col("lattice") if lattice is None else lattice, x, y, z)
     return F.struct(
         idx.alias("idx"), wrap(x).alias("x"), wrap(y).alias("y"), wrap(z).alias("z")
     )
 
 
+def _fractions(site: Column) -> tuple[Column, Column, Column]:
+    return site["frac"][0], site["frac"][1], site["frac"][2]
+
+
 def structure_edges(
     structures: DataFrame,
     cutoff: float = CUTOFF,
@@ -187,15 +198,11 @@ def structure_edges(
     image. ``symmetric`` adds the reverse of every edge.
     """
     base = with_reduced_lattice(structures.where(F.col("cell").isNotNull() & (F.size("sites") > 1)).select("structure_id", "cell", "sites"))
-    frac = lambda s: (s["frac"][0], s["frac"][1], s["frac"][2])
-    points = F.transform("sites", lambda s, i: _point(i, *frac(s)))
-    in_row = _pairs_in_row(
-        base.where(F.size("sites") <= small).select("structure_id", *_metric(), points.alias("points")), cutoff
-    )
+    in_row = _pairs_in_row(base.where(F.size("sites") <= small), cutoff)
     large = base.where(F.size("sites") > small).select(
         "structure_id", "lattice", F.size("sites").alias("n_sites"), F.posexplode("sites").alias("at", "site")
     )
-    point = _point(F.col("at"), *frac(F.col("site"))).alias("p")
+    point = _point(F.col("at"), *_fractions(F.col("site"))).alias("p")
     on_grid = _pairs_on_grid(large.select("structure_id", *_metric(), "n_sites", point), cutoff, small)
     edges = in_row.unionByName(on_grid)
     return symmetric_edges(edges) if symmetric else edges

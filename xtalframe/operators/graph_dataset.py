@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.elements import symbol_array
+from xtalframe.elements import SYMBOLS
 from xtalframe.functions.dos import energy_per_site
 from xtalframe.functions.lattice import cell_volume
-from xtalframe.functions.once import compute_once, let
-from xtalframe.functions.structure_text import parse_cell, parse_sites
+from xtalframe.functions.once import compute_once
+from xtalframe.functions.structure_text import checked_sites, parse_cell
 from xtalframe.operators.graph import collect_graph, structure_edges, structure_nodes
 from xtalframe.schemas import SITES
 from xtalframe.session import stored
@@ -20,7 +20,7 @@ OK = "ok"
 
 def known_elements(sites: Column) -> Column:
     """Whether there are sites and every one holds a known element."""
-    return (F.size(sites) > 0) & (F.size(F.array_except(F.transform(sites, lambda s: s["element"]), symbol_array())) == 0)
+    return (F.size(sites) > 0) & F.forall(sites, lambda s: F.coalesce(s["element"].isin(*SYMBOLS), F.lit(False)))
 
 
 def with_structure(rows: DataFrame) -> DataFrame:
@@ -44,14 +44,9 @@ def with_structure(rows: DataFrame) -> DataFrame:
         ).alias("listed"),
         F.coalesce(F.exists(raw, incomplete), F.lit(False)).alias("incomplete"),
     )
-    cells = compute_once(
-        rows,
-        {
-            "cell": parse_cell(F.col("oqmd_unit_cell_json")),
-            "sites": parse_sites(F.col("oqmd_sites_json")),
-            "_shape": let(F.from_json("oqmd_sites_json", SITES), listed),
-        },
-    )
+    # the text of the sites is read once for what it lists and for the sites
+    read = compute_once(rows, {"cell": parse_cell(F.col("oqmd_unit_cell_json")), "_raw": F.from_json("oqmd_sites_json", SITES)})
+    cells = compute_once(read, {"sites": checked_sites(F.col("_raw")), "_shape": listed(F.col("_raw"))}).drop("_raw")
     flat = ~(cell_volume(F.col("cell")) > 0) | F.isnan(cell_volume(F.col("cell")))
     status = (
         F.when(blank("oqmd_unit_cell_json") | blank("oqmd_sites_json"), "missing_structure_json")
