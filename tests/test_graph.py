@@ -321,3 +321,30 @@ def test_text_of_sites_is_parsed_once(spark):
     rows = spark.sql("SELECT 'm' material_id, uuid() oqmd_unit_cell_json, uuid() oqmd_sites_json, 1D oqmd_band_gap, 1D oqmd_delta_e")
     analyzed = graph_dataset.with_structure(rows)._jdf.queryExecution().analyzed().toString()
     assert analyzed.count("from_json(ArrayType(StructType(StructField(species") == 1
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_network_over_blocks_of_nodes(spark, monkeypatch, block):
+    """Edges within and between blocks: the same propagation, gradient and error.
+    Where blocks hold whole graphs, only graphs and found messages are shuffled."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    n = spark.createDataFrame([(s, k, 0.25 * s + k, 1.0 / (k + s)) for s in (1, 2, 3) for k in range(7)], "structure_id bigint, node int, x0 double, x1 double")
+    e = spark.createDataFrame([(s, a, (3 * a + s) % 7, 1.0 + a / 8) for s in (1, 2, 3) for a in range(7)] + [(1, 6, 9, 1.0), (1, 9, 6, 1.0)], "structure_id bigint, source_node_index int, target_node_index int, distance double")
+    nodes = {(r[0], r[1]): [r[2], r[3]] for r in n.collect()}
+    messages = [(r[0], r[1], r[2], r[3]) for r in e.collect()] + [(s, k, k, 1.0) for s, k in nodes]
+    degree = {v: sum(w for s, _, t, w in messages if (s, t) == v) for v in nodes}
+    want = {v: [sum(w * (degree[s, a] * degree[v]) ** -0.5 * nodes[s, a][j] for s, a, t, w in messages if (s, t) == v and (s, a) in nodes) for j in (0, 1)] for v in nodes}
+    got = {(r["structure_id"], r["node"]): [r["x0"], r["x1"]] for r in N.neighbor_aggregate(n, e, ["x0", "x1"]).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-12) for v in want)
+
+    w = {"w1": [[0.5, 0.25], [0.125, -0.5]], "b1": [0.1, 0.6], "w2": [[0.5, 0.25], [-0.5, 0.75]], "b2": [0.05, 0.15], "w_out": [0.8, -0.6], "b_out": 0.25}
+    t = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, None)], "structure_id bigint, y double")
+    network = GF.prepare(n, e, ["x0", "x1"])
+    slopes, loss, _ = GF.gradient(network, t, w)
+    up, down = (GF.gradient(network, t, w | {"w1": [[0.5, 0.25 + step], [0.125, -0.5]]})[1] for step in (1e-6, -1e-6))
+    assert slopes[("w1", 0, 1)] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    if block == 4096:
+        hidden, h = N._linear(network.inputs, [*N.PLACE, "inv_sqrt_deg"], ["x0", "x1"], w["w1"], w["b1"], "h", True)
+        for plan in (N._propagate(hidden, network.forward, h), N._propagate(hidden, network.backward, h)):
+            plan = plan.hint("merge")._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan

@@ -2,20 +2,26 @@
 
 Nodes: ``structure_id, node`` and feature columns. Edges: ``structure_id,
 source_node_index, target_node_index, distance``; messages run from source to
-target. Keys are (structure, node), never the structure alone, so one huge
-graph spreads like many small ones.
+target. Keys are (structure, block of nodes), never the structure alone, so one
+huge graph spreads over its blocks and a small one stays together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from xtalframe.session import stored_by
+from xtalframe.session import stored, stored_by
 
-NODE = ["structure_id", "node"]
+PLACE = ["structure_id", "block", "node"]
+BUCKETS = ["structure_id", "block"]
+#: Nodes of a block, a power of two, and messages of a bucket.
+BLOCK, BUCKET = 4096, 2**21
 
 
 def _with_loops(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool) -> DataFrame:
@@ -40,43 +46,90 @@ def _with_loops(nodes: DataFrame, edges: DataFrame, features: Sequence[str], wei
     return along.unionAll(loops)
 
 
-def graph_messages(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> DataFrame:
-    """Edges and loops, stored in buckets of the node they leave from. Nodes and
-    edges are read, and edges found, once for degrees and all layers; layers
-    join the buckets as they lie."""
-    return stored_by(_with_loops(nodes, edges, features, weighted), "messages", *NODE)
+class Messages(NamedTuple):
+    """Messages of all layers where they are used.
 
+    A place is (structure, block of ``BLOCK`` nodes, node). ``near`` has the
+    messages that stay in their block, loops among them, in buckets of structure
+    and block: joins and sums by either end read them as they lie. ``far`` has
+    the others, with ``target_block``, in buckets of the block they leave from;
+    it is None where no graph is larger than a block.
+    """
 
-def node_degrees(messages: DataFrame, features: Sequence[str]) -> DataFrame:
+    near: DataFrame
+    far: DataFrame | None
+    buckets: int
+
+
+def _block(df: DataFrame, node: str) -> Column:
+    """The block of a node; a node that is no whole number is one by itself."""
+    if isinstance(df.schema[node].dataType, IntegralType):
+        return F.shiftright(F.col(node).cast("bigint"), BLOCK.bit_length() - 1)
+    return F.xxhash64(F.col(node).cast("string"))
+
+
+def graph_messages(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> Messages:
+    """Edges and loops, stored in buckets of the block they leave from. Nodes and
+    edges are read, and edges found, once for degrees and all layers; the number
+    of buckets goes with that of the messages, so that a task's share does not."""
+    found = stored(_with_loops(nodes, edges, features, weighted), "found")
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(found.count() / BUCKET))
+    rows = found.withColumns({"block": _block(found, "node"), "target_block": _block(found, "target")})
+    rows = stored_by(rows.withColumn("far", ~F.col("block").eqNullSafe(F.col("target_block"))), "messages", *BUCKETS, buckets=buckets)
+    far = rows.where("far")
+    return Messages(rows.where("NOT far").drop("far", "target_block"), None if far.isEmpty() else far.select(*PLACE, "target_block", "target", "weight"), buckets)
+
+
+def turned_messages(messages: Messages) -> Messages:
+    """The same messages the other way round, in buckets of the block where they
+    leave then: those that stay in their block lie there already."""
+    near, far, buckets = messages
+    back = near.select("structure_id", "block", F.col("target").alias("node"), F.col("node").alias("target"), "weight")
+    if far is not None:
+        turned = far.select("structure_id", F.col("target_block").alias("block"), F.col("target").alias("node"), F.col("block").alias("target_block"), F.col("node").alias("target"), "weight")
+        far = stored_by(turned, "messages_back", *BUCKETS, buckets=buckets)
+    return Messages(back, far, buckets)
+
+
+def _arriving(near: DataFrame, far: DataFrame | None, sums: dict[str, Column], own: dict[str, Column]) -> DataFrame:
+    """``sums`` of the messages and ``own`` values of the loops by the place that
+    they reach. Only sums of messages between blocks are shuffled."""
+    here = near.groupBy("structure_id", "block", F.col("target").alias("node")).agg(*[c.alias(n) for n, c in (sums | own).items()])
+    if far is None:
+        return here
+    there = far.groupBy("structure_id", F.col("target_block").alias("block"), F.col("target").alias("node")).agg(*[c.alias(f"_{n}") for n, c in sums.items()])
+    both = lambda n: F.coalesce(F.col(n) + F.col(f"_{n}"), F.col(n), F.col(f"_{n}")).alias(n)
+    return here.join(there, PLACE, "left").select(*PLACE, *[both(n) for n in sums], *own)
+
+
+def node_degrees(messages: Messages, features: Sequence[str]) -> DataFrame:
     """Nodes with their features and ``inv_sqrt_deg``: degree is 1 for the self
-    loop plus the weights coming in. One aggregate by (structure, node), whose
-    partitioning the next join needs as it is."""
+    loop plus the weights coming in."""
+    own = {f: F.max(f) for f in features} | {"_own": F.count_if(F.col("node") == F.col("target"))}
     return (
-        messages.groupBy("structure_id", F.col("target").alias("node"))
-        .agg(F.sum("weight").alias("_deg"), *[F.max(f).alias(f) for f in features], F.count_if(F.col("node") == F.col("target")).alias("_own"))
+        _arriving(messages.near, messages.far, {"_deg": F.sum("weight")}, own)
         .where("_own > 0")  # an edge to a node that isn't there has no node
-        .select(*NODE, (1 / F.sqrt("_deg")).alias("inv_sqrt_deg"), *features)
+        .select(*PLACE, (1 / F.sqrt("_deg")).alias("inv_sqrt_deg"), *features)
     )
 
 
-def _propagate(nodes: DataFrame, messages: DataFrame, features: Sequence[str]) -> DataFrame:
+def _propagate(nodes: DataFrame, messages: Messages, features: Sequence[str]) -> DataFrame:
     """One propagation for nodes that already carry ``inv_sqrt_deg``.
 
     out_i = s_i * sum_j w_ji * s_j * x_j over edges and the loop, s = deg^-1/2.
-    One join on the node a message leaves from, where the messages lie, and one
-    aggregate by the node it reaches, whose partial sums are all that is
-    shuffled; the loop brings that node's own s_i along.
+    One join on the node a message leaves from and one aggregate by the node it
+    reaches, both in the block where messages and nodes lie; the loop brings
+    that node's own s_i along.
     """
     own = F.when(F.col("node") == F.col("target"), F.col("inv_sqrt_deg"))
+    near = messages.near.select(*PLACE, "target", "weight").join(nodes, PLACE)
+    far = None if messages.far is None else messages.far.join(nodes, PLACE)
+    sums = {f: F.sum(F.col("weight") * F.col("inv_sqrt_deg") * F.col(f)) for f in features}
     return (
-        messages.select(*NODE, "target", "weight").join(nodes, NODE)
-        .groupBy("structure_id", F.col("target").alias("node"))
-        .agg(
-            F.max(own).alias("inv_sqrt_deg"),
-            *[F.sum(F.col("weight") * F.col("inv_sqrt_deg") * F.col(f)).alias(f) for f in features],
-        )
+        _arriving(near, far, sums, {"inv_sqrt_deg": F.max(own)})
         .where(F.col("inv_sqrt_deg").isNotNull())
-        .select(*NODE, "inv_sqrt_deg", *[(F.col("inv_sqrt_deg") * F.col(f)).alias(f) for f in features])
+        .select(*PLACE, "inv_sqrt_deg", *[(F.col("inv_sqrt_deg") * F.col(f)).alias(f) for f in features])
     )
 
 
@@ -86,7 +139,7 @@ def neighbor_aggregate(
     """One graph-convolution propagation with self loops and symmetric
     normalisation; ``weighted=False`` counts every edge as 1."""
     messages = graph_messages(nodes, edges, features, weighted)
-    return _propagate(node_degrees(messages, features), messages, features).drop("inv_sqrt_deg")
+    return _propagate(node_degrees(messages, features), messages, features).drop("block", "inv_sqrt_deg")
 
 
 def graph_mean_pool(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -129,7 +182,7 @@ def gcn_score(
     features rather than the hidden units. Degrees are computed once and
     travel with the nodes.
     """
-    keep = [*NODE, "inv_sqrt_deg"]
+    keep = [*PLACE, "inv_sqrt_deg"]
     messages = graph_messages(nodes, edges, features, weighted)
     x = _propagate(node_degrees(messages, features), messages, features)
     h, names = _linear(x, keep, features, weights["w1"], weights["b1"], "h", True)

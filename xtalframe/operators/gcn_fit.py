@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xtalframe.operators.gcn import NODE, _linear, _propagate, graph_messages, node_degrees
+from xtalframe.operators.gcn import BUCKETS, PLACE, Messages, _linear, _propagate, graph_messages, node_degrees, turned_messages
 from xtalframe.session import stored, stored_by
 
 
@@ -57,18 +57,22 @@ class Network(NamedTuple):
     """What all epochs share: messages either way, and the first propagation."""
 
     features: list[str]
-    forward: DataFrame
-    backward: DataFrame
+    forward: Messages
+    backward: Messages
     inputs: DataFrame
 
 
 def prepare(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool = True) -> Network:
-    """Store messages in buckets of the node they leave from, in either
-    direction, and the propagated input features, which no weight changes."""
+    """Store messages for either direction, and the propagated input features,
+    which no weight changes, in the same buckets."""
     forward = graph_messages(nodes, edges, features, weighted)
-    turned = forward.select("structure_id", F.col("target").alias("node"), F.col("node").alias("target"), "weight")
     inputs = _propagate(node_degrees(forward, features), forward, features)
-    return Network(list(features), forward, stored_by(turned, "messages_back", *NODE), stored_by(inputs, "inputs", *NODE))
+    return Network(list(features), forward, turned_messages(forward), _kept(inputs, forward, "inputs"))
+
+
+def _kept(nodes: DataFrame, messages: Messages, purpose: str) -> DataFrame:
+    """Nodes stored in the buckets of the messages that reach them."""
+    return stored_by(nodes, purpose, *BUCKETS, buckets=messages.buckets, placed=True)
 
 
 def _positive(value: Column) -> Column:
@@ -97,10 +101,10 @@ def gradient(network: Network, targets: DataFrame, weights: dict) -> tuple[dict,
     (all without the column) count for the gradient, ``val`` rows for the other
     error. Graphs without a target are left out.
     """
-    keep, x = [*NODE, "inv_sqrt_deg"], network.features
+    keep, x = [*PLACE, "inv_sqrt_deg"], network.features
     hidden, h = _linear(network.inputs, keep, x, weights["w1"], weights["b1"], "h", True)
-    moved = _propagate(hidden, network.forward, h)
-    state = stored(network.inputs.join(moved.drop("inv_sqrt_deg"), NODE), "state")
+    # every node of the inputs is reached, by its own loop at least
+    state = _kept(_propagate(hidden, network.forward, h), network.forward, "state")
     active, k = _linear(state, ["structure_id"], h, weights["w2"], weights["b2"], "k", True)
     pooled = active.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in k])
     score = F.lit(float(weights["b_out"]))
@@ -118,21 +122,23 @@ def gradient(network: Network, targets: DataFrame, weights: dict) -> tuple[dict,
     found = {("b_out",): F.sum("error") * scale, **{("w_out", j): F.sum(F.col("error") * F.col(c)) * scale for j, c in enumerate(k)}}
     out = _sums(train, found)
 
-    # back to the second layer's inputs
+    # back to the second layer's inputs; errors of graphs go to the blocks of
+    # their nodes, and what is worked out from both is not stored
+    blocks = network.inputs.select(*BUCKETS).distinct()
+    errors = blocks.join(train.select("structure_id", "n", "error"), "structure_id").repartition(network.forward.buckets, *BUCKETS)
     share = F.col("error") * scale / F.col("n")
-    before, z = _linear(state, [*keep, *x, *h], h, weights["w2"], weights["b2"], "z", False)
+    before, z = _linear(state, [*keep, *h], h, weights["w2"], weights["b2"], "z", False)
     deltas = [(share * float(w) * _positive(F.col(c))).alias(f"d{j}") for j, (c, w) in enumerate(zip(z, weights["w_out"]))]
     d = [f"d{j}" for j in range(len(z))]
-    delta = before.join(train.select("structure_id", "n", "error"), "structure_id").select(*keep, *h, *deltas)
-    back = [sum((F.col(d[j]) * float(weights["w2"][i][j]) for j in range(len(d))), F.lit(0.0)).alias(f"e{i}") for i in range(len(h))]
-    e = [f"e{i}" for i in range(len(h))]
-    delta = stored(delta.select(*keep, *h, *d, *back), "deltas")
+    delta = before.join(errors, BUCKETS).select(*keep, *h, *deltas)
     out |= _sums(delta, {**_outer(h, d, "w2"), **_each(d, "b2")})
 
     # back along the edges to the first layer
-    reached = _propagate(delta.select(*keep, *e), network.backward, e).drop("inv_sqrt_deg")
-    first, u = _linear(network.inputs, [*NODE, *x], x, weights["w1"], weights["b1"], "u", False)
-    steps = first.join(reached, NODE).select(*x, *[(F.col(a) * _positive(F.col(b))).alias(f"g{j}") for j, (a, b) in enumerate(zip(e, u))])
+    back = [sum((F.col(d[j]) * float(weights["w2"][i][j]) for j in range(len(d))), F.lit(0.0)).alias(f"e{i}") for i in range(len(h))]
+    e = [f"e{i}" for i in range(len(h))]
+    reached = _propagate(delta.select(*keep, *back), network.backward, e).drop("inv_sqrt_deg")
+    first, u = _linear(network.inputs, [*PLACE, *x], x, weights["w1"], weights["b1"], "u", False)
+    steps = first.join(reached, PLACE).select(*x, *[(F.col(a) * _positive(F.col(b))).alias(f"g{j}") for j, (a, b) in enumerate(zip(e, u))])
     g = [f"g{j}" for j in range(len(u))]
     out |= _sums(steps, {**_outer(x, g, "w1"), **_each(g, "b1")})
     return out, sizes["loss"], sizes["val"]

@@ -65,14 +65,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def stored_by(df: DataFrame, purpose: str, *keys: str) -> DataFrame:
-    """Like ``stored``, in as many buckets by ``keys`` as there are shuffle
-    partitions, one file each: joins and aggregates on these keys read it as it
-    lies, without a shuffle. It has a name in the catalog only while it is
-    written."""
+def stored_by(df: DataFrame, purpose: str, *keys: str, buckets: int = 0, placed: bool = False) -> DataFrame:
+    """Like ``stored``, in ``buckets`` by ``keys`` (none given: as many as there
+    are shuffle partitions), one file each: joins and aggregates on these keys
+    read it as it lies, without a shuffle. ``placed``: the rows come out of such
+    buckets, as many, and are written where they are. It has a name in the
+    catalog only while it is written."""
     spark = df.sparkSession
-    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{purpose}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    buckets, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"{purpose}_{uuid.uuid4().hex}"
+    writer = (df if placed else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", shared_folder(spark, purpose)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
