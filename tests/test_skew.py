@@ -103,3 +103,16 @@ def test_best_entries_are_fetched_by_address(spark):
             assert "sites" not in line and "unit_cell" not in line
     stored = C.best_entry_oqmd(rows.drop("row_file", "row_index"))
     assert sorted(map(str, by_file.collect())) == sorted(map(str, stored.collect()))
+
+
+def test_pairs_of_a_key_that_is_hot_on_neither_side(spark):
+    """Complete, and no task makes a large part of all rows, though hardly
+    anything goes in."""
+    left = spark.range(300).select(F.when(F.col("id") % 3 == 0, "x").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("a"))
+    right = spark.range(500).select(F.when(F.col("id") % 2 == 0, "x").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), F.col("id").alias("b"))
+    rows = [r.asDict() for r in left_join(left, right, ["k"], pairs=500).withColumn("task", F.spark_partition_id()).collect()]
+    want = plain_left_join([tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()])
+    assert Counter((r["k"], r["a"], r["b"]) for r in rows) == want
+    tasks = Counter(r["task"] for r in rows)
+    assert len(rows) > 25_000 and max(tasks.values()) < len(rows) / 8
+    assert left_join(left.limit(0), right, ["k"], pairs=500).collect() == []

@@ -19,7 +19,7 @@ from xtalframe.functions.once import compute_once
 from xtalframe.functions.structure_text import cell_to_text, sites_to_text, validate_structure
 from xtalframe.functions.text import null_to_inf
 from xtalframe.operators.clean import filter_deprecated
-from xtalframe.operators.skew import SHARE, left_join
+from xtalframe.operators.skew import PAIRS, SHARE, left_join
 from xtalframe.schemas import ELEMENT_SET_ENTRY
 from xtalframe.session import stored
 
@@ -214,19 +214,21 @@ def join_candidates_elements(
     key: str = "composition",
     entry_id: str = "entry_id",
     share: int = SHARE,
+    most: int = PAIRS,
 ) -> DataFrame:
     """Every composition with the entries matching its element set.
 
     Both sides carry ``elements``. A composition without a match keeps one row
     of nulls. ``per_key`` keeps the first so many by ``entry_id``, for callers
     that want the page limit of a remote service; by default all are kept. A
-    set that more than ``share`` records have is spread over tasks.
+    set that more than ``share`` records have, or that makes more than ``most``
+    rows, is spread over tasks.
     """
     pairs = stored(containing_sets(compositions, entries, mode, share), "set-pairs")
     right = entries.withColumn("available_set", set_key(F.col("elements"))).drop("elements")
     asked = compositions.withColumn("wanted_set", set_key(F.col("elements")))
-    by_set = left_join(asked, pairs, ["wanted_set"], share=share)
-    found = left_join(by_set, right, ["available_set"], share=share).drop("wanted_set", "available_set")
+    by_set = left_join(asked, pairs, ["wanted_set"], share=share, pairs=most)
+    found = left_join(by_set, right, ["available_set"], share=share, pairs=most).drop("wanted_set", "available_set")
     if per_key is None:
         return found
     return first_k_per_key(found, [key], [F.col(entry_id).asc_nulls_last()], per_key)
