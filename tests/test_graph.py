@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from xtalframe.functions import lattice as L
 from xtalframe.operators import gcn as N
 from xtalframe.operators import gcn_fit as GF
+from xtalframe.session import joined_in_buckets
 from xtalframe.operators import graph as G
 
 SCHEMA = (
@@ -345,6 +346,10 @@ def test_network_over_blocks_of_nodes(spark, monkeypatch, block):
     assert slopes[("w1", 0, 1)] == pytest.approx((up - down) / 2e-6, abs=1e-6)
     if block == 4096:
         hidden, h = N._linear(network.inputs, [*N.PLACE, "inv_sqrt_deg"], ["x0", "x1"], w["w1"], w["b1"], "h", True)
-        for plan in (N._propagate(hidden, network.forward, h), N._propagate(hidden, network.backward, h)):
-            plan = plan.hint("merge")._jdf.queryExecution().executedPlan().toString()
-            assert "Exchange hashpartitioning" not in plan
+        broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with joined_in_buckets(spark):
+            for messages in (network.forward, network.backward):
+                plan = N._propagate(hidden, messages, h)._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from xtalframe.session import stored, stored_by
+from xtalframe.session import joined_in_buckets, stored, stored_by
 
 PLACE = ["structure_id", "block", "node"]
 BUCKETS = ["structure_id", "block"]
 #: Nodes of a block, a power of two, and messages of a bucket.
-BLOCK, BUCKET = 4096, 2**21
+BLOCK, BUCKET = 4096, 2**19
 
 
 def _with_loops(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighted: bool) -> DataFrame:
@@ -139,7 +139,8 @@ def neighbor_aggregate(
     """One graph-convolution propagation with self loops and symmetric
     normalisation; ``weighted=False`` counts every edge as 1."""
     messages = graph_messages(nodes, edges, features, weighted)
-    return _propagate(node_degrees(messages, features), messages, features).drop("block", "inv_sqrt_deg")
+    with joined_in_buckets(nodes.sparkSession):
+        return stored(_propagate(node_degrees(messages, features), messages, features).drop("block", "inv_sqrt_deg"), "propagated")
 
 
 def graph_mean_pool(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -188,7 +189,8 @@ def gcn_score(
     h, names = _linear(x, keep, features, weights["w1"], weights["b1"], "h", True)
     h = _propagate(h, messages, names)
     h, names = _linear(h, keep, names, weights["w2"], weights["b2"], "k", True)
-    pooled = graph_mean_pool(h, names)
+    with joined_in_buckets(nodes.sparkSession):
+        pooled = stored(graph_mean_pool(h, names), "pooled")
     out, _ = _linear(
         pooled,
         ["structure_id"],

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xtalframe.operators.gcn import BUCKETS, PLACE, Messages, _linear, _propagate, graph_messages, node_degrees, turned_messages
-from xtalframe.session import stored, stored_by
+from xtalframe.session import joined_in_buckets, stored, stored_by
 
 
 class Epoch(NamedTuple):
@@ -72,7 +72,8 @@ def prepare(nodes: DataFrame, edges: DataFrame, features: Sequence[str], weighte
 
 def _kept(nodes: DataFrame, messages: Messages, purpose: str) -> DataFrame:
     """Nodes stored in the buckets of the messages that reach them."""
-    return stored_by(nodes, purpose, *BUCKETS, buckets=messages.buckets, placed=True)
+    with joined_in_buckets(nodes.sparkSession):
+        return stored_by(nodes, purpose, *BUCKETS, buckets=messages.buckets, placed=True)
 
 
 def _positive(value: Column) -> Column:
@@ -164,7 +165,8 @@ def fit_gcn(
     network = prepare(nodes, edges, features, weighted)
     adam, history, best = Adam(rate), [], (math.inf, weights)
     for number in range(epochs):
-        slopes, loss, validation = gradient(network, targets, weights)
+        with joined_in_buckets(nodes.sparkSession):
+            slopes, loss, validation = gradient(network, targets, weights)
         history.append(Epoch(number, loss, validation))
         if validation is not None and validation < best[0]:
             best = validation, weights

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +82,20 @@ def stored_by(df: DataFrame, purpose: str, *keys: str, buckets: int = 0, placed:
     return out
 
 
+@contextmanager
+def joined_in_buckets(spark: SparkSession) -> Iterator[None]:
+    """For jobs that run within: a join takes sides that lie in equal buckets as
+    they are where the buckets go by some of its keys only. Elsewhere Spark
+    shuffles such sides anew by all keys, as large groups may need."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_shared(spark: SparkSession) -> None:
     """Remove all that this application put into the shared folder. For the
     owner of the application, when its results are stored elsewhere: tables
