@@ -378,6 +378,22 @@ def test_cif_variants(spark):
     assert [s["frac"] for s in got[0]["r"]["sites"]][1] == [0.5, 0.5, 0.0]
 
 
+def test_cif_is_read_once(spark):
+    """Every word and tag is looked up once, and by no search that ends in an
+    exception; what words and tags mean stays."""
+    tree = str(ST.cif_to_structure(F.col("t")))
+    assert "array_position" not in tree
+    assert tree.count("_cell_length_a") == 1 and tree.count("_space_group_IT_number") <= 1
+    head = "data_x\r\n" + "".join(f"_cell_length_{n} 4(1)\r\n" for n in "abc") + "".join(f"_cell_angle_{n} 90.\r\n" for n in ("alpha", "beta", "gamma"))
+    tags = ["_atom_site_fract_x", "_atom_site_fract_x", "_ATOM_site_fract_y", "_atom_site_label", "_atom_site_fract_z"]
+    text = head + "loop_\r\n" + "\r\n".join(tags) + "\r\n 0.5(2)\t1.0  .25 Fe2+\t-1e-1 \r\n# none\r\n0 0 x O1 0\r\n"
+    got = spark.createDataFrame([(0, text), (1, text.replace("0 0 x O1 0", "_other 1"))], "i int, t string").select("i", ST.cif_to_structure(F.col("t")).alias("r"))
+    bad, good = [r["r"] for r in got.orderBy("i").collect()]
+    assert bad["status"] == "parse_error" and bad["sites"] is None
+    assert good["status"] == "ok" and tuple(good["cell"]) == (4.0, 4.0, 4.0, 90.0, 90.0, 90.0)
+    assert [tuple(s) for s in good["sites"]] == [(0, "Fe", [0.5, 0.25, -0.1])]
+
+
 def cif_with(operations, sites, group="'F m -3 m'"):
     lines = "\n".join(f"  {k + 1} '{o}'" for k, o in enumerate(operations))
     atoms = "\n".join(f"  {e}{k} {e} {x} {y} {z}" for k, (e, x, y, z) in enumerate(sites))

@@ -7,6 +7,10 @@ check asks for the array and for each of its elements.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,22 +112,45 @@ _SPACE_GROUP_TAGS = r"(?im)^\s*_(?:symmetry_space_group_name_H-M|space_group_nam
 _SPACE_GROUP_NUMBER = r"(?im)^\s*_(?:symmetry_Int_Tables_number|space_group_IT_number)\s+(\d+)"
 
 
+def _without_uncertainty(word: Column) -> Column:
+    return F.when(word.contains("("), F.regexp_replace(word, _UNCERTAINTY, "")).otherwise(word)
+
+
+def _numbers(words: list[Column]) -> Column:
+    """Words as an array of numbers, each word worked out once."""
+    return F.transform(F.transform(F.array(*words), _without_uncertainty), to_number)
+
+
 def _cif_scalar(text: Column, tag: str) -> Column:
-    raw = F.regexp_extract(text, rf"(?im)^\s*{tag}\s+(\S+)", 1)
-    return to_number(F.regexp_replace(raw, _UNCERTAINTY, ""))
+    return F.regexp_extract(text, rf"(?im)^\s*{tag}\s+(\S+)", 1)
+
+
+def _first_place(values: Column, found: Callable[[Column], Column]) -> Column:
+    """Place, from 1, of the first value that ``found`` holds for; null if none.
+    ``array_position`` leaves its loop by an exception, which costs far more than
+    looking at the rest of a short list."""
+    return F.array_min(F.transform(values, lambda v, i: F.when(found(v), i + 1)))
+
+
+def _blocks(text: Column) -> Column:
+    """The parts of a text between its ``loop_`` lines, without blank lines,
+    comments and blanks around lines."""
+    lines = F.filter(
+        F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda t: F.trim(t)),
+        lambda t: (t != "") & ~t.startswith("#"),
+    )
+    return F.split(F.array_join(lines, "\n"), r"(?m)^loop_\s*\n?")
 
 
-def _loop(text: Column, prefix: str) -> Column:
+def _loop(blocks: Column, prefix: str) -> Column:
     """``struct<tags, rows>`` of the loop whose tags start with ``prefix``: its
     lower-case tags and its data lines up to the next tag or data block."""
-    tagged = rf"(?i)^{prefix}"
+    tagged = lambda r: r.startswith("_") & r.rlike(rf"(?i)^{prefix}")
 
     def parts(lines: Column) -> Column:
-        tags = F.filter(lines, lambda r: r.rlike(tagged))
+        tags = F.filter(lines, tagged)
         body = F.slice(lines, F.size(tags) + 1, F.size(lines))
-        stop = lambda rows: F.array_position(
-            F.transform(rows, lambda r: r.rlike(r"^(?:_|data_)")), True
-        ).cast("int")
+        stop = lambda rows: _first_place(rows, lambda r: r.startswith("_") | r.startswith("data_"))
         cut = lambda rows: let(
             stop(rows), lambda at: F.when(at > 0, F.slice(rows, 1, at - 1)).otherwise(rows)
         )
@@ -131,19 +158,14 @@ def _loop(text: Column, prefix: str) -> Column:
             F.transform(tags, lambda t: F.lower(t)).alias("tags"), let(body, cut).alias("rows")
         )
 
-    lines = F.filter(
-        F.transform(F.split(text, r"\r?\n"), lambda t: F.trim(t)),
-        lambda t: (t != "") & ~t.startswith("#"),
-    )
-    blocks = F.split(F.array_join(lines, "\n"), r"(?m)^loop_\s*\n?")
-    block = F.try_element_at(F.filter(blocks, lambda b: b.rlike(tagged)), F.lit(1))
+    block = F.try_element_at(F.filter(blocks, tagged), F.lit(1))
     return let(F.filter(F.split(block, "\n"), lambda r: r != ""), parts)
 
 
-def _word(row: Column, tags: Column, tag: str) -> Column:
-    words = F.split(row, r"\s+")
-    at = F.array_position(tags, F.lit(tag)).cast("int")
-    return F.when(at > 0, F.try_element_at(words, F.nullif(at, F.lit(0))))
+def _one_axis() -> Column:
+    """Rows of operations that are one axis, as most are, read already."""
+    row = lambda axis, sign: F.struct(*[F.lit(sign if a == axis else 0.0).alias(a) for a in "xyz"], F.lit(0.0).alias("shift"))
+    return F.create_map(*[c for a in "xyz" for mark, sign in (("", 1.0), ("+", 1.0), ("-", -1.0)) for c in (F.lit(mark + a), row(a, sign))])
 
 
 def symmetry_operation(text: Column) -> Column:
@@ -152,15 +174,19 @@ def symmetry_operation(text: Column) -> Column:
 
     def row(part: Column) -> Column:
         def factor(axis: str) -> Column:
-            number = F.nullif(F.regexp_extract(part, _TERM + axis, 2), F.lit(""))
-            sign = F.when(F.regexp_extract(part, _TERM + axis, 1) == "-", -1.0).otherwise(1.0)
-            return F.when(part.contains(axis), sign * F.coalesce(number.try_cast("double"), F.lit(1.0))).otherwise(0.0)
+            term = lambda k: F.regexp_extract(part, _TERM + axis, k)
+            number = let(term(2), lambda n: F.when(n != "", n).try_cast("double"))
+            sign = F.when(term(1) == "-", -1.0).otherwise(1.0)
+            return F.when(part.contains(axis), sign * F.coalesce(number, F.lit(1.0))).otherwise(0.0)
+
+        def shift(rest: Column) -> Column:
+            number = F.regexp_extract(rest, _SHIFT, 1).try_cast("double")
+            under = let(F.regexp_extract(rest, _SHIFT, 2), lambda n: F.coalesce(F.when(n != "", n).try_cast("double"), F.lit(1.0)))
+            return F.when(rest == "", 0.0).when(rest.rlike(_SHIFT), F.try_divide(number, under))
 
         rest = F.regexp_replace(part, r"[+-]?\d*\.?\d*\*?[xyz]", "")
-        number = F.regexp_extract(rest, _SHIFT, 1).try_cast("double")
-        under = F.coalesce(F.nullif(F.regexp_extract(rest, _SHIFT, 2), F.lit("")).try_cast("double"), F.lit(1.0))
-        shift = F.when(rest == "", 0.0).when(rest.rlike(_SHIFT), F.try_divide(number, under))
-        return F.when((part != "") & shift.isNotNull(), F.struct(*[factor(a).alias(a) for a in "xyz"], shift.alias("shift")))
+        read = lambda v: F.when((part != "") & v.isNotNull(), F.struct(*[factor(a).alias(a) for a in "xyz"], v.alias("shift")))
+        return F.coalesce(F.try_element_at(_one_axis(), part), let(let(rest, shift), read))
 
     bare = F.lower(F.regexp_replace(F.regexp_replace(text, r"^\d+\s+", ""), r"['\"\s]", ""))
     rows = lambda parts: F.transform(parts, row)
@@ -169,10 +195,9 @@ def symmetry_operation(text: Column) -> Column:
 
 
 def _is_identity(operation: Column) -> Column:
-    row = lambda k, axis: F.forall(
-        F.array(*[F.when(operation[k][n] == (1.0 if n == axis else 0.0), 1) for n in ("x", "y", "z", "shift")]), lambda v: v.isNotNull()
-    )
-    return row(0, "x") & row(1, "y") & row(2, "z")
+    """True or false; false for null."""
+    same = [operation[k][n] == (1.0 if n == axis else 0.0) for k, axis in enumerate("xyz") for n in ("x", "y", "z", "shift")]
+    return F.coalesce(reduce(and_, same), F.lit(False))
 
 
 def orbit(frac: Column, operations: Column) -> Column:
@@ -180,7 +205,7 @@ def orbit(frac: Column, operations: Column) -> Column:
     places that coincide, also across a face of the cell, are one."""
     moved = lambda r: r["x"] * frac[0] + r["y"] * frac[1] + r["z"] * frac[2] + r["shift"]
     inside = lambda v: v - F.floor(v)
-    places = F.transform(operations, lambda o: F.array(*[inside(moved(o[k])) for k in range(3)]))
+    places = F.transform(operations, lambda o: F.transform(F.transform(o, moved), inside))
     apart = lambda p, q, k: F.abs(p[k] - q[k] - F.rint(p[k] - q[k]))
     same = lambda p, q: F.greatest(*[apart(p, q, k) for k in range(3)]) < _SAME_PLACE
     none = F.array().cast("array<array<double>>")
@@ -199,72 +224,55 @@ def cif_to_structure(text: Column) -> Column:
     ``parse_error``. Bracketed uncertainties are dropped; the element of a site
     is its type symbol without charge, or else the letters of its label.
     """
-    numbers = [
-        _cif_scalar(text, tag)
-        for tag in (
-            "_cell_length_a",
-            "_cell_length_b",
-            "_cell_length_c",
-            "_cell_angle_alpha",
-            "_cell_angle_beta",
-            "_cell_angle_gamma",
-        )
-    ]
+    tags = ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma")
+    six = _numbers([_cif_scalar(text, f"_cell_{tag}") for tag in tags])
+    words = ("type_symbol", "label", "fract_x", "fract_y", "fract_z")
 
-    def site(row: Column, i: Column, tags: Column) -> Column:
-        symbol = F.coalesce(
-            _word(row, tags, "_atom_site_type_symbol"), _word(row, tags, "_atom_site_label")
-        )
-        fractions = [
-            to_number(
-                F.regexp_replace(_word(row, tags, f"_atom_site_fract_{axis}"), _UNCERTAINTY, "")
-            )
-            for axis in "xyz"
-        ]
+    def site(row: Column, i: Column, at: Column) -> Column:
+        word = lambda name: F.try_element_at(row, at[name])
+        symbol = F.regexp_extract(F.coalesce(word("type_symbol"), word("label")), r"^([A-Z][a-z]?)", 1)
         return F.struct(
             i.alias("idx"),
-            F.nullif(F.regexp_extract(symbol, r"^([A-Z][a-z]?)", 1), F.lit("")).alias("element"),
-            F.array(*fractions).alias("frac"),
+            let(symbol, lambda e: F.when(e != "", e)).alias("element"),
+            _numbers([word(f"fract_{axis}") for axis in "xyz"]).alias("frac"),
         )
 
-    sites = let(
-        _loop(text, "_atom_site_"),
-        lambda loop: F.transform(loop["rows"], lambda r, i: site(r, i, loop["tags"])),
-    )
-    listed = _loop(text, "_(?:symmetry_equiv_pos|space_group_symop)")["rows"]
-    operations = F.transform(listed, symmetry_operation)
-    group = F.regexp_replace(F.regexp_extract(text, _SPACE_GROUP_TAGS, 1), r"['\"\s]", "")
-    number = F.nullif(F.regexp_extract(text, _SPACE_GROUP_NUMBER, 1), F.lit("")).cast("int")
-    named = ~group.isin("", "P1") | (F.coalesce(number, F.lit(1)) != 1)
+    def sites(loop: Column) -> Column:
+        at = F.struct(*[_first_place(loop["tags"], lambda t, w=w: t == f"_atom_site_{w}").alias(w) for w in words])
+        rows = F.transform(loop["rows"], lambda r: F.split(r, r"\s+"))
+        return let(at, lambda at: F.transform(rows, lambda r, i: site(r, i, at)))
+
+    def loops(blocks: Column) -> Column:
+        listed = _loop(blocks, "_(?:symmetry_equiv_pos|space_group_symop)")["rows"]
+        operations = F.coalesce(F.transform(listed, symmetry_operation), F.array().cast(_OPERATIONS))
+        return F.struct(operations.alias("operations"), let(_loop(blocks, "_atom_site_"), sites).alias("sites"))
+
     raw = F.struct(
         (text.isNull() | (F.trim(text) == "")).alias("missing"),
-        named.alias("named"),
-        F.coalesce(operations, F.array().cast(_OPERATIONS)).alias("operations"),
-        number.alias("number"),
-        cell(*numbers).alias("cell"),
-        sites.alias("sites"),
+        F.regexp_replace(F.regexp_extract(text, _SPACE_GROUP_TAGS, 1), r"['\"\s]", "").alias("group"),
+        let(F.regexp_extract(text, _SPACE_GROUP_NUMBER, 1), lambda n: F.when(n != "", n).cast("int")).alias("number"),
+        let(six, lambda n: cell(*[n[k] for k in range(6)])).alias("cell"),
+        let(_blocks(text), loops).alias("loops"),
     )
 
     def all_places(sites: Column, operations: Column) -> Column:
         each = F.flatten(F.transform(sites, lambda s: F.transform(orbit(s["frac"], operations), lambda p: F.struct(s["element"].alias("element"), p.alias("frac")))))
         return F.transform(each, lambda s, i: F.struct(i.alias("idx"), s["element"].alias("element"), s["frac"].alias("frac")))
 
-    def result(r: Column) -> Column:
+    def result(r: Column, operations: Column, sites: Column, plain: Column) -> Column:
+        named = ~r["group"].isin("", "P1") | (F.coalesce(r["number"], F.lit(1)) != 1)
         numbers_given = F.lit(True)
         for name in ("a", "b", "c", "alpha", "beta", "gamma"):
             numbers_given = numbers_given & r["cell"][name].isNotNull()
         good = (
             numbers_given
-            & (F.size(r["sites"]) > 0)
-            & F.forall(
-                r["sites"], lambda s: s["element"].isNotNull() & _all_present(s["frac"], 3)
-            )
+            & (F.size(sites) > 0)
+            & F.forall(sites, lambda s: s["element"].isNotNull() & _all_present(s["frac"], 3))
+            & F.forall(operations, lambda o: o.isNotNull())
         )
-        good = good & F.forall(r["operations"], lambda o: o.isNotNull())
-        plain = F.forall(r["operations"], lambda o: F.coalesce(_is_identity(o), F.lit(False)))
         status = (
             F.when(r["missing"], "missing")
-            .when(r["named"] & plain, "unsupported_symmetry")
+            .when(named & plain, "unsupported_symmetry")
             .when(F.coalesce(good, F.lit(False)), "ok")
             .otherwise("parse_error")
         )
@@ -273,9 +281,13 @@ def cif_to_structure(text: Column) -> Column:
             lambda st: F.struct(
                 st.alias("status"),
                 F.when(st == "ok", r["cell"]).alias("cell"),
-                F.when((st == "ok") & plain, r["sites"]).when(st == "ok", all_places(r["sites"], r["operations"])).alias("sites"),
+                F.when((st == "ok") & plain, sites).when(st == "ok", all_places(sites, operations)).alias("sites"),
                 r["number"].alias("spacegroup_number"),
             ),
         )
 
-    return let(raw, result)
+    def read(r: Column) -> Column:
+        operations, sites = r["loops"]["operations"], r["loops"]["sites"]
+        return let(F.forall(operations, _is_identity), lambda plain: result(r, operations, sites, plain))
+
+    return let(raw, read)
