@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from xtalframe.functions import lattice as L
+from xtalframe.functions import structure_text as ST
 from xtalframe.operators import gcn as N
 from xtalframe.operators import gcn_fit as GF
 from xtalframe.session import joined_in_buckets
@@ -353,3 +354,33 @@ def test_network_over_blocks_of_nodes(spark, monkeypatch, block):
                 plan = N._propagate(hidden, messages, h)._jdf.queryExecution().executedPlan().toString()
                 assert "SortMergeJoin" in plan and "Exchange" not in plan
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_written_out_structures(spark, tmp_path):
+    """Sites of the test view are compiled columns, with the rows that its
+    formula gives, also for no key and keys below zero."""
+    from xtalframe.plans import derived as V
+
+    keys = [None, -9, -8, *range(17), 2**40 + 5]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    view = V.structures(spark, str(tmp_path))
+    assert "slice(array(" in view._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["structure_id"]: r["sites"] for r in view.collect()}
+    assert got.pop(None) is None and len(got) == len(keys) - 1
+    for k, sites in got.items():
+        n = int(math.fmod(k, 8))
+        wanted = []
+        for i in range(0, n + 1) if n >= 0 else range(0, n - 1, -1):
+            at = [math.fmod(k * a + i * b, m) / m + (math.fmod(k, 3) - 1) for a, b, m in ((7, 13, 97), (11, 29, 89), (5, 31, 101))]
+            place = int(math.fmod(k + i * 3, 40))  # element_at counts from the end below zero
+            wanted.append((i, V.SYMBOLS[place if place >= 0 else place + 1], at))
+        assert [tuple(s) for s in sites] == wanted
+
+
+def test_cell_of_lists_is_read_as_such(spark):
+    texts = ["[1,2,3,90,90,90]", "[1,[2],3,4,5,6]", " [ [1,0,0], [0,2,0], [0,0,4] ] ", "[[1,2,3,90,90,90]]", "[[1,0,0],[0,2,0],[0,0,null]]", None, "x[[1]]"]
+    tree = ST.parse_cell(F.col("t"))
+    assert "rlike" in str(tree).lower()  # no attempt to read lists as numbers
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(tree).collect()]
+    assert tuple(got[0]) == (1.0, 2.0, 3.0, 90.0, 90.0, 90.0) and tuple(got[2]) == pytest.approx((1.0, 2.0, 4.0, 90.0, 90.0, 90.0))
+    assert [v is None for v in got] == [False, True, False, True, True, True, True]

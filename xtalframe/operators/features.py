@@ -142,7 +142,7 @@ def feature_table(docs: DataFrame, cutoff: float = CUTOFF, graphs: bool = True,
     key = "supercon_composition"
     base = property_columns(id_fallback(docs, "material_id", key))
     usable = F.coalesce(F.col("cell").isNotNull() & (F.size("sites") > 0) & known_elements(F.col("sites")), F.lit(False))
-    large = usable & (F.size("sites") > small)
+    large = (F.size("sites") > small) & usable
     joined = _within_rows(base.where(~large), cutoff, usable).unionByName(_by_joins(base.where(large), cutoff), allowMissingColumns=True)
     if not graphs:
         joined = joined.withColumns({c: F.lit(None).cast(FEATURES[c].dataType) for c in ("graph_nodes", "graph_edges")})

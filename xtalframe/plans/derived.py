@@ -197,15 +197,17 @@ def structures(spark: SparkSession, sf: str, columns: tuple[str, ...] = ()) -> D
     """Nested structures of 1 to 8 sites, one per order."""
     k = F.col("o_orderkey")
     fraction = lambda i, a, b, m: ((k * a + i * b) % m) / float(m) + (k % 3 - 1)
-    sites = F.transform(
-        F.sequence(F.lit(0), (k % 8).cast("int")),
-        lambda i: F.struct(
-            i.alias("idx"),
-            _symbol(k + i * 3).alias("element"),
-            F.array(
-                fraction(i, 7, 13, 97), fraction(i, 11, 29, 89), fraction(i, 5, 31, 101)
-            ).alias("frac"),
-        ),
+    site = lambda i: F.struct(
+        i.alias("idx"),
+        _symbol(k + i * 3).alias("element"),
+        F.array(
+            fraction(i, 7, 13, 97), fraction(i, 11, 29, 89), fraction(i, 5, 31, 101)
+        ).alias("frac"),
+    )
+    # written out, as lambdas are not compiled; they are left for keys below zero
+    n = (k % 8).cast("int")
+    sites = F.when(n >= 0, F.slice(F.array(*[site(F.lit(i)) for i in range(8)]), 1, n + 1)).otherwise(
+        F.transform(F.sequence(F.lit(0), n), site)
     )
     orders = by_key(table(spark, sf, "orders").select("o_orderkey", *columns), "o_orderkey")
     return _as_file(orders.select(k.alias("structure_id"), _cell(k).alias("cell"), sites.alias("sites"), *columns))
